@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
@@ -45,9 +46,23 @@ def group_window(by: By) -> WindowSpec:
     return Window.partitionBy(*(by or [F.lit(0)]))
 
 
-def one_row(df: DataFrame, by: By, *aggs) -> DataFrame:
-    """One row per ``by`` group; with no ``by`` always exactly one row."""
-    return df.groupBy(*by).agg(*aggs)
+def gather(parts: Sequence[DataFrame], by: By) -> DataFrame:
+    """One wide row per store from frames with at most one row per store.
+
+    The parts are stacked and folded by one small aggregation: every part runs once
+    and side by side, without a chain of joins.
+    """
+    kinds = [(n, t, i) for i, part in enumerate(parts) for n, t in part.dtypes if n not in by]
+
+    def padded(part: DataFrame, i: int) -> DataFrame:
+        columns = [f"`{n}`" if j == i else f"cast(null as {t}) as `{n}`" for n, t, j in kinds]
+        return part.selectExpr(*by, *columns)
+
+    layers = [padded(part, i) for i, part in enumerate(parts)]
+    while len(layers) > 1:  # pairwise, so that no plan is analysed again and again
+        layers = [a.union(b) for a, b in zip(layers[::2], layers[1::2])] + layers[len(layers) // 2 * 2 :]
+    stacked = layers[0]
+    return stacked.groupBy(*by).agg(*[F.expr(f"first(`{n}`, true) as `{n}`") for n, _, _ in kinds])
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -64,6 +79,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def side_by_side(tasks: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
+    """Build and write several independent small results as concurrent jobs."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        return list(pool.map(lambda task: durable(task()), tasks))
+
+
 def settle(df: DataFrame, digits: int = 6) -> DataFrame:
     """Output form: decimals as double, doubles rounded, no negative zero, no NaN."""
 

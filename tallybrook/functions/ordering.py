@@ -60,7 +60,8 @@ def ordered_prefix(
     and must make rows unique within a group.
 
     ``stored`` is an already durable frame with the same rows, keys and summed
-    columns.  ``bounded`` says that groups are small by construction (days, months).
+    columns.  ``bounded`` says that a group is known to fit into one slice, by nature
+    (days, months) or by a size check made before.
     """
     if bounded:
         base, slices = df, 1
@@ -68,12 +69,19 @@ def ordered_prefix(
         base = stored if stored is not None else durable(df)
         df = df if stored is not None else base
         slices = min(MAX_SLICES, math.ceil(base.count() / ROWS_PER_SLICE))
-    keys = [*by, *order]
-    cut = _slice_column(base, keys, slices) if slices > 1 else F.lit(0)
+    if slices <= 1:
+        group = group_window(by)
+        along = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            "*",
+            *[F.sum(src).over(along).alias(f"running_{n}") for n, src in sums.items()],
+            *[F.sum(src).over(group).alias(f"whole_{n}") for n, src in sums.items()],
+        )
+    cut = _slice_column(base, [*by, *order], slices)
     base, df = base.withColumn("_slice", cut), df.withColumn("_slice", cut)
 
     inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select("*", *[F.sum(src).over(inside).alias(f"running_{n}") for n, src in sums.items()])
+    rows = df.select("*", *[F.sum(src).over(inside).alias(f"_in_{n}") for n, src in sums.items()])
 
     before = group_window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     parts = base.groupBy(*by, "_slice").agg(*[F.sum(src).alias(f"_p_{n}") for n, src in sums.items()])
@@ -84,17 +92,18 @@ def ordered_prefix(
         *[F.sum(f"_p_{n}").over(group_window(by)).alias(f"whole_{n}") for n in sums],
     )
     joined = attach(rows, offsets, [*by, "_slice"])
-    for n in sums:
-        running, ahead = F.col(f"running_{n}"), F.col(f"_b_{n}")
-        joined = joined.withColumn(f"running_{n}", F.when(ahead.isNull(), running).otherwise(running + ahead))
-    return joined.drop("_slice", *[f"_b_{n}" for n in sums])
+    return joined.select(
+        *df.drop("_slice").columns,
+        *[F.when(F.col(f"_b_{n}").isNull(), F.col(f"_in_{n}")).otherwise(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(f"running_{n}") for n in sums],
+        *[f"whole_{n}" for n in sums],
+    )
 
 
-def ranked(df: DataFrame, by: By, order: list[str], stored: DataFrame | None = None) -> DataFrame:
+def ranked(df: DataFrame, by: By, order: list[str], stored: DataFrame | None = None, bounded: bool = False) -> DataFrame:
     """Add ``rank`` (1..n along ``order``) and ``group_rows`` per ``by`` group."""
     one = F.lit(1).cast("long")
     base = None if stored is None else stored.withColumn("_one", one)
-    out = ordered_prefix(df.withColumn("_one", one), by, order, {"one": "_one"}, base)
+    out = ordered_prefix(df.withColumn("_one", one), by, order, {"one": "_one"}, base, bounded)
     return out.withColumnsRenamed({"running_one": "rank", "whole_one": "group_rows"}).drop("_one")
 
 
@@ -132,11 +141,11 @@ def quantiles_of_counts(
 
 
 def quantiles(df: DataFrame, by: By, value: str, probs: Mapping[str, float], bounded: bool = False) -> DataFrame:
-    """Exact quantiles; ``bounded`` if the value has few distinct values by nature."""
+    """Exact linearly interpolated quantiles of a column."""
     return quantiles_of_counts(value_counts(df, by, value), by, value, probs, bounded)
 
 
-def top_sum(df: DataFrame, by: By, value: str, k: Column) -> DataFrame:
+def top_sum(df: DataFrame, by: By, value: str, k: Column, bounded: bool = False) -> DataFrame:
     """Sum of the ``k`` largest values per group; ``k`` may use ``group_rows``.
 
     Equal values are interchangeable, so distinct values with their counts suffice.
@@ -149,7 +158,7 @@ def top_sum(df: DataFrame, by: By, value: str, k: Column) -> DataFrame:
         (-F.col(value)).alias("_down"),
         (F.col(value) * F.col("copies")).alias("_mass"),
     )
-    prefix = ordered_prefix(counts, by, ["_down"], {"copies": "copies", "mass": "_mass"})
+    prefix = ordered_prefix(counts, by, ["_down"], {"copies": "copies", "mass": "_mass"}, bounded=bounded)
     prefix = prefix.withColumnsRenamed({"whole_copies": "group_rows", "whole_mass": "group_total"})
     above = F.col("running_copies") - F.col("copies")
     prefix = prefix.withColumn("top_k", k.cast("long"))

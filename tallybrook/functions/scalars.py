@@ -40,8 +40,27 @@ def cents(c: Column | str) -> Column:
     return F.bround(num(c), 2) + F.lit(0.0)
 
 
+def fixed(c: Column | str, digits: int) -> Column:
+    """Text with ``digits`` places, rounding the exact binary value half to even.
+
+    ``format_string`` rounds the shortest decimal form half up instead, which differs
+    for values such as 43.05.  The value is split into two parts whose products with
+    the power of ten are exact, so that ties are recognised exactly.
+    """
+    value = num(c)
+    size, scale = F.abs(value), F.lit(float(10**digits))
+    grid = F.lit(float(2**20))
+    high = F.floor(size * grid).cast("double") / grid
+    low_part, high_part = (size - high) * scale, high * scale
+    whole = F.floor(high_part).cast("double")
+    over = high_part - whole - 0.5
+    up = (over > -low_part) | ((over == -low_part) & (whole % 2 == 1))
+    text = F.format_string(f"%.{digits}f", (whole + up.cast("double")) / scale)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def percent(c: Column | str, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", num(c) * 100)
+    return F.concat(fixed(num(c) * 100, digits), F.lit("%"))
 
 
 def month_label(c: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import cached_property
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.functions.frames import attach
+from tallybrook.functions.ordering import ROWS_PER_SLICE
 from tallybrook.functions.scalars import MONEY
 
 
@@ -28,6 +30,7 @@ class Ledger:
         self.lines = lines
         self.by = list(by)
         self.ref_date = ref_date
+        self.small = False
         self._kept: list[DataFrame] = []
 
     @staticmethod
@@ -87,7 +90,13 @@ class Ledger:
         return self.product_key
 
     def keep(self) -> Ledger:
-        """Roll the views up once and persist them for operators that follow."""
+        """Roll the views up once and persist them for operators that follow.
+
+        Their row counts bound every group, rank and histogram derived from them.
+        If they fit into one slice, ``small`` lets operators skip their own size checks.
+        """
+        if self._kept:
+            return self
         measures = ["amount", "discount", "gross", "lines", "discounted_lines"]
         self.sales = self._persist(
             self.sales.groupBy(*self.by, "order_id", "customer_id", "day").agg(
@@ -103,6 +112,9 @@ class Ledger:
                 )
             )
             self.baskets = self._persist(self.baskets.distinct())
+        with ThreadPoolExecutor(max_workers=3) as pool:
+            rows = list(pool.map(DataFrame.count, self._kept))
+        self.small = max(rows) <= ROWS_PER_SLICE
         return self
 
     def _persist(self, df: DataFrame) -> DataFrame:

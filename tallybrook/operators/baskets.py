@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, match
+from tallybrook.functions.frames import attach, durable, match
 from tallybrook.functions.scalars import num
 from tallybrook.ledger import Ledger
 
@@ -29,17 +29,17 @@ def cross_sell_pairs(orders, by=(), min_support: float = 0.01, large_basket: int
     items = lines.filter(F.col("product").isNotNull())
 
     counted = items.groupBy(*by, "product").agg(F.count(F.lit(1)).alias("product_orders"))
-    frequent = attach(counted, limits, by).filter(F.col("product_orders") >= F.col("needed"))
-    kept = match(items, frequent.select(*by, "product"), [*by, "product"], "left_semi")
+    frequent = durable(attach(counted, limits, by).filter(F.col("product_orders") >= F.col("needed")))
+    kept = durable(match(items, frequent.select(*by, "product"), [*by, "product"], "left_semi"))
 
     pairs = _count_pairs(kept, limits, by, large_basket)
-    pairs = attach(pairs, limits, by).filter(F.col("count") >= F.col("needed"))
     for side in ("a", "b"):
-        one = frequent.select(*by, F.col("product").alias(f"product_{side}"), F.col("product_orders").alias(f"_n_{side}"))
+        facts = ["n_orders", "needed"] if side == "a" else []
+        one = frequent.select(*by, F.col("product").alias(f"product_{side}"), F.col("product_orders").alias(f"_n_{side}"), *facts)
         pairs = match(pairs, one, [*by, f"product_{side}"])
     n = num("n_orders")
     support = num("count") / n
-    return pairs.select(
+    return pairs.filter(F.col("count") >= F.col("needed")).select(
         *by,
         "product_a",
         "product_b",
@@ -54,20 +54,27 @@ def _count_pairs(kept: DataFrame, limits: DataFrame, by: list[str], large_basket
     basket = [*by, "order_id"]
     sizes = kept.groupBy(*basket).agg(F.count(F.lit(1)).alias("_size"))
     large = sizes.filter(F.col("_size") > large_basket).select(*basket)
-    small = match(kept, large, basket, "left_anti")
+    if large.isEmpty():
+        return _pairs_of_small(kept, by)
     pair = [*by, "product_a", "product_b"]
-    from_small = (
-        small.groupBy(*basket)
+    from_small = _pairs_of_small(match(kept, large, basket, "left_anti"), by)
+    big = match(kept, large, basket, "left_semi")
+    in_big = attach(big.groupBy(*by, "product").agg(F.count(F.lit(1)).alias("_in_big")), limits, by)
+    from_big = _common_pairs(big, in_big, by, large_basket).unionByName(_rare_pairs(big, in_big, from_small, by))
+    return from_small.unionByName(from_big).groupBy(*pair).agg(F.sum("count").alias("count"))
+
+
+def _pairs_of_small(small: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs within baskets of bounded size, unfolded from one sorted array per basket."""
+    return (
+        small.groupBy(*by, "order_id")
         .agg(F.sort_array(F.collect_list("product")).alias("p"))
+        .filter(F.size("p") > 1)
         .select(*by, F.posexplode("p").alias("i", "product_a"), "p")
         .select(*by, "product_a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("product_b"))
-        .groupBy(*pair)
+        .groupBy(*by, "product_a", "product_b")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    big = match(kept, large, basket, "left_semi")
-    in_big = attach(big.groupBy(*by, "product").agg(F.count(F.lit(1)).alias("_in_big")), limits, by)
-    from_big = _common_pairs(big, in_big, by, large_basket).unionByName(_rare_pairs(big, in_big, from_small, by))
-    return from_small.unionByName(from_big).groupBy(*pair).agg(F.sum("count").alias("count"))
 
 
 def _common_pairs(big: DataFrame, in_big: DataFrame, by: list[str], block_size: int) -> DataFrame:

@@ -119,7 +119,7 @@ def free_shipping_threshold(orders, by=()) -> DataFrame:
     """
     led = Ledger.of(orders, by)
     counts = order_totals(led).groupBy(*led.by, "order_total").agg(F.count(F.lit(1)).alias("copies"))
-    middle = quantiles_of_counts(counts, led.by, "order_total", {"median_order": 0.5})
+    middle = quantiles_of_counts(counts, led.by, "order_total", {"median_order": 0.5}, led.small)
     suggested = F.bround(F.col("median_order") * THRESHOLD_FACTOR, -2)
     limits = middle.select(*led.by, "median_order", suggested.alias("t"))
     value, copies = num("order_total"), F.col("copies")
@@ -170,7 +170,7 @@ def order_alerts(orders, by=(), ref_date=None, days: int = 30, single: float = 0
     whole = recent.groupBy(*led.by).agg(total("amount").alias("_all"))
     over = attach(totals, whole, led.by).filter(F.col("order_total") > F.col("_all") * F.lit(single).cast("decimal(4,2)"))
     flagged = over.groupBy(*led.by).agg(F.count(F.lit(1)).alias("orders_over_limit"))
-    best = top_sum(totals, led.by, "order_total", F.least(F.lit(3), F.col("group_rows")))
+    best = top_sum(totals, led.by, "order_total", F.least(F.lit(3), F.col("group_rows")), led.small)
     joined = attach(attach(whole, best, led.by), flagged, led.by)
     share = F.try_divide(num("top_total"), num("_all"))
     return joined.select(

@@ -29,7 +29,7 @@ def abc_classes(orders, by=(), metric: str = "revenue") -> DataFrame:
     led = Ledger.of(orders, by)
     source = F.col("amount") if metric == "revenue" else F.col("lines").cast(MONEY)
     values = product_totals(led).select(*led.by, "product", source.alias("value"), (-source).alias("_down"))
-    prefix = ordered_prefix(values, led.by, ["_down", "product"], {"value": "value"})
+    prefix = ordered_prefix(values, led.by, ["_down", "product"], {"value": "value"}, bounded=led.small)
     cumulative = F.try_divide(num("running_value"), num("whole_value"))
     a, b = ABC_LIMITS
     # The limits are compared at 12 places, as the shares are quotients of exact sums.
@@ -51,7 +51,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
     """
     led = Ledger.of(orders, by)
     k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(fraction)))
-    top = top_sum(product_totals(led), led.by, "amount", k)
+    top = top_sum(product_totals(led), led.by, "amount", k, led.small)
     return top.filter(F.col("group_total") > 0).select(
         *led.by,
         F.col("group_rows").alias("products"),
@@ -64,7 +64,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
 def top_n_share(orders, by=(), n: int = 5) -> DataFrame:
     """Share of the ``n`` best-selling products in product revenue."""
     led = Ledger.of(orders, by)
-    top = top_sum(product_totals(led), led.by, "amount", F.least(F.lit(n), F.col("group_rows")))
+    top = top_sum(product_totals(led), led.by, "amount", F.least(F.lit(n), F.col("group_rows")), led.small)
     return top.select(
         *led.by,
         F.col("top_k").alias("top_n"),
@@ -100,7 +100,7 @@ def product_kpis(orders, products: DataFrame, by=()) -> DataFrame:
     k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(0.2)))
     whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
     if led.product_key:
-        top = top_sum(product_totals(led), led.by, "amount", k).select(*led.by, "top_total")
+        top = top_sum(product_totals(led), led.by, "amount", k, led.small).select(*led.by, "top_total")
         whole = attach(whole, top, led.by)
     else:
         whole = whole.withColumn("top_total", F.lit(0).cast(MONEY))
@@ -189,7 +189,7 @@ def price_tiers(orders, by=()) -> DataFrame:
     )
     thirds = {"t1": 1 / 3, "t2": 2 / 3}
     probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0, **thirds}
-    edges = quantiles(means, led.by, "price", probs)
+    edges = quantiles(means, led.by, "price", probs, led.small)
 
     def bins(*names: str) -> Column:
         return F.size(F.array_distinct(F.array(*[F.round(c, 9) for c in names]))) - 1

@@ -128,7 +128,7 @@ def top_customer_share(orders, by=(), fraction: float = 0.1) -> DataFrame:
     """Share of all revenue (guests included) from the top ``fraction`` of customers."""
     led = Ledger.of(orders, by)
     k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(fraction)))
-    top = top_sum(customer_revenue(led), led.by, "revenue", k)
+    top = top_sum(customer_revenue(led), led.by, "revenue", k, led.small)
     whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
     return attach(whole, top, led.by).select(
         *led.by,

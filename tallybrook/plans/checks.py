@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, durable
-from tallybrook.functions.scalars import num, percent, total
+from tallybrook.functions.frames import durable, gather, side_by_side
+from tallybrook.functions.scalars import fixed, percent
 from tallybrook.ledger import Ledger
 from tallybrook.operators import baskets, customers, pricing, products, revenue
 from tallybrook.plans import rules
@@ -18,234 +20,239 @@ def kpi_row(orders, by=(), pair_support: float = rules.PAIR_SUPPORT) -> DataFram
     """All whole-history KPIs the checks need, one row per store."""
     led = Ledger.of(orders, by)
     by = led.by
-    wide = led.sales.groupBy(*by).agg(num(total("amount")).alias("total_revenue"))
+    def segments() -> DataFrame:
+        label = F.col("segment")
+        return customers.rfm_segments(led).groupBy(*by).agg(
+            F.avg(label.isin(customers.CHAMPIONS, customers.LOYAL).cast("double")).alias("champions_loyal"),
+            F.avg((label == customers.AT_RISK).cast("double")).alias("at_risk"),
+            F.avg((label == customers.LOST).cast("double")).alias("lost"),
+        )
 
-    def add(part: DataFrame, *columns: str, **renamed: str) -> None:
-        nonlocal wide
-        picked = [F.col(c) for c in columns] + [F.col(c).alias(n) for n, c in renamed.items()]
-        wide = attach(wide, part.select(*by, *picked), by)
+    def lifted() -> DataFrame:
+        pairs = baskets.cross_sell_pairs(led, min_support=pair_support)
+        return pairs.groupBy(*by).agg(F.count_if(F.col("lift") > rules.PAIR_LIFT).alias("lifted_pairs"))
 
-    add(revenue.latest_months(led), "partial_last_month", "last_month", "last_month_days",
-        "mom_growth_latest", "aov_change", "order_count_change")
-    add(revenue.repeat_revenue_share(led), "repeat_revenue_share")
-    add(revenue.top_customer_share(led), top_customer_share="top_share")
-    add(revenue.daily_revenue_cv(led), "daily_revenue_cv")
-    add(pricing.large_order_share(led), "largest_order_share")
-    add(pricing.free_shipping_threshold(led), "suggested_threshold", "current_aov", "potential_aov_lift")
-    add(pricing.discount_dependency(led), "avg_discount_rate", "discounted_line_ratio", "discount_rate_trend")
-    add(customers.repeat_purchase_rate(led), "customers", "repeat_purchase_rate")
-    add(customers.purchase_interval(led), "avg_purchase_interval_days")
-    segments = customers.rfm_segments(led).groupBy(*by)
-    add(
-        segments.agg(
-            F.avg(F.col("segment").isin(customers.CHAMPIONS, customers.LOYAL).cast("double")).alias("champions_loyal"),
-            F.avg((F.col("segment") == customers.AT_RISK).cast("double")).alias("at_risk"),
-            F.avg((F.col("segment") == customers.LOST).cast("double")).alias("lost"),
-        ),
-        "champions_loyal", "at_risk", "lost",
-    )
-    if led.has("cost"):
-        add(pricing.margin_summary(led), "overall_margin", "negative_categories")
+    def part(operator: Callable, *columns: str, **renamed: str) -> Callable[[], DataFrame]:
+        return lambda: operator(led).select(*by, *columns, *[F.col(c).alias(n) for n, c in renamed.items()])
+
+    tasks = [segments]
     if led.product_key:
-        add(products.top_product_share(led), top_product_share="top_share")
-        add(products.converting_rate(led), "products", "converting", "converting_rate")
-        add(products.multi_item_rate(led), "multi_item_rate")
-        add(products.stage_shares(led), "decline_share")
-        add(products.price_tiers(led), "price_tiers")
-        pairs = baskets.cross_sell_pairs(led, min_support=pair_support)
-        add(pairs.groupBy(*by).agg(F.count_if(F.col("lift") > rules.PAIR_LIFT).alias("lifted_pairs")), "lifted_pairs")
-    return wide
+        tasks += [
+            lifted,
+            part(products.price_tiers, "price_tiers"),
+            part(products.top_product_share, top_product_share="top_share"),
+            part(products.stage_shares, "decline_share"),
+            part(products.converting_rate, "products", "converting", "converting_rate"),
+            part(products.multi_item_rate, "multi_item_rate"),
+        ]
+    tasks += [
+        part(pricing.free_shipping_threshold, "suggested_threshold", "current_aov", "potential_aov_lift"),
+        part(revenue.top_customer_share, top_customer_share="top_share"),
+        part(pricing.discount_dependency, "avg_discount_rate", "discounted_line_ratio", "discount_rate_trend"),
+        part(revenue.latest_months, "partial_last_month", "mom_growth_latest", "aov_change", "order_count_change"),
+        part(revenue.repeat_revenue_share, "total_revenue", "repeat_revenue_share"),
+        part(revenue.daily_revenue_cv, "daily_revenue_cv"),
+        part(pricing.large_order_share, "largest_order_share"),
+        part(customers.repeat_purchase_rate, "customers", "repeat_purchase_rate"),
+        part(customers.purchase_interval, "avg_purchase_interval_days"),
+    ]
+    if led.has("cost"):
+        tasks.append(part(pricing.margin_summary, "negative_categories"))
+    return gather(side_by_side(tasks), by)
 
 
 @dataclass
 class _Entry:
-    value: Column
-    message: Column
-    present: Column | bool = True
+    """What a check shows: ``style`` tells how its value is written in the message."""
+
+    value: Column | None
+    label: str
+    style: str = "percent"
+    text: Column | None = None
+    suffix: Column | None = None
+    present: Column | None = None
     na_message: Column | None = None
     grade: Column | None = None
-    text: Column | None = None
 
 
 def _entries(led: Ledger) -> dict[str, _Entry]:
     c = F.col
-    suffix = F.when(c("partial_last_month"), " (partial month excluded)").otherwise("")
-
-    def labelled(label: str, shown: Column, *more: Column | str) -> Column:
-        return F.concat(F.lit(label + ": "), shown, *[F.lit(m) if isinstance(m, str) else m for m in more])
-
-    def missing(when: Column, message: str) -> Column:
-        return F.when(when, message)
-
+    partial = F.when(c("partial_last_month"), " (partial month excluded)")
     no_revenue = c("total_revenue") == 0
-    odd = (c("repeat_revenue_share") == 0) & (c("repeat_purchase_rate") > rules.CONTRADICTING_REPEAT_RATE)
-    share = labelled("Repeat customer revenue share", percent("repeat_revenue_share"))
-    doubt = F.concat(share, F.lit(" (data quality issue: repeat purchase rate="), percent("repeat_purchase_rate"), F.lit(")"))
+    repeat, interval = F.coalesce("repeat_purchase_rate", F.lit(0.0)), c("avg_purchase_interval_days")
+    odd = (c("repeat_revenue_share") == 0) & (repeat > rules.CONTRADICTING_REPEAT_RATE)
+    doubt = F.concat(F.lit(" (data quality issue: repeat purchase rate="), percent(repeat), F.lit(")"))
     no_threshold = F.coalesce((c("suggested_threshold") == 0) | (c("current_aov") == 0), F.lit(True))
     known = c("customers") > 0
 
     out = {
         "monthly_revenue_trend": _Entry(
             c("mom_growth_latest"),
-            labelled("MoM revenue growth", percent("mom_growth_latest"), suffix),
-            na_message=missing(c("mom_growth_latest").isNull(), "Insufficient data for MoM growth (<2 months)"),
-        ),
-        "aov_trend": _Entry(
-            c("aov_change"), labelled("AOV MoM change", percent("aov_change"), suffix), c("aov_change").isNotNull()
+            "MoM revenue growth",
+            suffix=partial,
+            na_message=F.when(c("mom_growth_latest").isNull(), "Insufficient data for MoM growth (<2 months)"),
         ),
+        "aov_trend": _Entry(c("aov_change"), "AOV MoM change", suffix=partial, present=c("aov_change").isNotNull()),
         "order_count_trend": _Entry(
-            c("order_count_change"),
-            labelled("MoM order count change", percent("order_count_change"), suffix),
-            c("order_count_change").isNotNull(),
+            c("order_count_change"), "MoM order count change", suffix=partial, present=c("order_count_change").isNotNull()
         ),
         "repeat_customer_revenue_share": _Entry(
-            c("repeat_revenue_share"), F.when(odd, doubt).otherwise(share), grade=F.when(odd, "watch")
+            c("repeat_revenue_share"), "Repeat customer revenue share", suffix=F.when(odd, doubt), grade=F.when(odd, "watch")
         ),
         "revenue_concentration_top10": _Entry(
             c("top_customer_share"),
-            labelled("Top 10% customer revenue share", percent("top_customer_share")),
-            na_message=missing(no_revenue, "No revenue data for concentration analysis"),
+            "Top 10% customer revenue share",
+            na_message=F.when(no_revenue, "No revenue data for concentration analysis"),
         ),
         "avg_discount_rate_trend": _Entry(
             c("avg_discount_rate"),
-            labelled("Average discount rate", percent("avg_discount_rate")),
+            "Average discount rate",
             na_message=None if led.has("discount") else F.lit("No discount data available"),
         ),
         "daily_revenue_volatility": _Entry(
             c("daily_revenue_cv"),
-            labelled("Daily revenue coefficient of variation", F.format_string("%.2f", "daily_revenue_cv")),
+            "Daily revenue coefficient of variation",
+            "two places",
             na_message=F.when(c("daily_revenue_cv").isNull(), "Insufficient daily data for CV calculation").when(
                 no_revenue, "No revenue data for CV calculation"
             ),
         ),
         "large_order_dependency": _Entry(
-            c("largest_order_share"),
-            labelled("Largest order share of revenue", percent("largest_order_share")),
-            c("total_revenue") > 0,
+            c("largest_order_share"), "Largest order share of revenue", present=c("total_revenue") > 0
         ),
         "free_shipping_threshold_effectiveness": _Entry(
             c("potential_aov_lift"),
-            labelled(
-                "Free-shipping threshold AOV lift potential",
-                percent("potential_aov_lift"),
-                F.format_string(" (suggested: %,.0f)", "suggested_threshold"),
-            ),
-            na_message=missing(no_threshold, "Insufficient order data for free-shipping threshold analysis"),
-        ),
-        "repeat_purchase_rate": _Entry(
-            F.coalesce("repeat_purchase_rate", F.lit(0.0)),
-            labelled("Repeat purchase rate", percent(F.coalesce("repeat_purchase_rate", F.lit(0.0)))),
+            "Free-shipping threshold AOV lift potential",
+            suffix=F.format_string(" (suggested: %,.0f)", "suggested_threshold"),
+            na_message=F.when(no_threshold, "Insufficient order data for free-shipping threshold analysis"),
         ),
+        "repeat_purchase_rate": _Entry(repeat, "Repeat purchase rate"),
         "days_to_second_purchase": _Entry(
-            c("avg_purchase_interval_days"),
-            labelled("Avg days to 2nd purchase", F.format_string("%.0f", "avg_purchase_interval_days")),
-            na_message=missing(
-                c("avg_purchase_interval_days").isNull(), "Insufficient data for purchase interval calculation"
-            ),
-        ),
-        "champions_loyal_share": _Entry(
-            c("champions_loyal"), labelled("Champions + Loyal segment share", percent("champions_loyal")), known
+            interval,
+            "Avg days to 2nd purchase",
+            "whole",
+            na_message=F.when(interval.isNull(), "Insufficient data for purchase interval calculation"),
         ),
-        "at_risk_segment_share": _Entry(c("at_risk"), labelled("At-Risk segment share", percent("at_risk")), known),
-        "lost_segment_share": _Entry(c("lost"), labelled("Lost segment share", percent("lost")), known),
+        "champions_loyal_share": _Entry(c("champions_loyal"), "Champions + Loyal segment share", present=known),
+        "at_risk_segment_share": _Entry(c("at_risk"), "At-Risk segment share", present=known),
+        "lost_segment_share": _Entry(c("lost"), "Lost segment share", present=known),
     }
     if led.has("discount"):
         trend = c("discount_rate_trend")
-        out["discounted_order_ratio"] = _Entry(
-            c("discounted_line_ratio"), labelled("Discounted order ratio", percent("discounted_line_ratio"))
-        )
+        out["discounted_order_ratio"] = _Entry(c("discounted_line_ratio"), "Discounted order ratio")
         out["discount_depth_trend"] = _Entry(
-            F.lit(None).cast("double"),
-            labelled("Discount depth trend", trend),
-            grade=F.when(trend.isin("stable", "decreasing"), "pass").otherwise("watch"),
+            None,
+            "Discount depth trend",
+            "text",
             text=trend,
+            grade=F.when(trend.isin("stable", "decreasing"), "pass").otherwise("watch"),
         )
     if led.has("cost"):
-        negative = c("negative_categories")
-        out["category_margin_variance"] = _Entry(
-            num(negative), labelled("Categories with negative margin", negative.cast("string"))
-        )
+        out["category_margin_variance"] = _Entry(c("negative_categories"), "Categories with negative margin", "whole")
     if led.product_key:
-        out |= _product_entries(labelled)
+        out |= _product_entries()
     return out
 
 
-def _product_entries(labelled) -> dict[str, _Entry]:
+def _product_entries() -> dict[str, _Entry]:
     c = F.col
-    some = F.coalesce(c("products") > 0, F.lit(False))
+    none_sold = F.coalesce(c("products") == 0, F.lit(True))
     top, (low, high) = c("top_product_share"), rules.TOP20_PASS_BAND
-    multi = F.coalesce("multi_item_rate", F.lit(0.0))
-    lifted = F.coalesce("lifted_pairs", F.lit(0))
-    tiers = F.coalesce("price_tiers", F.lit(1))
-    counts = F.format_string(" (%d/%d)", "converting", "products")
     return {
         "top20_revenue_concentration": _Entry(
             top,
-            labelled("Top 20% SKU revenue concentration", percent(top)),
-            top.isNotNull(),
+            "Top 20% SKU revenue concentration",
+            present=top.isNotNull(),
             grade=F.when(top.between(low, high), "pass").when(top <= rules.TOP20_WATCH_TO, "watch").otherwise("fail"),
         ),
         "converting_sku_rate": _Entry(
             c("converting_rate"),
-            labelled("Converting SKU rate", percent("converting_rate"), counts),
-            na_message=F.when(~some, "No SKU/product data available for conversion analysis"),
+            "Converting SKU rate",
+            suffix=F.format_string(" (%d/%d)", "converting", "products"),
+            na_message=F.when(none_sold, "No SKU/product data available for conversion analysis"),
         ),
-        "multi_item_order_rate": _Entry(multi, labelled("Multi-item order rate", percent(multi))),
+        "multi_item_order_rate": _Entry(F.coalesce("multi_item_rate", F.lit(0.0)), "Multi-item order rate"),
         "cross_sell_pair_lift": _Entry(
-            num(lifted), labelled("Cross-sell pairs with lift > 2.0", lifted.cast("string"))
+            F.coalesce("lifted_pairs", F.lit(0)), "Cross-sell pairs with lift > 2.0", "whole"
         ),
         "lifecycle_stage_distribution": _Entry(
-            c("decline_share"),
-            labelled("Decline-stage products", percent("decline_share")),
-            c("decline_share").isNotNull(),
+            c("decline_share"), "Decline-stage products", present=c("decline_share").isNotNull()
         ),
         "price_tier_distribution": _Entry(
-            num(tiers),
-            labelled("Distinct price tiers", tiers.cast("string")),
-            na_message=F.when(~some, "No price data available for tier analysis"),
+            F.coalesce("price_tiers", F.lit(1)),
+            "Distinct price tiers",
+            "whole",
+            na_message=F.when(none_sold, "No price data available for tier analysis"),
         ),
     }
 
 
-def graded(value: Column, op: str, pass_at: float, watch_at: float) -> Column:
-    def meets(limit: float) -> Column:
-        limit = F.lit(float(limit))
-        return {">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit}[op]
+def graded(value: Column, op: Column | str, pass_at: Column | float, watch_at: Column | float) -> Column:
+    """pass / watch / fail of a value; null stays null."""
+    op, pass_at, watch_at = (x if isinstance(x, Column) else F.lit(x) for x in (op, pass_at, watch_at))
 
-    return F.when(value.isNull(), F.lit(None)).when(meets(pass_at), "pass").when(meets(watch_at), "watch").otherwise("fail")
+    def meets(limit: Column) -> Column:
+        ways = {">": value > limit, ">=": value >= limit, "<": value < limit, "<=": value <= limit}
+        return reduce(lambda a, b: a | b, [(op == o) & way for o, way in ways.items()])
+
+    good = F.when(meets(pass_at), "pass").when(meets(watch_at), "watch").otherwise("fail")
+    return F.when(value.isNotNull() & op.isNotNull(), good)
 
 
 def check_rows(kpis: DataFrame, led: Ledger) -> DataFrame:
-    """Graded rows from a KPI row; checks without their input are left out or ``na``."""
-    entries = _entries(led)
-    structs = []
+    """Graded rows from a KPI row; checks without their input are left out or ``na``.
+
+    The row is unfolded first; messages and grades are then one expression for all checks.
+    """
+
+    no_text, no_number, always = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(True)
+    entries, structs, facts = _entries(led), [], []
     for place, (check_id, category, severity, threshold) in enumerate(rules.CHECKS, start=1):
-        entry = entries.get(check_id)
-        if entry is None:
+        e = entries.get(check_id)
+        if e is None:
             continue
-        grade = graded(entry.value, *rules.GRADES[check_id]) if check_id in rules.GRADES else F.lit(None)
-        if entry.grade is not None:
-            grade = F.coalesce(entry.grade, grade)
-        na = entry.na_message if entry.na_message is not None else F.lit(None).cast("string")
-        present = entry.present if isinstance(entry.present, Column) else F.lit(True)
-        textual = isinstance(threshold, str)
+        limit = (None, threshold) if isinstance(threshold, str) else (float(threshold), None)
+        facts.append((place, check_id, category, severity, e.label, e.style, *rules.GRADES.get(check_id, (None,) * 3), *limit))
         structs.append(
             F.struct(
                 F.lit(place).alias("ord"),
-                F.lit(check_id).alias("check_id"),
-                F.lit(category).alias("category"),
-                F.lit(severity).alias("severity"),
-                F.when(na.isNotNull(), "na").otherwise(grade).alias("result"),
-                F.coalesce(na, entry.message).alias("message"),
-                F.when(na.isNull(), entry.value).alias("value"),
-                F.when(na.isNull(), entry.text if entry.text is not None else F.lit(None).cast("string")).alias("value_text"),
-                (F.lit(None) if textual else F.lit(float(threshold))).cast("double").alias("threshold"),
-                (F.lit(threshold) if textual else F.lit(None)).cast("string").alias("threshold_text"),
-                F.coalesce(present, F.lit(False)).alias("present"),
+                (no_number if e.value is None else e.value.cast("double")).alias("number"),
+                (no_text if e.text is None else e.text).alias("text"),
+                (no_text if e.suffix is None else e.suffix).alias("suffix"),
+                (no_text if e.na_message is None else e.na_message).alias("na"),
+                (no_text if e.grade is None else e.grade).alias("grade"),
+                (always if e.present is None else e.present).alias("present"),
             )
         )
-    rows = kpis.select(*led.by, F.inline(F.array(*structs)))
-    return rows.filter("present").drop("present")
+    fixed_facts = (
+        "ord int, check_id string, category string, severity string, label string, style string, "
+        "op string, pass_at double, watch_at double, threshold double, threshold_text string"
+    )
+    table = kpis.sparkSession.createDataFrame(facts, fixed_facts)
+    rows = kpis.select(*led.by, F.inline(F.array(*structs))).filter("present")
+    rows = rows.join(F.broadcast(table), "ord")  # one row per check
+    known = F.col("na").isNull()
+    shown = (
+        F.when(F.col("style") == "percent", percent("number"))
+        .when(F.col("style") == "two places", fixed("number", 2))
+        .when(F.col("style") == "whole", fixed("number", 0))
+        .otherwise(F.col("text"))
+    )
+    message = F.concat("label", F.lit(": "), shown, F.coalesce("suffix", F.lit("")))
+    grade = F.coalesce("grade", graded(F.col("number"), F.col("op"), F.col("pass_at"), F.col("watch_at")))
+    return rows.select(
+        *led.by,
+        "ord",
+        "check_id",
+        "category",
+        "severity",
+        F.when(known, grade).otherwise("na").alias("result"),
+        F.coalesce("na", message).alias("message"),
+        F.when(known, F.col("number")).alias("value"),
+        F.when(known, F.col("text")).alias("value_text"),
+        "threshold",
+        "threshold_text",
+    )
 
 
 def health_checks(orders, by=(), pair_support: float = rules.PAIR_SUPPORT) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, durable
+from tallybrook.functions.frames import attach, durable, gather, side_by_side
 from tallybrook.ledger import Ledger
 from tallybrook.operators import customers, kpis, periods, revenue
 from tallybrook.plans import checks, issues, rules
@@ -19,9 +19,11 @@ VERSION = "0.1.0"
 def data_quality(orders, by=()) -> DataFrame:
     """Warnings: partial last month, short or limited data span."""
     led = Ledger.of(orders, by)
-    facts = attach(
-        periods.data_span(led).select(*led.by, "span_days"),
-        revenue.latest_months(led).select(*led.by, "partial_last_month", "last_month", "last_month_days"),
+    facts = gather(
+        [
+            periods.data_span(led).select(*led.by, "span_days"),
+            revenue.latest_months(led).select(*led.by, "partial_last_month", "last_month", "last_month_days"),
+        ],
         led.by,
     )
     c = F.col
@@ -84,44 +86,57 @@ class Review:
         self.pair_support = pair_support
 
     @cached_property
+    def _sections(self) -> dict[str, DataFrame]:
+        led = self.ledger
+        tasks = {
+            "checks": lambda: checks.health_checks(led, pair_support=self.pair_support),
+            "blocks": lambda: kpis.period_blocks(led),
+            "trend": lambda: kpis.monthly_trend(led),
+            "quality": lambda: data_quality(led),
+            "metadata": lambda: periods.metadata(led),
+            "coverage": lambda: periods.data_coverage(led),
+            "repeat": lambda: customers.repeat_purchase_rate(led),
+            "annual": lambda: periods.annual_revenue(led),
+        }
+        return dict(zip(tasks, side_by_side(list(tasks.values()))))
+
+    @property
     def metadata(self) -> DataFrame:
-        return durable(periods.metadata(self.ledger))
+        return self._sections["metadata"]
 
-    @cached_property
+    @property
     def data_coverage(self) -> DataFrame:
-        return durable(periods.data_coverage(self.ledger))
+        return self._sections["coverage"]
 
-    @cached_property
+    @property
     def data_quality(self) -> DataFrame:
-        return durable(data_quality(self.ledger))
+        return self._sections["quality"]
 
-    def _covered(self, df: DataFrame) -> DataFrame:
-        """Rows of the wanted periods that the data covers."""
+    @property
+    def periods(self) -> DataFrame:
+        """Blocks of the wanted periods that the data covers."""
+        blocks = self._sections["blocks"]
         pick = F.coalesce(*[F.when(F.col("period") == p, F.col(f"covered_{p}")) for p in periods.PERIOD_DAYS])
-        kept = attach(df, self.data_coverage.drop("span_days"), self.by).filter(pick)
+        kept = attach(blocks, self.data_coverage.drop("span_days"), self.by).filter(pick)
         if self.period:
             kept = kept.filter(F.col("period") == self.period)
-        return kept.select(*df.columns)
-
-    @cached_property
-    def periods(self) -> DataFrame:
-        return durable(self._covered(kpis.period_blocks(self.ledger)))
+        return kept.select(*blocks.columns)
 
-    @cached_property
+    @property
     def monthly_trend(self) -> DataFrame:
-        return durable(kpis.monthly_trend(self.ledger))
+        return self._sections["trend"]
 
-    @cached_property
+    @property
     def repeat_purchase_rate(self) -> DataFrame:
-        return durable(customers.repeat_purchase_rate(self.ledger))
+        return self._sections["repeat"]
 
-    @cached_property
+    @property
     def checks(self) -> DataFrame:
-        return checks.health_checks(self.ledger, pair_support=self.pair_support)
+        return self._sections["checks"]
 
-    @cached_property
+    @property
     def annual_revenue(self) -> DataFrame:
-        return durable(periods.annual_revenue(self.ledger))
+        return self._sections["annual"]
 
     @cached_property
     def top_issues(self) -> DataFrame:
@@ -215,9 +230,7 @@ class Review:
         texts = F.transform(F.sort_array(F.collect_list(F.struct("_o", "_j"))), lambda x: x["_j"])
         shown = shown.groupBy(*self.by).agg(F.concat(F.lit("{"), F.concat_ws(",", texts), F.lit("}")).alias("periods"))
 
-        doc = meta
-        for part in (quality, cover, shown, check_list, issue_list, action_list):
-            doc = attach(doc, part, self.by)
+        doc = gather([meta, quality, cover, shown, check_list, issue_list, action_list], self.by)
 
         def section(name: str, column: str, empty: str) -> list[Column]:
             return [F.lit(f',"{name}":'), F.coalesce(column, F.lit(empty))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach
+from tallybrook.functions.frames import gather
 from tallybrook.functions.impact import constant_volume_recovery, discount_recovery, repeat_rate_uplift, repeat_share_shift
 from tallybrook.functions.scalars import num
 from tallybrook.ledger import Ledger
@@ -42,15 +42,20 @@ def _bands(value: Column, high: Column, medium: Column) -> Column:
 def risk_rubric(orders, by=(), ref_date=None, period: str = "365d") -> DataFrame:
     """Six risk factors with their value and severity."""
     led = Ledger.of(orders, by, ref_date)
-    wide = kpis.period_blocks(led).filter(F.col("period") == period).select(
-        *led.by, "returning_customer_revenue_share", "revenue_change", "customers_change"
-    )
-    wide = attach(wide, pricing.discount_dependency(led), led.by)
-    wide = attach(wide, revenue.daily_revenue_cv(led).select(*led.by, "daily_revenue_cv"), led.by)
+    parts = [
+        kpis.period_blocks(led)
+        .filter(F.col("period") == period)
+        .select(*led.by, "returning_customer_revenue_share", "revenue_change", "customers_change"),
+        pricing.discount_dependency(led),
+        revenue.daily_revenue_cv(led).select(*led.by, "daily_revenue_cv"),
+    ]
     if led.product_key:
-        wide = attach(wide, products.top_n_share(led, n=1).select(*led.by, "top_share"), led.by)
-        wide = attach(wide, products.stage_shares(led).select(*led.by, "decline_share"), led.by)
-    else:
+        parts += [
+            products.top_n_share(led, n=1).select(*led.by, "top_share"),
+            products.stage_shares(led).select(*led.by, "decline_share"),
+        ]
+    wide = gather(parts, led.by)
+    if not led.product_key:
         wide = wide.withColumns({c: F.lit(None).cast("double") for c in ("top_share", "decline_share")})
     c = F.col
     declines = F.coalesce((c("revenue_change") < 0).cast("int"), F.lit(0)) + F.coalesce(
@@ -85,15 +90,17 @@ def risk_rubric(orders, by=(), ref_date=None, period: str = "365d") -> DataFrame
 def benchmark_grades(orders, by=()) -> DataFrame:
     """Repeat rate, AOV, discount rate and gross margin graded against each vertical."""
     led = Ledger.of(orders, by)
-    meta = periods.metadata(led).select(*led.by, F.try_divide("total_revenue", num("total_orders")).alias("aov"))
-    wide = attach(meta, customers.repeat_purchase_rate(led).select(*led.by, "repeat_purchase_rate"), led.by)
-    wide = attach(wide, pricing.margin_summary(led).select(*led.by, F.col("overall_margin").alias("gross_margin")), led.by)
-    rate = "avg_discount_rate" if led.has("discount") else None
-    wide = attach(wide, revenue.avg_discount_rate(led).select(*led.by, "avg_discount_rate"), led.by)
+    parts = [
+        periods.metadata(led).select(*led.by, F.try_divide("total_revenue", num("total_orders")).alias("aov")),
+        customers.repeat_purchase_rate(led).select(*led.by, "repeat_purchase_rate"),
+        pricing.margin_summary(led).select(*led.by, F.col("overall_margin").alias("gross_margin")),
+        revenue.avg_discount_rate(led).select(*led.by, "avg_discount_rate"),
+    ]
+    wide = gather(parts, led.by)
     values = {
         "repeat_purchase_rate": F.col("repeat_purchase_rate"),
         "aov": F.col("aov"),
-        "discount_rate": F.col(rate) if rate else F.lit(None).cast("double"),
+        "discount_rate": F.col("avg_discount_rate") if led.has("discount") else F.lit(None).cast("double"),
         "gross_margin": F.col("gross_margin"),
     }
     grades = F.array(
@@ -126,10 +133,14 @@ def impact_models(
     year = kpis.period_summary(led).filter((F.col("period") == "365d") & (F.col("side") == "current"))
     per_customer = customers.orders_per_customer(led).filter(F.col("orders") >= 2)
     loyal = per_customer.groupBy(*led.by).agg(F.avg(num("orders")).alias("orders_per_repeater"))
-    wide = attach(year, loyal, led.by)
-    wide = attach(wide, customers.repeat_purchase_rate(led).select(*led.by, "repeat_purchase_rate"), led.by)
-    wide = attach(wide, revenue.repeat_revenue_share(led).select(*led.by, "repeat_revenue_share"), led.by)
-    wide = attach(wide, pricing.margin_summary(led).select(*led.by, "overall_margin"), led.by)
+    parts = [
+        year.drop("period", "side", "label", "period_start", "period_end"),
+        loyal,
+        customers.repeat_purchase_rate(led).select(*led.by, "repeat_purchase_rate"),
+        revenue.repeat_revenue_share(led).select(*led.by, "repeat_revenue_share"),
+        pricing.margin_summary(led).select(*led.by, "overall_margin"),
+    ]
+    wide = gather(parts, led.by)
     list_price = F.try_divide(num("aov"), 1 - F.col("avg_discount_rate"))
     unit_cost = num("aov") * (1 - F.coalesce("overall_margin", F.lit(1.0)))
     shift = repeat_share_shift(

@@ -81,17 +81,19 @@ EXPECTED_TYPES = {
 TYPE_BONUS = 0.2
 LEAST_SCORE = 0.5
 
-# Date patterns tried in turn after ISO forms; month comes before day.
-DATE_PATTERNS = [
-    "yyyy-MM-dd HH:mm:ss Z",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy",
-    "d/M/yyyy H:mm",
-    "d/M/yyyy",
-    "yyyy/M/d H:mm:ss",
-    "yyyy/M/d",
-    "MMM d, yyyy",
-    "d MMM yyyy",
-    "yyyyMMdd",
+# Shape of a date text and its pattern, tried in turn; month comes before day.
+DATE_FORMS = [
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "yyyy-M-d HH:mm:ss Z"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/yyyy H:mm"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
 ]
+# Fixed value: shape of ISO date and timestamp texts.
+ISO_FORM = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}(:\d{1,2}(:\d{1,2}([.]\d+)?)?)?([zZ]|\s?[+-]\d{1,2}(:?\d{2})?)?)?)?$"

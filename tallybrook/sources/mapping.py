@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tallybrook.sources.headers import (
     ALIASES,
-    DATE_PATTERNS,
+    DATE_FORMS,
     EXPECTED_TYPES,
+    ISO_FORM,
     LEAST_SCORE,
     REQUIRED,
     TYPE_BONUS,
@@ -20,10 +21,15 @@ from tallybrook.sources.headers import (
 
 
 def parse_timestamp(c: Column) -> Column:
-    """Timestamp from mixed date texts, null where no pattern fits."""
+    """Timestamp from mixed date texts, null where no pattern fits.
+
+    A text is only parsed with the pattern whose shape it has: failed parses are slow.
+    """
     text = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(p)) for p in DATE_PATTERNS]
-    return F.coalesce(*tries)
+    out = F.when(text.rlike(DATE_FORMS[0][0]), F.try_to_timestamp(text, F.lit(DATE_FORMS[0][1])))
+    for shape, pattern in DATE_FORMS[1:]:
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return out.when(text.rlike(ISO_FORM), F.try_to_timestamp(text))
 
 
 def alias_map(columns: list[str]) -> dict[str, str]:
@@ -58,7 +64,7 @@ def column_profile(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
         aggs += [
             F.count(c).alias(f"filled_{i}"),
             F.count_if(number).alias(f"number_{i}"),
-            F.count(parse_timestamp(c)).alias(f"date_{i}"),
+            F.count(F.when(~number, parse_timestamp(c))).alias(f"date_{i}"),
             F.approx_count_distinct(c).alias(f"distinct_{i}"),
         ]
     wide = rows.agg(*aggs)
@@ -102,6 +108,13 @@ def fuzzy_scores(columns: list[str], types: dict[str, str], canonical: str) -> d
     return scores
 
 
+def undecided(columns: list[str]) -> list[str]:
+    """Columns whose value type can decide a mapping, because their name alone comes close."""
+    free = [c for c in columns if c not in ALIASES]
+    wanted = [name for name in EXPECTED_TYPES if name not in columns]
+    return [c for c in free if any(fuzzy_scores([c], {}, w)[c] >= LEAST_SCORE - TYPE_BONUS for w in wanted)]
+
+
 def fuzzy_map(columns: list[str], types: dict[str, str]) -> dict[str, tuple[str, float]]:
     """Source column → (canonical name, score) for canonical names still missing.
 
@@ -127,7 +140,9 @@ def map_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Canonical names by alias, and by similarity if required columns are still missing."""
     df = rename(df, alias_map(df.columns))
     if REQUIRED["orders"] - set(df.columns):
-        guessed = fuzzy_map(df.columns, inferred_types(df, sample_rows))
+        close = undecided(df.columns)
+        types = inferred_types(df.select(*[F.col(f"`{c}`") for c in close]), sample_rows) if close else {}
+        guessed = fuzzy_map(df.columns, types)
         df = rename(df, {c: name for c, (name, _) in guessed.items()})
     return df
 

@@ -130,7 +130,7 @@ def odd_export(spark: SparkSession, folder: str) -> DataFrame:
     """An export whose headers match no alias and need the similarity mapping."""
     orders = table(spark, folder, "orders")
     return orders.select(
-        F.concat(F.lit("N"), "o_orderkey").alias("Order Identifier Number"),
+        F.concat(F.lit("N"), "o_orderkey").alias("Order Id Number"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_day_date"),
         F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("amount"),
         F.concat(F.lit("U"), "o_custkey").alias("customer id"),
