@@ -97,14 +97,7 @@ class Ledger:
         """
         if self._kept:
             return self
-        measures = ["amount", "discount", "gross", "lines", "discounted_lines"]
-        self.sales = self._persist(
-            self.sales.groupBy(*self.by, "order_id", "customer_id", "day").agg(
-                F.min("first_ts").alias("first_ts"),
-                F.max("last_ts").alias("last_ts"),
-                *[F.sum(c).alias(c) for c in measures],
-            )
-        )
+        self.sales = self._persist(self.order_days(self.sales))
         if self.product_key:
             self.items = self._persist(
                 self.items.groupBy(*self.by, "product", "month").agg(
@@ -127,20 +120,46 @@ class Ledger:
             df.unpersist()
         self._kept.clear()
 
+    def order_days(self, sales: DataFrame) -> DataFrame:
+        """``sales`` with one row per order, customer and day, unless they are already rolled up.
+
+        Lines of an order usually lie together, so most of them collapse before the
+        shuffle, and whatever follows (joins, windows, distinct counts) is smaller.
+        """
+        if self._kept:
+            return sales
+        measures = ["amount", "discount", "gross", "lines", "discounted_lines"]
+        return sales.groupBy(*self.by, "order_id", "customer_id", "day").agg(
+            F.min("first_ts").alias("first_ts"),
+            F.max("last_ts").alias("last_ts"),
+            *[F.sum(c).alias(c) for c in measures],
+        )
+
+    @cached_property
+    def newest_day(self) -> date | None:
+        """The reference date if one serves all stores: given, or the newest order day.
+
+        The latter is one value fetched by one aggregate; as a literal it bounds later
+        scans without being computed again in each of them.
+        """
+        if self.ref_date or self.by:
+            return self.ref_date
+        return self.sales.agg(F.max("day").alias("ref")).first()["ref"]
+
     @cached_property
     def reference(self) -> DataFrame:
         """One row per store with its reference date ``ref``."""
-        if not self.ref_date:
+        if self.by and not self.ref_date:
             return self.sales.groupBy(*self.by).agg(F.max("day").alias("ref"))
-        given = F.lit(self.ref_date).cast("date").alias("ref")
+        day = F.lit(self.newest_day).cast("date").alias("ref")
         if not self.by:
-            return self.lines.sparkSession.range(1).select(given)
-        return self.sales.select(*self.by).distinct().select(*self.by, given)
+            return self.lines.sparkSession.range(1).select(day)
+        return self.sales.select(*self.by).distinct().select(*self.by, day)
 
     def with_reference(self, df: DataFrame) -> DataFrame:
-        if self.ref_date:
-            return df.withColumn("ref", F.lit(self.ref_date).cast("date"))
-        return attach(df, self.reference, self.by)
+        if self.by and not self.ref_date:
+            return attach(df, self.reference, self.by)
+        return df.withColumn("ref", F.lit(self.newest_day).cast("date"))
 
     @cached_property
     def first_days(self) -> DataFrame:
@@ -161,21 +180,14 @@ class Ledger:
         return df.join(first, cond, "left").drop(*[f"_f_{k}" for k in keys])
 
     def recent(self, oldest: int) -> DataFrame:
-        """Sales from ``oldest`` days before the reference date up to it, with ``ref``.
+        """Order days from ``oldest`` days before the reference date up to it, with ``ref``.
 
-        With one reference date the bounds are literals or scalar subqueries on the
-        raw timestamp, so they reach the scan; per-store dates filter after the join.
+        One reference date gives literal bounds on the raw timestamp, which reach the
+        scan; per-store dates filter after the join.
         """
         if self.by and not self.ref_date:
-            df = attach(self.sales, self.reference, self.by)
+            df = self.with_reference(self.order_days(self.sales))
             return df.filter(F.col("day").between(F.date_sub("ref", oldest), F.col("ref")))
-        if self.ref_date:
-            ref = F.lit(self.ref_date)
-            low, high = F.date_sub(ref, oldest), F.date_add(ref, 1)
-        else:
-            kind = self.sales.schema["first_ts"].dataType
-            ref = self.reference.scalar()
-            low = self.reference.select(F.date_sub("ref", oldest).cast(kind)).scalar()
-            high = self.reference.select(F.date_add("ref", 1).cast(kind)).scalar()
-        inside = (F.col("first_ts") >= low) & (F.col("first_ts") < high)
-        return self.sales.filter(inside).withColumn("ref", ref.cast("date"))
+        ref = F.lit(self.newest_day).cast("date")
+        inside = (F.col("first_ts") >= F.date_sub(ref, oldest)) & (F.col("first_ts") < F.date_add(ref, 1))
+        return self.order_days(self.sales.filter(inside)).withColumn("ref", ref)

@@ -73,7 +73,7 @@ def month_slices(orders, by=(), ref_date=None, days: int = 365) -> DataFrame:
 def metadata(orders, by=()) -> DataFrame:
     """Data range, distinct orders and customers, total revenue."""
     led = Ledger.of(orders, by)
-    return led.sales.groupBy(*led.by).agg(
+    return led.order_days(led.sales).groupBy(*led.by).agg(
         F.min("day").alias("data_start"),
         F.max("day").alias("data_end"),
         F.countDistinct("order_id").alias("total_orders"),

@@ -15,7 +15,8 @@ def monthly_revenue(orders, by=()) -> DataFrame:
     """by, month, revenue, orders, aov, days_with_data, days_in_month."""
     led = Ledger.of(orders, by)
     months = (
-        led.sales.withColumn("month_start", F.trunc("day", "month"))
+        led.order_days(led.sales)
+        .withColumn("month_start", F.trunc("day", "month"))
         .groupBy(*led.by, "month_start")
         .agg(
             total("amount").alias("_rev"),

@@ -77,7 +77,7 @@ def _dates(df: DataFrame, on_bad_date: str) -> DataFrame:
     raw = F.col("order_date")
     parsed = parse_timestamp(raw)
     if on_bad_date == "quarantine":
-        return df.withColumn("order_date", parsed).filter(parsed.isNotNull() | raw.isNull())
+        return df.filter(parsed.isNotNull() | raw.isNull()).withColumn("order_date", parsed)
     if on_bad_date != "fail":
         raise ValueError("on_bad_date is 'fail' or 'quarantine'")
     bad = F.raise_error(F.concat(F.lit("cannot read order date: "), raw.cast("string"))).cast("timestamp")

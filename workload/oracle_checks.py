@@ -181,6 +181,12 @@ def check_parts(min_support: float, bare: bool) -> list[str]:
         ("lifecycle_stage_distribution", "decline", lower("decline", 0.3, 0.5), f"'Decline-stage products: ' || {pct('decline')}"),
         ("price_tier_distribution", "price_tiers", higher("price_tiers", 3, 2), "'Distinct price tiers: ' || CAST(price_tiers AS VARCHAR)"),
     ]
+    # Checks whose value may be missing are graded na then, with their own message.
+    missing = {
+        "monthly_revenue_trend": "Insufficient data for MoM growth (<2 months)",
+        "daily_revenue_volatility": "Insufficient daily data for CV calculation",
+        "days_to_second_purchase": "Insufficient data for purchase interval calculation",
+    }
     selects = []
     for place, ((check_id, category, severity, limit), (name, value, result, message)) in enumerate(zip(rules.CHECKS, rows), start=1):
         assert check_id == name
@@ -188,6 +194,9 @@ def check_parts(min_support: float, bare: bool) -> list[str]:
             continue
         if bare and check_id == "avg_discount_rate_trend":
             value, result, message = "CAST(NULL AS DOUBLE)", "'na'", "'No discount data available'"
+        if check_id in missing:
+            result = f"CASE WHEN {value} IS NULL THEN 'na' ELSE {result} END"
+            message = f"coalesce({message}, '{missing[check_id]}')"
         textual = value is None
         selects.append(
             f"""SELECT store_id, CAST({place} AS BIGINT) AS ord, '{check_id}' AS check_id, '{category}' AS category,

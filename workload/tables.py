@@ -29,7 +29,7 @@ def order_lines(
     """
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    price, rate = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
+    price, rate = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(3,2)")
     amount = (price * (1 - rate)).cast(MONEY)
     if returns:
         amount = F.when(F.col("l_returnflag") == "R", -amount).otherwise(amount)
