@@ -40,6 +40,11 @@ class Ledger:
     def has(self, column: str) -> bool:
         return column in self.lines.columns
 
+    @property
+    def kept(self) -> bool:
+        """Whether the views are shared rollups by now."""
+        return bool(self._kept)
+
     @property
     def product_key(self) -> str | None:
         return next((c for c in ("sku", "product_name") if self.has(c)), None)
@@ -95,9 +100,10 @@ class Ledger:
         Their row counts bound every group, rank and histogram derived from them.
         If they fit into one slice, ``small`` lets operators skip their own size checks.
         """
-        if self._kept:
+        if self.kept:
             return self
-        self.sales = self._persist(self.order_days(self.sales))
+        rollup = self.order_days(self.sales)
+        self.sales = self._persist(rollup)
         if self.product_key:
             self.items = self._persist(
                 self.items.groupBy(*self.by, "product", "month").agg(
@@ -126,7 +132,7 @@ class Ledger:
         Lines of an order usually lie together, so most of them collapse before the
         shuffle, and whatever follows (joins, windows, distinct counts) is smaller.
         """
-        if self._kept:
+        if self.kept:
             return sales
         measures = ["amount", "discount", "gross", "lines", "discounted_lines"]
         return sales.groupBy(*self.by, "order_id", "customer_id", "day").agg(

@@ -22,8 +22,9 @@ def cross_sell_pairs(orders, by=(), min_support: float = 0.01, large_basket: int
     """
     led = Ledger.of(orders, by)
     by = led.by
-    lines = led.baskets.distinct()
-    limits = led.baskets.groupBy(*by).agg(F.countDistinct("order_id").alias("n_orders"))
+    # Read three times below: written once instead of scanning the lines again.
+    lines = led.baskets if led.kept else durable(led.baskets.distinct())
+    limits = lines.groupBy(*by).agg(F.countDistinct("order_id").alias("n_orders"))
     needed = F.greatest(F.lit(2), F.floor(num("n_orders") * F.lit(min_support)))
     limits = limits.select(*by, "n_orders", needed.cast("long").alias("needed"))
     items = lines.filter(F.col("product").isNotNull())
