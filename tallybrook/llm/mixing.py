@@ -20,7 +20,7 @@ from tallybrook.llm.store import written
 from tallybrook.llm.words import words
 
 LEVELS = ("domain", "lang", "source")
-ROWS_PER_SLICE = 4096  # rows of a leaf that one window task sorts, about
+ROWS_PER_SLICE = 256  # rows of a leaf that one window task sorts, about
 ORDER_BITS = 52
 
 

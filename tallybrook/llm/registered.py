@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, mixing
+from tallybrook.llm import chat, decontamination, mixing, quality
 from tallybrook.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,9 +127,51 @@ FROM u GROUP BY conv_id
 """
 
 
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.assess(docs, keep_text=False)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    report = decontamination.scan(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return report.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
+DECONTAMINATION_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS window_text
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM iw WHERE len(w) > 0)),
+    lens AS (SELECT DISTINCT n FROM win),
+    pos AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS window_text
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN lens WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, i, n, item_id FROM pos JOIN win USING (n, window_text)),
+    hit_words AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+    hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_mixing": mixing_query, "op8_chat": chat_query}
+    return {
+        "op2_quality_rules": quality_query,
+        "op4_decontamination": decontamination_query,
+        "op7_mixing": mixing_query,
+        "op8_chat": chat_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING_SQL, "op8_chat": CHAT_SQL}
+    return {"op4_decontamination": DECONTAMINATION_SQL, "op7_mixing": MIXING_SQL, "op8_chat": CHAT_SQL}
