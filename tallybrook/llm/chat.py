@@ -58,7 +58,7 @@ def examples(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: s
         ).alias("_ends"),
     )
     return (
-        numbered.select(conv_col, "_parts", "_rendered", F.posexplode("_ends").alias("example", "_at"))
+        numbered.select(conv_col, "_parts", "_rendered", F.posexplode_outer("_ends").alias("example", "_at"))
         .select(
             conv_col,
             "example",

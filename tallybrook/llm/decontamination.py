@@ -67,7 +67,7 @@ def windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Da
     cut = items.select(
         "_item",
         "_length",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("_words") - F.col("_length") + 1), lambda i: F.slice("_words", i, F.col("_length")))).alias("_words"),
+        F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("_words") - F.col("_length") + 1), lambda i: F.slice("_words", i, F.col("_length")))).alias("_words"),
     ).distinct()
     lengths = list(range(1, window + 1))
     hashed = with_hashes(cut, lengths)
@@ -109,7 +109,7 @@ def scan(
     # Place 0 stands for the document itself; then come the windows, length by length.
     all_hashes = F.concat(F.array(F.lit(None).cast("bigint")), *[F.col(f"_h{k}") for k in lengths])
     placed = hashed.select(
-        id_col, "_text_hash", "_words", F.size("_words").cast("long").alias("n_words"), F.posexplode(all_hashes).alias("_at", "_hash")
+        id_col, "_text_hash", "_words", F.size("_words").cast("long").alias("n_words"), F.posexplode_outer(all_hashes).alias("_at", "_hash")
     )
     before = F.lit(1)
     offsets = []

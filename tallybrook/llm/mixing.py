@@ -149,5 +149,5 @@ def mix(
     return (
         clear.unionByName(edge)
         .filter(F.col("_copies") > 0)
-        .select("_doc.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("epoch"))
+        .select("_doc.*", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("epoch"))
     )
