@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, decontamination, mixing, quality
+from tallybrook.llm import chat, decontamination, lines, mixing, quality, simhash
 from tallybrook.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,14 +164,48 @@ FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+def lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+LINES_SQL = r"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(md5(lines[i]), 1, 8))::BIGINT AS v
+        FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+    b AS (SELECT *, i = n OR (v + 31 * coalesce(lag(v, 1) OVER o, 0) + 961 * coalesce(lag(v, 2) OVER o, 0)) % 1000003 % 4 = 0 AS is_end
+        FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
+    chunk AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk_text,
+        count(*) FILTER (regexp_matches(line, '[^ 	-]')) >= 2 AS many FROM c GROUP BY doc_id, k),
+    seen AS (SELECT *, many AND row_number() OVER (PARTITION BY chunk_text ORDER BY doc_id, k) > 1 AS gone FROM chunk)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+    count(*) FILTER (gone) AS n_removed_chunks, sha256(coalesce(string_agg(chunk_text, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM seen GROUP BY doc_id
+"""
+
+
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select(
+        F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": lines_query,
         "op2_quality_rules": quality_query,
         "op4_decontamination": decontamination_query,
         "op7_mixing": mixing_query,
         "op8_chat": chat_query,
+        "op9_simhash": simhash_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": DECONTAMINATION_SQL, "op7_mixing": MIXING_SQL, "op8_chat": CHAT_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op7_mixing": MIXING_SQL, "op8_chat": CHAT_SQL}
