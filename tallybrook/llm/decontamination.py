@@ -72,7 +72,7 @@ def windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Da
     lengths = list(range(1, window + 1))
     hashed = with_hashes(cut, lengths)
     choice = F.coalesce(*[F.when(F.col("_length") == k, F.get(f"_h{k}", F.lit(0))) for k in lengths])
-    return hashed.select(choice.alias("_hash"), "_length", F.col("_words").alias("_window"), "_item")
+    return hashed.select(choice.alias("_hash"), "_length", F.array_join("_words", " ").alias("_window"), "_item")
 
 
 def scan(
@@ -95,7 +95,7 @@ def scan(
     """
     found = written(windows(benchmark, item_col, item_text_col, window).fillna("", ["_item"]), "decontamination-windows")
     size = found.agg(
-        F.sum(F.length(F.array_join("_window", "")) + F.length("_item") + 8 * F.size("_window") + 64).alias("bytes"),
+        F.sum(F.octet_length("_window") + F.octet_length("_item") + 64).alias("bytes"),
         F.sort_array(F.collect_set("_length")).alias("lengths"),
     ).first()
     lengths = size["lengths"] or [window]
@@ -116,12 +116,16 @@ def scan(
     for k in lengths:
         offsets.append(F.when(F.col("_length") == k, before))
         before = before + F.greatest(F.col("n_words") - F.lit(k - 1), F.lit(0))
+    # No lambdas from here to the filter: then one generated loop makes the window rows, looks
+    # them up and drops them, and none is built that is not a hit.
     parts = []
     for block in range(blocks):
         here = found.filter(F.pmod("_hash", F.lit(blocks)) == block)
         joined = placed.join(F.broadcast(here), "_hash", "left")
         start = (F.col("_at") - F.coalesce(*offsets)).cast("int")
-        hit = F.col("_item").isNotNull() & (_lowered(F.slice("_words", start + 1, F.col("_length"))) == F.col("_window"))
+        hit = F.col("_item").isNotNull() & (
+            lower_ascii(F.array_join(F.slice("_words", start + 1, F.col("_length")), " ")) == F.col("_window")
+        )
         parts.append(
             joined.withColumn("_hit", hit)
             .filter((F.col("_at") == 0) | F.col("_hit"))
