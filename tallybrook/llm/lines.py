@@ -16,6 +16,7 @@ from tallybrook.llm.store import written
 
 BASE, MODULUS = 31, 1_000_003
 SPAN = 4  # a boundary after one line in so many
+ADDED = ("n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -78,7 +79,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Added columns: ``n_lines``, ``n_chunks``, ``n_removed_lines``, ``n_removed_chunks``.
     Every row stays, with an empty text if all its lines were copies; a null text stays
-    null.  Rows with equal id and text are one document and are treated alike; a null id
+    null; input columns named like an added one are replaced.  Rows with equal id and text are one document and are treated alike; a null id
     sorts before others.
     """
     gone = repeated_chunks(docs, id_col=id_col, text_col=text_col)
@@ -89,7 +90,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
     length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
     return cut.select(
-        *[c for c in docs.columns if c != text_col],
+        *[c for c in docs.columns if c not in ADDED and c != text_col],
         F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).otherwise(F.col(text_col)).alias(text_col),
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_chunks").cast("long").alias("n_chunks"),

@@ -93,14 +93,14 @@ def mix(
     1; 0 or less: nothing from it).  ``budget`` counts words; without it ``share`` of all
     words.  Null level values are one value of their own; documents without words cost
     nothing and fit; rows with equal ids share a place in the order and are counted each.
-    A document that would exceed what is left ends its leaf's prefix.  Columns of the input
-    that start with an underscore followed by one of the names used here are not supported.
+    A document that would exceed what is left ends its leaf's prefix.  An input column
+    ``epoch`` is replaced.
     """
     levels = list(weights)
     keys = [f"_k{i}" for i in range(len(levels))]
     keyed = docs.select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in zip(levels, keys)],
-        F.struct(*docs.columns).alias("_doc"),
+        F.struct(*[c for c in docs.columns if c != "epoch"]).alias("_doc"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"),
         F.size(words(F.col(text_col))).cast("long").alias("_n"),
     )

@@ -173,7 +173,8 @@ def assess(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True, t
     """``docs`` with the counts, ``base_failed``, ``p_good`` and ``kept``.
 
     Null and blank texts have no words and fail the base rule.  Every row is judged on its
-    own, so repeated rows and equal or null ids do no harm.  The model is fitted to the
+    own, so repeated rows and equal or null ids do no harm; input columns named like an
+    added one are replaced.  The model is fitted to the
     documents that pass the base rule.  Without ``keep_text`` the text column is dropped
     before the counts are written.
     """
