@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, decontamination, lines, mixing, quality, simhash
+from tallybrook.llm import chat, decontamination, lines, mixing, phrases, quality, simhash, suffixes
 from tallybrook.llm.store import table
+from tallybrook.llm.words import words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -180,7 +181,8 @@ WITH l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(
         FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
     chunk AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk_text,
-        count(*) FILTER (regexp_matches(line, '[^ 	-]')) >= 2 AS many FROM c GROUP BY doc_id, k),
+        count(*) FILTER (regexp_matches(line, '[^ 	-
+]')) >= 2 AS many FROM c GROUP BY doc_id, k),
     seen AS (SELECT *, many AND row_number() OVER (PARTITION BY chunk_text ORDER BY doc_id, k) > 1 AS gone FROM chunk)
 SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
     count(*) FILTER (gone) AS n_removed_chunks, sha256(coalesce(string_agg(chunk_text, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
@@ -196,14 +198,28 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def phrases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = phrases.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.array_join(words(F.col("text").cast("string")), " ")
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+def suffixes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("text", F.lit(b""))
+    return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lines_query,
         "op2_quality_rules": quality_query,
         "op4_decontamination": decontamination_query,
+        "op5_phrases": phrases_query,
         "op7_mixing": mixing_query,
         "op8_chat": chat_query,
         "op9_simhash": simhash_query,
+        "op10_suffixes": suffixes_query,
     }
 
 
