@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, decontamination, lines, mixing, phrases, quality, simhash, suffixes
+from tallybrook.llm import chat, decontamination, lines, mixing, personal, phrases, quality, simhash, suffixes
 from tallybrook.llm.store import table
 from tallybrook.llm.words import words
 
@@ -210,12 +210,24 @@ def suffixes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def personal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base")
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        *[personal.count(base, k).alias(f"n_{k}") for k in personal.KINDS],
+        F.sha2(personal.spelled(base), 256).alias("base_sha256"),
+        personal.spelled(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lines_query,
         "op2_quality_rules": quality_query,
         "op4_decontamination": decontamination_query,
         "op5_phrases": phrases_query,
+        "op6_personal": personal_query,
         "op7_mixing": mixing_query,
         "op8_chat": chat_query,
         "op9_simhash": simhash_query,
