@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, decontamination, lines, mixing, personal, phrases, quality, simhash, suffixes
+from tallybrook.llm import chat, crf, decontamination, lines, mixing, personal, phrases, quality, simhash, suffixes
 from tallybrook.llm.store import table
 from tallybrook.llm.words import words
 
@@ -221,10 +221,20 @@ def personal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out documents (crc32 of the id mod 4 is 2) give no label to the fit."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out)
+    field = crf.train(crf.sample(labels, docs))
+    return crf.classify(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lines_query,
         "op2_quality_rules": quality_query,
+        "op3_quality_crf": crf_query,
         "op4_decontamination": decontamination_query,
         "op5_phrases": phrases_query,
         "op6_personal": personal_query,
