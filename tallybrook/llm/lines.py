@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm.store import written
+from tallybrook.llm.words import let
 
 BASE, MODULUS = 31, 1_000_003
 SPAN = 4  # a boundary after one line in so many
@@ -20,29 +21,37 @@ ADDED = ("n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def with_chunks(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``_lines`` and ``_chunks`` (first and last line from 1, text, lines with words)."""
+def chunks(text: Column) -> Column:
+    """The chunks of a text: first and last line from 1, text, lines with words.
+
+    One expression with every step computed once per text, also where the optimiser
+    copies it into a filter.
+    """
     value = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
-    lined = docs.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    lined = lined.withColumn("_values", F.transform("_lines", value))
-    at = lambda i: F.coalesce(F.get("_values", i), F.lit(0))
-    rolled = lambda i: (at(i - 1) + BASE * at(i - 2) + BASE * BASE * at(i - 3)) % MODULUS
-    n = F.size("_lines")
-    lined = lined.withColumn("_ends", F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(i) % SPAN == 0)))
 
-    def chunk(end: Column, k: Column) -> Column:
-        first = F.coalesce(F.get("_ends", k - 1), F.lit(0)) + 1
-        inside = F.slice("_lines", first, end - first + 1)
-        filled = F.size(F.filter(inside, lambda x: x.rlike(HAS_WORD)))
-        return F.struct(first.alias("first"), end.alias("last"), F.array_join(inside, "\n").alias("text"), filled.alias("filled"))
+    def ends(values: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(values, i), F.lit(0))
+        rolled = lambda i: (at(i - 1) + BASE * at(i - 2) + BASE * BASE * at(i - 3)) % MODULUS
+        n = F.size(values)
+        return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(i) % SPAN == 0))
+
+    def cut(lines: Column, stops: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            first = F.coalesce(F.get(stops, k - 1), F.lit(0)) + 1
+            inside = F.slice(lines, first, end - first + 1)
+            filled = F.size(F.filter(inside, lambda x: x.rlike(HAS_WORD)))
+            return F.struct(first.alias("first"), end.alias("last"), F.array_join(inside, "\n").alias("text"), filled.alias("filled"))
+
+        return F.transform(stops, chunk)
 
-    return lined.withColumn("_chunks", F.transform("_ends", chunk)).drop("_values", "_ends")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    return let(lines, lambda x: let(F.transform(x, value), lambda v: let(ends(v), lambda e: cut(x, e))))
 
 
 def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Per document with chunks to remove: ``_id``, ``_th`` and their places ``_gone``."""
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    keyed = with_chunks(keyed, "_text")
+    keyed = keyed.withColumn("_chunks", chunks(F.col("_text")))
     slim = written(
         keyed.select("_id", "_th", F.posexplode_outer("_chunks").alias("_k", "_c"))
         .filter("_c.filled > 1")
@@ -86,14 +95,15 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), "_gone")
     keyed = docs.withColumn("_th", F.xxhash64(text_col))
     joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_gone_id"]) & (keyed["_th"] == gone["_gone_th"]), "left")
-    cut = with_chunks(joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))), text_col)
+    cut = joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_chunks", chunks(F.col(text_col)))
+    n_lines = F.element_at("_chunks", -1)["last"]
     kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
     length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
     return cut.select(
         *[c for c in docs.columns if c not in ADDED and c != text_col],
         F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).otherwise(F.col(text_col)).alias(text_col),
-        F.size("_lines").cast("long").alias("n_lines"),
+        n_lines.cast("long").alias("n_lines"),
         F.size("_chunks").cast("long").alias("n_chunks"),
-        (F.size("_lines") - length(kept)).cast("long").alias("n_removed_lines"),
+        (n_lines - length(kept)).cast("long").alias("n_removed_lines"),
         F.size("_gone").cast("long").alias("n_removed_chunks"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.llm.store import written
-from tallybrook.llm.words import words
+from tallybrook.llm.words import let, words
 
 SYMBOLS = r"[#*$%&|<>]+"  # fixed value
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
@@ -23,11 +23,6 @@ WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeat_words(w: Column) -> Column:
     """Words inside windows of WINDOW words that occur twice or more in ``w``."""
     n = F.size(w) - F.lit(WINDOW - 1)
@@ -40,7 +35,7 @@ def _repeat_words(w: Column) -> Column:
         """Sorted starts of repeated windows: equal neighbours in order of hash and words."""
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), F.slice(w, i + 1, WINDOW).alias("w"), i.alias("i"))))
         same = lambda a, b: (a["h"] == b["h"]) & (a["w"] == b["w"])
-        return _let(
+        return let(
             placed,
             lambda p: F.array_sort(
                 F.transform(
@@ -62,7 +57,7 @@ def _repeat_words(w: Column) -> Column:
         )
 
     def covered(h: Column) -> Column:
-        union = _let(
+        union = let(
             starts(h),
             lambda s: F.aggregate(
                 F.transform(s, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1) - x, F.lit(WINDOW)))),
@@ -72,7 +67,7 @@ def _repeat_words(w: Column) -> Column:
         )
         return F.when(F.size(F.array_distinct(h)) < F.size(h), union).otherwise(0)
 
-    return F.coalesce(_let(hashes, covered), F.lit(0))
+    return F.coalesce(let(hashes, covered), F.lit(0))
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
