@@ -21,6 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 PLACE_BITS = 23  # of an order key: the gram's place in its piece; the others are its hash
 PIECE = 1 << 22  # windows handled at a time
-SHARD_BYTES = 2_000_000  # of different segments confirmed at a time, unless one anchor has more
 
 Segments = list[bytes]
 #: From segments (sorted by anchor), their anchors and counts: segment number, first and
@@ -45,6 +45,7 @@ class Passage:
     length: int
     gram: int
     words: bool  # units are words, else bytes
+    shard_bytes: int = 2_000_000  # of different segments confirmed at a time, unless one anchor has more
 
     def units(self, text: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
         """A 64-bit value per unit, and the units."""
@@ -150,7 +151,7 @@ def _cut_segments(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.
         )
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, digest, text, count) sorted by anchor, in shards of whole anchors."""
     held: list[pa.RecordBatch] = []
 
@@ -173,16 +174,16 @@ def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm) -> Iterator[
         if batch.num_rows:
             held.append(batch)
             size += batch.nbytes
-        if size >= SHARD_BYTES:
+        if size >= shard_bytes:
             table = pa.Table.from_batches(held)
             anchors = table.column("_anchor").to_numpy()
             # Whole anchors up to the last one, which may go on; several shards if the batch is large.
             edge = int(np.searchsorted(anchors, anchors[-1]))
             starts = np.flatnonzero(np.append(True, anchors[1:edge] != anchors[: edge - 1])) if edge else np.zeros(0, np.int64)
-            sizes = np.cumsum(table.column("_text").combine_chunks().cast(pa.large_binary()).value_lengths().to_numpy()[:edge]) if edge else []
+            sizes = np.cumsum(pc.binary_length(table.column("_text")).to_numpy()[:edge])
             at = 0
             while at < edge:
-                target = (sizes[at - 1] if at else 0) + SHARD_BYTES
+                target = (sizes[at - 1] if at else 0) + shard_bytes
                 stop = int(np.searchsorted(sizes, target)) + 1
                 later = starts[starts >= min(stop, edge)]
                 stop = int(later[0]) if len(later) else edge
@@ -211,7 +212,7 @@ def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: st
     different = found.groupBy("_anchor", "_seg").agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
     dealt = different.repartition("_anchor").sortWithinPartitions("_anchor", "_seg")
     runs = dealt.select("_anchor", "_seg", "_text", "_n").mapInArrow(
-        partial(_confirmed, confirm=confirm), "_anchor bigint, _seg binary, _from bigint, _to bigint"
+        partial(_confirmed, confirm=confirm, shard_bytes=p.shard_bytes), "_anchor bigint, _seg binary, _from bigint, _to bigint"
     )
     runs = written(runs, "confirmed")
     spans = found.drop("_text").join(runs, ["_anchor", "_seg"])

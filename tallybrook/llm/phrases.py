@@ -85,8 +85,9 @@ def confirm(texts: list[bytes], anchors: np.ndarray, counts: np.ndarray, length:
     return np.array(numbers, np.int64), np.array(first, np.int64), np.array(last, np.int64)
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without every word that a window of ``length`` words covers which also starts
-    anywhere else; see ``passages.without_recurring`` for the columns and odd cases."""
-    wanted = Passage(length, gram, words=True)
+    anywhere else; see ``passages.without_recurring`` for the columns and odd cases.
+    ``options`` are further fields of ``Passage``."""
+    wanted = Passage(length, gram, words=True, **options)
     return without_recurring(docs, wanted, partial(confirm, length=length), id_col=id_col, text_col=text_col)

@@ -96,8 +96,9 @@ def confirm(texts: list[bytes], anchors: np.ndarray, counts: np.ndarray, length:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without every byte that a string of ``length`` bytes covers which also starts
-    anywhere else; see ``passages.without_recurring`` for the columns and odd cases."""
-    wanted = Passage(length, gram, words=False)
+    anywhere else; see ``passages.without_recurring`` for the columns and odd cases.
+    ``options`` are further fields of ``Passage``."""
+    wanted = Passage(length, gram, words=False, **options)
     return without_recurring(docs, wanted, partial(confirm, length=length), id_col=id_col, text_col=text_col)

@@ -161,16 +161,15 @@ def test_decontamination(spark, odd, none):
     assert decontamination.scan(odd, bench.limit(0)).agg({"n_hit": "max"}).first()[0] == 0
 
 
-@pytest.mark.parametrize("shard", [passages.SHARD_BYTES, 700])
-def test_phrases_and_suffixes(spark, odd, none, monkeypatch, shard):
-    monkeypatch.setattr(passages, "SHARD_BYTES", shard)
+@pytest.mark.parametrize("shard", [2_000_000, 700])
+def test_phrases_and_suffixes(spark, odd, none, shard):
     texts = [r[1] for r in ODD]
     as_words = [(t or "").encode().split() for t in texts]
-    got = sorted((r.n_units, r.n_removed, r.text) for r in phrases.remove_repeats(odd).collect() if r.text is not None)
+    got = sorted((r.n_units, r.n_removed, r.text) for r in phrases.remove_repeats(odd, shard_bytes=shard).collect() if r.text is not None)
     want = sorted((len(w), sum(g), b" ".join(x for x, gone in zip(w, g) if not gone)) for t, w, g in zip(texts, as_words, recurring(as_words, 35)) if t is not None)
     assert [(n, m, b" ".join(bytes(t).split())) for n, m, t in got] == want
     as_bytes = [(t or "").encode() for t in texts]
-    got = sorted((r.n_units, r.n_removed, bytes(r.text or b"")) for r in suffixes.remove_repeats(odd, length=120, gram=30).collect())
+    got = sorted((r.n_units, r.n_removed, bytes(r.text or b"")) for r in suffixes.remove_repeats(odd, length=120, gram=30, shard_bytes=shard).collect())
     gone = recurring([list(b) for b in as_bytes], 120)
     assert got == sorted((len(b), sum(g), bytes(x for x, y in zip(b, g) if not y)) for b, g in zip(as_bytes, gone))
     assert phrases.remove_repeats(none).count() == suffixes.remove_repeats(none).count() == 0
