@@ -68,14 +68,18 @@ def gather(parts: Sequence[DataFrame], by: By) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a folder of our own
-    is set only where none is known.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Only a session that runs
+    on one machine may have none; it gets a temporary folder.
     """
     spark = SparkSession.getActiveSession() or df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallybrook-"))
+        if named is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tallybrook-")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

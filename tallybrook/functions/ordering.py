@@ -1,14 +1,13 @@
 """Ordered prefix sums, ranks and exact quantiles that never need one big task.
 
 A window over a whole table, or over a group that may hold a third of it, sorts
-that group in a single task.  Here the rows are cut into slices of bounded size
-along the sort order, each slice is scanned by its own task, and the few slice
-totals are added up in front.
+that group in a single task.  Here the rows are range partitioned along the full
+sort key and written; each partition is a slice that its own task scans, and the
+few slice totals are added up in front.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,60 +15,19 @@ from pyspark.sql import functions as F
 
 from tallybrook.functions.frames import By, attach, durable, group_window
 
-ROWS_PER_SLICE = 1_000_000
-MAX_SLICES = 2_048
-SAMPLE_PER_SLICE = 16
 
-
-def _slice_column(base: DataFrame, keys: list[str], slices: int) -> Column:
-    """Slice number of a row: how many cut points lie before it in key order.
-
-    Cut points come from a sample of fixed size (the rows with the smallest
-    hashes), so they are the same whenever a lost task is computed again.  They
-    cover all keys, hence a group or a value of any weight is split as well.
-    """
-    sample = (
-        base.select(*keys)
-        .orderBy(F.xxhash64(*keys))
-        .limit(slices * SAMPLE_PER_SLICE)
-        .orderBy(*keys)
-        .collect()
-    )
-    step = max(1, len(sample) // slices)
-    rows = sample[step::step][: slices - 1]
-    if not rows:
-        return F.lit(0)
-    kinds = {f.name: f.dataType for f in base.schema.fields}
-    cuts = F.array(*[F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys]) for r in rows])
-    here = F.struct(*[F.col(k).alias(k) for k in keys])
-    return F.size(F.filter(cuts, lambda cut: cut < here))
-
-
-def ordered_prefix(
-    df: DataFrame,
-    by: By,
-    order: list[str],
-    sums: Mapping[str, str],
-    stored: DataFrame | None = None,
-    bounded: bool = False,
-) -> DataFrame:
+def ordered_prefix(df: DataFrame, by: By, order: list[str], sums: Mapping[str, str], bounded: bool = False) -> DataFrame:
     """Add running and whole-group sums along ``order`` within each ``by`` group.
 
     ``sums`` maps an output name to the summed column; ``running_<name>`` includes
     the current row, ``whole_<name>`` covers the group.  ``order`` sorts ascending
-    and must make rows unique within a group.
+    and must make rows unique within a group.  ``bounded`` says that a group is small
+    by nature (days, months), so that a window per group does.
 
-    ``stored`` is an already durable frame with the same rows, keys and summed
-    columns.  ``bounded`` says that a group is known to fit into one slice, by nature
-    (days, months) or by a size check made before.
+    Slices come from ``spark.sql.shuffle.partitions``; writing them fixes each row's
+    slice, whichever task is computed again.
     """
     if bounded:
-        base, slices = df, 1
-    else:
-        base = stored if stored is not None else durable(df)
-        df = df if stored is not None else base
-        slices = min(MAX_SLICES, math.ceil(base.count() / ROWS_PER_SLICE))
-    if slices <= 1:
         group = group_window(by)
         along = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select(
@@ -77,14 +35,14 @@ def ordered_prefix(
             *[F.sum(src).over(along).alias(f"running_{n}") for n, src in sums.items()],
             *[F.sum(src).over(group).alias(f"whole_{n}") for n, src in sums.items()],
         )
-    cut = _slice_column(base, [*by, *order], slices)
-    base, df = base.withColumn("_slice", cut), df.withColumn("_slice", cut)
+    keys = [F.col(c) for c in [*by, *order]]
+    sliced = durable(df.repartitionByRange(*keys).withColumn("_slice", F.spark_partition_id()))
 
     inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select("*", *[F.sum(src).over(inside).alias(f"_in_{n}") for n, src in sums.items()])
+    rows = sliced.select("*", *[F.sum(src).over(inside).alias(f"_in_{n}") for n, src in sums.items()])
 
     before = group_window(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    parts = base.groupBy(*by, "_slice").agg(*[F.sum(src).alias(f"_p_{n}") for n, src in sums.items()])
+    parts = sliced.groupBy(*by, "_slice").agg(*[F.sum(src).alias(f"_p_{n}") for n, src in sums.items()])
     offsets = parts.select(
         *by,
         "_slice",
@@ -93,17 +51,15 @@ def ordered_prefix(
     )
     joined = attach(rows, offsets, [*by, "_slice"])
     return joined.select(
-        *df.drop("_slice").columns,
+        *df.columns,
         *[F.when(F.col(f"_b_{n}").isNull(), F.col(f"_in_{n}")).otherwise(F.col(f"_in_{n}") + F.col(f"_b_{n}")).alias(f"running_{n}") for n in sums],
         *[f"whole_{n}" for n in sums],
     )
 
 
-def ranked(df: DataFrame, by: By, order: list[str], stored: DataFrame | None = None, bounded: bool = False) -> DataFrame:
+def ranked(df: DataFrame, by: By, order: list[str]) -> DataFrame:
     """Add ``rank`` (1..n along ``order``) and ``group_rows`` per ``by`` group."""
-    one = F.lit(1).cast("long")
-    base = None if stored is None else stored.withColumn("_one", one)
-    out = ordered_prefix(df.withColumn("_one", one), by, order, {"one": "_one"}, base, bounded)
+    out = ordered_prefix(df.withColumn("_one", F.lit(1).cast("long")), by, order, {"one": "_one"})
     return out.withColumnsRenamed({"running_one": "rank", "whole_one": "group_rows"}).drop("_one")
 
 
@@ -145,7 +101,7 @@ def quantiles(df: DataFrame, by: By, value: str, probs: Mapping[str, float], bou
     return quantiles_of_counts(value_counts(df, by, value), by, value, probs, bounded)
 
 
-def top_sum(df: DataFrame, by: By, value: str, k: Column, bounded: bool = False) -> DataFrame:
+def top_sum(df: DataFrame, by: By, value: str, k: Column) -> DataFrame:
     """Sum of the ``k`` largest values per group; ``k`` may use ``group_rows``.
 
     Equal values are interchangeable, so distinct values with their counts suffice.
@@ -158,7 +114,7 @@ def top_sum(df: DataFrame, by: By, value: str, k: Column, bounded: bool = False)
         (-F.col(value)).alias("_down"),
         (F.col(value) * F.col("copies")).alias("_mass"),
     )
-    prefix = ordered_prefix(counts, by, ["_down"], {"copies": "copies", "mass": "_mass"}, bounded=bounded)
+    prefix = ordered_prefix(counts, by, ["_down"], {"copies": "copies", "mass": "_mass"})
     prefix = prefix.withColumnsRenamed({"whole_copies": "group_rows", "whole_mass": "group_total"})
     above = F.col("running_copies") - F.col("copies")
     prefix = prefix.withColumn("top_k", k.cast("long"))

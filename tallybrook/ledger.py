@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.functions.frames import attach
-from tallybrook.functions.ordering import ROWS_PER_SLICE
 from tallybrook.functions.scalars import MONEY
 
 
@@ -30,12 +29,16 @@ class Ledger:
         self.lines = lines
         self.by = list(by)
         self.ref_date = ref_date
-        self.small = False
         self._kept: list[DataFrame] = []
 
     @staticmethod
     def of(orders: Ledger | DataFrame, by: Sequence[str] = (), ref_date: date | None = None) -> Ledger:
-        return orders if isinstance(orders, Ledger) else Ledger(orders, by, ref_date)
+        """A ledger of order lines, or the given one if ``by`` and ``ref_date`` agree with it."""
+        if not isinstance(orders, Ledger):
+            return Ledger(orders, by, ref_date)
+        if by and list(by) != orders.by or ref_date and ref_date != orders.ref_date:
+            raise ValueError("the ledger has other grouping columns or another reference date")
+        return orders
 
     def has(self, column: str) -> bool:
         return column in self.lines.columns
@@ -95,11 +98,7 @@ class Ledger:
         return self.product_key
 
     def keep(self) -> Ledger:
-        """Roll the views up once and persist them for operators that follow.
-
-        Their row counts bound every group, rank and histogram derived from them.
-        If they fit into one slice, ``small`` lets operators skip their own size checks.
-        """
+        """Roll the views up once and persist them for operators that follow."""
         if self.kept:
             return self
         rollup = self.order_days(self.sales)
@@ -112,8 +111,7 @@ class Ledger:
             )
             self.baskets = self._persist(self.baskets.distinct())
         with ThreadPoolExecutor(max_workers=3) as pool:
-            rows = list(pool.map(DataFrame.count, self._kept))
-        self.small = max(rows) <= ROWS_PER_SLICE
+            list(pool.map(DataFrame.count, self._kept))
         return self
 
     def _persist(self, df: DataFrame) -> DataFrame:
@@ -177,13 +175,15 @@ class Ledger:
         )
 
     def with_first_day(self, df: DataFrame) -> DataFrame:
-        """Add ``first_day``; guests get null."""
+        """Add ``first_day``; guests get null and stay outside the join, where they would share a key."""
         keys = [*self.by, "customer_id"]
         first = self.first_days.select(*[F.col(k).alias(f"_f_{k}") for k in keys], "first_day")
         cond = F.col("customer_id") == F.col("_f_customer_id")
         for k in self.by:
             cond = cond & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
-        return df.join(first, cond, "left").drop(*[f"_f_{k}" for k in keys])
+        known = df.filter(F.col("customer_id").isNotNull())
+        guests = df.filter(F.col("customer_id").isNull()).withColumn("first_day", F.lit(None).cast("date"))
+        return known.join(first, cond, "left").drop(*[f"_f_{k}" for k in keys]).unionByName(guests)
 
     def recent(self, oldest: int) -> DataFrame:
         """Order days from ``oldest`` days before the reference date up to it, with ``ref``.

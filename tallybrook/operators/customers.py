@@ -115,10 +115,10 @@ def rfm_segments(orders, by=(), n_segments: int = 5) -> DataFrame:
     """
     led = Ledger.of(orders, by)
     by = led.by
-    base = rfm_base(led) if led.small else durable(rfm_base(led))
+    base = durable(rfm_base(led))
     steps = {f"e{i}": i / n_segments for i in range(n_segments + 1)}
-    first = ranked(base, by, ["frequency", "customer_id"], base, led.small).withColumnRenamed("rank", "_f_rank").drop("group_rows")
-    both = ranked(first, by, ["monetary", "customer_id"], base, led.small).withColumnRenamed("rank", "_m_rank")
+    first = ranked(base, by, ["frequency", "customer_id"]).withColumnRenamed("rank", "_f_rank").drop("group_rows")
+    both = ranked(first, by, ["monetary", "customer_id"]).withColumnRenamed("rank", "_m_rank")
     edges = quantiles(base, by, "recency_days", steps, bounded=True)
     edges = edges.select(*by, F.array_distinct(F.array(*[F.round(c, 9) for c in steps])).alias("_edges"))
     joined = attach(both, edges, by)

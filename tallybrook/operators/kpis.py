@@ -44,7 +44,11 @@ def _summarise(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
         total("gross").alias("_gross"),
         *more,
     )
-    extra = [c for c in sums.columns[len(keys) + 10 :]]
+    return _kpis(sums, keys, sums.columns[len(keys) + 10 :])
+
+
+def _kpis(sums: DataFrame, keys: list[str], extra=()) -> DataFrame:
+    """KPIs from the sums behind them."""
     return sums.select(
         *keys,
         num("_rev").alias("revenue"),
@@ -62,40 +66,71 @@ def _summarise(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     )
 
 
+def _window_sums(led: Ledger) -> DataFrame:
+    """by, period, side and the sums behind the KPIs of each window with order lines.
+
+    Lines are grouped once, by order and customer, with a conditional sum per window.
+    From these rows come the distinct orders (by order), and each customer's first day and
+    sums (by customer); no row is multiplied and no line is joined.  Guests (null customer)
+    are one sum that counts as returning.
+    """
+    by, rules = led.by, list(enumerate(window_rules()))
+    age = F.date_diff("ref", "day")
+    dated = led.with_reference(led.sales)
+    if led.newest_day is not None:
+        dated = dated.filter(F.col("day") <= F.col("ref"))
+    measures = ("amount", "discount", "gross")
+    sums = [F.max(age).alias("first_age")]
+    for i, (*_, newest, oldest) in rules:
+        inside = age.between(newest, oldest)
+        sums.append(F.max(inside).alias(f"in{i}"))
+        sums += [F.sum(F.when(inside, F.col(m))).alias(f"{m}{i}") for m in measures]
+    pairs = dated.groupBy(*by, "order_id", "customer_id").agg(*sums)
+
+    named = pairs.filter(F.col("order_id").isNotNull())
+    by_order = named.groupBy(*by, "order_id").agg(*[F.max(f"in{i}").alias(f"in{i}") for i, _ in rules])
+    orders = by_order.groupBy(*by).agg(*[F.count_if(f"in{i}").alias(f"orders{i}") for i, _ in rules])
+
+    per_customer = [F.max("first_age").alias("first_age")]
+    for i, _ in rules:
+        per_customer.append(F.max(f"in{i}").alias(f"in{i}"))
+        per_customer.append(F.count_if(F.col(f"in{i}") & F.col("order_id").isNotNull()).alias(f"n{i}"))
+        per_customer += [F.sum(f"{m}{i}").alias(f"{m}{i}") for m in measures]
+    customers = pairs.groupBy(*by, "customer_id").agg(*per_customer)
+    known = F.col("customer_id").isNotNull()
+    found = []
+    for i, (*_, newest, oldest) in rules:
+        here = F.coalesce(F.col(f"in{i}"), F.lit(False))
+        new = known & F.col("first_age").between(newest, oldest)
+        found += [
+            total(f"amount{i}").alias(f"_rev{i}"),
+            total(F.when(new, F.col(f"amount{i}"))).alias(f"_new_rev{i}"),
+            total(F.when(~new, F.col(f"amount{i}"))).alias(f"_ret_rev{i}"),
+            F.count_if(here & known).alias(f"customers{i}"),
+            F.count_if(here & new).alias(f"new_customers{i}"),
+            F.sum(F.when(new, F.col(f"n{i}")).otherwise(0)).alias(f"_new_orders{i}"),
+            F.sum(F.when(~new, F.col(f"n{i}")).otherwise(0)).alias(f"_ret_orders{i}"),
+            total(f"discount{i}").alias(f"_disc{i}"),
+            total(f"gross{i}").alias(f"_gross{i}"),
+        ]
+    wide = attach(customers.groupBy(*by).agg(*found), orders, by)
+    names = ("_rev", "_new_rev", "_ret_rev", "orders", "customers", "new_customers", "_new_orders", "_ret_orders", "_disc", "_gross")
+    rows = [
+        F.struct(F.lit(period).alias("period"), F.lit(side).alias("side"), *[F.col(f"{n}{i}").alias(n) for n in names])
+        for i, (period, side, *_) in rules
+    ]
+    return wide.select(*by, F.inline(F.array(*rows)))
+
+
 def period_summary(orders, by=(), ref_date=None) -> DataFrame:
     """KPIs of the current and prior 30/90/365-day windows; zeros for empty windows.
 
-    A row finds its windows by its age in days, so windows need neither a range
-    join nor one pass each.  Guests (null customer) count as returning.
+    A row's window follows from its age in days, so windows need neither a range join nor
+    one pass each.  Guests (null customer) count as returning.
     """
     led = Ledger.of(orders, by, ref_date)
-    rules = window_rules()
-    age = F.date_diff("ref", "day")
-    hits = F.filter(
-        F.array(
-            *[
-                F.struct(F.lit(p).alias("period"), F.lit(s).alias("side"), F.lit(a).alias("newest"), F.lit(z).alias("oldest"))
-                for p, s, _, a, z in rules
-            ]
-        ),
-        lambda w: (F.col("age") >= w["newest"]) & (F.col("age") <= w["oldest"]),
-    )
-    reach = max(z for *_, z in rules)
-    rows = led.with_first_day(led.recent(reach)).withColumn("age", age)
-    first_age = F.date_diff("ref", "first_day")
-    rows = rows.withColumn("w", F.explode(hits)).select(
-        *led.by,
-        "w.period",
-        "w.side",
-        "order_id",
-        "customer_id",
-        "amount",
-        "discount",
-        "gross",
-        F.coalesce(first_age.between(F.col("w.newest"), F.col("w.oldest")), F.lit(False)).alias("is_new"),
-    )
     keys = [*led.by, "period", "side"]
-    found = _summarise(rows, keys)
+    found = _kpis(_window_sums(led), keys)
     windows = period_windows(led)
     # Always null safe, also for stores: six windows per store on both sides.
     filled = attach(windows, found, keys)

@@ -29,7 +29,7 @@ def abc_classes(orders, by=(), metric: str = "revenue") -> DataFrame:
     led = Ledger.of(orders, by)
     source = F.col("amount") if metric == "revenue" else F.col("lines").cast(MONEY)
     values = product_totals(led).select(*led.by, "product", source.alias("value"), (-source).alias("_down"))
-    prefix = ordered_prefix(values, led.by, ["_down", "product"], {"value": "value"}, bounded=led.small)
+    prefix = ordered_prefix(values, led.by, ["_down", "product"], {"value": "value"})
     cumulative = F.try_divide(num("running_value"), num("whole_value"))
     a, b = ABC_LIMITS
     # The limits are compared at 12 places, as the shares are quotients of exact sums.
@@ -51,7 +51,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
     """
     led = Ledger.of(orders, by)
     k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(fraction)))
-    top = top_sum(product_totals(led), led.by, "amount", k, led.small)
+    top = top_sum(product_totals(led), led.by, "amount", k)
     return top.filter(F.col("group_total") > 0).select(
         *led.by,
         F.col("group_rows").alias("products"),
@@ -64,7 +64,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
 def top_n_share(orders, by=(), n: int = 5) -> DataFrame:
     """Share of the ``n`` best-selling products in product revenue."""
     led = Ledger.of(orders, by)
-    top = top_sum(product_totals(led), led.by, "amount", F.least(F.lit(n), F.col("group_rows")), led.small)
+    top = top_sum(product_totals(led), led.by, "amount", F.least(F.lit(n), F.col("group_rows")))
     return top.select(
         *led.by,
         F.col("top_k").alias("top_n"),
@@ -100,7 +100,7 @@ def product_kpis(orders, products: DataFrame, by=()) -> DataFrame:
     k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(0.2)))
     whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
     if led.product_key:
-        top = top_sum(product_totals(led), led.by, "amount", k, led.small).select(*led.by, "top_total")
+        top = top_sum(product_totals(led), led.by, "amount", k).select(*led.by, "top_total")
         whole = attach(whole, top, led.by)
     else:
         whole = whole.withColumn("top_total", F.lit(0).cast(MONEY))
@@ -189,7 +189,7 @@ def price_tiers(orders, by=()) -> DataFrame:
     )
     thirds = {"t1": 1 / 3, "t2": 2 / 3}
     probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0, **thirds}
-    edges = quantiles(means, led.by, "price", probs, led.small)
+    edges = quantiles(means, led.by, "price", probs)
 
     def bins(*names: str) -> Column:
         return F.size(F.array_distinct(F.array(*[F.round(c, 9) for c in names]))) - 1
@@ -229,43 +229,44 @@ def category_performance(orders, by=()) -> DataFrame:
     )
 
 
-def _last_sales(led: Ledger) -> DataFrame:
-    """by, _product, first_sale, last_sale up to the reference date."""
+def _sale_days(led: Ledger) -> DataFrame:
+    """by, _product, day of every sale up to the reference date, each day once."""
     key = led.need_key()
     sold = led.lines.filter(F.col(key).isNotNull()).select(
         *led.by, F.col(key).cast("string").alias("_product"), F.to_date("order_date").alias("day")
     )
-    if led.ref_date:
-        sold = sold.filter(F.col("day") <= F.lit(led.ref_date))
-    return sold.groupBy(*led.by, "_product").agg(F.min("day").alias("first_sale"), F.max("day").alias("last_sale"))
+    return (sold.filter(F.col("day") <= F.lit(led.ref_date)) if led.ref_date else sold).distinct()
 
 
-def _with_sales(led: Ledger, products: DataFrame) -> DataFrame:
-    """Catalogue rows with their sale dates and the reference date.
-
-    A catalogue without the store columns is matched to what each store has sold.
-    """
+def _catalogue(led: Ledger, products: DataFrame) -> DataFrame:
+    """Catalogue rows with ``_product`` and ``ref``; with stores it must say what each offers."""
     missing = [c for c in led.by if c not in products.columns]
-    catalogue = products.withColumn("_product", F.col("product_id").cast("string"))
-    sales = _last_sales(led)
     if missing:
-        joined = match(sales, catalogue, ["_product"])
-    else:
-        joined = match(catalogue, sales, [*led.by, "_product"], "left")
-    return led.with_reference(joined).drop("_product")
+        raise ValueError(f"the catalogue needs the store columns {missing}: what a store never sold is in no other table")
+    return led.with_reference(products.withColumn("_product", F.col("product_id").cast("string")))
 
 
 def dormant_products(orders, products: DataFrame, by=(), ref_date=None, days: int = 90) -> DataFrame:
     """Catalogue products without a sale in the last ``days`` days, with their last sale."""
     led = Ledger.of(orders, by, ref_date)
+    last = _sale_days(led).groupBy(*led.by, "_product").agg(F.max("day").alias("last_sale"))
     stale = F.col("last_sale").isNull() | (F.date_diff("ref", "last_sale") >= days)
-    return _with_sales(led, products).filter(stale).drop("ref", "first_sale")
+    return match(_catalogue(led, products), last, [*led.by, "_product"], "left").filter(stale).drop("ref", "_product")
 
 
 def unsold_launches(orders, products: DataFrame, by=(), ref_date=None, days: int = 60, launch_col: str = "launch_date") -> DataFrame:
-    """New products that had no sale within ``days`` days of their launch date."""
+    """Products without a sale from their launch date to ``days`` days after it.
+
+    Sales before the launch do not count.  ``first_sale`` and ``last_sale`` are over
+    all days.
+    """
     led = Ledger.of(orders, by, ref_date)
+    keys = [*led.by, "_product"]
     due = F.date_add(launch_col, days)
-    sold_in_time = F.col("last_sale").isNotNull() & (F.col("first_sale") <= due) & (F.col("last_sale") >= F.col(launch_col))
-    late = (due <= F.col("ref")) & ~sold_in_time
-    return _with_sales(led, products).filter(late).drop("ref")
+    launched = _catalogue(led, products).filter(due <= F.col("ref"))
+    sales = _sale_days(led)
+    spans = sales.groupBy(*keys).agg(F.min("day").alias("first_sale"), F.max("day").alias("last_sale"))
+    dates = launched.select(*keys, F.col(launch_col).alias("_launch")).distinct()
+    timely = match(dates, sales, keys).filter(F.col("day").between(F.col("_launch"), F.date_add("_launch", days)))
+    late = match(launched.withColumn("_launch", F.col(launch_col)), timely.select(*keys, "_launch").distinct(), [*keys, "_launch"], "left_anti")
+    return match(late, spans, keys, "left").drop("ref", "_product", "_launch")

@@ -144,8 +144,7 @@ def impact_models(
     list_price = F.try_divide(num("aov"), 1 - F.col("avg_discount_rate"))
     unit_cost = num("aov") * (1 - F.coalesce("overall_margin", F.lit(1.0)))
     shift = repeat_share_shift(
-        "revenue", "repeat_revenue_share", F.col("repeat_revenue_share") + share_step, "new_customer_aov",
-        acquisition_cost, retention_cost,
+        "revenue", share_step, "new_customer_aov", acquisition_cost, retention_cost,
     )
     saved = discount_recovery(list_price, unit_cost, "avg_discount_rate", reduction, elasticity, "orders")
     return wide.select(
@@ -153,10 +152,6 @@ def impact_models(
         repeat_rate_uplift(
             "new_customers", "repeat_purchase_rate", relative_uplift, "orders_per_repeater", "returning_customer_aov"
         ).alias("repeat_rate_uplift"),
-        shift["delta_repeat_revenue"].alias("delta_repeat_revenue"),
-        shift["fewer_new_orders"].alias("fewer_new_orders"),
-        shift["net_savings"].alias("net_savings"),
-        saved["delta_revenue"].alias("delta_revenue"),
-        saved["delta_gross_profit"].alias("delta_gross_profit"),
+        *[c.alias(name) for name, c in (shift | saved).items()],
         constant_volume_recovery("revenue", "avg_discount_rate", reduction).alias("constant_volume_recovery"),
     )

@@ -6,6 +6,9 @@ over all columns at once.
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +29,13 @@ def parse_timestamp(c: Column) -> Column:
     A text is only parsed with the pattern whose shape it has: failed parses are slow.
     """
     text = F.trim(c.cast("string"))
-    out = F.when(text.rlike(DATE_FORMS[0][0]), F.try_to_timestamp(text, F.lit(DATE_FORMS[0][1])))
-    for shape, pattern in DATE_FORMS[1:]:
-        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-    return out.when(text.rlike(ISO_FORM), F.try_to_timestamp(text))
+    # One test per family first, so that most texts meet a handful of shapes.
+    out = F.when(text.rlike(ISO_FORM), F.try_to_timestamp(text))
+    tidy = F.upper(F.regexp_replace(text, r"(?i) ?([ap]m)$", " $1"))
+    for shape, pattern in DATE_FORMS:
+        value = F.when(text.rlike("(?i)[ap]m$"), tidy).otherwise(text)
+        out = out.when(text.rlike(shape), F.try_to_timestamp(value, F.lit(pattern)))
+    return out
 
 
 def alias_map(columns: list[str]) -> dict[str, str]:
@@ -43,19 +49,30 @@ def alias_map(columns: list[str]) -> dict[str, str]:
     return found
 
 
-def token_similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the words in two names; 0 if either has none."""
-    words_a, words_b = (set(x.lower().replace("_", " ").split()) for x in (a, b))
-    return len(words_a & words_b) / len(words_a | words_b) if words_a and words_b else 0.0
+@cache
+def name_words(name: str) -> frozenset[str]:
+    """Words of a header: lower case, cut at blanks and underscores."""
+    return frozenset(re.findall(r"[^\s_]+", name.lower()))
+
+
+@cache
+def canonical_words(canonical: str) -> tuple[frozenset[str], frozenset[str]]:
+    """The words of all aliases of a canonical name together, and its own."""
+    return frozenset().union(*map(name_words, ALIASES[canonical])), name_words(canonical)
+
+
+def overlap(a: frozenset[str], b: frozenset[str]) -> float:
+    """Common words as a share of all words of two sets; 0 for two empty ones."""
+    together = len(a | b)
+    return (len(a) + len(b) - together) / together if together else 0.0
 
 
-def column_profile(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def column_profile(df: DataFrame) -> DataFrame:
     """column, rows, filled, numeric_rate, date_rate, distinct_rate, inferred_type.
 
     One pass over all columns.  Numbers are tested before dates, so a numeric
     column counts as ``currency``; ``id`` means mostly different values.
     """
-    rows = df.limit(sample_rows) if sample_rows else df
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
@@ -67,7 +84,7 @@ def column_profile(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
             F.count(F.when(~number, parse_timestamp(c))).alias(f"date_{i}"),
             F.approx_count_distinct(c).alias(f"distinct_{i}"),
         ]
-    wide = rows.agg(*aggs)
+    wide = df.agg(*aggs)
     entries = F.array(
         *[
             F.struct(
@@ -92,20 +109,19 @@ def column_profile(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     return wide.select(F.inline(entries)).withColumn("inferred_type", kind)
 
 
-def inferred_types(df: DataFrame, sample_rows: int | None = None) -> dict[str, str]:
+def inferred_types(df: DataFrame) -> dict[str, str]:
     """Column types as a small dict: one row per column comes to the driver."""
-    rows = column_profile(df, sample_rows).select("column", "inferred_type").collect()
+    rows = column_profile(df).select("column", "inferred_type").collect()
     return {r["column"]: r["inferred_type"] for r in rows}
 
 
 def fuzzy_scores(columns: list[str], types: dict[str, str], canonical: str) -> dict[str, float]:
-    words = " ".join(ALIASES[canonical])
-    wanted = EXPECTED_TYPES.get(canonical)
-    scores = {}
-    for c in columns:
-        bonus = TYPE_BONUS if wanted and types.get(c) == wanted else 0.0
-        scores[c] = max(token_similarity(c, words), token_similarity(c, canonical)) + bonus
-    return scores
+    """How well each header fits a canonical name, by words and by the values' type."""
+    targets = canonical_words(canonical)
+    wanted = EXPECTED_TYPES.get(canonical, "")
+    return {
+        c: max(overlap(name_words(c), t) for t in targets) + (TYPE_BONUS if wanted and types.get(c) == wanted else 0.0) for c in columns
+    }
 
 
 def undecided(columns: list[str]) -> list[str]:
@@ -136,26 +152,26 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
-def map_columns(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def map_columns(df: DataFrame) -> DataFrame:
     """Canonical names by alias, and by similarity if required columns are still missing."""
     df = rename(df, alias_map(df.columns))
     if REQUIRED["orders"] - set(df.columns):
         close = undecided(df.columns)
-        types = inferred_types(df.select(*[F.col(f"`{c}`") for c in close]), sample_rows) if close else {}
+        types = inferred_types(df.select(*[F.col(f"`{c}`") for c in close])) if close else {}
         guessed = fuzzy_map(df.columns, types)
         df = rename(df, {c: name for c, (name, _) in guessed.items()})
     return df
 
 
-def mapping_report(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
+def mapping_report(df: DataFrame) -> DataFrame:
     """source_col, canonical, tier, score, inferred_type; then one row per required column still missing."""
     exact = alias_map(df.columns)
     renamed = rename(df, exact)
     missing = REQUIRED["orders"] - set(renamed.columns)
-    profile = column_profile(df, sample_rows)
+    profile = column_profile(df)
     guessed: dict[str, tuple[str, float]] = {}
     if missing:
-        types = {exact.get(c, c): t for c, t in inferred_types(df, sample_rows).items()}
+        types = {exact.get(c, c): t for c, t in inferred_types(df).items()}
         guessed = fuzzy_map(renamed.columns, types)
     rows = []
     for c in df.columns:

@@ -57,12 +57,16 @@ def quality_report(raw: DataFrame, date_cols=("order_date",), number_cols=("amou
     return raw.agg(*aggs).select(F.inline(F.array(*kept)))
 
 
-def read_table(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = False) -> DataFrame:
-    """CSV with a header and all columns as text, or parquet, orc, json, or a catalogue table."""
+def read_table(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
+    """CSV with a header and all columns as text, or parquet, orc, json, or a catalogue table.
+
+    Quoted CSV fields may hold line breaks, so a file is one task; files known to have none
+    can be split with ``multi_line=False``.  Rows of another width than the header raise.
+    """
     if kind == "table":
         return spark.table(path)
     if kind == "csv":
-        return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+        return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', mode="FAILFAST")
     return spark.read.format(kind).load(path)
 
 
@@ -90,13 +94,13 @@ def bad_dates(df: DataFrame) -> DataFrame:
     return mapped.filter(F.col("order_date").isNotNull() & parse_timestamp(F.col("order_date")).isNull())
 
 
-def normalise_orders(df: DataFrame, fmt: str = "auto", on_bad_date: str = "fail", sample_rows: int | None = None) -> DataFrame:
+def normalise_orders(df: DataFrame, fmt: str = "auto", on_bad_date: str = "fail") -> DataFrame:
     """Canonical names and types; a missing amount becomes quantity × item price."""
     fmt = detect_format(df.columns) if fmt == "auto" else fmt
     if fmt == "shopify":
         df = rename(df, {k: v for k, v in SHOPIFY_ORDERS.items() if k in df.columns})
     else:
-        df = map_columns(df, sample_rows)
+        df = map_columns(df)
         if "amount" not in df.columns and {"quantity", "item_price"} <= set(df.columns):
             df = _numbers(df, "quantity", "item_price")
             df = df.withColumn("amount", (F.col("quantity") * F.col("item_price")).cast(MONEY))
@@ -113,22 +117,21 @@ def load_orders(
     spark: SparkSession,
     path: str,
     fmt: str = "auto",
-    nrows: int | None = None,
     kind: str = "csv",
     on_bad_date: str = "fail",
+    multi_line: bool = True,
 ) -> DataFrame:
-    """Orders in canonical form; ``nrows`` limits the scan (which rows is not defined)."""
-    raw = read_table(spark, path, kind)
-    return normalise_orders(raw.limit(nrows) if nrows else raw, fmt, on_bad_date)
+    """Orders in canonical form, from the whole source."""
+    return normalise_orders(read_table(spark, path, kind, multi_line), fmt, on_bad_date)
 
 
-def load_products(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    df = read_table(spark, path, kind)
+def load_products(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
+    df = read_table(spark, path, kind, multi_line)
     if SHOPIFY_PRODUCT_MARKERS <= set(df.columns):
         df = rename(df, {k: v for k, v in SHOPIFY_PRODUCTS.items() if k in df.columns})
     return require(_numbers(df, "price"), "products")
 
 
-def load_inventory(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    df = read_table(spark, path, kind)
+def load_inventory(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
+    df = read_table(spark, path, kind, multi_line)
     return require(_numbers(df, "quantity_on_hand", "days_on_hand", "cost"), "inventory")

@@ -160,3 +160,32 @@ def test_discount_trend_and_missing_discount(make_orders):
     assert r["discount_rate_trend"] == "increasing" and r["discounted_line_ratio"] == 1.0
     bare = one(pricing.discount_dependency(make_orders([x[:4] for x in rows])))
     assert (bare["discount_rate_trend"], bare["avg_discount_rate"], bare["discounted_line_ratio"]) == ("stable", 0.0, 0.0)
+
+
+def test_a_ledger_keeps_its_grouping(make_orders):
+    from tallybrook import Ledger
+
+    led = Ledger(make_orders([("1", "2025-01-01", "a", 1.0)]))
+    assert Ledger.of(led) is led
+    with pytest.raises(ValueError):
+        Ledger.of(led, ["store_id"])
+    with pytest.raises(ValueError):
+        Ledger.of(led, ref_date=dt.date(2024, 1, 1))
+
+
+def test_an_order_with_and_without_its_customer(make_orders):
+    """Later lines of an order may lack the customer; the order counts once."""
+    rows = [("1", "2025-01-01", "a", 5.0), ("1", "2025-01-01", None, 3.0), ("2", "2025-01-02", None, 2.0), (None, "2025-01-02", "b", 1.0)]
+    month = {(r.period, r.side): r for r in kpis.period_summary(make_orders(rows)).collect()}["30d", "current"]
+    assert (month.orders, month.customers, month.new_customers, month.revenue) == (2, 2, 2, 11.0)
+    assert (month.new_customer_revenue, month.returning_customer_revenue, month.new_customer_aov, month.returning_customer_aov) == (6.0, 5.0, 6.0, 2.5)
+
+
+def test_launches_and_sales_before_them(spark, make_orders):
+    from tallybrook.operators import products
+
+    lines = make_orders([("1", "2024-01-01", "a", 1.0, "p"), ("2", "2025-06-01", "a", 1.0, "p"), ("3", "2024-02-05", "a", 1.0, "q")], ", sku string")
+    launches = spark.createDataFrame([("p", dt.date(2024, 2, 1)), ("q", dt.date(2024, 2, 1)), ("r", dt.date(2024, 2, 1))], "product_id string, launch_date date")
+    assert {r.product_id for r in products.unsold_launches(lines, launches).collect()} == {"p", "r"}
+    with pytest.raises(ValueError):
+        products.dormant_products(lines.withColumn("store_id", lines.sku), launches, ["store_id"])

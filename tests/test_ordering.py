@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 from tallybrook.functions import ordering
 
 
-@pytest.fixture(params=[7, 1_000_000])
-def slices(request, monkeypatch):
-    monkeypatch.setattr(ordering, "ROWS_PER_SLICE", request.param)
+@pytest.fixture(params=["1", "13"])
+def slices(request, spark):
+    """Few rows in one slice, and in many."""
+    names = {"spark.sql.shuffle.partitions": request.param, "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 @pytest.fixture

@@ -56,8 +56,8 @@ def test_bad_dates(spark, csv):
 
 def test_alias_and_similarity():
     assert mapping.alias_map(["Order Number", "DATE", "amount"]) == {"Order Number": "order_id", "DATE": "order_date"}
-    assert mapping.token_similarity("order_date", "Order date") == 1.0
-    assert mapping.token_similarity("", "x") == 0.0
+    assert mapping.overlap(mapping.name_words("order_date"), mapping.name_words("Order  date")) == 1.0
+    assert mapping.overlap(mapping.name_words(""), mapping.name_words("x")) == 0.0
     assert mapping.fuzzy_map(["order_id", "sale order date"], {"sale order date": "date"})["sale order date"][0] == "order_date"
     # A canonical column is never taken for another one.
     assert "order_id" not in mapping.fuzzy_map(["order_id", "x"], {})
@@ -89,3 +89,38 @@ def test_products_inventory_and_validation(spark, csv):
 def test_date_forms(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(mapping.parse_timestamp(df["t"]).alias("t")).collect()[0]["t"] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("12/1/09 7:45", dt.datetime(2009, 12, 1, 7, 45)),
+        ("12/1/2009 7:45 AM", dt.datetime(2009, 12, 1, 7, 45)),
+        ("12/1/2009 7:45pm", dt.datetime(2009, 12, 1, 19, 45)),
+        ("31-01-2025", dt.datetime(2025, 1, 31)),
+        ("01-31-2025", dt.datetime(2025, 1, 31)),
+        ("31.01.2025", dt.datetime(2025, 1, 31)),
+        ("13/01/2025 10:05", dt.datetime(2025, 1, 13, 10, 5)),
+        ("January 31, 2025", dt.datetime(2025, 1, 31)),
+        ("Jan 31, 2025 10:05", dt.datetime(2025, 1, 31, 10, 5)),
+        ("2025-01-31 10:05:00 UTC", dt.datetime(2025, 1, 31, 10, 5)),
+        ("2025-01-31 10:05:00 -0500", dt.datetime(2025, 1, 31, 15, 5)),
+        ("2025-01-31T10:05:00Z", dt.datetime(2025, 1, 31, 10, 5)),
+        ("20250131", dt.datetime(2025, 1, 31)),
+        ("31 January 2025", dt.datetime(2025, 1, 31)),
+        ("2025/1/31 10:05:06", dt.datetime(2025, 1, 31, 10, 5, 6)),
+        ("13/13/2025", None),
+        ("soon", None),
+    ],
+)
+def test_date_forms(spark, text, want):
+    df = spark.createDataFrame([(text,)], "d string")
+    assert df.select(mapping.parse_timestamp(df.d)).first()[0] == want
+
+
+def test_quoted_line_breaks_and_wrong_width(spark, csv):
+    path = csv('order_id,date,total,email,note\n1,2025-01-01,3,a,"line one\nline two"\n2,2025-01-02,4,b,\n')
+    rows = readers.load_orders(spark, path).collect()
+    assert {r["order_id"]: r["note"] for r in rows} == {"1": "line one\nline two", "2": None}
+    with pytest.raises(Exception):
+        readers.load_orders(spark, csv("order_id,date,total,email\n1,2025-01-01,3\n2,2025-01-01,3,a,x,y\n")).collect()

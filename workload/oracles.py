@@ -360,18 +360,31 @@ def oracle_sql() -> dict[str, str]:
         FROM part LEFT JOIN sold ON sku = CAST(p_partkey AS VARCHAR), (SELECT max(ref) AS ref FROM refs) AS f
         WHERE last_sale IS NULL OR ref - last_sale >= 30""",
     )
+    offered = "part JOIN nation ON n_nationkey = p_partkey % 25"
     out["dormant_products_by_store"] = _one(
         by, [refs(), sold],
         f"""{catalogue}, strftime(last_sale, '%Y-%m-%d') AS last_sale
-        FROM part JOIN sold ON sku = CAST(p_partkey AS VARCHAR) JOIN refs USING (store_id) WHERE ref - last_sale >= 90""",
-    )
+        FROM (SELECT p_partkey, p_name, p_retailprice, p_type, n_name AS store_id FROM {offered}) AS p JOIN refs USING (store_id)
+        LEFT JOIN sold ON sold.store_id = p.store_id AND sku = CAST(p_partkey AS VARCHAR)
+        WHERE last_sale IS NULL OR ref - last_sale >= 90""",
+    )
+    launched = "DATE '1995-01-01' + CAST(p_partkey * 7 % 2400 AS INT) AS launch"
+    dates = """strftime(launch, '%Y-%m-%d') AS launch_date, strftime(first_sale, '%Y-%m-%d') AS first_sale,
+            strftime(last_sale, '%Y-%m-%d') AS last_sale"""
+    untimely = "NOT EXISTS (SELECT 1 FROM o WHERE {store}o.sku = CAST(p_partkey AS VARCHAR) AND o.day BETWEEN launch AND launch + 60)"
     out["unsold_launches"] = _one(
         STD, [refs(), sold],
-        f"""{catalogue}, strftime(launch, '%Y-%m-%d') AS launch_date, strftime(first_sale, '%Y-%m-%d') AS first_sale,
-            strftime(last_sale, '%Y-%m-%d') AS last_sale
-        FROM (SELECT *, DATE '1995-01-01' + CAST(p_partkey * 7 % 2400 AS INT) AS launch FROM part)
+        f"""{catalogue}, {dates}
+        FROM (SELECT *, {launched} FROM part)
         LEFT JOIN sold ON sku = CAST(p_partkey AS VARCHAR), (SELECT max(ref) AS ref FROM refs) AS f
-        WHERE launch + 60 <= ref AND NOT coalesce(first_sale <= launch + 60 AND last_sale >= launch, false)""",
+        WHERE launch + 60 <= ref AND {untimely.format(store='')}""",
+    )
+    out["unsold_launches_by_store"] = _one(
+        by, [refs(), sold],
+        f"""{catalogue}, {dates}
+        FROM (SELECT p_partkey, p_name, p_retailprice, p_type, n_name AS store_id, {launched} FROM {offered}) AS p JOIN refs USING (store_id)
+        LEFT JOIN sold ON sold.store_id = p.store_id AND sku = CAST(p_partkey AS VARCHAR)
+        WHERE launch + 60 <= ref AND {untimely.format(store='o.store_id = p.store_id AND ')}""",
     )
 
     # Pricing and stock

@@ -218,8 +218,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cross_sell_pairs_blocked": _on(baskets.cross_sell_pairs, options={**pairs, "large_basket": 4}),
         "cross_sell_pairs_by_store": _on(baskets.cross_sell_pairs, STORE, options=pairs),
         "dormant_products": _with_table(products.dormant_products, tables.catalogue, days=30),
-        "dormant_products_by_store": _with_table(products.dormant_products, tables.catalogue, STORE, days=90),
+        "dormant_products_by_store": _with_table(products.dormant_products, tables.store_catalogue, STORE, days=90),
         "unsold_launches": _with_table(products.unsold_launches, tables.launches),
+        "unsold_launches_by_store": _with_table(products.unsold_launches, tables.store_launches, STORE),
         # Pricing and stock
         "monthly_discount_rate": _on(pricing.monthly_discount_rate),
         "discount_dependency": _on(pricing.discount_dependency),

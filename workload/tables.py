@@ -83,10 +83,20 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def launches(spark: SparkSession, folder: str) -> DataFrame:
+def store_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogue in which each product is offered by one store, sold there or not."""
+    stores = table(spark, folder, "nation").select(F.col("n_nationkey").alias("_key"), F.col("n_name").alias("store_id"))
+    return catalogue(spark, folder).withColumn("_key", F.expr("product_id % 25")).join(stores, "_key").drop("_key")
+
+
+def launches(spark: SparkSession, folder: str, offered=catalogue) -> DataFrame:
     """Catalogue with a launch date spread over the sales years by product number."""
     offset = F.expr("cast(product_id * 7 % 2400 as int)")
-    return catalogue(spark, folder).withColumn("launch_date", F.date_add(F.lit("1995-01-01").cast("date"), offset))
+    return offered(spark, folder).withColumn("launch_date", F.date_add(F.lit("1995-01-01").cast("date"), offset))
+
+
+def store_launches(spark: SparkSession, folder: str) -> DataFrame:
+    return launches(spark, folder, store_catalogue)
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
