@@ -175,25 +175,30 @@ def stability_score(orders, by=()) -> DataFrame:
     )
 
 
-def seasonal_share(orders, by=(), ref_date=None) -> DataFrame:
-    """Quarters of the trailing year: value, share of the year, ratio to the other quarters' mean."""
+def seasonal_share(orders, by=(), ref_date=None, grain: str = "quarter") -> DataFrame:
+    """Quarters or months of the trailing year: value, share of the year, ratio to the mean of
+    the others."""
     from tallybrook.operators.kpis import monthly_trend
 
     led = Ledger.of(orders, by, ref_date)
     start = F.to_date(F.concat("month", F.lit("-01")))
+    labels = {
+        "quarter": F.concat_ws("-Q", F.year(start).cast("string"), F.quarter(start).cast("string")),
+        "month": F.col("month"),
+    }
     quarters = (
         monthly_trend(led)
-        .groupBy(*led.by, F.concat_ws("-Q", F.year(start).cast("string"), F.quarter(start).cast("string")).alias("quarter"))
+        .groupBy(*led.by, labels[grain].alias(grain))
         .agg(F.sum("revenue").alias("revenue"), F.sum("orders").alias("orders"), F.count(F.lit(1)).alias("months"))
     )
     year, n = F.sum("revenue").over(group_window(led.by)), F.count(F.lit(1)).over(group_window(led.by))
     rest = F.try_divide(year - F.col("revenue"), n - 1)
     return quarters.select(
         *led.by,
-        "quarter",
+        grain,
         "revenue",
         "orders",
         "months",
         F.try_divide(F.col("revenue"), year).alias("year_share"),
-        F.try_divide(F.col("revenue"), rest).alias("vs_other_quarters"),
+        F.try_divide(F.col("revenue"), rest).alias(f"vs_other_{grain}s"),
     )

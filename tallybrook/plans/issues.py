@@ -58,24 +58,26 @@ def estimate_impact(checks: DataFrame, annual: DataFrame, by: By = ()) -> DataFr
     )
 
 
-def top_issues(checks: DataFrame, annual: DataFrame, by: By = (), max_issues: int = rules.MAX_ISSUES) -> DataFrame:
-    """Flagged checks by severity, fail before watch, impact, check order."""
+def top_issues(checks: DataFrame, annual: DataFrame, by: By = (), max_issues: int | None = rules.MAX_ISSUES) -> DataFrame:
+    """Flagged checks by severity, fail before watch, impact, check order; all of them with None."""
     impact = estimate_impact(checks, annual, by).select(*by, "check_id", "annual_revenue_impact")
     flagged = attach(checks.filter(_flagged()), impact, [*by, "check_id"])
     flagged = flagged.withColumn("estimated_annual_impact", F.coalesce("annual_revenue_impact", F.lit(0.0)))
     order = group_window(by).orderBy(_severity_rank(), _not_fail(), F.desc("estimated_annual_impact"), "ord")
-    ranked = flagged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_issues)
+    ranked = flagged.withColumn("rank", F.row_number().over(order))
+    ranked = ranked.filter(F.col("rank") <= max_issues) if max_issues is not None else ranked
     return ranked.select(*by, "rank", "check_id", "category", "severity", "result", "message", "estimated_annual_impact")
 
 
-def action_candidates(issues: DataFrame, by: By = (), max_actions: int = rules.MAX_ACTIONS) -> DataFrame:
+def action_candidates(issues: DataFrame, by: By = (), max_actions: int | None = rules.MAX_ACTIONS) -> DataFrame:
     """First issue of each check with its action text and timeline, in issue order."""
     fields = ["rank", "severity", "message", "estimated_annual_impact"]
     first = issues.groupBy(*by, "check_id").agg(F.min_by(F.struct(*fields), "rank").alias("f"))
     first = first.select(*by, "check_id", *[F.col(f"f.{c}").alias(c) for c in fields])
     ranked = first.withColumn("rank", F.row_number().over(group_window(by).orderBy("rank")))
     action = F.coalesce(_choose(F.col("check_id"), rules.ACTIONS, None), F.concat(F.lit("Address "), "message"))
-    return ranked.filter(F.col("rank") <= max_actions).select(
+    ranked = ranked.filter(F.col("rank") <= max_actions) if max_actions is not None else ranked
+    return ranked.select(
         *by,
         "rank",
         action.alias("action"),

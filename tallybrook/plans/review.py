@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +79,8 @@ class Review:
     """
 
     def __init__(self, orders, by=(), period: str | None = None, ref_date: date | None = None,
-                 pair_support: float = rules.PAIR_SUPPORT):
+                 pair_support: float = rules.PAIR_SUPPORT, generated_at: str | None = None):
+        self.generated_at = generated_at or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
         self.ledger = Ledger.of(orders, by, ref_date).keep()
         self.by = self.ledger.by
         self.period = period
@@ -167,7 +168,7 @@ class Review:
             *self.by,
             F.to_json(
                 F.struct(
-                    F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("generated_at"),
+                    F.lit(self.generated_at).alias("generated_at"),
                     *[c for c in self.metadata.columns if c not in self.by],
                 )
             ).alias("metadata"),
@@ -255,7 +256,9 @@ def _check_json() -> Column:
     """A check as JSON; value and threshold are numbers, texts or null."""
 
     def scalar(number: str, text: str) -> Column:
-        quoted = F.concat(F.lit('"'), F.col(text), F.lit('"'))
+        # A text is escaped as the one entry of an array, then taken out of its brackets.
+        listed = F.to_json(F.array(text))
+        quoted = F.when(F.col(text).isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
         return F.coalesce(quoted, F.col(number).cast("string"), F.lit("null"))
 
     head = F.to_json(F.struct(F.col("check_id").alias("id"), "category", "severity", "result", "message"))
@@ -270,9 +273,12 @@ def _check_json() -> Column:
 
 
 def review_documents(orders, by=(), period: str | None = None, ref_date: date | None = None,
-                     pair_support: float = rules.PAIR_SUPPORT) -> DataFrame:
-    """One JSON document per store; rollups are released before it is returned."""
-    review = Review(orders, by, period, ref_date, pair_support)
+                     pair_support: float = rules.PAIR_SUPPORT, generated_at: str | None = None) -> DataFrame:
+    """One JSON document per store; rollups are released before it is returned.
+
+    ``generated_at`` is the time written into the metadata, the present one if not given.
+    """
+    review = Review(orders, by, period, ref_date, pair_support, generated_at)
     out = durable(review.documents())
     review.release()
     return out

@@ -69,6 +69,9 @@ ALIASES = {
     "item_price": ["item_price", "item price", "unit_price", "unit price", "lineitem price", "price"],
 }
 
+# Fixed value: what is said of a source without an optional column.
+NOTES_WITHOUT = {("orders", "discount"): "'discount' column missing — discount analysis will be skipped"}
+
 # Value type a canonical column should have, bonus for it, least score to map.
 EXPECTED_TYPES = {
     "order_id": "id",
@@ -81,32 +84,26 @@ EXPECTED_TYPES = {
 TYPE_BONUS = 0.2
 LEAST_SCORE = 0.5
 
-# Shape of a date text and its pattern, tried in turn; month comes before day
+# Shape of a date and its pattern, tried in turn; month comes before day
 # unless the first number cannot be a month.
-_MONTH, _DAY_ONLY, _ANY = r"(0?[1-9]|1[0-2])", r"(1[3-9]|2\d|3[01])", r"\d{1,2}"
-_TIMES = [
-    (r" \d{1,2}:\d{2}:\d{2} ?[AaPp][Mm]", " h:mm:ss a"),
-    (r" \d{1,2}:\d{2} ?[AaPp][Mm]", " h:mm a"),
-    (r" \d{1,2}:\d{2}:\d{2}", " H:mm:ss"),
-    (r" \d{1,2}:\d{2}", " H:mm"),
-    (r"", ""),
-]
-_DATES = [
-    *[(rf"{_MONTH}{cut}{_ANY}{cut}\d{{4}}", f"M{sep}d{sep}yyyy") for cut, sep in (("/", "/"), ("-", "-"), ("[.]", "."))],
-    *[(rf"{_DAY_ONLY}{cut}{_ANY}{cut}\d{{4}}", f"d{sep}M{sep}yyyy") for cut, sep in (("/", "/"), ("-", "-"), ("[.]", "."))],
-    (rf"{_MONTH}/{_ANY}/\d{{2}}", "M/d/yy"),
-    (rf"{_DAY_ONLY}/{_ANY}/\d{{2}}", "d/M/yy"),
-    (rf"\d{{4}}/{_ANY}/{_ANY}", "yyyy/M/d"),
-    (rf"[A-Z][a-z]{{2}} {_ANY}, \d{{4}}", "MMM d, yyyy"),
-    (rf"[A-Z][a-z]{{3,8}} {_ANY}, \d{{4}}", "MMMM d, yyyy"),
-    (rf"{_ANY} [A-Z][a-z]{{2}} \d{{4}}", "d MMM yyyy"),
-    (rf"{_ANY} [A-Z][a-z]{{3,8}} \d{{4}}", "d MMMM yyyy"),
-    (r"\d{8}", "yyyyMMdd"),
-]
+_MONTH, _DAY_ONLY, _ANY = r"(?:0?[1-9]|1[0-2])", r"(?:1[3-9]|2\d|3[01])", r"\d{1,2}"
 DATE_FORMS = [
+    *[(rf"^{_MONTH}{cut}{_ANY}{cut}\d{{4}}$", f"M{sep}d{sep}yyyy") for cut, sep in (("/", "/"), ("-", "-"), ("[.]", "."))],
+    *[(rf"^{_DAY_ONLY}{cut}{_ANY}{cut}\d{{4}}$", f"d{sep}M{sep}yyyy") for cut, sep in (("/", "/"), ("-", "-"), ("[.]", "."))],
+    (rf"^{_MONTH}/{_ANY}/\d{{2}}$", "M/d/yy"),
+    (rf"^{_DAY_ONLY}/{_ANY}/\d{{2}}$", "d/M/yy"),
+    (rf"^\d{{4}}/{_ANY}/{_ANY}$", "yyyy/M/d"),
+    (rf"^[A-Z][a-z]{{2}} {_ANY}, \d{{4}}$", "MMM d, yyyy"),
+    (rf"^[A-Z][a-z]{{3,8}} {_ANY}, \d{{4}}$", "MMMM d, yyyy"),
+    (rf"^{_ANY} [A-Z][a-z]{{2}} \d{{4}}$", "d MMM yyyy"),
+    (rf"^{_ANY} [A-Z][a-z]{{3,8}} \d{{4}}$", "d MMMM yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
+]
+# Time of day after a date, and whole timestamps with a zone.
+CLOCK = r" (\d{1,2}):(\d{2})(?::(\d{2}))? ?([AaPp][Mm])?$"
+ZONED_FORMS = [
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "yyyy-M-d HH:mm:ss Z"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2} UTC$", "yyyy-M-d HH:mm:ss 'UTC'"),
-    *[(f"^{day}{hour}$", pattern + clock) for day, pattern in _DATES for hour, clock in _TIMES],
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2} UTC$", "yyyy-M-d HH:mm:ss z"),
 ]
 # Fixed value: shape of ISO date and timestamp texts.
 ISO_FORM = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}(:\d{1,2}(:\d{1,2}([.]\d+)?)?)?([zZ]|\s?[+-]\d{1,2}(:?\d{2})?)?)?)?$"

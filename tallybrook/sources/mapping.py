@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from tallybrook.sources.headers import (
     ALIASES,
+    CLOCK,
     DATE_FORMS,
     EXPECTED_TYPES,
     ISO_FORM,
     LEAST_SCORE,
     REQUIRED,
     TYPE_BONUS,
+    ZONED_FORMS,
 )
 
 
@@ -27,15 +29,23 @@ def parse_timestamp(c: Column) -> Column:
     """Timestamp from mixed date texts, null where no pattern fits.
 
     A text is only parsed with the pattern whose shape it has: failed parses are slow.
+    A time of day is read apart from its date, so every date form takes every time form.
     """
     text = F.trim(c.cast("string"))
-    # One test per family first, so that most texts meet a handful of shapes.
+    day_text = F.regexp_replace(text, CLOCK, "")
+    part = lambda k: F.regexp_extract(text, CLOCK, k)
+    hour, minute, second = (F.coalesce(part(k).try_cast("int"), F.lit(0)) for k in (1, 2, 3))
+    half = F.lower(part(4))
+    on_clock = F.when(half == "", hour < 24).otherwise(hour.between(1, 12)) & (minute < 60) & (second < 60)
+    full = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    seconds = F.when(on_clock, full * 3600 + minute * 60 + second)
+    day = F.when(day_text.rlike(DATE_FORMS[0][0]), F.try_to_timestamp(day_text, F.lit(DATE_FORMS[0][1])))
+    for shape, pattern in DATE_FORMS[1:]:
+        day = day.when(day_text.rlike(shape), F.try_to_timestamp(day_text, F.lit(pattern)))
     out = F.when(text.rlike(ISO_FORM), F.try_to_timestamp(text))
-    tidy = F.upper(F.regexp_replace(text, r"(?i) ?([ap]m)$", " $1"))
-    for shape, pattern in DATE_FORMS:
-        value = F.when(text.rlike("(?i)[ap]m$"), tidy).otherwise(text)
-        out = out.when(text.rlike(shape), F.try_to_timestamp(value, F.lit(pattern)))
-    return out
+    for shape, pattern in ZONED_FORMS:
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return out.otherwise(F.timestamp_add("SECOND", seconds, day))
 
 
 def alias_map(columns: list[str]) -> dict[str, str]:

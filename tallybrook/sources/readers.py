@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybrook.functions.scalars import MONEY
 from tallybrook.sources.headers import (
+    NOTES_WITHOUT,
     REQUIRED,
     SHOPIFY_ORDER_MARKERS,
     SHOPIFY_ORDERS,
@@ -30,18 +32,18 @@ def detect_format(columns: list[str]) -> str:
 
 def validate_schema(df: DataFrame, schema: str) -> Validation:
     """Required columns of ``orders``, ``products`` or ``inventory``; other names need none."""
-    missing = sorted(REQUIRED.get(schema, set()) - set(df.columns))
-    warnings = []
-    if schema == "orders" and "discount" not in df.columns:
-        warnings.append("'discount' column missing — discount analysis will be skipped")
-    return Validation(not missing, missing, warnings)
+    lacking = [name for name in sorted(REQUIRED.get(schema, ())) if name not in df.columns]
+    notes = [text for (kind, name), text in NOTES_WITHOUT.items() if kind == schema and name not in df.columns]
+    return Validation(not lacking, lacking, notes)
 
 
-def require(df: DataFrame, schema: str) -> DataFrame:
-    missing = validate_schema(df, schema).missing_columns
-    if missing:
-        raise ValueError(f"{schema} source lacks required columns: {missing}")
-    return df
+def conform(df: DataFrame, kind: str) -> DataFrame:
+    """One projection: each canonical column of ``kind`` in its type, others as they are."""
+    typed = CANONICAL[kind]
+    out = df.select(*[typed.get(c, _as_is)(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    if lacking := validate_schema(out, kind).missing_columns:
+        raise ValueError(f"{kind} source lacks required columns: {lacking}")
+    return out
 
 
 def quality_report(raw: DataFrame, date_cols=("order_date",), number_cols=("amount", "discount", "quantity", "item_price")) -> DataFrame:
@@ -70,9 +72,29 @@ def read_table(spark: SparkSession, path: str, kind: str = "csv", multi_line: bo
     return spark.read.format(kind).load(path)
 
 
-def _numbers(df: DataFrame, *columns: str) -> DataFrame:
-    present = {c: F.col(c).try_cast(MONEY) for c in columns if c in df.columns}
-    return df.withColumns(present) if present else df
+def _as_is(c: Column) -> Column:
+    return c
+
+
+def _money(c: Column) -> Column:
+    return c.try_cast(MONEY)
+
+
+def _money_or_zero(c: Column) -> Column:
+    return F.coalesce(c.try_cast(MONEY), F.lit(0).cast(MONEY))
+
+
+def _text(c: Column) -> Column:
+    return c.cast("string")
+
+
+CANONICAL: dict[str, dict[str, Callable[[Column], Column]]] = {
+    "orders": {
+        "order_id": _text, "customer_id": _text, "sku": _text, "amount": _money, "cost": _money, "discount": _money_or_zero,
+    },
+    "products": {"price": _money},
+    "inventory": {"quantity_on_hand": _money, "days_on_hand": _money, "cost": _money},
+}
 
 
 def _dates(df: DataFrame, on_bad_date: str) -> DataFrame:
@@ -96,21 +118,12 @@ def bad_dates(df: DataFrame) -> DataFrame:
 
 def normalise_orders(df: DataFrame, fmt: str = "auto", on_bad_date: str = "fail") -> DataFrame:
     """Canonical names and types; a missing amount becomes quantity × item price."""
-    fmt = detect_format(df.columns) if fmt == "auto" else fmt
-    if fmt == "shopify":
-        df = rename(df, {k: v for k, v in SHOPIFY_ORDERS.items() if k in df.columns})
-    else:
-        df = map_columns(df)
-        if "amount" not in df.columns and {"quantity", "item_price"} <= set(df.columns):
-            df = _numbers(df, "quantity", "item_price")
-            df = df.withColumn("amount", (F.col("quantity") * F.col("item_price")).cast(MONEY))
-    df = _numbers(_dates(df, on_bad_date), "amount", "discount", "cost")
-    if "discount" in df.columns:
-        df = df.withColumn("discount", F.coalesce("discount", F.lit(0).cast(MONEY)))
-    for key in ("order_id", "customer_id", "sku"):
-        if key in df.columns:
-            df = df.withColumn(key, F.col(key).cast("string"))
-    return require(df, "orders")
+    shop = (detect_format(df.columns) if fmt == "auto" else fmt) == "shopify"
+    named = rename(df, SHOPIFY_ORDERS) if shop else map_columns(df)
+    if not shop and "amount" not in named.columns and {"quantity", "item_price"} <= set(named.columns):
+        named = named.withColumns({c: _money(F.col(c)) for c in ("quantity", "item_price")})
+        named = named.withColumn("amount", F.col("quantity") * F.col("item_price"))
+    return conform(_dates(named, on_bad_date), "orders")
 
 
 def load_orders(
@@ -126,12 +139,9 @@ def load_orders(
 
 
 def load_products(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
-    df = read_table(spark, path, kind, multi_line)
-    if SHOPIFY_PRODUCT_MARKERS <= set(df.columns):
-        df = rename(df, {k: v for k, v in SHOPIFY_PRODUCTS.items() if k in df.columns})
-    return require(_numbers(df, "price"), "products")
+    raw = read_table(spark, path, kind, multi_line)
+    return conform(rename(raw, SHOPIFY_PRODUCTS) if SHOPIFY_PRODUCT_MARKERS <= set(raw.columns) else raw, "products")
 
 
 def load_inventory(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
-    df = read_table(spark, path, kind, multi_line)
-    return require(_numbers(df, "quantity_on_hand", "days_on_hand", "cost"), "inventory")
+    return conform(read_table(spark, path, kind, multi_line), "inventory")

@@ -231,14 +231,16 @@ def oracle_sql() -> dict[str, str]:
         {r('repeat_revenue_share * (1 - cv)')} AS stability_score
         FROM repeats JOIN (SELECT store_id, stddev_samp(revenue) / avg(revenue) AS cv FROM months GROUP BY 1) USING (store_id)""",
     )
-    out["seasonal_share"] = _one(
-        STD, [refs(), CUSTOMER_FIRST, TREND],
-        f"""quarter, {r('revenue')} AS revenue, CAST(orders AS BIGINT) AS orders, months,
-        {r('revenue / nullif(year, 0)')} AS year_share, {r('revenue / nullif((year - revenue) / nullif(n - 1, 0), 0)')} AS vs_other_quarters
-        FROM (SELECT *, sum(revenue) OVER (PARTITION BY store_id) AS year, count(*) OVER (PARTITION BY store_id) AS n FROM (
-            SELECT store_id, left(month, 4) || '-Q' || CAST(((CAST(right(month, 2) AS INT) - 1) // 3) + 1 AS VARCHAR) AS quarter,
-                CAST(sum(revenue) AS DOUBLE) AS revenue, sum(orders) AS orders, count(*) AS months FROM trend GROUP BY 1, 2))""",
-    )
+    quarter = "left(month, 4) || '-Q' || CAST(((CAST(right(month, 2) AS INT) - 1) // 3) + 1 AS VARCHAR)"
+    for name, grain, label in (("seasonal_share", "quarter", quarter), ("seasonal_share_months", "month", "month")):
+        out[name] = _one(
+            STD, [refs(), CUSTOMER_FIRST, TREND],
+            f"""{grain}, {r('revenue')} AS revenue, CAST(orders AS BIGINT) AS orders, months, {r('revenue / nullif(year, 0)')} AS year_share,
+            {r('revenue / nullif((year - revenue) / nullif(n - 1, 0), 0)')} AS vs_other_{grain}s
+            FROM (SELECT *, sum(revenue) OVER (PARTITION BY store_id) AS year, count(*) OVER (PARTITION BY store_id) AS n FROM (
+                SELECT store_id, {label} AS {grain}, CAST(sum(revenue) AS DOUBLE) AS revenue, sum(orders) AS orders, count(*) AS months
+                FROM trend GROUP BY 1, 2))""",
+        )
 
     # Customers
     out["cohort_month"] = _one(

@@ -176,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "daily_cv_returns": _on(revenue.daily_revenue_cv, returns=True),
         "stability_score": _on(revenue.stability_score),
         "seasonal_share": _on(revenue.seasonal_share),
+        "seasonal_share_months": _on(revenue.seasonal_share, options={"grain": "month"}),
         # Customers
         "cohort_month": _on(customers.cohort_month),
         "lines_with_cohort": lambda spark, folder: present(
