@@ -58,7 +58,8 @@ def _count_pairs(kept: DataFrame, limits: DataFrame, by: list[str], large_basket
     if large.isEmpty():
         return _pairs_of_small(kept, by)
     pair = [*by, "product_a", "product_b"]
-    from_small = _pairs_of_small(match(kept, large, basket, "left_anti"), by)
+    # Read twice: added up, and as the candidates that are followed through large baskets.
+    from_small = durable(_pairs_of_small(match(kept, large, basket, "left_anti"), by))
     big = match(kept, large, basket, "left_semi")
     in_big = attach(big.groupBy(*by, "product").agg(F.count(F.lit(1)).alias("_in_big")), limits, by)
     from_big = _common_pairs(big, in_big, by, large_basket).unionByName(_rare_pairs(big, in_big, from_small, by))
@@ -112,11 +113,11 @@ def _rare_pairs(big: DataFrame, in_big: DataFrame, from_small: DataFrame, by: li
     """Large-basket counts of pairs with a product too rare there to qualify by them alone.
 
     Such a pair must also occur in a small basket, so those pairs are the complete
-    candidates.  Each is followed from its rarer product, which is in fewer large
-    baskets than the needed count.
+    candidates.  Those stay that reach the needed count if every large basket with the
+    rarer product held both; each is followed from that product.
     """
     presence = in_big.select(*by, "product", "_in_big", "needed")
-    cand = from_small.select(*by, "product_a", "product_b")
+    cand = from_small.select(*by, "product_a", "product_b", F.col("count").alias("_small"))
     for side in ("a", "b"):
         one = presence.select(
             *by,
@@ -125,7 +126,8 @@ def _rare_pairs(big: DataFrame, in_big: DataFrame, from_small: DataFrame, by: li
             F.col("needed").alias(f"_needed_{side}"),
         )
         cand = match(cand, one, [*by, f"product_{side}"])
-    cand = cand.filter(F.least("_big_a", "_big_b") < F.col("_needed_a"))
+    rarer = F.least("_big_a", "_big_b")
+    cand = cand.filter((rarer < F.col("_needed_a")) & (F.col("_small") + rarer >= F.col("_needed_a")))
     a_rarer = F.col("_big_a") <= F.col("_big_b")
     cand = cand.select(
         *by,

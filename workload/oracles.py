@@ -506,4 +506,40 @@ def oracle_sql() -> dict[str, str]:
         {"count(*) FILTER (o_orderpriority <> '1-URGENT')" if c == 'discount' else 'CAST(0 AS BIGINT)'} AS unparsable FROM orders"""
         for c in ("order_id", "order_date", "financial_status", "amount", "customer_id", "discount")
     )
+    # What the retail export's columns hold, and what its headers should be called.
+    retail = {
+        "Invoice": ("'INV' || o_orderkey", "order_id"),
+        "StockCode": ("CAST(l_partkey AS VARCHAR)", "sku"),
+        "Description": ("p_name", "product_name"),
+        "Quantity": ("CAST(CAST(l_quantity AS INT) AS VARCHAR)", "quantity"),
+        "InvoiceDate": ("strftime(o_orderdate, '%-m/%-d/%Y %-H:%M')", "order_date"),
+        "Price": ("CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR)", "item_price"),
+        "Customer ID": ("'C-' || o_custkey", "customer_id"),
+    }
+    sold = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
+    is_number, is_date = "regexp_full_match(v, '[0-9.]+')", "try_strptime(v, '%-m/%-d/%Y %-H:%M') IS NOT NULL"
+    out["column_profile"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", count(*) AS rows, count(v) AS filled, {r(f'count(*) FILTER ({is_number}) / count(v)')} AS numeric_rate,
+        {r(f'count(*) FILTER (NOT {is_number} AND {is_date}) / count(v)')} AS date_rate FROM (SELECT {value} AS v FROM {sold})"""
+        for name, (value, _) in retail.items()
+    )
+    out["mapping_report_exact"] = " UNION ALL ".join(
+        [
+            f"SELECT '{name}' AS source_col, '{canonical}' AS canonical, 1 AS tier, CAST(1 AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled FROM {sold}"
+            for name, (value, canonical) in retail.items()
+        ]
+        + ["SELECT NULL, 'amount', NULL, NULL, NULL, NULL"]
+    )
+    # Two of three words agree, and a fitting value type adds a fifth.
+    fits = [
+        ("Order Id Number", "'order_id'", "2", "round(2.0 / 3 + 0.2, 6)", "o_orderkey"),
+        ("order_day_date", "'order_date'", "2", "round(2.0 / 3 + 0.2, 6)", "o_orderdate"),
+        ("amount", "'amount'", "0", "1.0", "o_totalprice"),
+        ("customer id", "'customer_id'", "1", "1.0", "o_custkey"),
+        ("priority", "NULL", "NULL", "NULL", "o_orderpriority"),
+    ]
+    out["mapping_report_fuzzy"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS source_col, {canonical} AS canonical, CAST({tier} AS INT) AS tier, CAST({score} AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled FROM orders"
+        for name, canonical, tier, score, value in fits
+    )
     return out

@@ -127,7 +127,7 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 def _mapping(make: Callable):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         report = mapping.mapping_report(make(spark, folder))
-        return present(report.select("source_col", "canonical", "tier", "score"))
+        return present(report.select("source_col", "canonical", "tier", "score", "rows", "filled"))
 
     return run
 
