@@ -58,7 +58,8 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame
         .select("_id", "_th", "_k", F.xxhash64("_c.text").alias("_hash")),
         "line-chunks",
     )
-    again = slim.groupBy("_hash").count().filter("count > 1").select("_hash")
+    # Written, as adaptive execution splits a hot key only where both sides come from a shuffle.
+    again = written(slim.groupBy("_hash").count().filter("count > 1").select("_hash"), "line-repeated")
     hits = slim.join(again, "_hash", "left_semi").groupBy("_id", "_th").agg(F.collect_set("_k").alias("_ks"))
     hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), "_ks")
     texts = keyed.select("_id", "_th", "_chunks").join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")))
@@ -74,8 +75,8 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame
     # A hash with one repeated text stands for that text unless other texts share it.
     variants = candidates.select("_hash", "_text").distinct().groupBy("_hash").count().filter("count > 1").select("_hash")
     clashes = written(variants, "line-clashes")
-    plain = same_bytes.join(clashes, "_hash", "left_anti").select("_hash", "_first")
-    clash = same_bytes.join(clashes, "_hash", "left_semi").select("_hash", "_text", "_first")
+    plain = written(same_bytes.join(clashes, "_hash", "left_anti").select("_hash", "_first"), "line-plain")
+    clash = written(same_bytes.join(clashes, "_hash", "left_semi").select("_hash", "_text", "_first"), "line-clash")
     removed = (
         candidates.drop("_text").join(plain, "_hash").filter(place != F.col("_first")).select("_id", "_th", "_k")
         .unionByName(candidates.join(clash, ["_hash", "_text"]).filter(place != F.col("_first")).select("_id", "_th", "_k"))

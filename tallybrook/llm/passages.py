@@ -201,7 +201,8 @@ def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     marks = written(rows.mapInArrow(partial(_anchors, p=p), f"_id {kind}, _th bigint, _number int, _anchor bigint"), "anchors")
-    again = marks.groupBy("_anchor").count().filter("count > 1").select("_anchor")
+    # Written, as adaptive execution splits a hot key only where both sides come from a shuffle.
+    again = written(marks.groupBy("_anchor").count().filter("count > 1").select("_anchor"), "anchors-again")
     hits = marks.join(again, "_anchor", "left_semi").groupBy("_id", "_th").agg(F.collect_set("_number").alias("_numbers"))
     hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), "_numbers")
     wanted = rows.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")))
