@@ -148,6 +148,7 @@ def mix(
     )
     return (
         clear.unionByName(edge)
+        .withColumn("_copies", F.least("_copies", F.lit(epochs)))  # of documents without words
         .filter(F.col("_copies") > 0)
         .select("_doc.*", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("epoch"))
     )

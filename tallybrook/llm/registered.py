@@ -70,7 +70,7 @@ WITH d AS (SELECT doc_id, {DOMAIN_SQL} AS domain, lang, source,
         FROM leaf JOIN n2 USING (domain, lang, source)),
     drawn AS (SELECT d.*, whole, g - whole * tokens AS rest,
         ('0x' || substr(md5('{MIX_SEED}:' || whole || ':' || doc_id), 1, 13))::BIGINT AS place FROM d JOIN plan USING (domain, lang, source)),
-    copied AS (SELECT *, whole + CASE WHEN sum(n) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END AS copies
+    copied AS (SELECT *, least({MIX_EPOCHS}, whole + CASE WHEN sum(n) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END) AS copies
         FROM drawn)
 SELECT doc_id, domain, lang, source, unnest(range(copies)) AS epoch FROM copied WHERE copies > 0
 """
