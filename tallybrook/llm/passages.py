@@ -10,6 +10,8 @@ runs of neighbouring windows that share one anchor form a segment.
    count, so that a group of copies is one row however large it is.
 3. The different segments of an anchor meet in one task, which decides exactly which of
    their windows occur more than once (the ``confirm`` function of an operator).
+   Anchors with more than ``anchor_bytes`` of different segments do not: their windows are
+   counted one by one over all tasks (``_apart``).
 4. Confirmed windows go back to the documents as spans of units.
 """
 
@@ -18,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from hashlib import blake2b
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 PLACE_BITS = 23  # of an order key: the gram's place in its piece; the others are its hash
 PIECE = 1 << 22  # windows handled at a time
+ROWS = 100_000  # about so many rows of blocks or windows are handed over at a time
 
 Segments = list[bytes]
 #: From segments (sorted by anchor), their anchors and counts: segment number, first and
@@ -45,7 +50,17 @@ class Passage:
     length: int
     gram: int
     words: bool  # units are words, else bytes
-    shard_bytes: int = 2_000_000  # of different segments confirmed at a time, unless one anchor has more
+    shard_bytes: int = 2_000_000  # of different segments confirmed at a time
+    anchor_bytes: int | None = None  # an anchor with more is not confirmed in one task; an eighth of a shard if None
+
+    @property
+    def hot_bytes(self) -> int:
+        return self.shard_bytes // 8 if self.anchor_bytes is None else self.anchor_bytes
+
+    @property
+    def block(self) -> int:
+        """Neighbouring windows that are sieved by the units they have in common."""
+        return isqrt(self.length - self.gram + 1)
 
     def units(self, text: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
         """A 64-bit value per unit, and the units."""
@@ -195,6 +210,92 @@ def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm, shard_bytes:
         yield shard(pa.Table.from_batches(held))
 
 
+def _anchor_place(values: np.ndarray, p: Passage) -> int:
+    """Where the anchor of a segment's windows begins."""
+    keys = gram_hashes(values[: p.length], p.gram) >> np.uint64(PLACE_BITS)
+    return int(np.argmin(keys))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, digest, text, count) become a row per block of a segment's windows.
+
+    Block b has the windows that begin from b * p.block units before the anchor, and all of
+    them cover the same ``p.length - p.block + 1`` units, so equal windows are in blocks
+    with equal numbers and cores.
+    """
+    for batch in batches:
+        rows, numbers, cores, size = [], [], [], 0
+
+        def done() -> pa.RecordBatch:
+            row = pa.array(np.concatenate(rows))
+            kept = [batch.column(k).take(row) for k in (0, 1, 3)]
+            return pa.RecordBatch.from_arrays(
+                [*kept, pa.array(np.concatenate(numbers), pa.int32()), pa.array(np.concatenate(cores).view(np.int64))],
+                names=["_anchor", "_seg", "_n", "_block", "_core"],
+            )
+
+        for row, text in enumerate(batch.column(2)):
+            values, _ = p.units(_bytes(text))
+            place = _anchor_place(values, p)
+            number = np.arange((place - len(values) + p.length) // p.block, place // p.block + 1)
+            rows.append(np.full(len(number), row))
+            numbers.append(number)
+            cores.append(gram_hashes(values, p.length - p.block + 1)[place - p.block * number])
+            size += len(number)
+            if size >= ROWS:
+                yield done()
+                rows, numbers, cores, size = [], [], [], 0
+        if rows:
+            yield done()
+
+
+def _windows(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, digest, text, count, blocks) become a row per window of these blocks."""
+    for batch in batches:
+        rows, windows, digests = [], [], []
+
+        def done() -> pa.RecordBatch:
+            row = pa.array(rows, pa.int32())
+            kept = [batch.column(k).take(row) for k in (0, 1, 3)]
+            return pa.RecordBatch.from_arrays([*kept, pa.array(windows, pa.int64()), pa.array(digests, pa.binary())], names=["_anchor", "_seg", "_n", "_at", "_window"])
+
+        for row, (text, blocks) in enumerate(zip(batch.column(2), batch.column(4))):
+            values, units = p.units(_bytes(text))
+            place = _anchor_place(values, p)
+            for b in blocks.as_py():
+                last = place - p.block * b
+                for k in range(max(0, last - p.block + 1), min(len(values) - p.length, last) + 1):
+                    rows.append(row)
+                    windows.append(k)
+                    digests.append(blake2b(p.cut(units, k, k + p.length), digest_size=16).digest())
+            if len(rows) >= ROWS:
+                yield done()
+                rows, windows, digests = [], [], []
+        if rows:
+            yield done()
+
+
+def _apart(different: DataFrame, p: Passage) -> DataFrame:
+    """Runs of windows that occur more than once, for anchors with any number of segments.
+
+    No task holds an anchor: blocks of windows whose core was counted once end first, then
+    the windows of the others are counted by a digest of 128 bits, as segments are.
+    """
+    texts = written(different, "hot-segments")
+    blocks = written(texts.mapInArrow(partial(_blocks, p=p), "_anchor bigint, _seg binary, _n bigint, _block int, _core bigint"), "hot-blocks")
+    core = ["_anchor", "_block", "_core"]
+    again = written(blocks.groupBy(*core).agg(F.sum("_n").alias("_n")).filter("_n > 1").select(*core), "hot-blocks-again")
+    hits = blocks.join(again, core, "left_semi").groupBy("_anchor", "_seg").agg(F.collect_set("_block").alias("_blocks"))
+    wanted = texts.join(hits, ["_anchor", "_seg"]).select("_anchor", "_seg", "_text", "_n", "_blocks")
+    windows = written(wanted.mapInArrow(partial(_windows, p=p), "_anchor bigint, _seg binary, _n bigint, _at bigint, _window binary"), "hot-windows")
+    key = ["_anchor", "_window"]
+    again = written(windows.groupBy(*key).agg(F.sum("_n").alias("_n")).filter("_n > 1").select(*key), "hot-windows-again")
+    at = windows.join(again, key, "left_semi").groupBy("_anchor", "_seg").agg(F.array_sort(F.collect_set("_at")).alias("_at"))
+    edge = lambda step: F.filter("_at", lambda x, i: F.coalesce(F.get("_at", i + step) != x + step, F.lit(True)))
+    runs = at.select("_anchor", "_seg", F.explode(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))).alias("_run"))
+    return runs.select("_anchor", "_seg", F.col("_run.first").alias("_from"), F.col("_run.last").alias("_to"))
+
+
 def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: str, text_col: str) -> DataFrame:
     """``_span_id``, ``_span_th`` and ``_spans``: per document the runs (first, last window)
     of windows that occur more than once, in any order, in unit numbers from 0."""
@@ -210,11 +311,20 @@ def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: st
         partial(_cut_segments, p=p), f"_id {kind}, _th bigint, _anchor bigint, _first bigint, _text binary"
     )
     found = written(cut.withColumn("_seg", F.unhex(F.md5("_text"))), "segments")
-    different = found.groupBy("_anchor", "_seg").agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
-    dealt = different.repartition("_anchor").sortWithinPartitions("_anchor", "_seg")
+    weight = found.select("_anchor", "_seg", F.length("_text").alias("_size")).distinct().groupBy("_anchor").agg(F.sum("_size").alias("_size"))
+    hot = written(weight.filter(F.col("_size") > p.hot_bytes).select("_anchor"), "hot-anchors")
+    any_hot = not hot.isEmpty()
+
+    def different(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_anchor", "_seg").agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
+
+    cold = found.join(hot, "_anchor", "left_anti") if any_hot else found
+    dealt = different(cold).repartition("_anchor").sortWithinPartitions("_anchor", "_seg")
     runs = dealt.select("_anchor", "_seg", "_text", "_n").mapInArrow(
         partial(_confirmed, confirm=confirm, shard_bytes=p.shard_bytes), "_anchor bigint, _seg binary, _from bigint, _to bigint"
     )
+    if any_hot:
+        runs = runs.unionByName(_apart(different(found.join(hot, "_anchor", "left_semi")), p))
     runs = written(runs, "confirmed")
     spans = found.drop("_text").join(runs, ["_anchor", "_seg"])
     span = F.struct((F.col("_first") + F.col("_from")).alias("first"), (F.col("_first") + F.col("_to")).alias("last"))

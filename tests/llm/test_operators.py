@@ -175,6 +175,40 @@ def test_phrases_and_suffixes(spark, odd, none, shard):
     assert phrases.remove_repeats(none).count() == suffixes.remove_repeats(none).count() == 0
 
 
+def bounded(confirm, most):
+    """``confirm`` that refuses an anchor with more bytes of different segments than ``most``."""
+
+    def checked(texts, anchors, counts, **options):
+        held = collections.Counter()
+        for text, anchor in zip(texts, anchors.tolist()):
+            held[anchor] += len(text)
+        assert max(held.values()) <= most
+        return confirm(texts, anchors, counts, **options)
+
+    return checked
+
+
+def test_phrases_of_a_common_sentence(spark, monkeypatch):
+    """A sentence shorter than a window among other words in each document: no task holds it all."""
+    sentence = prose("footer", 30).split()
+    texts = [prose(i, 60).split() + sentence + prose(1000 + i % 110, 60).split() for i in range(120)]
+    monkeypatch.setattr(phrases, "confirm", bounded(phrases.confirm, 4000))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, bytes(r.text).split()) for r in phrases.remove_repeats(docs, shard_bytes=32_000).collect()}
+    for i, gone in enumerate(recurring([[w.encode() for w in t] for t in texts], 35)):
+        assert got[i] == (sum(gone), [w.encode() for w, x in zip(texts[i], gone) if not x])
+
+
+def test_suffixes_of_a_common_footer(spark, monkeypatch):
+    footer = prose("footer", 60)[:110]
+    texts = [(prose(i, 60) + footer + prose(1000 + i % 110, 60)).encode() for i in range(120)]
+    monkeypatch.setattr(suffixes, "confirm", bounded(suffixes.confirm, 4000))
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.text) for r in suffixes.remove_repeats(docs, length=120, gram=30, shard_bytes=32_000).collect()}
+    for i, gone in enumerate(recurring([list(t) for t in texts], 120)):
+        assert got[i] == bytes(x for x, y in zip(texts[i], gone) if not y)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(4, 12))
 def test_confirm_equals_brute_force(texts, length):
