@@ -3,7 +3,8 @@
 A document is a sequence of units (words or bytes).  Every window of ``length`` units picks
 an anchor: the gram of ``gram`` units in it with the smallest hash, the leftmost of equals.
 The choice depends on the window's content only, so equal windows have equal anchors, and
-runs of neighbouring windows that share one anchor form a segment.
+runs of neighbouring windows that share one anchor form a segment.  Equal segments that
+follow one another in a document are one row from the start.
 
 1. Anchors are counted over all documents; an anchor seen once ends here.
 2. The segments of repeated anchors are cut out, and equal segments become one row with a
@@ -35,6 +36,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 PLACE_BITS = 23  # of an order key: the gram's place in its piece; the others are its hash
 PIECE = 1 << 22  # windows handled at a time
+CUT_BYTES = 32_000_000  # about so much text of segments is handed over at a time
 ROWS = 100_000  # about so many rows of blocks or windows are handed over at a time
 
 Segments = list[bytes]
@@ -131,39 +133,89 @@ def segments(values: np.ndarray, p: Passage) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def runs(values: np.ndarray, units: list[bytes] | bytes, p: Passage) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``segments`` with equal ones that follow one another as one: anchor hash, first and
+    last window of the first of them, and how many they are.
+
+    In a text with a period shorter than a window every period is a segment.
+    """
+    anchor, first, last = segments(values, p)
+    width = last - first + 1
+    same = np.zeros(len(anchor) + 1, bool)  # as the one before
+    same[1:-1] = (anchor[1:] == anchor[:-1]) & (width[1:] == width[:-1])
+    begins, ends = np.flatnonzero(same[1:] & ~same[:-1]) + 1, np.flatnonzero(same[:-1] & ~same[1:])
+    for a, b in zip(begins.tolist(), ends.tolist()):
+        w, low = int(width[a]), int(first[a - 1])
+        piece = values[low : last[b] + p.length]
+        equal = np.append(0, np.cumsum(piece[w:] == piece[:-w]))
+        at, size = first[a - 1 : b] - low, w + p.length - 1
+        same[a : b + 1] = equal[at + size] - equal[at] == size
+        if p.words:  # values of words are hashes
+            for k in np.flatnonzero(same[a : b + 1]).tolist():
+                start = low + int(at[k])
+                same[a + k] = units[start : start + size] == units[start + w : start + w + size]
+    head = ~same[:-1]
+    return anchor[head], first[head], last[head], np.bincount(np.cumsum(head) - 1, minlength=int(head.sum()))
+
+
 def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes = [segments(p.units(_bytes(t))[0], p)[0] for t in batch.column(2)]
-        sizes = [len(h) for h in hashes]
-        row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        number = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(row), batch.column(1).take(row), pa.array(number), pa.array(np.concatenate(hashes) if sizes else [], pa.int64())],
-            names=["_id", "_th", "_number", "_anchor"],
-        )
+        rows, numbers, hashes, times, size = [], [], [], [], 0
+
+        def done() -> pa.RecordBatch:
+            row = pa.array(np.concatenate(rows))
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), *[pa.array(np.concatenate(x)) for x in (numbers, hashes, times)]],
+                names=["_id", "_th", "_number", "_anchor", "_times"],
+            )
+
+        for row, text in enumerate(batch.column(2)):
+            anchor, _, _, count = runs(*p.units(_bytes(text)), p)
+            rows.append(np.full(len(anchor), row))
+            numbers.append(np.arange(len(anchor), dtype=np.int32))
+            hashes.append(anchor)
+            times.append(count.astype(np.int64))
+            size += len(anchor)
+            if size >= 10 * ROWS:
+                yield done()
+                rows, numbers, hashes, times, size = [], [], [], [], 0
+        if rows:
+            yield done()
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
-    """Rows with text and the numbers of wanted segments become a row per segment."""
+    """Rows with text and the numbers of wanted segments become a row per segment, in
+    batches of about CUT_BYTES."""
     for batch in batches:
-        rows, anchors, firsts, texts = [], [], [], []
+        rows, anchors, firsts, counts, texts, size = [], [], [], [], [], 0
+
+        def done() -> pa.RecordBatch:
+            row = pa.array(rows, pa.int32())
+            numbers = [pa.array(x, pa.int64()) for x in (anchors, firsts, counts)]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), *numbers, pa.array(texts, pa.binary())],
+                names=["_id", "_th", "_anchor", "_first", "_times", "_text"],
+            )
+
         for row, (text, numbers) in enumerate(zip(batch.column(2), batch.column(3))):
             values, units = p.units(_bytes(text))
-            anchor, first, last = segments(values, p)
+            anchor, first, last, times = runs(values, units, p)
             for k in sorted(numbers.as_py()):
                 rows.append(row)
                 anchors.append(anchor[k])
                 firsts.append(first[k])
+                counts.append(times[k])
                 texts.append(p.cut(units, first[k], last[k] + p.length))
-        row = pa.array(rows, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(row), batch.column(1).take(row), pa.array(anchors, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())],
-            names=["_id", "_th", "_anchor", "_first", "_text"],
-        )
+                size += len(texts[-1])
+                if size >= CUT_BYTES:
+                    yield done()
+                    rows, anchors, firsts, counts, texts, size = [], [], [], [], [], 0
+        if rows:
+            yield done()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm, shard_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -301,14 +353,14 @@ def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: st
     of windows that occur more than once, in any order, in unit numbers from 0."""
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    marks = written(rows.mapInArrow(partial(_anchors, p=p), f"_id {kind}, _th bigint, _number int, _anchor bigint"), "anchors")
+    marks = written(rows.mapInArrow(partial(_anchors, p=p), f"_id {kind}, _th bigint, _number int, _anchor bigint, _times bigint"), "anchors")
     # Written, as adaptive execution splits a hot key only where both sides come from a shuffle.
-    again = written(marks.groupBy("_anchor").count().filter("count > 1").select("_anchor"), "anchors-again")
+    again = written(marks.groupBy("_anchor").agg(F.sum("_times").alias("_n")).filter("_n > 1").select("_anchor"), "anchors-again")
     hits = marks.join(again, "_anchor", "left_semi").groupBy("_id", "_th").agg(F.collect_set("_number").alias("_numbers"))
     hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), "_numbers")
     wanted = rows.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")))
     cut = wanted.select("_id", "_th", "_text", "_numbers").mapInArrow(
-        partial(_cut_segments, p=p), f"_id {kind}, _th bigint, _anchor bigint, _first bigint, _text binary"
+        partial(_cut_segments, p=p), f"_id {kind}, _th bigint, _anchor bigint, _first bigint, _times bigint, _text binary"
     )
     found = written(cut.withColumn("_seg", F.unhex(F.md5("_text"))), "segments")
     weight = found.select("_anchor", "_seg", F.length("_text").alias("_size")).distinct().groupBy("_anchor").agg(F.sum("_size").alias("_size"))
@@ -316,7 +368,7 @@ def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: st
     any_hot = not hot.isEmpty()
 
     def different(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("_anchor", "_seg").agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
+        return rows.groupBy("_anchor", "_seg").agg(F.first("_text").alias("_text"), F.sum("_times").alias("_n"))
 
     cold = found.join(hot, "_anchor", "left_anti") if any_hot else found
     dealt = different(cold).repartition("_anchor").sortWithinPartitions("_anchor", "_seg")
@@ -327,7 +379,9 @@ def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: st
         runs = runs.unionByName(_apart(different(found.join(hot, "_anchor", "left_semi")), p))
     runs = written(runs, "confirmed")
     spans = found.drop("_text").join(runs, ["_anchor", "_seg"])
-    span = F.struct((F.col("_first") + F.col("_from")).alias("first"), (F.col("_first") + F.col("_to")).alias("last"))
+    # A segment that follows itself recurs as a whole, so its windows are 0 to _to.
+    last = F.col("_first") + F.col("_to") + (F.col("_times") - 1) * (F.col("_to") + 1)
+    span = F.struct((F.col("_first") + F.col("_from")).alias("first"), last.alias("last"))
     return spans.groupBy(F.col("_id").alias("_span_id"), F.col("_th").alias("_span_th")).agg(F.collect_set(span).alias("_spans"))
 
 

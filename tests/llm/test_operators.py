@@ -209,6 +209,33 @@ def test_suffixes_of_a_common_footer(spark, monkeypatch):
         assert got[i] == bytes(x for x, y in zip(texts[i], gone) if not y)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"aaaaaaaaaa", b"abcabcabcabcabc", b"ababababab"]), max_size=12), st.booleans())
+def test_runs_are_equal_segments(parts, words):
+    p = passages.Passage(9, 3, words=words)
+    text = b"".join(parts)
+    values, units = p.units(b" ".join(text[i : i + 1] for i in range(len(text))) if words else text)
+    unfolded = []
+    for anchor, first, last, times in zip(*passages.runs(values, units, p)):
+        w = last - first + 1
+        assert len({p.cut(units, first + k * w, last + k * w + p.length) for k in range(times)}) == 1
+        unfolded += [(anchor, first + k * w, last + k * w) for k in range(times)]
+    assert unfolded == list(zip(*passages.segments(values, p)))
+
+
+def test_short_periods_are_cut_once(monkeypatch):
+    import pyarrow as pa
+
+    p = passages.Passage(400, 64, words=False)
+    texts = [b"=" * 200_000, prose(1, 3000).encode()]
+    numbers = [list(range(len(passages.runs(*p.units(t), p)[0]))) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts), pa.array(numbers)], names=["_id", "_th", "_text", "_numbers"])
+    monkeypatch.setattr(passages, "CUT_BYTES", 10_000)
+    cut = list(passages._cut_segments(iter([batch]), p))
+    assert all(b.nbytes < 20_000 for b in cut)
+    assert sum(b.nbytes for b in cut) < 10 * len(texts[1])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(4, 12))
 def test_confirm_equals_brute_force(texts, length):
