@@ -2,7 +2,10 @@
 
 A polynomial hash rolls over the hashes of three neighbouring lines; where it hits a
 residue, a chunk ends.  A boundary depends on these three lines only, so text inserted
-before a passage does not move the boundaries inside it.  Chunks with two or more lines
+before a passage does not move the boundaries inside it.  A hit counts only if two lines
+that hold words stand between it and the hit before, and a shorter tail joins the chunk
+before it, so every chunk of a text with two such lines can be compared (``whole``; without
+it every hit is a boundary, as in the SQL of the registered query).  Chunks with two or more lines
 that hold words are counted over all documents by hash, candidates are compared byte by
 byte, and all but the first (by document id, then text hash, then place) are removed.
 """
@@ -21,7 +24,7 @@ ADDED = ("n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def chunks(text: Column) -> Column:
+def chunks(text: Column, whole: bool = True) -> Column:
     """The chunks of a text: first and last line from 1, text, lines with words.
 
     One expression with every step computed once per text, also where the optimiser
@@ -35,23 +38,34 @@ def chunks(text: Column) -> Column:
         n = F.size(values)
         return F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (rolled(i) % SPAN == 0))
 
+    n_filled = lambda inside: F.size(F.filter(inside, lambda x: x.rlike(HAS_WORD)))
+
+    def long_enough(lines: Column, stops: Column) -> Column:
+        def between(end: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(stops, k - 1), F.lit(0))
+            return n_filled(F.slice(lines, before + 1, end - before)) > 1
+
+        n = F.array(F.size(lines))
+        joined = lambda kept: F.concat(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), n)
+        # The last boundary is the end of the text, be it moved there or not.
+        return let(F.filter(stops, between), joined)
+
     def cut(lines: Column, stops: Column) -> Column:
         def chunk(end: Column, k: Column) -> Column:
             first = F.coalesce(F.get(stops, k - 1), F.lit(0)) + 1
             inside = F.slice(lines, first, end - first + 1)
-            filled = F.size(F.filter(inside, lambda x: x.rlike(HAS_WORD)))
-            return F.struct(first.alias("first"), end.alias("last"), F.array_join(inside, "\n").alias("text"), filled.alias("filled"))
+            return F.struct(first.alias("first"), end.alias("last"), F.array_join(inside, "\n").alias("text"), n_filled(inside).alias("filled"))
 
         return F.transform(stops, chunk)
 
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return let(lines, lambda x: let(F.transform(x, value), lambda v: let(ends(v), lambda e: cut(x, e))))
+    return let(lines, lambda x: let(F.transform(x, value), lambda v: let(ends(v), lambda e: let(long_enough(x, e), lambda k: cut(x, k)) if whole else cut(x, e))))
 
 
-def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, whole: bool = True) -> DataFrame:
     """Per document with chunks to remove: ``_id``, ``_th`` and their places ``_gone``."""
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    keyed = keyed.withColumn("_chunks", chunks(F.col("_text")))
+    keyed = keyed.withColumn("_chunks", chunks(F.col("_text"), whole))
     slim = written(
         keyed.select("_id", "_th", F.posexplode_outer("_chunks").alias("_k", "_c"))
         .filter("_c.filled > 1")
@@ -84,7 +98,7 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame
     return removed.groupBy("_id", "_th").agg(F.collect_set("_k").alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """``docs`` with repeated chunks cut from the text, and counts of what was cut.
 
     Added columns: ``n_lines``, ``n_chunks``, ``n_removed_lines``, ``n_removed_chunks``.
@@ -92,11 +106,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     null; input columns named like an added one are replaced.  Rows with equal id and text are one document and are treated alike; a null id
     sorts before others.
     """
-    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col)
+    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col, whole=whole)
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), "_gone")
     keyed = docs.withColumn("_th", F.xxhash64(text_col))
     joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_gone_id"]) & (keyed["_th"] == gone["_gone_th"]), "left")
-    cut = joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_chunks", chunks(F.col(text_col)))
+    cut = joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_chunks", chunks(F.col(text_col), whole))
     n_lines = F.element_at("_chunks", -1)["last"]
     kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
     length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)

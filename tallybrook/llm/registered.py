@@ -167,7 +167,7 @@ FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 
 def lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select(
+    return lines.dedup_lines(docs, whole=False).select(  # the boundaries of LINES_SQL
         "doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )

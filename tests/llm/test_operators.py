@@ -84,6 +84,15 @@ def test_line_dedup_is_shift_resistant(spark):
     assert rows[2].text.startswith(prose(2, 37))
 
 
+def test_line_dedup_leaves_no_line_of_a_copy(spark):
+    texts = [prose(i, 9 * n) for i, n in enumerate(range(2, 40))] + [prose(i, 180).replace("\n", "\n\n") for i in range(50, 70)]
+    docs = spark.createDataFrame([(k * 1000 + i, t) for k in range(2) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    for i, text in enumerate(texts):
+        assert (rows[i].text, rows[1000 + i].text) == (text, "")
+        assert rows[1000 + i].n_removed_lines == rows[i].n_lines == text.count("\n") + 1
+
+
 def test_quality_counts(odd, none):
     rows = quality.assess(odd).collect()
     assert len(rows) == len(ODD)
