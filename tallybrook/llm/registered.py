@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.llm import chat, crf, decontamination, lines, mixing, personal, phrases, quality, simhash, suffixes
+from tallybrook.llm import chat, crf, decontamination, lines, merkle, mixing, periodic, personal, phrases, quality, simhash, suffixes, toxicity
 from tallybrook.llm.store import table
-from tallybrook.llm.words import words
+from tallybrook.llm.words import let, words
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -230,6 +230,102 @@ def crf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.classify(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id's crc32 is even, the leaf is recomputed from the text without line breaks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered_leaf = merkle.leaf([altered if f == "text" else F.col(f) for f in fields])
+    rows = merkle.manifest(docs, fields, keep={"doc_id": F.col("doc_id"), "altered": altered_leaf})
+    folded = rows.withColumn("folded_root", merkle.fold(F.col("altered"), F.col("witness")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("witness")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_CRC32 = (
+    "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),"
+    " lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),"
+    " lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT)"
+)
+
+
+def _sized(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+_LEAF_PARTS = " || ".join(map(_sized, ["doc_id", "source", "lang", "n_chars"]))
+
+
+def _tree(name: str, start: str) -> str:
+    """SQL of the levels of the trees in ``start`` (g, i, n, digest): every 3 nodes one above."""
+    return f"""{name}(g, lv, i, n, digest) AS (SELECT g, 0, i, n, digest FROM {start}
+        UNION ALL SELECT g, lv + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, lv, i // 3)"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE p AS (SELECT doc_id, source, {_LEAF_PARTS} AS head, {_CRC32} % 2 = 0 AS even, text, replace(text, chr(10), '') AS cut FROM documents),
+    l AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, sha256(head || {_sized('text')}) AS leaf,
+        sha256(head || CASE WHEN even THEN {_sized('cut')} ELSE {_sized('text')} END) AS altered FROM p),
+    leaf AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+    {_tree('t', 'leaf')},
+    sub AS (SELECT 0 AS g, g AS i, count(*) OVER () AS n, digest FROM t WHERE n = 1),
+    {_tree('u', 'sub')},
+    steps AS (SELECT leaf.g, leaf.i, t.lv, coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i < leaf.i // (3 ** t.lv)::BIGINT), '') AS low,
+            coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i > leaf.i // (3 ** t.lv)::BIGINT), '') AS high
+        FROM leaf JOIN t ON t.g = leaf.g AND t.n > 1 AND t.i // 3 = leaf.i // (3 ** (t.lv + 1))::BIGINT GROUP BY ALL
+        UNION ALL SELECT leaf.g, leaf.i, 100 + u.lv, coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (u.i < leaf.g // (3 ** u.lv)::BIGINT), ''),
+            coalesce(string_agg(u.digest, '' ORDER BY u.i) FILTER (u.i > leaf.g // (3 ** u.lv)::BIGINT), '')
+        FROM leaf JOIN u ON u.n > 1 AND u.i // 3 = leaf.g // (3 ** (u.lv + 1))::BIGINT GROUP BY ALL),
+    step AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY lv) AS k FROM steps),
+    f(g, i, k, digest) AS (SELECT g, i, 0, altered FROM leaf
+        UNION ALL SELECT f.g, f.i, f.k + 1, sha256(low || digest || high) FROM f JOIN step ON step.g = f.g AND step.i = f.i AND step.k = f.k + 1),
+    folded AS (SELECT g, i, arg_max(digest, k) AS folded_root FROM f GROUP BY ALL),
+    proof AS (SELECT g, i, sha256(string_agg(low || high, '' ORDER BY k)) AS proof_sha256 FROM step GROUP BY ALL)
+SELECT doc_id, leaf, s.digest AS subroot, r.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.digest AS verified
+FROM leaf JOIN sub s ON s.i = leaf.g JOIN (SELECT digest FROM u WHERE n = 1) r ON true
+    JOIN folded ON folded.g = leaf.g AND folded.i = leaf.i LEFT JOIN proof ON proof.g = leaf.g AND proof.i = leaf.i
+"""
+
+
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out documents (crc32 of the id mod 5 is 0) give no label to the index."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    return toxicity.classify(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def periodic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id's crc32 ends in 0, the words behind a place are made to repeat."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % F.greatest(n, F.lit(1))
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        later = F.transform(F.sequence(a, n - 1), lambda i: F.get(w, (a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a.cast("int")), later), " ")).otherwise(F.col("text"))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.when(h % 10 == 0, let(words(F.col("text")), repeated)).otherwise(F.col("text"))
+    found = periodic.collapse_runs(docs.select("doc_id", text.alias("text")))
+    more = lambda a, r: r["length"] * a["period"] > a["length"] * r["period"]
+    first = F.get("runs", F.lit(0))
+    best = F.aggregate("runs", first, lambda a, r: F.when(more(a, r), r).otherwise(a))
+    spelled = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    rows = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"), F.sha2(spelled, 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+    return rows.select(
+        "doc_id", "n_runs", *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": lines_query,
@@ -242,8 +338,11 @@ def queries() -> dict[str, Query]:
         "op8_chat": chat_query,
         "op9_simhash": simhash_query,
         "op10_suffixes": suffixes_query,
+        "op11_merkle": merkle_query,
+        "op12_toxicity": toxicity_query,
+        "op13_periodic": periodic_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op7_mixing": MIXING_SQL, "op8_chat": CHAT_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op4_decontamination": DECONTAMINATION_SQL, "op7_mixing": MIXING_SQL, "op8_chat": CHAT_SQL, "op11_merkle": MERKLE_SQL}
