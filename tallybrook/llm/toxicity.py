@@ -41,6 +41,8 @@ BLOCK = 32  # examples of a block
 NEAR = 0.05  # distance at which a vote has half the weight of an equal text's
 PREDICTED_FROM = 0.5
 SHOWN = 5  # neighbours shown as evidence
+KNOWN = 50_000  # results of equal vectors that a task remembers
+TASK_ROWS = 20_000  # documents that one task compares, about
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -167,7 +169,7 @@ class Index:
     """Unit vectors of examples as postings by term and block, with the greatest weight of
     each term in each block."""
 
-    ids: list[int]  # of the examples, in the order of the index
+    ids: np.ndarray  # of the examples, in the order of the index
     toxic: np.ndarray
     share: np.ndarray  # of each class: labelled rows that an example stands for
     idf: np.ndarray
@@ -207,33 +209,54 @@ class Index:
         edges = np.arange(blocks + 1) * block
         starts = np.array([begins[t] + np.searchsorted(places[begins[t] : begins[t + 1]], edges) for t in range(len(idf))], np.int64).reshape(len(idf), blocks + 1)
         return cls(
-            [r[1] for r in rows], np.array([r[2] for r in rows], np.int64), share, idf, starts, places,
+            np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), share, idf, starts, places,
             np.array([w for one in per_term for _, w in one]), most, float((bare[1] + 0.5) / (bare.sum() + 1)),
         )
 
-    def nearest(self, query: Vector, k: int = NEIGHBOURS, without: int | None = None, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    def _cosines(self, query: Vector, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples of ``blocks`` that share a term with the query.
+
+        The terms of an example are added in their order, whatever blocks are opened."""
+        first = self.starts[np.ix_(query[0], blocks)]
+        sizes = self.starts[np.ix_(query[0], blocks + 1)] - first
+        flat = sizes.ravel()
+        at = np.repeat(first.ravel() - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())
+        each = np.repeat(query[1], sizes.sum(axis=1)) * self.weights[at]
+        found = np.bincount(self.places[at], weights=each, minlength=len(self.ids))
+        places = np.flatnonzero(found)
+        return places, found[places]
+
+    def nearest(self, query: Vector, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` examples nearest to a unit vector, the greatest
-        first, ties by id; only cosines above 0, and not the example ``without``."""
-        numbers, values = query
-        if not len(numbers) or not self.ids:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = values @ self.most[numbers]
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            # The bound and a cosine may be rounded apart.
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < -best[k - 1][0] - 1e-9:
+        first, ties by id; only cosines above 0, and not the example ``without``.
+
+        The blocks with the greatest bounds are opened until ``k`` cosines are known, then
+        all blocks whose bound reaches the least of these.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(query[0]) or not len(self.ids):
+            return none
+        bounds = query[1] @ self.most[query[0]]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        least, opened, found = -1.0, 0, none
+        while opened < len(order):
+            # As many blocks again as are open, or all that the least cosine leaves.
+            stop = max(1, 2 * opened) if least < 0 else len(order)
+            # A bound and a cosine may be rounded apart.
+            stop = min(stop, int(np.searchsorted(-bounds[order], 1e-9 - least, side="right")))
+            if stop <= opened:
                 break
-            found = np.zeros(block)
-            for t, w in zip(numbers.tolist(), values.tolist()):
-                first, stop = self.starts[t, b], self.starts[t, b + 1]
-                if first < stop:
-                    found[self.places[first:stop] - b * block] += w * self.weights[first:stop]
-            for i in np.flatnonzero(found).tolist():
-                place = b * block + i
-                if self.ids[place] != without:
-                    best.append((-float(found[i]), self.ids[place], place))
-            best = sorted(best)[:k]
-        return np.array([p for _, _, p in best], np.int64), np.array([-s for s, _, _ in best])
+            more = self._cosines(query, np.sort(order[opened:stop]))
+            places, near = (np.concatenate(x) for x in zip(found, more))
+            ids = self.ids[places]
+            keep = np.lexsort((ids, -near))
+            keep = keep[ids[keep] != without] if without is not None else keep
+            keep = keep[:k]
+            found = places[keep], near[keep]
+            least = float(found[1][-1]) if len(keep) == k else -1.0
+            opened = stop
+        return found
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         """The toxic share of the votes; without neighbours that of rows without terms."""
@@ -271,9 +294,9 @@ def weighted(counts: Vector, idf: np.ndarray) -> Vector:
     return numbers, values / np.sqrt(values @ values) if len(values) else values
 
 
-def train(examples: DataFrame, rows: DataFrame, labels: DataFrame, vocabulary: list[str]) -> Index:
-    """The index of ``examples`` (id, toxic, text), with document frequencies of all ``rows``
-    (_id, _terms); terms that do not lean to toxic ones among all ``labels`` (id, toxic) weigh
+def train(examples: DataFrame, rows: DataFrame, total: int, labels: DataFrame, vocabulary: list[str]) -> Index:
+    """The index of ``examples`` (id, toxic, text), with document frequencies of all ``total``
+    ``rows`` (_id, _terms); terms that do not lean to toxic ones among all ``labels`` (id, toxic) weigh
     nothing."""
     each = rows.select("_id", F.explode("_terms").alias("term"))
     of_all = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()
@@ -286,7 +309,7 @@ def train(examples: DataFrame, rows: DataFrame, labels: DataFrame, vocabulary: l
         df[r["term"]] = r["df"]
     idf = np.zeros(len(vocabulary))
     kept = [r["term"] for r in known]
-    idf[kept] = 1 + np.log((rows.count() + 1) / (df[kept] + 1))
+    idf[kept] = 1 + np.log((total + 1) / (df[kept] + 1))
     texts = examples.select(F.struct("id", "toxic").alias("_doc"), F.col("text").cast("binary").alias("_text"))
     found = sorted(((r["_doc"]["id"], r["_doc"]["toxic"], (r["_terms"], r["_counts"])) for r in vectors(texts, vocabulary).collect()), key=lambda r: r[:2])
     index = Index.build(found, idf, (totals.get(0, 0.0), totals.get(1, 0.0)))
@@ -300,21 +323,29 @@ def train(examples: DataFrame, rows: DataFrame, labels: DataFrame, vocabulary: l
 def _scored(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
     """Rows (document, id, terms, counts) become (document, score, nearest examples)."""
     bare = index.score(index.base_rate)
+    examples = set(index.ids.tolist())
+    known: dict[tuple, tuple[np.ndarray, np.ndarray, float]] = {}  # of equal vectors
     for batch in batches:
-        scores, steps, ids, cosines, marks = [], [0], [], [], []
+        scores, steps, shown = [], [0], []
         for number, one, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            unit = weighted((one, counts), index.idf)
-            if len(unit[0]):
-                places, near = index.nearest(unit, without=number)
-                scores.append(index.score(index.vote(places, near)))
-                ids += [index.ids[p] for p in places[:SHOWN]]
-                cosines += near[:SHOWN].tolist()
-                marks += index.toxic[places[:SHOWN]].tolist()
-            else:
-                scores.append(bare)
-            steps.append(len(ids))
-        shown = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(cosines, pa.float64()), pa.array(marks, pa.int32())], names=["doc_id", "cosine", "toxic"])
-        lists = pa.ListArray.from_arrays(pa.array(steps, pa.int32()), shown)
+            without = number if number in examples else None
+            key = (tuple(one), tuple(counts), without)
+            if key not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                unit = weighted((one, counts), index.idf)
+                places, near = index.nearest(unit, without=without)
+                known[key] = places[:SHOWN], near[:SHOWN], index.score(index.vote(places, near)) if len(unit[0]) else bare
+            places, near, score = known[key]
+            scores.append(score)
+            shown.append((places, near))
+            steps.append(steps[-1] + len(places))
+        places = np.concatenate([p for p, _ in shown]) if shown else np.zeros(0, np.int64)
+        near = np.concatenate([n for _, n in shown]) if shown else np.zeros(0)
+        entries = pa.StructArray.from_arrays(
+            [pa.array(index.ids[places]), pa.array(near), pa.array(index.toxic[places], pa.int32())], names=["doc_id", "cosine", "toxic"]
+        )
+        lists = pa.ListArray.from_arrays(pa.array(steps, pa.int32()), entries)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), lists], names=["_doc", "score", "evidence"])
 
 
@@ -339,7 +370,10 @@ def classify(
     found = written(vectors(rows, vocabulary), "toxicity-vectors")
     sides = labels.filter(named(id_col).isNotNull() & named(label_col).isin(0, 1)).groupBy(named(id_col).alias("id")).agg(F.max(named(label_col).cast("int")).alias("toxic"))
     wanted = found.select(F.col("_doc._doc").alias("_doc"), F.col("_doc.id").alias("_id"), "_terms", "_counts")
-    index = train(examples, wanted, sides, vocabulary)
+    total = wanted.count()
+    index = train(examples, wanted, total, sides, vocabulary)
+    # Vectors are much smaller than texts: a task of equal bytes would compare too many.
+    wanted = wanted.repartition(1 + total // TASK_ROWS)
     shown = "array<struct<doc_id: bigint, cosine: double, toxic: int>>"
     out = wanted.mapInArrow(partial(_scored, index=index), f"_doc {dict(wanted.dtypes)['_doc']}, score double, evidence {shown}")
     return out.select(*unpacked(rest), "score", predicted().alias("predicted"), "evidence")

@@ -34,7 +34,6 @@ def test_index_is_exact(block):
     idf = np.array([0.0 if t == 3 else 1 + rng.random() for t in range(25)])
     examples = [(100 + i // 2 if i < 6 else i, rng.randint(0, 1), v) for i, v in enumerate(vectors(rng, 150, 25))]
     index = toxicity.Index.build(examples, idf, (100.0, 40.0), block=block)
-    units = {place: None for place in range(len(index.ids))}
     known = [(i, toxicity.weighted(v, idf)) for i, _, v in examples]
     for counts in vectors(rng, 80, 25):
         unit = toxicity.weighted(counts, idf)
@@ -42,19 +41,26 @@ def test_index_is_exact(block):
         dense[unit[0]] = unit[1]
         for without in (None, 7):
             want = sorted((-round(float(dense[n] @ w), 9), i) for i, (n, w) in known if len(n) and i != without and dense[n] @ w > 0)[:10]
-            places, near = index.nearest(unit, k=10, without=without, block=block)
-            got = [(-round(float(s), 9), index.ids[p]) for p, s in zip(places, near)]
+            places, near = index.nearest(unit, k=10, without=without)
+            got = [(-round(float(s), 9), int(index.ids[p])) for p, s in zip(places, near)]
             assert [s for s, _ in got] == [s for s, _ in want]
             least = want[-1][0] if want else 0
             assert sorted(g for g in got if g[0] < least) == [w for w in want if w[0] < least]
-            assert all(units[p] is None for p in places)
 
 
 def test_blocks_are_passed_over():
     examples = [(i, 1, ([0], [1])) for i in range(64)] + [(100 + i, 0, ([1], [1])) for i in range(640)]
     index = toxicity.Index.build(examples, np.array([1.0, 1.0]), (640.0, 64.0))
-    places, near = index.nearest((np.array([0]), np.array([1.0])))
-    assert [index.ids[p] for p in places] == list(range(toxicity.NEIGHBOURS)) and near.tolist() == [1.0] * toxicity.NEIGHBOURS
+    opened = []
+    kind = type(index)
+    cosines = kind._cosines
+    kind._cosines = lambda self, query, blocks: opened.extend(blocks.tolist()) or cosines(self, query, blocks)
+    try:
+        places, near = index.nearest((np.array([0, 1]), np.array([1.0, 0.5])))
+    finally:
+        kind._cosines = cosines
+    assert len(opened) < 4 < len(index.most[0])
+    assert [int(index.ids[p]) for p in places] == list(range(toxicity.NEIGHBOURS)) and near.tolist() == [1.0] * toxicity.NEIGHBOURS
     assert np.count_nonzero(index.most[0]) == 2
 
 
