@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from tallybrook.llm.carry import named, others, packed, unpacked
 
 LEAST_WORDS, LEAST_EXPONENT = 6, 4
-PIECE = 1 << 20  # about so many words of texts are handled at a time
+PIECE = 1 << 17  # about so many words of texts are handled at a time
 SLICE = 1 << 22  # bytes of a text that are words at a time
-OUT_BYTES = 32_000_000  # about so much text is handed over at a time
+OUT_BYTES = 4_000_000  # about so much text is handed over at a time
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 _SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
@@ -156,48 +156,55 @@ def _collapsed(text: bytes, found: np.ndarray) -> bytes:
     return b" ".join(kept)
 
 
+def _pieces(column: pa.Array) -> Iterator[list[tuple[bytes | None, np.ndarray]]]:
+    """Texts and their word numbers, as many at a time as hold about PIECE words."""
+    held, words = [], 0
+    for value in column:
+        text = value.as_buffer().to_pybytes() if value.is_valid else None
+        held.append((text, codes(text or b"")))
+        words += len(held[-1][1])
+        if words >= PIECE:
+            yield held
+            held, words = [], 0
+    if held:
+        yield held
+
+
+def _found(coded: list[np.ndarray]) -> list[np.ndarray]:
+    """The runs of each text, places counted from its first word."""
+    ends = np.cumsum([len(c) for c in coded])
+    sizes = [int(c.max(initial=-1)) + 1 for c in coded]
+    apart = np.repeat(np.cumsum([0, *sizes[:-1]]), [len(c) for c in coded])
+    rows = runs(np.concatenate(coded) + apart, ends)
+    parts = np.split(rows, np.searchsorted(rows[:, 0], ends[:-1]))
+    return [part - [int(end) - len(c), 0, 0] for part, end, c in zip(parts, ends, coded)]
+
+
 def _detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (document, text) become (document, text, words, runs)."""
     for batch in batches:
-        texts = [t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column(1)]
-        coded, words, row = [], 0, 0
-        sizes, found, out, at, out_size = [], [], [], 0, 0
+        texts, words, found, size, first = [], [], [], 0, 0
 
-        def done(stop: int) -> pa.RecordBatch:
+        def done() -> pa.RecordBatch:
             steps = np.cumsum([0, *map(len, found)])
-            flat = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            flat = np.concatenate(found)
             triples = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], names=["start", "length", "period"])
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, stop - at), pa.array(out, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(steps, pa.int32()), triples)],
-                names=["_doc", "_text", "n_words", "runs"],
-            )
-
-        while row < len(texts):
-            coded.append(codes(texts[row] or b""))
-            words += len(coded[-1])
-            row += 1
-            if words < PIECE and row < len(texts):
-                continue
-            # Texts one after the other, their keys apart.
-            ends = np.cumsum([len(c) for c in coded])
-            keys = np.concatenate(coded).astype(np.int64)
-            keys += np.repeat(np.cumsum([0, *[int(c.max(initial=-1)) + 1 for c in coded[:-1]]]), np.diff(np.append(0, ends)))
-            rows = runs(keys, ends)
-            split = np.searchsorted(rows[:, 0], ends)
-            for k, (low, high) in enumerate(zip([0, *split[:-1].tolist()], split.tolist())):
-                own = rows[low:high] - [int(ends[k]) - len(coded[k]), 0, 0]
-                text = texts[row - len(coded) + k]
+            lists = pa.ListArray.from_arrays(pa.array(steps, pa.int32()), triples)
+            columns = [batch.column(0).slice(first, len(texts)), pa.array(texts, pa.binary()), pa.array(words, pa.int64()), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["_doc", "_text", "n_words", "runs"])
+
+        for piece in _pieces(batch.column(1)):
+            for (text, coded), own in zip(piece, _found([coded for _, coded in piece])):
+                texts.append(None if text is None else _collapsed(text, own))
+                words.append(len(coded))
                 found.append(own)
-                sizes.append(len(coded[k]))
-                out.append(None if text is None else _collapsed(text, own))
-                out_size += len(text or b"")
-                if out_size >= OUT_BYTES:
-                    stop = row - len(coded) + k + 1
-                    yield done(stop)
-                    sizes, found, out, at, out_size = [], [], [], stop, 0
-            coded, words = [], 0
-        if out:
-            yield done(len(texts))
+                size += len(text or b"")
+                if size >= OUT_BYTES:
+                    yield done()
+                    first += len(texts)
+                    texts, words, found, size = [], [], [], 0
+        if texts:
+            yield done()
 
 
 def collapse_runs(docs: DataFrame, *, text_col: str = "text") -> DataFrame:

@@ -112,14 +112,14 @@ def wanted():
     return sorted(out)
 
 
-@pytest.mark.parametrize("piece, cut, out", [(1 << 20, 1 << 22, 32_000_000), (40, 16, 100)])
+@pytest.mark.parametrize("piece, cut, out", [(1 << 17, 1 << 22, 4_000_000), (40, 16, 100)])
 def test_collapse_odd_cases(spark, monkeypatch, piece, cut, out):
     import pyarrow as pa
 
     docs = spark.createDataFrame([(*r, "a", "b", "c", "kept", "d", "e") for r in ODD], SCHEMA)
     frame = periodic.collapse_runs(docs)
     assert sorted(frame.columns) == sorted(["doc_id", "_doc", "_text", "c0", "row", "text", "n_words", "runs"])
-    if piece == 1 << 20:
+    if piece == 1 << 17:
         assert spelled(frame.collect()) == wanted()
         assert periodic.collapse_runs(docs.limit(0)).count() == 0
     # Small pieces in this process: the sizes are read where the code runs.
