@@ -185,15 +185,21 @@ class Ledger:
         guests = df.filter(F.col("customer_id").isNull()).withColumn("first_day", F.lit(None).cast("date"))
         return known.join(first, cond, "left").drop(*[f"_f_{k}" for k in keys]).unionByName(guests)
 
-    def recent(self, oldest: int) -> DataFrame:
-        """Order days from ``oldest`` days before the reference date up to it, with ``ref``.
+    def recent_sales(self, oldest: int) -> DataFrame:
+        """Sales from ``oldest`` days before the reference date up to it, with ``ref``.
 
         One reference date gives literal bounds on the raw timestamp, which reach the
         scan; per-store dates filter after the join.
         """
         if self.by and not self.ref_date:
-            df = self.with_reference(self.order_days(self.sales))
-            return df.filter(F.col("day").between(F.date_sub("ref", oldest), F.col("ref")))
+            return self.with_reference(self.sales).filter(F.col("day").between(F.date_sub("ref", oldest), F.col("ref")))
         ref = F.lit(self.newest_day).cast("date")
         inside = (F.col("first_ts") >= F.date_sub(ref, oldest)) & (F.col("first_ts") < F.date_add(ref, 1))
-        return self.order_days(self.sales.filter(inside)).withColumn("ref", ref)
+        return self.sales.filter(inside).withColumn("ref", ref)
+
+    def recent(self, oldest: int) -> DataFrame:
+        """Order days from ``oldest`` days before the reference date up to it, with ``ref``."""
+        if self.by and not self.ref_date:
+            df = self.with_reference(self.order_days(self.sales))
+            return df.filter(F.col("day").between(F.date_sub("ref", oldest), F.col("ref")))
+        return self.order_days(self.recent_sales(oldest).drop("ref")).withColumn("ref", F.lit(self.newest_day).cast("date"))

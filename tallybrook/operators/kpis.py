@@ -66,60 +66,83 @@ def _kpis(sums: DataFrame, keys: list[str], extra=()) -> DataFrame:
     )
 
 
+MEASURES = ("amount", "discount", "gross")
+FACTS = ("_rev", "_new_rev", "_ret_rev", "orders", "customers", "new_customers", "_new_orders", "_ret_orders", "_disc", "_gross")
+
+
+def _bands() -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Disjoint ranges of age in days (from, below), and those that make up each window."""
+    windows = window_rules()
+    edges = sorted({age for *_, newest, oldest in windows for age in (newest, oldest + 1)})
+    bands = list(zip(edges, edges[1:]))
+    return bands, [[b for b, (low, high) in enumerate(bands) if newest <= low and high <= oldest + 1] for *_, newest, oldest in windows]
+
+
+def _band(age: Column, bands: list[tuple[int, int]]) -> Column:
+    """Number of the band that an age lies in, null outside all of them."""
+    out = F.when(age < bands[0][0], None)
+    for b, (_, below) in enumerate(bands):
+        out = out.when(age < below, b)
+    return out
+
+
 def _window_sums(led: Ledger) -> DataFrame:
     """by, period, side and the sums behind the KPIs of each window with order lines.
 
-    Lines are grouped once, by order and customer, with a conditional sum per window.
-    From these rows come the distinct orders (by order), and each customer's first day and
-    sums (by customer); no row is multiplied and no line is joined.  Guests (null customer)
-    are one sum that counts as returning.
+    Two branches: the lines of the windows, and over the whole history no more than each
+    customer's first day.  Windows overlap, so lines are summed by disjoint bands of age, by
+    order and customer and then by customer, as whole ten-thousandths.  A bit per band tells
+    where an order or customer occurs.  Guests (null customer) are one sum that counts as
+    returning and stay outside the join.
     """
-    by, rules = led.by, list(enumerate(window_rules()))
-    age = F.date_diff("ref", "day")
-    dated = led.with_reference(led.sales)
-    if led.newest_day is not None:
-        dated = dated.filter(F.col("day") <= F.col("ref"))
-    measures = ("amount", "discount", "gross")
-    sums = [F.max(age).alias("first_age")]
-    for i, (*_, newest, oldest) in rules:
-        inside = age.between(newest, oldest)
-        sums.append(F.max(inside).alias(f"in{i}"))
-        sums += [F.sum(F.when(inside, F.col(m))).alias(f"{m}{i}") for m in measures]
-    pairs = dated.groupBy(*by, "order_id", "customer_id").agg(*sums)
-
-    named = pairs.filter(F.col("order_id").isNotNull())
-    by_order = named.groupBy(*by, "order_id").agg(*[F.max(f"in{i}").alias(f"in{i}") for i, _ in rules])
-    orders = by_order.groupBy(*by).agg(*[F.count_if(f"in{i}").alias(f"orders{i}") for i, _ in rules])
-
-    per_customer = [F.max("first_age").alias("first_age")]
-    for i, _ in rules:
-        per_customer.append(F.max(f"in{i}").alias(f"in{i}"))
-        per_customer.append(F.count_if(F.col(f"in{i}") & F.col("order_id").isNotNull()).alias(f"n{i}"))
-        per_customer += [F.sum(f"{m}{i}").alias(f"{m}{i}") for m in measures]
-    customers = pairs.groupBy(*by, "customer_id").agg(*per_customer)
-    known = F.col("customer_id").isNotNull()
-    found = []
-    for i, (*_, newest, oldest) in rules:
-        here = F.coalesce(F.col(f"in{i}"), F.lit(False))
-        new = known & F.col("first_age").between(newest, oldest)
-        found += [
-            total(f"amount{i}").alias(f"_rev{i}"),
-            total(F.when(new, F.col(f"amount{i}"))).alias(f"_new_rev{i}"),
-            total(F.when(~new, F.col(f"amount{i}"))).alias(f"_ret_rev{i}"),
-            F.count_if(here & known).alias(f"customers{i}"),
-            F.count_if(here & new).alias(f"new_customers{i}"),
-            F.sum(F.when(new, F.col(f"n{i}")).otherwise(0)).alias(f"_new_orders{i}"),
-            F.sum(F.when(~new, F.col(f"n{i}")).otherwise(0)).alias(f"_ret_orders{i}"),
-            total(f"discount{i}").alias(f"_disc{i}"),
-            total(f"gross{i}").alias(f"_gross{i}"),
+    by, (bands, parts) = led.by, _bands()
+    masks = [sum(1 << b for b in part) for part in parts]
+    cells = [(m, b) for m in MEASURES for b in range(len(bands))]
+    here = lambda i: F.col("mask").bitwiseAND(masks[i]) != 0
+    found_in = range(len(parts))
+
+    rows = led.recent_sales(bands[-1][1] - 1).withColumn("band", _band(F.date_diff("ref", "day"), bands))
+    bit = F.call_function("shiftleft", F.lit(1), F.col("band"))
+    whole = [F.sum(F.when(F.col("band") == b, (F.col(m) * 10000).cast("long"))).alias(f"{m}{b}") for m, b in cells]
+    pairs = rows.groupBy(*by, "order_id", "customer_id").agg(F.bit_or(bit).alias("mask"), *whole)
+
+    by_order = pairs.filter(F.col("order_id").isNotNull()).groupBy(*by, "order_id").agg(F.bit_or("mask").alias("mask"))
+    orders = by_order.groupBy(*by).agg(*[F.count_if(here(i)).alias(f"orders{i}") for i in found_in])
+
+    named = F.col("order_id").isNotNull()
+    counts = [F.count_if(here(i) & named).alias(f"n{i}") for i in found_in]
+    known = pairs.filter(F.col("customer_id").isNotNull())
+    known = known.groupBy(*by, "customer_id").agg(F.bit_or("mask").alias("mask"), *counts, *[F.sum(f"{m}{b}").alias(f"{m}{b}") for m, b in cells])
+    exact = "decimal(38,4)"
+    money = [(F.col(f"{m}{b}").cast("decimal(23,0)") / 10000).cast(exact).alias(f"{m}{b}") for m, b in cells]
+    known = led.with_reference(led.with_first_day(known))
+    known = known.select(*by, "mask", *[f"n{i}" for i in found_in], *money, _band(F.date_diff("ref", "first_day"), bands).alias("first_band"))
+    guests = pairs.filter(F.col("customer_id").isNull()).groupBy(*by).agg(
+        F.lit(0).alias("mask"), *counts, *[F.sum(F.col(f"{m}{b}").cast("decimal(23,0)")).alias(f"{m}{b}") for m, b in cells]
+    )
+    guests = guests.select(*by, "mask", *[f"n{i}" for i in found_in], *money, F.lit(None).cast("int").alias("first_band"))
+    sums = []
+    for i, part in enumerate(parts):
+        new = F.coalesce(F.col("first_band").isin(part), F.lit(False))
+        inside = lambda m: sum((F.coalesce(F.col(f"{m}{b}"), F.lit(0).cast(exact)) for b in part[1:]), F.coalesce(F.col(f"{m}{part[0]}"), F.lit(0).cast(exact)))  # noqa: B023, E731
+        amount, n = inside("amount"), F.col(f"n{i}")
+        sums += [
+            F.sum(amount).alias(f"_rev{i}"),
+            F.sum(F.when(new, amount)).alias(f"_new_rev{i}"),
+            F.sum(F.when(~new, amount)).alias(f"_ret_rev{i}"),
+            F.count_if(here(i)).alias(f"customers{i}"),
+            F.count_if(here(i) & new).alias(f"new_customers{i}"),
+            F.sum(F.when(new, n).otherwise(0)).alias(f"_new_orders{i}"),
+            F.sum(F.when(~new, n).otherwise(0)).alias(f"_ret_orders{i}"),
+            F.sum(inside("discount")).alias(f"_disc{i}"),
+            F.sum(inside("gross")).alias(f"_gross{i}"),
         ]
-    wide = attach(customers.groupBy(*by).agg(*found), orders, by)
-    names = ("_rev", "_new_rev", "_ret_rev", "orders", "customers", "new_customers", "_new_orders", "_ret_orders", "_disc", "_gross")
-    rows = [
-        F.struct(F.lit(period).alias("period"), F.lit(side).alias("side"), *[F.col(f"{n}{i}").alias(n) for n in names])
-        for i, (period, side, *_) in rules
+    wide = attach(known.unionByName(guests).groupBy(*by).agg(*sums), orders, by)
+    out = [
+        F.struct(F.lit(period).alias("period"), F.lit(side).alias("side"), *[F.col(f"{n}{i}").alias(n) for n in FACTS])
+        for i, (period, side, *_) in enumerate(window_rules())
     ]
-    return wide.select(*by, F.inline(F.array(*rows)))
+    return wide.select(*by, F.inline(F.array(*out)))
 
 
 def period_summary(orders, by=(), ref_date=None) -> DataFrame:
@@ -214,6 +237,47 @@ def drivers(orders, by=(), ref_date=None) -> DataFrame:
     )
 
 
+def drivers_mix(orders, by=(), ref_date=None) -> DataFrame:
+    """Revenue change split exactly into volume, mix of new and returning orders, and AOV.
+
+    Volume is the change in orders at the prior AOV, mix the shift between new and returning
+    orders at their prior AOVs, and the AOV effect the change of both AOVs at the current
+    orders, so that the three add up to the change.  A side without prior orders has a prior
+    AOV of 0.  Periods without prior orders have no split: effects are null.
+    """
+    led = Ledger.of(orders, by, ref_date)
+    keys = [*led.by, "period", "side"]
+    sums = attach(period_windows(led).select(*keys), _window_sums(led), keys)
+    zero = lambda c: F.coalesce(num(c), F.lit(0.0))
+    sides = F.struct(
+        *[zero(c).alias(n) for n, c in (("new_orders", "_new_orders"), ("ret_orders", "_ret_orders"), ("new_rev", "_new_rev"), ("ret_rev", "_ret_rev"))]
+    )
+    pairs = sums.groupBy(*led.by, "period").agg(
+        F.max(F.when(F.col("side") == "current", sides)).alias("cur"), F.max(F.when(F.col("side") == "prior", sides)).alias("prev")
+    )
+
+    def side(when: str, name: str) -> tuple[Column, Column, Column]:
+        """Orders, share of all orders and AOV of a side."""
+        orders = F.col(f"{when}.{name}_orders")
+        total_orders = F.col(f"{when}.new_orders") + F.col(f"{when}.ret_orders")
+        return orders, ratio(orders, total_orders), ratio(F.col(f"{when}.{name}_rev"), orders)
+
+    n0, n1 = (F.col(f"{w}.new_orders") + F.col(f"{w}.ret_orders") for w in ("prev", "cur"))
+    revenue = lambda w: F.col(f"{w}.new_rev") + F.col(f"{w}.ret_rev")
+    mix, aov = F.lit(0.0), F.lit(0.0)
+    for name in ("new", "ret"):
+        (_, share0, aov0), (orders1, share1, aov1) = side("prev", name), side("cur", name)
+        mix = mix + n1 * (share1 - share0) * aov0
+        aov = aov + orders1 * (aov1 - aov0)
+    split = (("volume_effect", (n1 - n0) * ratio(revenue("prev"), n0)), ("mix_effect", mix), ("aov_effect", aov))
+    return pairs.select(
+        *led.by,
+        "period",
+        (revenue("cur") - revenue("prev")).alias("revenue_delta"),
+        *[F.when((n0 > 0) & (n1 > 0), c).alias(n) for n, c in split],
+    )
+
+
 def monthly_trend(orders, by=(), ref_date=None, days: int = 365) -> DataFrame:
     """KPIs per calendar month of the trailing window, months clipped to it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.functions.frames import attach, group_window
-from tallybrook.functions.ordering import quantiles_of_counts, top_sum
+from tallybrook.functions.ordering import quantiles, top_n_sum
 from tallybrook.functions.scalars import MONEY, month_label, num, ratio, total
 from tallybrook.ledger import Ledger
 
@@ -114,23 +114,21 @@ def order_totals(orders, by=()) -> DataFrame:
 def free_shipping_threshold(orders, by=()) -> DataFrame:
     """Suggested threshold, share of orders below it, AOV lift of the orders just below it.
 
-    Everything follows from the distinct order totals with their counts, so the
-    exact median needs no group of all orders in one task.
+    The exact median is selected among the order totals, which are not sorted as a whole.
     """
     led = Ledger.of(orders, by)
-    counts = order_totals(led).groupBy(*led.by, "order_total").agg(F.count(F.lit(1)).alias("copies"))
-    middle = quantiles_of_counts(counts, led.by, "order_total", {"median_order": 0.5})
+    totals = order_totals(led)
+    middle = quantiles(totals, led.by, "order_total", {"median_order": 0.5})
     suggested = F.bround(F.col("median_order") * THRESHOLD_FACTOR, -2)
     limits = middle.select(*led.by, "median_order", suggested.alias("t"))
-    value, copies = num("order_total"), F.col("copies")
+    value, money = num("order_total"), F.col("order_total")
     near = (value >= F.col("t") * NEAR_FACTOR) & (value < F.col("t"))
-    mass = F.col("order_total") * copies
-    sums = attach(counts, limits, led.by).groupBy(*led.by, "median_order", "t").agg(
-        F.sum(copies).alias("n"),
-        F.sum(mass).alias("mass"),
-        F.sum(F.when(value < F.col("t"), copies)).alias("below"),
-        F.sum(F.when(near, copies)).alias("near_n"),
-        F.sum(F.when(near, mass)).alias("near_mass"),
+    sums = attach(totals, limits, led.by).groupBy(*led.by, "median_order", "t").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(money).alias("mass"),
+        F.count_if(value < F.col("t")).alias("below"),
+        F.count_if(near).alias("near_n"),
+        F.sum(F.when(near, money)).alias("near_mass"),
     )
     aov = F.try_divide(num("mass"), num("n"))
     lift = F.when(
@@ -170,7 +168,7 @@ def order_alerts(orders, by=(), ref_date=None, days: int = 30, single: float = 0
     whole = recent.groupBy(*led.by).agg(total("amount").alias("_all"))
     over = attach(totals, whole, led.by).filter(F.col("order_total") > F.col("_all") * F.lit(single).cast("decimal(4,2)"))
     flagged = over.groupBy(*led.by).agg(F.count(F.lit(1)).alias("orders_over_limit"))
-    best = top_sum(totals, led.by, "order_total", F.least(F.lit(3), F.col("group_rows")))
+    best = top_n_sum(totals, led.by, "order_total", 3)
     joined = attach(attach(whole, best, led.by), flagged, led.by)
     share = F.try_divide(num("top_total"), num("_all"))
     return joined.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.functions.frames import attach, match
-from tallybrook.functions.ordering import ordered_prefix, quantiles, top_sum
+from tallybrook.functions.ordering import ordered_prefix, quantiles, top_n_sum, top_share_sum
 from tallybrook.functions.scalars import MONEY, num, ratio, total
 from tallybrook.ledger import Ledger
 
@@ -50,8 +50,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
     No row for stores without products or without positive product revenue.
     """
     led = Ledger.of(orders, by)
-    k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(fraction)))
-    top = top_sum(product_totals(led), led.by, "amount", k)
+    top = top_share_sum(product_totals(led), led.by, "amount", fraction)
     return top.filter(F.col("group_total") > 0).select(
         *led.by,
         F.col("group_rows").alias("products"),
@@ -64,7 +63,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
 def top_n_share(orders, by=(), n: int = 5) -> DataFrame:
     """Share of the ``n`` best-selling products in product revenue."""
     led = Ledger.of(orders, by)
-    top = top_sum(product_totals(led), led.by, "amount", F.least(F.lit(n), F.col("group_rows")))
+    top = top_n_sum(product_totals(led), led.by, "amount", n)
     return top.select(
         *led.by,
         F.col("top_k").alias("top_n"),
@@ -97,10 +96,9 @@ def multi_item_rate(orders, by=()) -> DataFrame:
 def product_kpis(orders, products: DataFrame, by=()) -> DataFrame:
     """Catalogue size, top-20 % share of all revenue, share of orders with several lines."""
     led = Ledger.of(orders, by)
-    k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(0.2)))
     whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
     if led.product_key:
-        top = top_sum(product_totals(led), led.by, "amount", k).select(*led.by, "top_total")
+        top = top_share_sum(product_totals(led), led.by, "amount", 0.2).select(*led.by, "top_total")
         whole = attach(whole, top, led.by)
     else:
         whole = whole.withColumn("top_total", F.lit(0).cast(MONEY))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.functions.frames import attach, group_window
-from tallybrook.functions.ordering import top_sum
+from tallybrook.functions.ordering import top_share_sum
 from tallybrook.functions.scalars import change, month_label, month_length, num, ratio, total
 from tallybrook.ledger import Ledger
 
@@ -128,8 +128,7 @@ def customer_revenue(orders, by=()) -> DataFrame:
 def top_customer_share(orders, by=(), fraction: float = 0.1) -> DataFrame:
     """Share of all revenue (guests included) from the top ``fraction`` of customers."""
     led = Ledger.of(orders, by)
-    k = F.greatest(F.lit(1), F.floor(num("group_rows") * F.lit(fraction)))
-    top = top_sum(customer_revenue(led), led.by, "revenue", k)
+    top = top_share_sum(customer_revenue(led), led.by, "revenue", fraction)
     whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
     return attach(whole, top, led.by).select(
         *led.by,

@@ -84,26 +84,24 @@ EXPECTED_TYPES = {
 TYPE_BONUS = 0.2
 LEAST_SCORE = 0.5
 
-# Shape of a date and its pattern, tried in turn; month comes before day
-# unless the first number cannot be a month.
-_MONTH, _DAY_ONLY, _ANY = r"(?:0?[1-9]|1[0-2])", r"(?:1[3-9]|2\d|3[01])", r"\d{1,2}"
-DATE_FORMS = [
-    *[(rf"^{_MONTH}{cut}{_ANY}{cut}\d{{4}}$", f"M{sep}d{sep}yyyy") for cut, sep in (("/", "/"), ("-", "-"), ("[.]", "."))],
-    *[(rf"^{_DAY_ONLY}{cut}{_ANY}{cut}\d{{4}}$", f"d{sep}M{sep}yyyy") for cut, sep in (("/", "/"), ("-", "-"), ("[.]", "."))],
-    (rf"^{_MONTH}/{_ANY}/\d{{2}}$", "M/d/yy"),
-    (rf"^{_DAY_ONLY}/{_ANY}/\d{{2}}$", "d/M/yy"),
-    (rf"^\d{{4}}/{_ANY}/{_ANY}$", "yyyy/M/d"),
-    (rf"^[A-Z][a-z]{{2}} {_ANY}, \d{{4}}$", "MMM d, yyyy"),
-    (rf"^[A-Z][a-z]{{3,8}} {_ANY}, \d{{4}}$", "MMMM d, yyyy"),
-    (rf"^{_ANY} [A-Z][a-z]{{2}} \d{{4}}$", "d MMM yyyy"),
-    (rf"^{_ANY} [A-Z][a-z]{{3,8}} \d{{4}}$", "d MMMM yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
+# Date patterns and their shapes.  In a shape ``9`` stands for one or two digits,
+# ``99`` for three or four, and so on, ``a`` for a letter.  Where a second pattern is given it
+# serves texts whose first number cannot be a month.
+DATE_SHAPES = [
+    ("M/d/yyyy", "d/M/yyyy", ["9/9/99"]),
+    ("M-d-yyyy", "d-M-yyyy", ["9-9-99"]),
+    ("M.d.yyyy", "d.M.yyyy", ["9.9.99"]),
+    ("M/d/yy", "d/M/yy", ["9/9/9"]),
+    ("yyyy/M/d", None, ["99/9/9"]),
+    ("yyyyMMdd", None, ["9999"]),
+    ("MMM d, yyyy", None, ["aaa 9, 99"]),
+    ("MMMM d, yyyy", None, ["a" * n + " 9, 99" for n in range(4, 10)]),
+    ("d MMM yyyy", None, ["9 aaa 99"]),
+    ("d MMMM yyyy", None, ["9 " + "a" * n + " 99" for n in range(4, 10)]),
 ]
-# Time of day after a date, and whole timestamps with a zone.
-CLOCK = r" (\d{1,2}):(\d{2})(?::(\d{2}))? ?([AaPp][Mm])?$"
-ZONED_FORMS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "yyyy-M-d HH:mm:ss Z"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{2}:\d{2}:\d{2} UTC$", "yyyy-M-d HH:mm:ss z"),
-]
-# Fixed value: shape of ISO date and timestamp texts.
-ISO_FORM = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}(:\d{1,2}(:\d{1,2}([.]\d+)?)?)?([zZ]|\s?[+-]\d{1,2}(:?\d{2})?)?)?)?$"
+# Time of day after a date, and its shapes.
+CLOCK_SHAPES = [("[ H:mm[:ss]]", ["", " 9:9", " 9:9:9"]), (" h:mm[:ss][ ]a", [" 9:9aa", " 9:9:9aa", " 9:9 aa", " 9:9:9 aa"])]
+# Whole timestamps with a zone, and their shapes.
+ZONED_SHAPES = [("yyyy-M-d HH:mm:ss Z", ["99-9-9 9:9:9 +99", "99-9-9 9:9:9 -99"]), ("yyyy-M-d HH:mm:ss z", ["99-9-9 9:9:9 aaa"])]
+# Fixed value: beginning of ISO date and timestamp texts; a year alone is a number.
+ISO_START = r"^\d{4}-\d"

@@ -8,44 +8,56 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybrook.sources.headers import (
     ALIASES,
-    CLOCK,
-    DATE_FORMS,
+    CLOCK_SHAPES,
+    DATE_SHAPES,
     EXPECTED_TYPES,
-    ISO_FORM,
+    ISO_START,
     LEAST_SCORE,
     REQUIRED,
     TYPE_BONUS,
-    ZONED_FORMS,
+    ZONED_SHAPES,
 )
 
 
+def _date_forms() -> list[tuple[str, str | None, list[str]]]:
+    """(pattern, pattern for a late first number, shapes) of all texts that have a pattern."""
+    found = [
+        (early + clock, late and late + clock, [d + c for d in shapes for c in clock_shapes])
+        for clock, clock_shapes in CLOCK_SHAPES
+        for early, late, shapes in DATE_SHAPES
+    ]
+    return found + [(pattern, None, shapes) for pattern, shapes in ZONED_SHAPES]
+
+
 def parse_timestamp(c: Column) -> Column:
     """Timestamp from mixed date texts, null where no pattern fits.
 
-    A text is only parsed with the pattern whose shape it has: failed parses are slow.
-    A time of day is read apart from its date, so every date form takes every time form.
+    Digits and letters become a shape, and the shape is looked up once: a text is parsed with
+    the one pattern it has, or cast if it is an ISO text, or costs no parse.
     """
     text = F.trim(c.cast("string"))
-    day_text = F.regexp_replace(text, CLOCK, "")
-    part = lambda k: F.regexp_extract(text, CLOCK, k)
-    hour, minute, second = (F.coalesce(part(k).try_cast("int"), F.lit(0)) for k in (1, 2, 3))
-    half = F.lower(part(4))
-    on_clock = F.when(half == "", hour < 24).otherwise(hour.between(1, 12)) & (minute < 60) & (second < 60)
-    full = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    seconds = F.when(on_clock, full * 3600 + minute * 60 + second)
-    day = F.when(day_text.rlike(DATE_FORMS[0][0]), F.try_to_timestamp(day_text, F.lit(DATE_FORMS[0][1])))
-    for shape, pattern in DATE_FORMS[1:]:
-        day = day.when(day_text.rlike(shape), F.try_to_timestamp(day_text, F.lit(pattern)))
-    out = F.when(text.rlike(ISO_FORM), F.try_to_timestamp(text))
-    for shape, pattern in ZONED_FORMS:
-        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-    return out.otherwise(F.timestamp_add("SECOND", seconds, day))
+    letters = ascii_uppercase + ascii_lowercase
+    shape = F.replace(F.translate(text, digits + letters, "9" * len(digits) + "a" * len(letters)), F.lit("99"), F.lit("9"))
+    forms = _date_forms()
+    numbers = F.create_map(*[F.lit(x) for n, (*_, shapes) in enumerate(forms) for s in shapes for x in (s, n)])
+    late = F.substring(text, 1, 2).isin([str(n) for n in range(13, 32)])
+
+    def parsed(form: Column) -> Column:
+        out = F.when(form.isNull(), F.when(text.rlike(ISO_START), F.try_to_timestamp(text)))
+        for n, (early, other, _) in enumerate(forms):
+            way = F.try_to_timestamp(text, F.lit(early))
+            out = out.when(form == n, way if other is None else F.when(late, F.try_to_timestamp(text, F.lit(other))).otherwise(way))
+        return out
+
+    # Bound in a list of one, so that the shape is not computed again for each branch.
+    return F.transform(F.array(numbers[shape]), parsed)[0]
 
 
 def alias_map(columns: list[str]) -> dict[str, str]:
@@ -73,8 +85,7 @@ def canonical_words(canonical: str) -> tuple[frozenset[str], frozenset[str]]:
 
 def overlap(a: frozenset[str], b: frozenset[str]) -> float:
     """Common words as a share of all words of two sets; 0 for two empty ones."""
-    together = len(a | b)
-    return (len(a) + len(b) - together) / together if together else 0.0
+    return len(a & b) / len(a | b) if a or b else 0.0
 
 
 def column_profile(df: DataFrame) -> DataFrame:
