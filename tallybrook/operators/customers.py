@@ -73,6 +73,38 @@ def purchase_interval(orders, by=()) -> DataFrame:
     )
 
 
+# Day numbers from 0001-01-01 on have so many binary digits.
+DAY_DIGITS, DAY_ZERO = 22, 719162
+
+
+def days_to_second_order(orders, by=()) -> DataFrame:
+    """Whole days from a customer's first order to the next one at another time: count, mean
+    and exact median over the customers that have one.
+
+    An order counts with its earliest line.  The two earliest times come from one aggregation
+    that combines before the shuffle, whatever a customer's orders are: the second day differs
+    from the first in some binary digit of its number, and for each digit the earliest times
+    with 0 and with 1 are kept.  A second time on the first day is no whole day away.
+    """
+    led = Ledger.of(orders, by)
+    known = led.sales.filter(F.col("customer_id").isNotNull() & F.col("order_id").isNotNull() & F.col("first_ts").isNotNull())
+    placed = known.groupBy(*led.by, "customer_id", "order_id").agg(F.min("first_ts").alias("t"))
+    days = placed.groupBy(*led.by, "customer_id", F.to_date("t").alias("day")).agg(F.min("t").alias("t"), F.max("t").alias("latest"))
+    digit = lambda day, i: F.getbit(F.unix_date(day) + DAY_ZERO, F.lit(i))
+    cells = [(i, bit) for i in range(DAY_DIGITS) for bit in (0, 1)]
+    each = days.groupBy(*led.by, "customer_id").agg(
+        F.min("t").alias("first"),
+        F.min_by("latest", "t").alias("latest"),
+        *[F.min(F.when(digit("day", i) == bit, F.col("t"))).alias(f"t{i}_{bit}") for i, bit in cells],
+    )
+    other = [F.when(digit(F.to_date("first"), i) == 0, F.col(f"t{i}_1")).otherwise(F.col(f"t{i}_0")) for i in range(DAY_DIGITS)]
+    gap = F.when(F.col("latest") > F.col("first"), 0).otherwise(whole_days("first", F.least(*other)))
+    gaps = each.select(*led.by, gap.cast("long").alias("gap")).filter(F.col("gap").isNotNull())
+    means = gaps.groupBy(*led.by).agg(F.count("gap").alias("customers"), F.avg("gap").alias("avg_days"))
+    middle = quantiles(gaps, led.by, "gap", {"median_days": 0.5}, bounded=True)
+    return attach(means, middle.select(*led.by, "median_days"), led.by)
+
+
 def rfm_base(orders, by=()) -> DataFrame:
     """Recency in whole days before the newest order, distinct orders, revenue per customer."""
     led = Ledger.of(orders, by)

@@ -67,7 +67,7 @@ def _kpis(sums: DataFrame, keys: list[str], extra=()) -> DataFrame:
 
 
 MEASURES = ("amount", "discount", "gross")
-FACTS = ("_rev", "_new_rev", "_ret_rev", "orders", "customers", "new_customers", "_new_orders", "_ret_orders", "_disc", "_gross")
+FACTS = ("_rev", "_new_rev", "_ret_rev", "orders", "customers", "new_customers", "_new_orders", "_ret_orders", "_disc", "_gross", "_guest_rev", "_guest_orders")
 
 
 def _bands() -> tuple[list[tuple[int, int]], list[list[int]]]:
@@ -116,11 +116,11 @@ def _window_sums(led: Ledger) -> DataFrame:
     exact = "decimal(38,4)"
     money = [(F.col(f"{m}{b}").cast("decimal(23,0)") / 10000).cast(exact).alias(f"{m}{b}") for m, b in cells]
     known = led.with_reference(led.with_first_day(known))
-    known = known.select(*by, "mask", *[f"n{i}" for i in found_in], *money, _band(F.date_diff("ref", "first_day"), bands).alias("first_band"))
+    known = known.select(*by, F.lit(False).alias("guest"), "mask", *[f"n{i}" for i in found_in], *money, _band(F.date_diff("ref", "first_day"), bands).alias("first_band"))
     guests = pairs.filter(F.col("customer_id").isNull()).groupBy(*by).agg(
         F.lit(0).alias("mask"), *counts, *[F.sum(F.col(f"{m}{b}").cast("decimal(23,0)")).alias(f"{m}{b}") for m, b in cells]
     )
-    guests = guests.select(*by, "mask", *[f"n{i}" for i in found_in], *money, F.lit(None).cast("int").alias("first_band"))
+    guests = guests.select(*by, F.lit(True).alias("guest"), "mask", *[f"n{i}" for i in found_in], *money, F.lit(None).cast("int").alias("first_band"))
     sums = []
     for i, part in enumerate(parts):
         new = F.coalesce(F.col("first_band").isin(part), F.lit(False))
@@ -136,6 +136,8 @@ def _window_sums(led: Ledger) -> DataFrame:
             F.sum(F.when(~new, n).otherwise(0)).alias(f"_ret_orders{i}"),
             F.sum(inside("discount")).alias(f"_disc{i}"),
             F.sum(inside("gross")).alias(f"_gross{i}"),
+            F.sum(F.when(F.col("guest"), amount)).alias(f"_guest_rev{i}"),
+            F.sum(F.when(F.col("guest"), n)).alias(f"_guest_orders{i}"),
         ]
     wide = attach(known.unionByName(guests).groupBy(*by).agg(*sums), orders, by)
     out = [
@@ -145,22 +147,37 @@ def _window_sums(led: Ledger) -> DataFrame:
     return wide.select(*by, F.inline(F.array(*out)))
 
 
-def period_summary(orders, by=(), ref_date=None) -> DataFrame:
+def period_summary(orders, by=(), ref_date=None, guests: str = "returning") -> DataFrame:
     """KPIs of the current and prior 30/90/365-day windows; zeros for empty windows.
 
     A row's window follows from its age in days, so windows need neither a range join nor
-    one pass each.  Guests (null customer) count as returning.
+    one pass each.  Guests (null customer) count as returning; with ``guests="separate"``
+    they have columns of their own and are left out of the returning ones.
     """
+    if guests not in ("returning", "separate"):
+        raise ValueError("guests is 'returning' or 'separate'")
     led = Ledger.of(orders, by, ref_date)
     keys = [*led.by, "period", "side"]
-    found = _kpis(_window_sums(led), keys)
+    sums = _window_sums(led)
+    extra: list[Column] = []
+    if guests == "separate":
+        zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0).cast(kind))
+        money = dict(sums.dtypes)["_ret_rev"]
+        sums = sums.withColumns(
+            {
+                "_ret_rev": F.col("_ret_rev") - zero("_guest_rev", money),
+                "_ret_orders": F.col("_ret_orders") - zero("_guest_orders", "long"),
+            }
+        )
+        extra = [num(zero("_guest_rev", money)).alias("guest_revenue"), zero("_guest_orders", "long").alias("guest_orders")]
+    found = _kpis(sums, keys, extra)
     windows = period_windows(led)
     # Always null safe, also for stores: six windows per store on both sides.
     filled = attach(windows, found, keys)
-    counts = ("orders", "customers", "new_customers", "returning_customers")
+    counts = ("orders", "customers", "new_customers", "returning_customers", "guest_orders")
     return filled.select(
         *windows.columns,
-        *[F.coalesce(F.col(c), F.lit(0).cast("long") if c in counts else F.lit(0.0)).alias(c) for c in SUMMARY],
+        *[F.coalesce(F.col(c), F.lit(0).cast("long") if c in counts else F.lit(0.0)).alias(c) for c in found.columns[len(keys) :]],
     )
 
 

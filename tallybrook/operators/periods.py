@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.functions.frames import attach
 from tallybrook.functions.scalars import month_label, num, total, whole_days
 from tallybrook.ledger import Ledger
 
@@ -103,8 +104,7 @@ def data_coverage(orders, by=()) -> DataFrame:
 def annual_revenue(orders, by=()) -> DataFrame:
     """Revenue scaled to 365 days when the data is shorter; never below 0.
 
-    ``annual_revenue`` keeps the whole total for longer histories;
-    ``trailing_year_revenue`` counts the last 365 days only.
+    The whole total is kept for longer histories; see ``trailing_year_revenue``.
     """
     led = Ledger.of(orders, by)
     ends = led.sales.groupBy(*led.by).agg(
@@ -114,3 +114,11 @@ def annual_revenue(orders, by=()) -> DataFrame:
     short = (F.col("span_days") > 0) & (F.col("span_days") < 365)
     scaled = F.when(short, F.col("total_revenue") * (F.lit(365.0) / F.col("span_days"))).otherwise(F.col("total_revenue"))
     return ends.withColumn("annual_revenue", F.greatest(scaled, F.lit(0.0)))
+
+
+def trailing_year_revenue(orders, by=(), ref_date=None, days: int = 365) -> DataFrame:
+    """Revenue of the last ``days`` days up to the reference date; 0 without sales in them."""
+    led = Ledger.of(orders, by, ref_date)
+    sums = led.recent_sales(days - 1).groupBy(*led.by).agg(total("amount").alias("_sum"))
+    found = attach(led.reference, sums, led.by)
+    return found.select(*led.by, F.col("ref").alias("until"), num(F.coalesce("_sum", F.lit(0))).alias("trailing_year_revenue"))

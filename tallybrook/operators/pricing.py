@@ -58,6 +58,15 @@ def discount_dependency(orders, by=()) -> DataFrame:
     )
 
 
+def discounted_orders(orders, by=()) -> DataFrame:
+    """Share of orders with a discounted line, where ``discounted_line_ratio`` counts lines."""
+    led = Ledger.of(orders, by)
+    keyed = led.sales.filter(F.col("order_id").isNotNull())
+    each = keyed.groupBy(*led.by, "order_id").agg(F.max(F.col("discounted_lines") > 0).alias("any"))
+    sums = each.groupBy(*led.by).agg(F.count(F.lit(1)).alias("orders"), F.count_if("any").alias("discounted_orders"))
+    return sums.withColumn("discounted_order_ratio", ratio("discounted_orders", "orders"))
+
+
 def category_margins(orders, by=(), cost_col: str = "cost") -> DataFrame:
     """(revenue − cost) ÷ revenue per category; 0 without revenue."""
     led = Ledger.of(orders, by)

@@ -98,6 +98,61 @@ def _block(src: Source, ref=None) -> str:
     return _paired(src, ", ".join(cols) + "," + DRIVER_SQL, ref)
 
 
+def _separate(src: Source, ref=None) -> str:
+    """The summary with guests beside the returning customers."""
+    split = """split AS (SELECT store_id, period, side,
+        sum(amount) FILTER (customer_id IS NULL) AS guest_revenue, count(DISTINCT order_id) FILTER (customer_id IS NULL) AS guest_orders,
+        sum(amount) FILTER (customer_id IS NOT NULL AND NOT is_new) AS kept_revenue,
+        count(DISTINCT order_id) FILTER (customer_id IS NOT NULL AND NOT is_new) AS kept_orders FROM sides GROUP BY 1, 2, 3)"""
+    own = {
+        "returning_customer_revenue": "CAST(kept_revenue AS DOUBLE)",
+        "returning_customer_aov": "CAST(kept_revenue AS DOUBLE) / nullif(kept_orders, 0)",
+    }
+    cols = ", ".join(
+        f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" if kind == "n" else f"{r(f'coalesce({own.get(c, c)}, 0)')} AS {c}"
+        for c, kind in SUMMARY_COLUMNS
+    )
+    return query(
+        src,
+        [refs(ref), windows(), CUSTOMER_FIRST, summary(), split],
+        f"""SELECT {src.key} period, side, label, strftime(ps, '%Y-%m-%d') AS period_start, strftime(pe, '%Y-%m-%d') AS period_end, {cols},
+            {r('coalesce(guest_revenue, 0)')} AS guest_revenue, CAST(coalesce(guest_orders, 0) AS BIGINT) AS guest_orders
+        FROM win LEFT JOIN summ USING (store_id, period, side) LEFT JOIN split USING (store_id, period, side)""",
+    )
+
+
+def _mix(src: Source, ref=None) -> str:
+    """Volume, mix and AOV effects from the orders and revenue of new and other customers."""
+    parts = """seg AS (SELECT w.store_id, w.period, w.side, k.is_new, count(DISTINCT s.order_id) AS n, coalesce(sum(s.amount), 0) AS v
+        FROM win w CROSS JOIN (VALUES (true), (false)) AS k(is_new)
+        LEFT JOIN sides s ON s.store_id = w.store_id AND s.period = w.period AND s.side = w.side AND s.is_new = k.is_new GROUP BY ALL),
+    tot AS (SELECT store_id, period, side, sum(n) AS tn, sum(v) AS tv FROM seg GROUP BY ALL),
+    both_sides AS (SELECT a.store_id, a.period, a.n AS n1, CAST(a.v AS DOUBLE) AS v1, b.n AS n0, CAST(b.v AS DOUBLE) AS v0,
+            ta.tn AS t1, CAST(ta.tv AS DOUBLE) AS r1, tb.tn AS t0, CAST(tb.tv AS DOUBLE) AS r0
+        FROM seg a JOIN seg b ON a.store_id = b.store_id AND a.period = b.period AND a.is_new = b.is_new AND a.side = 'current' AND b.side = 'prior'
+        JOIN tot ta ON ta.store_id = a.store_id AND ta.period = a.period AND ta.side = 'current'
+        JOIN tot tb ON tb.store_id = a.store_id AND tb.period = a.period AND tb.side = 'prior')"""
+    aov = lambda k: f"coalesce(v{k} / nullif(n{k}, 0), 0)"
+    has = "min(t0) > 0 AND min(t1) > 0"
+    return query(
+        src,
+        [refs(ref), windows(), CUSTOMER_FIRST, summary(), parts],
+        f"""SELECT {src.key} period, {r('min(r1) - min(r0)')} AS revenue_delta,
+            CASE WHEN {has} THEN {r('(min(t1) - min(t0)) * (min(r0) / min(t0))')} END AS volume_effect,
+            CASE WHEN {has} THEN {r(f'sum(t1 * (n1 / CAST(t1 AS DOUBLE) - n0 / CAST(t0 AS DOUBLE)) * {aov(0)})')} END AS mix_effect,
+            CASE WHEN {has} THEN {r(f'sum(n1 * ({aov(1)} - {aov(0)}))')} END AS aov_effect
+        FROM both_sides GROUP BY store_id, period""",
+    )
+
+
+SECOND = """placed AS (SELECT store_id, customer_id, order_id, min(order_date) AS t FROM o
+        WHERE customer_id IS NOT NULL AND order_id IS NOT NULL GROUP BY ALL),
+    ranked AS (SELECT store_id, customer_id, t, row_number() OVER (PARTITION BY store_id, customer_id ORDER BY t) AS k
+        FROM (SELECT DISTINCT store_id, customer_id, t FROM placed)),
+    gaps AS (SELECT a.store_id, date_sub('day', a.t, b.t) AS gap FROM ranked a
+        JOIN ranked b ON a.store_id = b.store_id AND a.customer_id = b.customer_id AND a.k = 1 AND b.k = 2)"""
+
+
 TREND = """trend AS (
     SELECT x.store_id, strftime(x.day, '%Y-%m') AS month, sum(x.amount) AS revenue,
         count(DISTINCT order_id) AS orders, count(DISTINCT x.customer_id) AS customers,
@@ -181,7 +236,31 @@ def oracle_sql() -> dict[str, str]:
     out["annual_revenue"] = _one(STD, [COVERAGE, ANNUAL], annual)
     out["annual_revenue_short"] = _one(SHORT, [COVERAGE, ANNUAL], annual)
 
+    trailing = """y AS (SELECT store_id, min(ref) AS ref, sum(amount) FILTER (day BETWEEN ref - 364 AND ref) AS v
+        FROM o JOIN refs USING (store_id) GROUP BY store_id)"""
+    for name, src, ref in (("trailing_year_revenue", STD, None), ("trailing_year_revenue_by_store", by, EARLY)):
+        out[name] = query(
+            src,
+            [refs(ref), trailing],
+            f"SELECT {src.key} strftime(ref, '%Y-%m-%d') AS until, {r('coalesce(v, 0)')} AS trailing_year_revenue FROM y",
+        )
+
     # Period KPIs
+    out["period_summary_guests_separate"] = _separate(lines(store=True, guests=True), EARLY)
+    out["drivers_mix"] = _mix(STD)
+    out["drivers_mix_guests_by_store"] = _mix(lines(store=True, guests=True), EARLY)
+    seconds = f"count(*) AS customers, {r('avg(gap)')} AS avg_days, {r('quantile_cont(gap, 0.5)')} AS median_days FROM gaps GROUP BY store_id"
+    out["days_to_second_order"] = query(lines(guests=True), [SECOND], f"SELECT {seconds}")
+    out["days_to_second_order_short"] = query(SHORT, [SECOND], f"SELECT {seconds}")
+    out["days_to_second_order_by_store"] = query(by, [SECOND], f"SELECT store_id, {seconds}")
+    discounted = """d AS (SELECT store_id, order_id, max(discount > 0) AS has FROM o WHERE order_id IS NOT NULL GROUP BY ALL)"""
+    for name, src in (("discounted_orders", STD), ("discounted_orders_by_store", by)):
+        out[name] = query(
+            src,
+            [discounted],
+            f"""SELECT {src.key} count(*) AS orders, count(*) FILTER (has) AS discounted_orders,
+                {r('avg(has::INT)')} AS discounted_order_ratio FROM d GROUP BY store_id""",
+        )
     out["period_summary"] = _summary(STD)
     out["period_summary_ref1996"] = _summary(STD, EARLY)
     out["period_summary_guests"] = _summary(guests, EARLY)

@@ -146,6 +146,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "data_quality_short": _short(review.data_quality),
         "annual_revenue": _on(periods.annual_revenue),
         "annual_revenue_short": _short(periods.annual_revenue),
+        "trailing_year_revenue": _on(periods.trailing_year_revenue),
+        "trailing_year_revenue_by_store": _on(periods.trailing_year_revenue, STORE, EARLY),
         # Period KPIs
         "period_summary": _on(kpis.period_summary),
         "period_summary_ref1996": _on(kpis.period_summary, ref=EARLY),
@@ -155,7 +157,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "period_comparison": _on(kpis.period_comparison, ref=EARLY),
         "period_block": _on(kpis.period_blocks),
         "period_block_by_store_ref1996": _on(kpis.period_blocks, STORE, EARLY),
+        "period_summary_guests_separate": _on(kpis.period_summary, STORE, EARLY, guests=True, options={"guests": "separate"}),
         "drivers": _on(kpis.drivers),
+        "drivers_mix": _on(kpis.drivers_mix),
+        "drivers_mix_guests_by_store": _on(kpis.drivers_mix, STORE, EARLY, guests=True),
         "monthly_trend": _on(kpis.monthly_trend),
         "monthly_trend_by_store": _on(kpis.monthly_trend, STORE),
         "monthly_trend_ref1996": _on(kpis.monthly_trend, ref=EARLY, guests=True),
@@ -189,6 +194,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "purchase_interval": _on(customers.purchase_interval),
         "purchase_interval_short": _short(customers.purchase_interval),
         "purchase_interval_by_store": _on(customers.purchase_interval, STORE, guests=True),
+        "days_to_second_order": _on(customers.days_to_second_order, guests=True),
+        "days_to_second_order_short": _short(customers.days_to_second_order),
+        "days_to_second_order_by_store": _on(customers.days_to_second_order, STORE),
         "rfm_base": _on(customers.rfm_base),
         "rfm_scores": _on(customers.rfm_segments),
         "rfm_scores_by_store": _on(customers.rfm_segments, STORE),
@@ -227,6 +235,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "discount_dependency": _on(pricing.discount_dependency),
         "discount_dependency_by_store": _on(pricing.discount_dependency, STORE),
         "discount_dependency_none": _on(pricing.discount_dependency, discount=False),
+        "discounted_orders": _on(pricing.discounted_orders),
+        "discounted_orders_by_store": _on(pricing.discounted_orders, STORE),
         "margin_by_category": _on(pricing.category_margins, product=True),
         "margin_summary": _on(pricing.margin_summary, product=True),
         "free_shipping_threshold": _on(pricing.free_shipping_threshold),
