@@ -7,8 +7,9 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 By = Sequence[str]
 
@@ -52,11 +53,11 @@ def gather(parts: Sequence[DataFrame], by: By) -> DataFrame:
     The parts are stacked and folded by one small aggregation: every part runs once
     and side by side, without a chain of joins.
     """
-    kinds = [(n, t, i) for i, part in enumerate(parts) for n, t in part.dtypes if n not in by]
+    kinds = [(f.name, f.dataType, i) for i, part in enumerate(parts) for f in part.schema if f.name not in by]
 
     def padded(part: DataFrame, i: int) -> DataFrame:
-        columns = [f"`{n}`" if j == i else f"cast(null as {t}) as `{n}`" for n, t, j in kinds]
-        return part.selectExpr(*by, *columns)
+        columns = [F.col(f"`{n}`") if j == i else F.lit(None).cast(t).alias(n) for n, t, j in kinds]
+        return part.select(*by, *columns)
 
     layers = [padded(part, i) for i, part in enumerate(parts)]
     while len(layers) > 1:  # pairwise, so that no plan is analysed again and again
@@ -89,6 +90,37 @@ def side_by_side(tasks: Sequence[Callable[[], DataFrame]]) -> list[DataFrame]:
         return list(pool.map(lambda task: durable(task()), tasks))
 
 
+def _has_floats(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_floats(f.dataType) for f in kind)
+    if isinstance(kind, ArrayType):
+        return _has_floats(kind.elementType)
+    if isinstance(kind, MapType):
+        return _has_floats(kind.valueType)
+    return isinstance(kind, (DoubleType, FloatType))
+
+
+def finite(c: Column, kind: DataType) -> Column:
+    """``c`` with null for NaN and infinity, also in the fields and elements it holds.
+
+    The schema tells where floats are; everything else is left as it is.
+    """
+    if not _has_floats(kind):
+        return c
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[finite(c.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, x: finite(x, kind.valueType))
+    return F.when(F.abs(c) < float("inf"), c)  # not so for NaN, which is above infinity
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """``df`` with ``finite`` columns, however deep."""
+    return df.select(*[finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+
+
 def settle(df: DataFrame, digits: int = 6) -> DataFrame:
     """Output form: decimals as double, doubles rounded, no negative zero, no NaN."""
 

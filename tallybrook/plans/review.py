@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, durable, gather, side_by_side
+from tallybrook.functions.frames import attach, durable, gather, side_by_side, without_nan
 from tallybrook.ledger import Ledger
 from tallybrook.operators import customers, kpis, periods, revenue
 from tallybrook.plans import checks, issues, rules
@@ -99,7 +99,7 @@ class Review:
             "repeat": lambda: customers.repeat_purchase_rate(led),
             "annual": lambda: periods.annual_revenue(led),
         }
-        return dict(zip(tasks, side_by_side(list(tasks.values()))))
+        return {name: without_nan(df) for name, df in zip(tasks, side_by_side(list(tasks.values())))}
 
     @property
     def metadata(self) -> DataFrame:
@@ -154,122 +154,66 @@ class Review:
     def release(self) -> None:
         self.ledger.release()
 
-    def _listed(self, df: DataFrame, order: str, item: Column, name: str) -> DataFrame:
-        """JSON array of the rows' JSON texts in ``order``; bounded per store."""
-        rows = df.select(*self.by, F.col(order).alias("_o"), item.alias("_j"))
-        entry = F.struct("_o", "_j")
-        texts = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["_j"])
-        return rows.groupBy(*self.by).agg(F.concat(F.lit("["), F.concat_ws(",", texts), F.lit("]")).alias(name))
-
-    def documents(self) -> DataFrame:
-        """by, document: the whole review of a store as JSON text."""
-        exact = {"ignoreNullFields": "false"}
-        meta = self.metadata.select(
-            *self.by,
-            F.to_json(
-                F.struct(
-                    F.lit(self.generated_at).alias("generated_at"),
-                    *[c for c in self.metadata.columns if c not in self.by],
-                )
-            ).alias("metadata"),
-        )
-        cover = self.data_coverage.select(
-            *self.by,
-            F.to_json(F.struct(*[F.col(f"covered_{p}").alias(p) for p in periods.PERIOD_DAYS])).alias("coverage"),
-        )
-        warnings = self.data_quality
-        quality = self._listed(
-            warnings, "type", F.to_json(F.struct(*[c for c in warnings.columns if c not in self.by])), "quality"
-        )
-        check_list = self._listed(self.checks, "ord", _check_json(), "checks")
-        issue_list = self._listed(
-            self.top_issues,
-            "rank",
-            F.to_json(
-                F.struct(F.col("check_id").alias("id"), "category", "severity", "result", "message", "estimated_annual_impact")
-            ),
-            "issues",
-        )
-        action_list = self._listed(
-            self.action_candidates,
-            "rank",
-            F.to_json(F.struct("action", "source_check", "severity", "estimated_annual_impact", "timeline")),
-            "actions",
-        )
-        months = self.monthly_trend
-        entry = F.struct(
-            *[c for c in months.columns if c not in (*self.by, "partial")], F.when(F.col("partial"), True).alias("partial")
-        )
-        trend = self._listed(months, "month", F.to_json(entry), "trend")
-
-        blocks = attach(self.periods, trend, self.by)
-        blocks = attach(blocks, self.repeat_purchase_rate.select(*self.by, "repeat_purchase_rate"), self.by)
+    def _listed(self, df: DataFrame, order: str, entry: Column, name: str) -> DataFrame:
+        """The rows' entries as one array per store, in ``order``; bounded per store."""
+        rows = df.select(*self.by, F.col(order).alias("o"), entry.alias("entry"))
+        by_order = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+        listed = F.array_sort(F.collect_list(F.struct("o", "entry")), by_order)
+        return rows.groupBy(*self.by).agg(F.transform(listed, lambda x: x["entry"]).alias(name))
+
+    def records(self) -> DataFrame:
+        """by, review: the whole review of a store as one nested struct.
+
+        Fields whose type or presence differs from entry to entry are variants: values and
+        limits of checks, warnings, months, and the blocks of the covered periods.
+        """
+        months, warnings = self.monthly_trend, self.data_quality
+        plain = [c for c in months.columns if c not in (*self.by, "partial")]
+        month = F.when(F.col("partial"), F.to_variant_object(F.struct(*plain, "partial"))).otherwise(F.to_variant_object(F.struct(*plain)))
+        trend = self._listed(months, "month", month, "monthly_trend")
+        repeat = self.repeat_purchase_rate.select(*self.by, "repeat_purchase_rate")
+        blocks = attach(attach(self.periods, trend, self.by), repeat, self.by)
         names = self.periods.columns[len(self.by) + 1 :]
-        summary, tree, effects = names[:8], names[8:18], names[18:]
-        body = F.concat(
-            F.lit('{"summary":'),
-            F.to_json(F.struct(*summary), exact),
-            F.lit(',"kpi_tree":'),
-            F.to_json(F.struct(*tree), exact),
-            F.lit(',"drivers":'),
-            F.to_json(F.struct(*effects), exact),
-            F.when(
-                F.col("period") == "365d",
-                F.concat(
-                    F.lit(',"monthly_trend":'),
-                    F.coalesce("trend", F.lit("[]")),
-                    F.lit(',"repeat_purchase_rate":'),
-                    F.coalesce("repeat_purchase_rate", F.lit(0.0)).cast("string"),
-                ),
-            ).otherwise(""),
-            F.lit("}"),
-        )
+        parts = [F.struct(*names[:8]).alias("summary"), F.struct(*names[8:18]).alias("kpi_tree"), F.struct(*names[18:]).alias("drivers")]
+        none = F.array().cast("array<variant>")
+        year = [F.coalesce("monthly_trend", none).alias("monthly_trend"), F.coalesce("repeat_purchase_rate", F.lit(0.0)).alias("repeat_purchase_rate")]
+        block = F.when(F.col("period") == "365d", F.to_variant_object(F.struct(*parts, *year))).otherwise(F.to_variant_object(F.struct(*parts)))
         days = F.coalesce(*[F.when(F.col("period") == p, F.lit(d)) for p, d in periods.PERIOD_DAYS.items()])
-        shown = blocks.select(
-            *self.by, days.alias("_o"), F.concat(F.lit('"'), "period", F.lit('":'), body).alias("_j")
-        )
-        texts = F.transform(F.sort_array(F.collect_list(F.struct("_o", "_j"))), lambda x: x["_j"])
-        shown = shown.groupBy(*self.by).agg(F.concat(F.lit("{"), F.concat_ws(",", texts), F.lit("}")).alias("periods"))
-
-        doc = gather([meta, quality, cover, shown, check_list, issue_list, action_list], self.by)
-
-        def section(name: str, column: str, empty: str) -> list[Column]:
-            return [F.lit(f',"{name}":'), F.coalesce(column, F.lit(empty))]
-
-        document = F.concat(
-            F.lit(f'{{"version":"{VERSION}"'),
-            *section("metadata", "metadata", "{}"),
-            *section("data_quality", "quality", "[]"),
-            *section("data_coverage", "coverage", "{}"),
-            *section("periods", "periods", "{}"),
-            F.lit(',"health":{"checks":'),
-            F.coalesce("checks", F.lit("[]")),
-            *section("top_issues", "issues", "[]"),
-            F.lit("}"),
-            *section("action_candidates", "actions", "[]"),
-            F.lit("}"),
+        shown = self._listed(blocks.withColumn("days", days), "days", F.struct("period", block.alias("block")), "periods")
+        shown = shown.select(*self.by, F.map_from_entries("periods").alias("periods"))
+
+        own = {"partial_period": ["period", "days_with_data"], "short_data_span": ["days"], "limited_data_span": ["days"]}
+        warning = F.coalesce(*[F.when(F.col("type") == t, F.to_variant_object(F.struct("type", *columns, "message"))) for t, columns in own.items()])
+        either = lambda name: F.coalesce(F.col(f"{name}_text").cast("variant"), F.col(name).cast("variant")).alias(name)
+        check = F.struct(F.col("check_id").alias("id"), "category", "severity", "result", "message", either("value"), either("threshold"))
+        issue = F.struct(F.col("check_id").alias("id"), "category", "severity", "result", "message", "estimated_annual_impact")
+        action = F.struct("action", "source_check", "severity", "estimated_annual_impact", "timeline")
+        facts = [c for c in self.metadata.columns if c not in self.by]
+        meta = self.metadata.select(*self.by, F.struct(F.lit(self.generated_at).alias("generated_at"), *facts).alias("metadata"))
+        covered = F.struct(*[F.col(f"covered_{p}").alias(p) for p in periods.PERIOD_DAYS])
+        lists = [
+            self._listed(warnings, "type", warning, "data_quality"),
+            self._listed(self.checks, "ord", check, "checks"),
+            self._listed(self.top_issues, "rank", issue, "top_issues"),
+            self._listed(self.action_candidates, "rank", action, "action_candidates"),
+        ]
+        doc = gather([meta, self.data_coverage.select(*self.by, covered.alias("data_coverage")), shown, *lists], self.by)
+        empty = lambda name: (F.create_map() if name == "periods" else F.array()).cast(doc.schema[name].dataType)
+        full = lambda name: F.coalesce(name, empty(name)).alias(name)
+        review = F.struct(
+            F.lit(VERSION).alias("version"),
+            "metadata",
+            full("data_quality"),
+            "data_coverage",
+            full("periods"),
+            F.struct(full("checks"), full("top_issues")).alias("health"),
+            full("action_candidates"),
         )
-        return doc.select(*self.by, document.alias("document"))
-
-
-def _check_json() -> Column:
-    """A check as JSON; value and threshold are numbers, texts or null."""
-
-    def scalar(number: str, text: str) -> Column:
-        # A text is escaped as the one entry of an array, then taken out of its brackets.
-        listed = F.to_json(F.array(text))
-        quoted = F.when(F.col(text).isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
-        return F.coalesce(quoted, F.col(number).cast("string"), F.lit("null"))
-
-    head = F.to_json(F.struct(F.col("check_id").alias("id"), "category", "severity", "result", "message"))
-    return F.concat(
-        F.substring(head, F.lit(1), F.length(head) - 1),
-        F.lit(',"value":'),
-        scalar("value", "value_text"),
-        F.lit(',"threshold":'),
-        scalar("threshold", "threshold_text"),
-        F.lit("}"),
-    )
+        return doc.select(*self.by, review.alias("review"))
+
+    def documents(self) -> DataFrame:
+        """by, document: the record of a store as JSON text; null fields are kept."""
+        return self.records().select(*self.by, F.to_json("review", {"ignoreNullFields": "false"}).alias("document"))
 
 
 def review_documents(orders, by=(), period: str | None = None, ref_date: date | None = None,

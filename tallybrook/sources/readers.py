@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -116,10 +117,17 @@ def bad_dates(df: DataFrame) -> DataFrame:
     return mapped.filter(F.col("order_date").isNotNull() & parse_timestamp(F.col("order_date")).isNull())
 
 
+def _is_shop(columns: list[str], fmt: str) -> bool:
+    return (detect_format(columns) if fmt == "auto" else fmt) == "shopify"
+
+
 def normalise_orders(df: DataFrame, fmt: str = "auto", on_bad_date: str = "fail") -> DataFrame:
     """Canonical names and types; a missing amount becomes quantity × item price."""
-    shop = (detect_format(df.columns) if fmt == "auto" else fmt) == "shopify"
-    named = rename(df, SHOPIFY_ORDERS) if shop else map_columns(df)
+    shop = _is_shop(df.columns, fmt)
+    return _typed_orders(rename(df, SHOPIFY_ORDERS) if shop else map_columns(df), shop, on_bad_date)
+
+
+def _typed_orders(named: DataFrame, shop: bool, on_bad_date: str) -> DataFrame:
     if not shop and "amount" not in named.columns and {"quantity", "item_price"} <= set(named.columns):
         named = named.withColumns({c: _money(F.col(c)) for c in ("quantity", "item_price")})
         named = named.withColumn("amount", F.col("quantity") * F.col("item_price"))
@@ -138,10 +146,70 @@ def load_orders(
     return normalise_orders(read_table(spark, path, kind, multi_line), fmt, on_bad_date)
 
 
-def load_products(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
-    raw = read_table(spark, path, kind, multi_line)
+class Loaded(NamedTuple):
+    """Canonical ``rows``, and ``rejected`` lines with the ``reason`` they were left out for."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+LINE, WIDTH = "_line", "_other_width"
+
+
+def parse_lines(lines: DataFrame, header: str, text_col: str = "value") -> DataFrame:
+    """Rows of CSV text as columns of ``header``, all text, with the line itself as ``_line``.
+
+    A line with another number of fields has its text in ``_other_width`` as well.  Lines are
+    parsed one by one, so any splitting of the input will do; a quoted field ends on its line.
+    """
+    names = next(csv.reader([header]))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, WIDTH])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": WIDTH, "escape": '"'}
+    line = F.col(f"`{text_col}`")
+    row = F.from_csv(line, schema, options)
+    return lines.filter(line != header).select(line.alias(LINE), row.alias("_row")).select(LINE, "_row.*")
+
+
+def load_lines(lines: DataFrame, header: str, kind: str = "orders", fmt: str = "auto", text_col: str = "value") -> Loaded:
+    """``orders``, ``products`` or ``inventory`` from CSV lines, rejecting bad ones one by one.
+
+    Reasons are ``width`` (more or fewer fields than the header) and, for orders,
+    ``order_date`` (a date that no pattern fits).  Both outputs are views of the same lines.
+    """
+    parsed = parse_lines(lines, header, text_col)
+    good = parsed.filter(F.col(WIDTH).isNull()).drop(WIDTH)
+    rejected = parsed.filter(F.col(WIDTH).isNotNull()).select(F.col(LINE).alias("line"), F.lit("width").alias("reason"))
+    if kind == "orders":
+        shop = _is_shop(good.columns, fmt)
+        named = rename(good, SHOPIFY_ORDERS) if shop else map_columns(good)
+        rows = _typed_orders(named, shop, "quarantine")
+        late = named.filter(F.col("order_date").isNotNull() & parse_timestamp(F.col("order_date")).isNull())
+        rejected = rejected.unionByName(late.select(F.col(LINE).alias("line"), F.lit("order_date").alias("reason")))
+    elif kind == "products":
+        rows = normalise_products(good)
+    elif kind == "inventory":
+        rows = conform(good, "inventory")
+    else:
+        raise ValueError("kind is 'orders', 'products' or 'inventory'")
+    return Loaded(rows.drop(LINE), rejected)
+
+
+def load_csv_lines(spark: SparkSession, path: str, kind: str = "orders", fmt: str = "auto") -> Loaded:
+    """``load_lines`` of the CSV files at ``path``, whose first lines are the same header."""
+    lines = spark.read.text(path)
+    header = lines.first()
+    if header is None:
+        raise ValueError(f"{path} has no header")
+    return load_lines(lines, header["value"], kind, fmt)
+
+
+def normalise_products(raw: DataFrame) -> DataFrame:
     return conform(rename(raw, SHOPIFY_PRODUCTS) if SHOPIFY_PRODUCT_MARKERS <= set(raw.columns) else raw, "products")
 
 
+def load_products(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
+    return normalise_products(read_table(spark, path, kind, multi_line))
+
+
 def load_inventory(spark: SparkSession, path: str, kind: str = "csv", multi_line: bool = True) -> DataFrame:
     return conform(read_table(spark, path, kind, multi_line), "inventory")

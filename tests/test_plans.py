@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from tallybrook.functions.frames import without_nan
 from tallybrook.functions.scalars import fixed
 from tallybrook.plans import checks, issues, review, rules
 from tallybrook.sources import sinks
@@ -122,6 +123,41 @@ def test_review_short_span_and_period(make_orders):
     assert list(picked["periods"]) == ["90d"]
 
 
+def test_a_rerun_leaves_other_stores(spark, tmp_path):
+    def documents(*rows):
+        return spark.createDataFrame(rows, "store_id string, document string")
+
+    sinks.write_review(documents(("a", '{"n": 1}'), ("b", '{"n": 1}'), (None, '{"n": 1}')), str(tmp_path))
+    path = sinks.write_review(documents(("b", '{"n": 2}')), str(tmp_path))
+    found = {r["store_id"]: json.loads(r["value"])["n"] for r in spark.read.text(path).collect()}
+    assert found == {"a": 1, "b": 2, None: 1}
+    one_store = documents(("a", "{}")).drop("store_id")
+    assert spark.read.text(sinks.write_review(one_store, str(tmp_path), "30d")).count() == 1
+
+
+def test_nested_nan_and_infinity_are_null(spark):
+    kind = "id int, v double, s struct<x: double, t: string>, l array<struct<y: float, deep: array<double>>>, m map<string, double>, n struct<z: double>"
+    nan, inf = float("nan"), float("inf")
+    row = (1, nan, (inf, "NaN"), [(-inf, [nan, 1.5, None]), (2.5, None), None], {"a": -inf, "b": 0.0}, None)
+    df = spark.createDataFrame([row], kind)
+    out = one(without_nan(df))
+    assert out.v is None and out.s.x is None and out.s.t == "NaN" and out.n is None
+    assert out.l[0].y is None and out.l[0].deep == [None, 1.5, None] and out.l[1].y == 2.5 and out.l[1].deep is None and out.l[2] is None
+    assert out.m == {"a": None, "b": 0.0}
+    assert without_nan(df).dtypes == df.dtypes
+
+
+def test_document_keeps_null_fields_and_types(make_orders):
+    rows = [(f"o{i}", dt.datetime(2025, 1, 1) + dt.timedelta(days=i), f"c{i}", 0.0) for i in range(500)]
+    doc = json.loads(one(review.review_documents(make_orders(rows), generated_at="2026-01-01T00:00:00"))["document"])
+    assert doc["metadata"]["generated_at"] == "2026-01-01T00:00:00"
+    assert doc["periods"]["30d"]["summary"]["revenue_change"] == 0.0
+    by_id = {c["id"]: c for c in doc["health"]["checks"]}
+    assert set(by_id["revenue_concentration_top10"]) == {"id", "category", "severity", "result", "message", "value", "threshold"}
+    assert by_id["revenue_concentration_top10"]["value"] is None and by_id["repeat_purchase_rate"]["threshold"] == 0.25
+    assert "partial" not in doc["periods"]["365d"]["monthly_trend"][-2]
+
+
 def test_checks_without_products_or_revenue(make_orders):
     rows = [(f"o{i}", dt.datetime(2025, 1, 1) + dt.timedelta(days=i), f"c{i}", 0.0) for i in range(40)]
     got = {r["check_id"]: r["result"] for r in checks.health_checks(make_orders(rows)).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallybrook.plans import rules
+from workload import expected as rules
 from workload.oracle_base import ANNUAL, COVERAGE, CUSTOMER_FIRST, LATEST, MONTHS, Source, lines, query, r
 
 REPEATS = """repeats AS (SELECT store_id, CAST(sum(amount) AS DOUBLE) AS total_revenue,

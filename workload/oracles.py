@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload import oracle_checks
+from workload import oracle_checks, oracle_review
 from workload.oracle_base import (
     ANNUAL,
     COVERAGE,
@@ -183,6 +183,30 @@ def _top_customers(src: Source, fraction: float) -> str:
     )
 
 
+# How a quoted word and the end of its field look in a CSV line.
+QUOTED, BOXED = '""new"""', '""boxed"""'
+
+QUALITY = """SELECT store_id, 'partial_period' AS type, last_month AS period, last_month_days AS days_with_data,
+            CAST(NULL AS BIGINT) AS days,
+            printf('Latest month (%s) has only %d days of data. MoM comparisons use prior complete months.',
+                last_month, last_month_days) AS message
+        FROM latest WHERE partial_last_month
+        UNION ALL SELECT store_id, 'short_data_span', NULL, NULL, span_days,
+            printf('Data spans only %d days. 90d and 365d analyses are unavailable; interpret results with caution.', span_days)
+        FROM spans WHERE span_days < 90
+        UNION ALL SELECT store_id, 'limited_data_span', NULL, NULL, span_days,
+            printf('Data spans %d days (<1 year). 365d analysis may be unavailable; year-over-year comparisons are limited.',
+                span_days)
+        FROM spans WHERE span_days >= 90 AND span_days < 365"""
+
+
+def _document(src: Source, period: str | None = None) -> str:
+    keyed = src._replace(key="store_id,")
+    actions = ", ".join(f"('{k}', '{v}')" for k, v in oracle_checks.rules.ACTIONS.items())
+    quality = query(keyed, [COVERAGE, MONTHS, LATEST], QUALITY)
+    return oracle_review.document(src, _block(keyed), _trend(keyed), quality, actions, 0.0001, period)
+
+
 def _one(src: Source, parts: list[str], select: str) -> str:
     return query(src, parts, f"SELECT {src.key} {select}")
 
@@ -217,19 +241,7 @@ def oracle_sql() -> dict[str, str]:
     cover = "span_days, span_days >= 45 AS covered_30d, span_days >= 120 AS covered_90d, span_days >= 400 AS covered_365d FROM spans"
     out["data_coverage"] = _one(STD, [COVERAGE], cover)
     out["data_coverage_short"] = _one(SHORT, [COVERAGE], cover)
-    quality = """* EXCLUDE (store_id) FROM (
-        SELECT store_id, 'partial_period' AS type, last_month AS period, last_month_days AS days_with_data,
-            CAST(NULL AS BIGINT) AS days,
-            printf('Latest month (%s) has only %d days of data. MoM comparisons use prior complete months.',
-                last_month, last_month_days) AS message
-        FROM latest WHERE partial_last_month
-        UNION ALL SELECT store_id, 'short_data_span', NULL, NULL, span_days,
-            printf('Data spans only %d days. 90d and 365d analyses are unavailable; interpret results with caution.', span_days)
-        FROM spans WHERE span_days < 90
-        UNION ALL SELECT store_id, 'limited_data_span', NULL, NULL, span_days,
-            printf('Data spans %d days (<1 year). 365d analysis may be unavailable; year-over-year comparisons are limited.',
-                span_days)
-        FROM spans WHERE span_days >= 90 AND span_days < 365)"""
+    quality = f"* EXCLUDE (store_id) FROM ({QUALITY})"
     out["data_quality"] = _one(STD, [COVERAGE, MONTHS, LATEST], quality)
     out["data_quality_short"] = _one(SHORT, [COVERAGE, MONTHS, LATEST], quality)
     annual = f"span_days, {r('total_revenue')} AS total_revenue, {r('annual_revenue')} AS annual_revenue FROM annual"
@@ -510,6 +522,12 @@ def oracle_sql() -> dict[str, str]:
 
     # Health checks and what follows from them
     out |= k.check_queries(parts, by_parts)
+    out["review_document"] = _document(parts)
+    out["review_document_by_store"] = _document(by_parts)
+    out["review_document_90d"] = _document(parts, "90d")
+    recent = f"""all_lines AS ({parts.cte.removeprefix('o AS (')},
+    o AS (SELECT * FROM all_lines WHERE day BETWEEN DATE '{EARLY}' - 59 AND DATE '{EARLY}')"""
+    out["review_document_short"] = _document(Source(recent, ""))
     out["trajectory"] = _paired(
         by,
         f"""period, {r(chg('revenue'))} AS revenue_change,
@@ -574,6 +592,29 @@ def oracle_sql() -> dict[str, str]:
         {r('sum(CAST(l_quantity AS DECIMAL(9,0)) * CAST(p_retailprice AS DECIMAL(12,2)))')} AS revenue,
         strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first_order, max(CAST(l_partkey AS VARCHAR)) AS last_sku
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1"""
+    sold = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
+    out["load_orders_lines"] = f"""SELECT 'C-' || CAST(o_custkey AS VARCHAR) AS customer_id, count(DISTINCT o_orderkey) AS orders,
+        {r('sum(CAST(l_quantity AS DECIMAL(9,0)) * CAST(p_retailprice AS DECIMAL(12,2)))')} AS revenue,
+        strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS first_order, max(p_name || ', "new"') AS last_name
+        FROM {sold} WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0 GROUP BY 1"""
+    text = f"""'INV' || o_orderkey || ',' || l_partkey || ',"' || p_name || ', {QUOTED},' || CAST(l_quantity AS INT) || ','
+        || CASE WHEN o_orderkey % 89 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%-m/%-d/%Y %-H:%M') END || ',' || CAST(p_retailprice AS DECIMAL(12,2))
+        || CASE WHEN o_orderkey % 97 = 0 THEN '' ELSE ',C-' || o_custkey END"""
+    out["load_orders_rejected"] = f"""SELECT CASE WHEN o_orderkey % 97 = 0 THEN 'width' ELSE 'order_date' END AS reason, count(*) AS lines,
+        max({text}) AS last_line FROM {sold} WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0 GROUP BY 1"""
+    out["load_products_lines"] = f"""SELECT 'p-' || p_partkey AS product_id, p_name || ', "boxed"' AS name,
+            CASE WHEN p_partkey % 13 <> 0 THEN {r('CAST(p_retailprice AS DECIMAL(12,2))')} END AS price, p_type AS category, p_brand AS vendor,
+            CAST(NULL AS VARCHAR) AS rejected FROM part WHERE p_partkey % 31 <> 0
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'width: p-' || p_partkey || ',"' || p_name || ', {BOXED},'
+            || CASE WHEN p_partkey % 13 = 0 THEN 'n/a' ELSE CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) END || ',' || p_type
+            FROM part WHERE p_partkey % 31 = 0"""
+    known = "p_partkey % 11 <> 0"
+    out["load_inventory_lines"] = f"""SELECT count(DISTINCT p_partkey) FILTER (p_partkey % 37 <> 0) AS total_skus,
+        count(*) FILTER (p_size <= 10 AND {known} AND p_partkey % 37 <> 0) AS stockout_skus,
+        {r(f'count(*) FILTER (p_size <= 10 AND {known} AND p_partkey % 37 <> 0) / CAST(count(DISTINCT p_partkey) FILTER (p_partkey % 37 <> 0) AS DOUBLE)')} AS stockout_rate,
+        count(*) FILTER (p_partkey * 7 % 180 > 90 AND p_partkey % 37 <> 0) AS overstock_skus,
+        {r(f'sum((p_size - 10) * CAST(CAST(p_retailprice AS DECIMAL(12,2)) * 0.6 AS DECIMAL(18,4))) FILTER ({known} AND p_partkey % 37 <> 0)')} AS total_inventory_value,
+        count(*) FILTER (p_partkey % 37 = 0) AS rejected FROM part"""
     out["shop_normalise"] = f"""SELECT o_orderstatus AS financial_status, count(*) AS orders,
         {r('sum(CAST(o_totalprice AS DECIMAL(18,2)))')} AS revenue,
         {r("sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.5 ELSE 0 END)")} AS discount,

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import settle
+from tallybrook.functions.frames import gather, settle
 from tallybrook.ledger import Ledger
 from tallybrook.operators import baskets, customers, kpis, periods, pricing, products, revenue, stock
 from tallybrook.plans import checks, issues, review, scorecards
@@ -84,6 +84,37 @@ def _structural(spark: SparkSession, folder: str) -> DataFrame:
     return present(issues.structural_clusters(window(28), window(90)))
 
 
+WRITTEN = "2020-01-01T00:00:00"  # time in the metadata of the documents
+
+
+def _leaves(documents: DataFrame) -> DataFrame:
+    """The JSON documents read back: path, text and number of every value in them."""
+    stores = [c for c in documents.columns if c != "document"]
+    rows = documents.select(*stores, F.lit("").alias("path"), F.parse_json("document").alias("value"))
+    found = None
+    for _ in range(6):  # levels of a document
+        kind = F.schema_of_variant("value")
+        inner = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        text = F.when(~kind.isin("DOUBLE", "BIGINT") & ~kind.startswith("DECIMAL"), F.try_variant_get("value", "$", "string"))
+        number = F.when(~kind.isin("STRING", "BOOLEAN"), F.try_variant_get("value", "$", "double"))
+        leaves = rows.filter(~inner).select(*stores, "path", text.alias("text"), number.alias("number"))
+        found = leaves if found is None else found.unionByName(leaves)
+        parts = rows.sparkSession.tvf.variant_explode(F.col("value").outer()).toDF("pos", "key", "part")
+        below = rows.filter(inner).lateralJoin(parts)
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        rows = below.select(*stores, F.concat("path", F.lit("/"), step).alias("path"), F.col("part").alias("value"))
+    return found
+
+
+def _document(spark: SparkSession, folder: str, by=(), days: int | None = None, **options) -> DataFrame:
+    """The leaves of the review documents, of the whole history or its ``days`` up to the early date."""
+    lines = tables.order_lines(spark, folder, product=True, store=bool(by))
+    if days:
+        low, high = F.date_sub(F.lit(EARLY), days - 1), F.date_add(F.lit(EARLY), 1)
+        lines = lines.filter((F.col("order_date") >= low) & (F.col("order_date") < high))
+    return present(_leaves(review.review_documents(lines, by, pair_support=SUPPORT, generated_at=WRITTEN, **options)))
+
+
 def _retail(spark: SparkSession, folder: str) -> DataFrame:
     lines = readers.normalise_orders(tables.retail_export(spark, folder))
     return present(
@@ -132,6 +163,36 @@ def _mapping(make: Callable):
     return run
 
 
+def _loaded_orders(spark: SparkSession, folder: str) -> DataFrame:
+    rows = readers.load_lines(*tables.retail_lines(spark, folder)).rows
+    return present(
+        rows.groupBy("customer_id").agg(
+            F.countDistinct("order_id").alias("orders"),
+            F.sum("amount").alias("revenue"),
+            F.min("order_date").alias("first_order"),
+            F.max("product_name").alias("last_name"),
+        )
+    )
+
+
+def _rejected_orders(spark: SparkSession, folder: str) -> DataFrame:
+    rejected = readers.load_lines(*tables.retail_lines(spark, folder)).rejected
+    return present(rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"), F.max("line").alias("last_line")))
+
+
+def _loaded_products(spark: SparkSession, folder: str) -> DataFrame:
+    found = readers.load_lines(*tables.product_lines(spark, folder), kind="products")
+    rows = found.rows.select("product_id", "name", "price", "category", "vendor", F.lit(None).cast("string").alias("rejected"))
+    lost = found.rejected.select(*[F.lit(None).cast(k).alias(n) for n, k in rows.dtypes[:-1]], F.concat_ws(": ", "reason", "line").alias("rejected"))
+    return present(rows.unionByName(lost))
+
+
+def _loaded_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    found = readers.load_lines(*tables.inventory_lines(spark, folder), kind="inventory")
+    rejected = found.rejected.agg(F.count(F.lit(1)).alias("rejected"))
+    return present(gather([stock.inventory_kpis(found.rows), rejected], []))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     pairs = {"min_support": SUPPORT}
     return {
@@ -271,15 +332,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "risk_rubric": _on(scorecards.risk_rubric, STORE),
         "benchmark_grades": _on(scorecards.benchmark_grades, product=True),
         "impact_models": _on(scorecards.impact_models, STORE, product=True),
-        "review_document": lambda spark, folder: review.review_documents(
-            tables.order_lines(spark, folder, product=True), pair_support=SUPPORT
-        ),
-        "review_document_by_store": lambda spark, folder: review.review_documents(
-            tables.order_lines(spark, folder, product=True, store=True), STORE, pair_support=SUPPORT
-        ),
+        "review_document": _document,
+        "review_document_by_store": lambda spark, folder: _document(spark, folder, STORE),
+        "review_document_90d": lambda spark, folder: _document(spark, folder, period="90d"),
+        "review_document_short": lambda spark, folder: _document(spark, folder, days=60),
         # Sources
         "retail_normalise": _retail,
         "shop_normalise": _shop,
+        "load_orders_lines": _loaded_orders,
+        "load_orders_rejected": _rejected_orders,
+        "load_products_lines": _loaded_products,
+        "load_inventory_lines": _loaded_inventory,
         "fuzzy_normalise": _odd,
         "column_profile": _profile,
         "quality_report": _quality,

@@ -146,3 +146,46 @@ def odd_export(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("U"), "o_custkey").alias("customer id"),
         F.col("o_orderpriority").alias("priority"),
     )
+
+
+def as_lines(export: DataFrame, cut: str, spoilt: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """The rows of an all-text export as CSV lines and their header.
+
+    Where ``cut`` holds, the line lacks its last field; ``spoilt`` replaces fields of rows by
+    SQL expressions.
+    """
+    for name, value in (spoilt or {}).items():
+        export = export.withColumn(name, F.expr(value))
+    columns = [F.col(f"`{c}`") for c in export.columns]
+    options = {"escape": '"'}
+    line = F.when(F.expr(cut), F.to_csv(F.struct(*columns[:-1]), options)).otherwise(F.to_csv(F.struct(*columns), options))
+    return export.select(line.alias("value")), ",".join(export.columns)
+
+
+def retail_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """Retail lines with quoted descriptions, some too short and some without a date."""
+    number = "cast(substring(Invoice, 4) as bigint)"
+    spoilt = {
+        "Description": "concat(Description, ', \"new\"')",
+        "InvoiceDate": f"if({number} % 89 = 0, 'soon', InvoiceDate)",
+    }
+    return as_lines(retail_export(spark, folder), f"{number} % 97 = 0", spoilt)
+
+
+def product_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The parts as lines of a shop's product export."""
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    export = table(spark, folder, "part").select(
+        F.concat(F.lit("p-"), "p_partkey").alias("Handle"),
+        F.concat("p_name", F.lit(', "boxed"')).alias("Title"),
+        F.when(F.col("p_partkey") % 13 == 0, "n/a").otherwise(price).alias("Variant Price"),
+        F.col("p_type").alias("Type"),
+        F.col("p_brand").alias("Vendor"),
+    )
+    return as_lines(export, "cast(substring(Handle, 3) as bigint) % 31 = 0")
+
+
+def inventory_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    export = inventory(spark, folder)
+    export = export.select("sku", *[F.col(c).cast("string").alias(c) for c in ("quantity_on_hand", "days_on_hand", "cost")])
+    return as_lines(export, "cast(sku as bigint) % 37 = 0", {"quantity_on_hand": "if(cast(sku as bigint) % 11 = 0, '', quantity_on_hand)"})
