@@ -83,6 +83,9 @@ EXPECTED_TYPES = {
 }
 TYPE_BONUS = 0.2
 LEAST_SCORE = 0.5
+# Share of numbers that makes a currency column, share of different values an id.
+NUMERIC_FROM = 0.8
+DISTINCT_FROM = 0.8
 
 # Date patterns and their shapes.  In a shape ``9`` stands for one or two digits,
 # ``99`` for three or four, and so on, ``a`` for a letter.  Where a second pattern is given it

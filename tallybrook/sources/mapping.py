@@ -17,15 +17,20 @@ from tallybrook.sources.headers import (
     ALIASES,
     CLOCK_SHAPES,
     DATE_SHAPES,
+    DISTINCT_FROM,
     EXPECTED_TYPES,
     ISO_START,
     LEAST_SCORE,
+    NUMERIC_FROM,
     REQUIRED,
     TYPE_BONUS,
     ZONED_SHAPES,
 )
 
 
+SKETCH_ERROR = 0.02  # standard error of the sketch of different values
+
+
 def _date_forms() -> list[tuple[str, str | None, list[str]]]:
     """(pattern, pattern for a late first number, shapes) of all texts that have a pattern."""
     found = [
@@ -88,11 +93,30 @@ def overlap(a: frozenset[str], b: frozenset[str]) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
+PROFILE = (
+    "column string, rows bigint, filled bigint, numeric_rate double, date_rate double, "
+    "distinct_rate double, distinct_exact boolean, inferred_type string"
+)
+
+
+def _kind(filled: int, numeric: float, dated: float, distinct: float) -> str:
+    if not filled:
+        return "unknown"
+    if numeric > NUMERIC_FROM:
+        return "currency"
+    if dated == 1.0:
+        return "date"
+    return "id" if distinct > DISTINCT_FROM else "unknown"
+
+
 def column_profile(df: DataFrame) -> DataFrame:
-    """column, rows, filled, numeric_rate, date_rate, distinct_rate, inferred_type.
+    """column, rows, filled, numeric_rate, date_rate, distinct_rate, distinct_exact, inferred_type.
 
-    One pass over all columns.  Numbers are tested before dates, so a numeric
-    column counts as ``currency``; ``id`` means mostly different values.
+    One pass over all columns, with a sketch of the different values.  Numbers are tested
+    before dates, so a numeric column counts as ``currency``; ``id`` means mostly different
+    values.  Where the sketch cannot tell on which side of that limit a column lies and the
+    column is nothing else, its values are counted exactly in a second pass.
+    One row of counts per column comes to the driver.
     """
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(df.columns):
@@ -103,35 +127,28 @@ def column_profile(df: DataFrame) -> DataFrame:
             F.count(c).alias(f"filled_{i}"),
             F.count_if(number).alias(f"number_{i}"),
             F.count(F.when(~number, parse_timestamp(c))).alias(f"date_{i}"),
-            F.approx_count_distinct(c).alias(f"distinct_{i}"),
+            F.approx_count_distinct(c, SKETCH_ERROR).alias(f"distinct_{i}"),
         ]
-    wide = df.agg(*aggs)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                F.lit(i).alias("position"),
-                F.col("rows"),
-                F.col(f"filled_{i}").alias("filled"),
-                F.try_divide(F.col(f"number_{i}").cast("double"), F.col(f"filled_{i}")).alias("numeric_rate"),
-                F.try_divide(F.col(f"date_{i}").cast("double"), F.col(f"filled_{i}")).alias("date_rate"),
-                F.try_divide(F.col(f"distinct_{i}").cast("double"), F.col("rows")).alias("distinct_rate"),
-            )
-            for i, name in enumerate(df.columns)
-        ]
-    )
-    kind = (
-        F.when(F.col("filled") == 0, "unknown")
-        .when(F.col("numeric_rate") > 0.8, "currency")
-        .when(F.col("date_rate") == 1.0, "date")
-        .when(F.col("distinct_rate") > 0.8, "id")
-        .otherwise("unknown")
-    )
-    return wide.select(F.inline(entries)).withColumn("inferred_type", kind)
+    found = df.agg(*aggs).first()
+    rows, profile, unsure = found["rows"], [], []
+    for i, name in enumerate(df.columns):
+        filled, number, dated, distinct = (found[f"{k}_{i}"] for k in ("filled", "number", "date", "distinct"))
+        rates = [number / filled, dated / filled] if filled else [None, None]
+        share = distinct / rows if rows else None
+        profile.append([name, rows, filled, *rates, share, False])
+        near = share is not None and abs(share - DISTINCT_FROM) <= 4 * SKETCH_ERROR * DISTINCT_FROM
+        if near and _kind(filled, *rates, share) in ("id", "unknown"):
+            unsure.append(i)
+    if unsure:
+        exact = df.agg(*[F.countDistinct(F.col(f"`{df.columns[i]}`")).alias(f"n{i}") for i in unsure]).first()
+        for i in unsure:
+            profile[i][5:] = [exact[f"n{i}"] / rows, True]
+    out = [(*p, _kind(p[2], p[3], p[4], p[5])) for p in profile]
+    return df.sparkSession.createDataFrame(out, PROFILE)
 
 
 def inferred_types(df: DataFrame) -> dict[str, str]:
-    """Column types as a small dict: one row per column comes to the driver."""
+    """Column types as a small dict."""
     rows = column_profile(df).select("column", "inferred_type").collect()
     return {r["column"]: r["inferred_type"] for r in rows}
 

@@ -118,6 +118,36 @@ def test_date_forms(spark, text, want):
     assert df.select(mapping.parse_timestamp(df.d)).first()[0] == want
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('order_id,date,total,email,note\n1,2025-01-01,3,a,"x, ""y"""\n2,2025-01-02,4\n')
+    (folder / "b.csv").write_text("order_id,date,total,email,note\n3,soon,5,c,\n4,,6,d,\n5,2025-01-05,n/a,e,f,g\n6,6/1/2025,7,,z\n")
+    found = readers.load_csv_lines(spark, str(folder))
+    rows = {r["order_id"]: r for r in found.rows.collect()}
+    assert set(rows) == {"1", "4", "6"} and rows["1"]["note"] == 'x, "y"' and rows["4"]["order_date"] is None
+    assert rows["6"]["order_date"] == dt.datetime(2025, 6, 1) and rows["6"]["customer_id"] is None
+    reasons = {(r["line"][0], r["reason"]) for r in found.rejected.collect()}
+    assert reasons == {("2", "width"), ("5", "width"), ("3", "order_date")}
+    with pytest.raises(ValueError, match="kind"):
+        readers.load_csv_lines(spark, str(folder), kind="visits")
+    with pytest.raises(ValueError, match="lacks required"):
+        readers.load_csv_lines(spark, str(folder), kind="products")
+
+
+def test_different_values_at_the_limit(spark):
+    def profile(n, different):
+        df = spark.range(n).selectExpr(f"concat('x', least(id, {different - 1})) as a", "cast(id as string) as b")
+        return {r["column"]: r for r in mapping.column_profile(df).collect()}
+
+    at, above = profile(5000, 4000), profile(5000, 4001)
+    assert (at["a"]["inferred_type"], at["a"]["distinct_exact"], at["a"]["distinct_rate"]) == ("unknown", True, 0.8)
+    assert (above["a"]["inferred_type"], above["a"]["distinct_exact"]) == ("id", True)
+    assert not above["b"]["distinct_exact"] and above["b"]["inferred_type"] == "currency"
+    none = mapping.column_profile(spark.createDataFrame([], "a string")).collect()[0]
+    assert (none["rows"], none["numeric_rate"], none["inferred_type"]) == (0, None, "unknown")
+
+
 def test_quoted_line_breaks_and_wrong_width(spark, csv):
     path = csv('order_id,date,total,email,note\n1,2025-01-01,3,a,"line one\nline two"\n2,2025-01-02,4,b,\n')
     rows = readers.load_orders(spark, path).collect()

@@ -638,28 +638,48 @@ def oracle_sql() -> dict[str, str]:
     }
     sold = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
     is_number, is_date = "regexp_full_match(v, '[0-9.]+')", "try_strptime(v, '%-m/%-d/%Y %-H:%M') IS NOT NULL"
+    sort = {"StockCode": "currency", "Quantity": "currency", "Price": "currency", "InvoiceDate": "date"}
     out["column_profile"] = " UNION ALL ".join(
         f"""SELECT '{name}' AS "column", count(*) AS rows, count(v) AS filled, {r(f'count(*) FILTER ({is_number}) / count(v)')} AS numeric_rate,
-        {r(f'count(*) FILTER (NOT {is_number} AND {is_date}) / count(v)')} AS date_rate FROM (SELECT {value} AS v FROM {sold})"""
+        {r(f'count(*) FILTER (NOT {is_number} AND {is_date}) / count(v)')} AS date_rate, CAST(NULL AS DOUBLE) AS distinct_rate,
+        false AS distinct_exact, '{sort.get(name, 'unknown')}' AS inferred_type FROM (SELECT {value} AS v FROM {sold})"""
         for name, (value, _) in retail.items()
     )
+    batch = "'B' || floor(o_orderkey * {} / 100)::BIGINT"
+    # Name, value, shares of numbers and dates, whether counted exactly, type.
+    tickets = [
+        ("ticket", "'T' || o_orderkey", "0", "0", False, "'id'"),
+        ("batch79", batch.format(79), "0", "0", True, "CASE WHEN count(DISTINCT v) / count(*) > 0.8 THEN 'id' ELSE 'unknown' END"),
+        ("batch82", batch.format(82), "0", "0", True, "CASE WHEN count(DISTINCT v) / count(*) > 0.8 THEN 'id' ELSE 'unknown' END"),
+        ("client", "'C' || o_custkey", "0", "0", False, "'unknown'"),
+        ("note", "NULL::VARCHAR", "NULL", "NULL", False, "'unknown'"),
+        ("day", "strftime(o_orderdate, '%-d.%-m.%Y')", "0", "1", False, "'date'"),
+        ("fee", "CASE WHEN o_orderkey % 5 < 4 THEN '$' || o_custkey ELSE 'none' END", "count(*) FILTER (v <> 'none') / count(*)", "0", False,
+         "CASE WHEN count(*) FILTER (v <> 'none') / count(*) > 0.8 THEN 'currency' ELSE 'unknown' END"),
+    ]
+    out["column_profile_at_limits"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", count(*) AS rows, count(v) AS filled, {r(number)} AS numeric_rate, {r(dated)} AS date_rate,
+        {r('count(DISTINCT v) / count(*)') if exact else 'CAST(NULL AS DOUBLE)'} AS distinct_rate, {str(exact).lower()} AS distinct_exact,
+        {kind} AS inferred_type FROM (SELECT *, {value} AS v FROM orders)"""
+        for name, value, number, dated, exact, kind in tickets
+    )
     out["mapping_report_exact"] = " UNION ALL ".join(
         [
-            f"SELECT '{name}' AS source_col, '{canonical}' AS canonical, 1 AS tier, CAST(1 AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled FROM {sold}"
+            f"SELECT '{name}' AS source_col, '{canonical}' AS canonical, 1 AS tier, CAST(1 AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled, '{sort.get(name, 'unknown')}' AS inferred_type FROM {sold}"
             for name, (value, canonical) in retail.items()
         ]
-        + ["SELECT NULL, 'amount', NULL, NULL, NULL, NULL"]
+        + ["SELECT NULL, 'amount', NULL, NULL, NULL, NULL, NULL"]
     )
     # Two of three words agree, and a fitting value type adds a fifth.
     fits = [
-        ("Order Id Number", "'order_id'", "2", "round(2.0 / 3 + 0.2, 6)", "o_orderkey"),
-        ("order_day_date", "'order_date'", "2", "round(2.0 / 3 + 0.2, 6)", "o_orderdate"),
-        ("amount", "'amount'", "0", "1.0", "o_totalprice"),
-        ("customer id", "'customer_id'", "1", "1.0", "o_custkey"),
-        ("priority", "NULL", "NULL", "NULL", "o_orderpriority"),
+        ("Order Id Number", "'order_id'", "2", "round(2.0 / 3 + 0.2, 6)", "o_orderkey", "id"),
+        ("order_day_date", "'order_date'", "2", "round(2.0 / 3 + 0.2, 6)", "o_orderdate", "date"),
+        ("amount", "'amount'", "0", "1.0", "o_totalprice", "currency"),
+        ("customer id", "'customer_id'", "1", "1.0", "o_custkey", "unknown"),
+        ("priority", "NULL", "NULL", "NULL", "o_orderpriority", "unknown"),
     ]
     out["mapping_report_fuzzy"] = " UNION ALL ".join(
-        f"SELECT '{name}' AS source_col, {canonical} AS canonical, CAST({tier} AS INT) AS tier, CAST({score} AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled FROM orders"
-        for name, canonical, tier, score, value in fits
+        f"SELECT '{name}' AS source_col, {canonical} AS canonical, CAST({tier} AS INT) AS tier, CAST({score} AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled, '{kind}' AS inferred_type FROM orders"
+        for name, canonical, tier, score, value, kind in fits
     )
     return out

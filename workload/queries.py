@@ -145,9 +145,14 @@ def _odd(spark: SparkSession, folder: str) -> DataFrame:
     return present(revenue.monthly_revenue(orders).select("month", "revenue", "orders"))
 
 
-def _profile(spark: SparkSession, folder: str) -> DataFrame:
-    profile = mapping.column_profile(tables.retail_export(spark, folder))
-    return present(profile.select("column", "rows", "filled", "numeric_rate", "date_rate"))
+def _profile(make: Callable):
+    """Shares of different values are shown where they were counted exactly."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        profile = mapping.column_profile(make(spark, folder))
+        return present(profile.withColumn("distinct_rate", F.when(F.col("distinct_exact"), F.col("distinct_rate"))))
+
+    return run
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +163,7 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 def _mapping(make: Callable):
     def run(spark: SparkSession, folder: str) -> DataFrame:
         report = mapping.mapping_report(make(spark, folder))
-        return present(report.select("source_col", "canonical", "tier", "score", "rows", "filled"))
+        return present(report.select("source_col", "canonical", "tier", "score", "rows", "filled", "inferred_type"))
 
     return run
 
@@ -344,7 +349,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "load_products_lines": _loaded_products,
         "load_inventory_lines": _loaded_inventory,
         "fuzzy_normalise": _odd,
-        "column_profile": _profile,
+        "column_profile": _profile(tables.retail_export),
+        "column_profile_at_limits": _profile(tables.ticket_export),
         "quality_report": _quality,
         "mapping_report_exact": _mapping(tables.retail_export),
         "mapping_report_fuzzy": _mapping(tables.odd_export),

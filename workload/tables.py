@@ -136,6 +136,21 @@ def shop_export(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ticket_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders with columns on both sides of the share of different values that makes an id."""
+    orders = table(spark, folder, "orders")
+    share = lambda percent: F.floor(F.col("o_orderkey") * percent / 100).cast("string")
+    return orders.select(
+        F.concat(F.lit("T"), "o_orderkey").alias("ticket"),
+        F.concat(F.lit("B"), share(79)).alias("batch79"),
+        F.concat(F.lit("B"), share(82)).alias("batch82"),
+        F.concat(F.lit("C"), "o_custkey").alias("client"),
+        F.lit(None).cast("string").alias("note"),
+        F.date_format("o_orderdate", "d.M.yyyy").alias("day"),
+        F.when(F.col("o_orderkey") % 5 < 4, F.concat(F.lit("$"), F.col("o_custkey").cast("string"))).otherwise("none").alias("fee"),
+    )
+
+
 def odd_export(spark: SparkSession, folder: str) -> DataFrame:
     """An export whose headers match no alias and need the similarity mapping."""
     orders = table(spark, folder, "orders")
