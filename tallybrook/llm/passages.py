@@ -6,14 +6,22 @@ The choice depends on the window's content only, so equal windows have equal anc
 runs of neighbouring windows that share one anchor form a segment.  Equal segments that
 follow one another in a document are one row from the start.
 
-1. Anchors are counted over all documents; an anchor seen once ends here.
-2. The segments of repeated anchors are cut out, and equal segments become one row with a
-   count, so that a group of copies is one row however large it is.
-3. The different segments of an anchor meet in one task, which decides exactly which of
-   their windows occur more than once (the ``confirm`` function of an operator).
-   Anchors with more than ``anchor_bytes`` of different segments do not: their windows are
-   counted one by one over all tasks (``_apart``).
-4. Confirmed windows go back to the documents as spans of units.
+1. Segments are marked by anchor and a digest of their text, and counted by anchor over all
+   documents.  An anchor seen once ends here.
+2. Segments are cut out (one for all where those of an anchor are equal), and equal ones
+   become one row with a count, so that a group of copies is one row however large it is.
+   The different pieces of a group are decided together in one task (the ``decide``
+   function of an operator).
+3. The pieces of groups with more than ``group_bytes`` are split first: the windows of a piece
+   are dealt into a few ranges by their distance from the anchor, and what the windows of a
+   range have in common makes the new group.  Equal pieces become one row again.  This goes
+   on until every group is small, at the latest when a range is one window and all pieces of
+   a group are equal; so no task holds a group without bound, and a piece becomes a few rows
+   where it differs from others, never one for each window.
+4. Recurring windows go back to the documents as spans of units.
+
+Equal segments, pieces and ranges are those with equal 128-bit digests; what recurs among
+different pieces is decided by their text.
 """
 
 from __future__ import annotations
@@ -22,27 +30,28 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 from hashlib import blake2b
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.carry import named, others, packed, unpacked
 from tallybrook.llm.store import written
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-PLACE_BITS = 23  # of an order key: the gram's place in its piece; the others are its hash
-PIECE = 1 << 22  # windows handled at a time
+PLACE_BITS = 18  # of an order key: the gram's place in its part of the text; the others are its hash
+PIECE = 1 << 17  # windows handled at a time
 CUT_BYTES = 32_000_000  # about so much text of segments is handed over at a time
-ROWS = 100_000  # about so many rows of blocks or windows are handed over at a time
+ROWS = 100_000  # about so many rows are handed over at a time
+SPLIT = 8  # ranges that the windows of a piece are dealt into
 
-Segments = list[bytes]
-#: From segments (sorted by anchor), their anchors and counts: segment number, first and
-#: last window of each run of windows that occur more than once.
-Confirm = Callable[[Segments, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: From the different pieces of groups (_group, _sub1, _sub2, _text, _n, _id, _th, _first), the
+#: runs of recurring windows in them (_group, _sub1, _sub2, _from, _to, _earlier).
+Decide = Callable[[DataFrame, "Passage"], DataFrame]
+RUN = "_group bigint, _sub1 bigint, _sub2 bigint, _from bigint, _to bigint, _earlier boolean"
 
 
 @dataclass(frozen=True)
@@ -52,17 +61,8 @@ class Passage:
     length: int
     gram: int
     words: bool  # units are words, else bytes
-    shard_bytes: int = 2_000_000  # of different segments confirmed at a time
-    anchor_bytes: int | None = None  # an anchor with more is not confirmed in one task; an eighth of a shard if None
-
-    @property
-    def hot_bytes(self) -> int:
-        return self.shard_bytes // 8 if self.anchor_bytes is None else self.anchor_bytes
-
-    @property
-    def block(self) -> int:
-        """Neighbouring windows that are sieved by the units they have in common."""
-        return isqrt(self.length - self.gram + 1)
+    shard_bytes: int = 2_000_000  # of different pieces decided at a time
+    group_bytes: int = 250_000  # of different pieces of one group; they are split beyond
 
     def units(self, text: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
         """A 64-bit value per unit, and the units."""
@@ -71,7 +71,11 @@ class Passage:
         from xxhash import xxh3_64_intdigest
 
         words = text.split()  # on bytes: at the ASCII separators
-        return np.array([xxh3_64_intdigest(w) for w in words], np.uint64), words
+        return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)), words
+
+    def apart(self, text: bytes) -> list[bytes] | bytes:
+        """The units alone."""
+        return text.split() if self.words else text
 
     def cut(self, units: list[bytes] | bytes, first: int, end: int) -> bytes:
         return b" ".join(units[first:end]) if self.words else units[first:end]
@@ -98,8 +102,11 @@ def _power(n: int) -> list[np.ndarray]:
 
 
 def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
-    """A hash for every run of ``size`` values, from one running sum."""
-    n = len(values)
+    """A hash for every run of ``size`` values, from running sums of PIECE values or a gram."""
+    n, most = len(values), max(PIECE, 2 * size)
+    if n > most:
+        step = most - size + 1
+        return np.concatenate([gram_hashes(values[k : k + most], size) for k in range(0, n - size + 1, step)])
     power, inverse = _power(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * power[:n], out=sums[1:])
@@ -162,80 +169,73 @@ def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
+def _digest(text: bytes) -> bytes:
+    return blake2b(text, digest_size=16).digest()
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    """Digests as two columns of whole numbers, which aggregate without objects."""
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
+
+
+def _marked(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
+    """Rows (document, hash, text) become a row per segment."""
     for batch in batches:
-        rows, numbers, hashes, times, size = [], [], [], [], 0
+        rows, parts, digests, size = [], [], [], 0
 
         def done() -> pa.RecordBatch:
             row = pa.array(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), *[pa.array(np.concatenate(x)) for x in (numbers, hashes, times)]],
-                names=["_id", "_th", "_number", "_anchor", "_times"],
-            )
+            anchor, first, last, times = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
+            columns = [batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, (anchor, first, last - first + 1, times))]
+            return pa.RecordBatch.from_arrays([*columns, *_halves(digests)], names=["_id", "_th", "_anchor", "_first", "_windows", "_times", "_s1", "_s2"])
 
         for row, text in enumerate(batch.column(2)):
-            anchor, _, _, count = runs(*p.units(_bytes(text)), p)
-            rows.append(np.full(len(anchor), row))
-            numbers.append(np.arange(len(anchor), dtype=np.int32))
-            hashes.append(anchor)
-            times.append(count.astype(np.int64))
-            size += len(anchor)
-            if size >= 10 * ROWS:
+            values, units = p.units(_bytes(text))
+            found = runs(values, units, p)
+            if not len(found[0]):
+                continue
+            rows.append(np.full(len(found[0]), row))
+            parts.append(found)
+            digests += [_digest(p.cut(units, a, b + p.length)) for a, b in zip(found[1].tolist(), found[2].tolist())]
+            size += len(found[0])
+            if size >= ROWS:
                 yield done()
-                rows, numbers, hashes, times, size = [], [], [], [], 0
+                rows, parts, digests, size = [], [], [], 0
         if rows:
             yield done()
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
-    """Rows with text and the numbers of wanted segments become a row per segment, in
+    """Rows (document, hash, text, segments) become a row per segment with its text, in
     batches of about CUT_BYTES."""
     for batch in batches:
-        rows, anchors, firsts, counts, texts, size = [], [], [], [], [], 0
+        rows, parts, texts, size = [], [], [], 0
 
         def done() -> pa.RecordBatch:
             row = pa.array(rows, pa.int32())
-            numbers = [pa.array(x, pa.int64()) for x in (anchors, firsts, counts)]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), *numbers, pa.array(texts, pa.binary())],
-                names=["_id", "_th", "_anchor", "_first", "_times", "_text"],
-            )
-
-        for row, (text, numbers) in enumerate(zip(batch.column(2), batch.column(3))):
-            values, units = p.units(_bytes(text))
-            anchor, first, last, times = runs(values, units, p)
-            for k in sorted(numbers.as_py()):
+            wanted = pa.array(parts, batch.schema.field(3).type.value_type)
+            columns = [batch.column(0).take(row), batch.column(1).take(row), wanted, pa.array(texts, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "_part", "_text"])
+
+        for row, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3))):
+            units = p.apart(_bytes(text))
+            for part in wanted.as_py():
+                first = part["_first"]
                 rows.append(row)
-                anchors.append(anchor[k])
-                firsts.append(first[k])
-                counts.append(times[k])
-                texts.append(p.cut(units, first[k], last[k] + p.length))
+                parts.append(part)
+                texts.append(p.cut(units, first, first + part["_windows"] + p.length - 1))
                 size += len(texts[-1])
                 if size >= CUT_BYTES:
                     yield done()
-                    rows, anchors, firsts, counts, texts, size = [], [], [], [], [], 0
+                    rows, parts, texts, size = [], [], [], 0
         if rows:
             yield done()
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, digest, text, count) sorted by anchor, in shards of whole anchors."""
+def in_shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``_group`` as tables of whole groups of about ``shard_bytes`` of ``_text``."""
     held: list[pa.RecordBatch] = []
-
-    def shard(table: pa.Table) -> pa.RecordBatch:
-        anchors = table.column("_anchor").to_numpy()
-        numbers, first, last = confirm(table.column("_text").to_pylist(), anchors, table.column("_n").to_numpy())
-        row = pa.array(numbers, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                table.column("_anchor").combine_chunks().take(row),
-                table.column("_seg").combine_chunks().take(row),
-                pa.array(first, pa.int64()),
-                pa.array(last, pa.int64()),
-            ],
-            names=["_anchor", "_seg", "_from", "_to"],
-        )
-
     size = 0
     for batch in batches:
         if batch.num_rows:
@@ -243,146 +243,188 @@ def _confirmed(batches: Iterator[pa.RecordBatch], confirm: Confirm, shard_bytes:
             size += batch.nbytes
         if size >= shard_bytes:
             table = pa.Table.from_batches(held)
-            anchors = table.column("_anchor").to_numpy()
-            # Whole anchors up to the last one, which may go on; several shards if the batch is large.
-            edge = int(np.searchsorted(anchors, anchors[-1]))
-            starts = np.flatnonzero(np.append(True, anchors[1:edge] != anchors[: edge - 1])) if edge else np.zeros(0, np.int64)
-            sizes = np.cumsum(pc.binary_length(table.column("_text")).to_numpy()[:edge])
+            groups = table.column("_group").to_numpy()
+            # Whole groups up to the last one, which may go on; several shards if the batch is large.
+            edge = int(np.flatnonzero(groups != groups[-1])[-1]) + 1 if groups[0] != groups[-1] else 0
+            starts = np.flatnonzero(np.append(True, groups[1:edge] != groups[: edge - 1])) if edge else np.zeros(0, np.int64)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(table.column("_text")), 0).to_numpy()[:edge])
             at = 0
             while at < edge:
                 target = (sizes[at - 1] if at else 0) + shard_bytes
                 stop = int(np.searchsorted(sizes, target)) + 1
                 later = starts[starts >= min(stop, edge)]
                 stop = int(later[0]) if len(later) else edge
-                yield shard(table.slice(at, stop - at))
+                yield table.slice(at, stop - at).combine_chunks()
                 at = stop
             held = table.slice(edge).combine_chunks().to_batches()
             size = sum(b.nbytes for b in held)
     if held:
-        yield shard(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def run_batch(table: pa.Table, numbers: np.ndarray, first: np.ndarray, last: np.ndarray, earlier: np.ndarray) -> pa.RecordBatch:
+    """Runs of windows in the pieces with these row numbers of ``table``."""
+    row = pa.array(numbers, pa.int64())
+    keys = [table.column(c).combine_chunks().take(row) for c in ("_group", "_sub1", "_sub2")]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(earlier, pa.bool_())], names=["_group", "_sub1", "_sub2", "_from", "_to", "_earlier"])
 
 
-def _anchor_place(values: np.ndarray, p: Passage) -> int:
+def anchor_place(values: np.ndarray, p: Passage) -> int:
     """Where the anchor of a segment's windows begins."""
     keys = gram_hashes(values[: p.length], p.gram) >> np.uint64(PLACE_BITS)
     return int(np.argmin(keys))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, digest, text, count) become a row per block of a segment's windows.
+def _split(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
+    """Pieces with windows from ``_low`` to ``_high`` units before their anchor become one
+    piece for each part of that range in which they have windows.
 
-    Block b has the windows that begin from b * p.block units before the anchor, and all of
-    them cover the same ``p.length - p.block + 1`` units, so equal windows are in blocks
-    with equal numbers and cores.
+    ``_at`` is the place of the anchor in the piece, -1 if not known yet; the windows of a part
+    all hold the units from its lowest window's first to its highest one's last, the core.
     """
+    names = ["_anchor", "_s1", "_s2", "_low", "_high", "_shift", "_at", "_n", "_id", "_th", "_first"]
     for batch in batches:
-        rows, numbers, cores, size = [], [], [], 0
+        kept = batch.column("_id"), batch.column("_th"), batch.column("_anchor"), batch.column("_s1"), batch.column("_s2"), batch.column("_n")
+        rows, numbers, digests, groups, texts, size = [], [], [], [], [], 0
 
         def done() -> pa.RecordBatch:
-            row = pa.array(np.concatenate(rows))
-            kept = [batch.column(k).take(row) for k in (0, 1, 3)]
-            return pa.RecordBatch.from_arrays(
-                [*kept, pa.array(np.concatenate(numbers), pa.int32()), pa.array(np.concatenate(cores).view(np.int64))],
-                names=["_anchor", "_seg", "_n", "_block", "_core"],
-            )
-
-        for row, text in enumerate(batch.column(2)):
-            values, _ = p.units(_bytes(text))
-            place = _anchor_place(values, p)
-            number = np.arange((place - len(values) + p.length) // p.block, place // p.block + 1)
-            rows.append(np.full(len(number), row))
-            numbers.append(number)
-            cores.append(gram_hashes(values, p.length - p.block + 1)[place - p.block * number])
-            size += len(number)
-            if size >= ROWS:
+            row = pa.array(rows, pa.int32())
+            table = np.array(numbers, np.int64).reshape(-1, 5)
+            low, high, shift, at, first = (pa.array(np.ascontiguousarray(table[:, k])) for k in range(5))
+            id_, th, anchor, s1, s2, n = (c.take(row) for c in kept)
+            columns = [anchor, s1, s2, low, high, shift, at, n, id_, th, first, *_halves(digests), pa.array(groups, pa.int64()), pa.array(texts, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "_sub1", "_sub2", "_group", "_text"])
+
+        columns = [batch.column(c).to_pylist() for c in ("_anchor", "_low", "_high", "_shift", "_at", "_first")]
+        for row, (text, anchor, low, high, shift, at, first) in enumerate(zip(batch.column("_text"), *columns)):
+            raw = _bytes(text)
+            if at < 0:
+                values, units = p.units(raw)
+                at = anchor_place(values, p)
+            else:
+                units = p.apart(raw)
+            step = -(-(high - low + 1) // SPLIT)
+            for a in range(low, high + 1, step):
+                b = min(a + step - 1, high)
+                begin, end = max(0, at - b), min(len(units) - p.length, at - a)
+                if begin > end:
+                    continue
+                piece = p.cut(units, begin, end + p.length)
+                core = p.cut(units, at - a, at - b + p.length)
+                mark = blake2b(core, digest_size=8, key=f"{anchor}:{a}:{b}".encode()).digest()
+                rows.append(row)
+                numbers.append((a, b, shift + begin, at - begin, first + begin))
+                digests.append(_digest(piece))
+                groups.append(int.from_bytes(mark, "little", signed=True))
+                texts.append(piece)
+                size += len(piece)
+            if size >= CUT_BYTES:
                 yield done()
-                rows, numbers, cores, size = [], [], [], 0
+                rows, numbers, digests, groups, texts, size = [], [], [], [], [], 0
         if rows:
             yield done()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, digest, text, count, blocks) become a row per window of these blocks."""
-    for batch in batches:
-        rows, windows, digests = [], [], []
+def _place() -> Column:
+    return F.struct("_id", "_th", "_first")
 
-        def done() -> pa.RecordBatch:
-            row = pa.array(rows, pa.int32())
-            kept = [batch.column(k).take(row) for k in (0, 1, 3)]
-            return pa.RecordBatch.from_arrays([*kept, pa.array(windows, pa.int64()), pa.array(digests, pa.binary())], names=["_anchor", "_seg", "_n", "_at", "_window"])
 
-        for row, (text, blocks) in enumerate(zip(batch.column(2), batch.column(4))):
-            values, units = p.units(_bytes(text))
-            place = _anchor_place(values, p)
-            for b in blocks.as_py():
-                last = place - p.block * b
-                for k in range(max(0, last - p.block + 1), min(len(values) - p.length, last) + 1):
-                    rows.append(row)
-                    windows.append(k)
-                    digests.append(blake2b(p.cut(units, k, k + p.length), digest_size=16).digest())
-            if len(rows) >= ROWS:
-                yield done()
-                rows, windows, digests = [], [], []
-        if rows:
-            yield done()
+def _decided(pieces: DataFrame, p: Passage, decide: Decide) -> DataFrame:
+    """Runs of recurring windows per segment (_anchor, _s1, _s2, _from, _to, _earlier).
 
+    ``_earlier`` runs are those with an earlier place than the segment's first, in documents by
+    id and hash; the others have any other place.
+    """
+    kind = dict(pieces.dtypes)["_id"]
+    split = (
+        f"_anchor bigint, _s1 bigint, _s2 bigint, _low bigint, _high bigint, _shift bigint, _at bigint, _n bigint, _id {kind}, _th bigint, "
+        "_first bigint, _sub1 bigint, _sub2 bigint, _group bigint, _text binary"
+    )
+    span = p.length - p.gram
+    current = pieces.select(
+        "_anchor", "_s1", "_s2", F.lit(0).cast("long").alias("_low"), F.lit(span).cast("long").alias("_high"), F.lit(0).cast("long").alias("_shift"),
+        F.lit(-1).cast("long").alias("_at"), "_n", "_id", "_th", "_first", F.col("_s1").alias("_sub1"), F.col("_s2").alias("_sub2"),
+        F.col("_anchor").alias("_group"), "_text",
+    )
+    found, key = None, ["_group", "_sub1", "_sub2"]
+    while True:
+        current = written(current, "pieces")
+        different = current.withColumn("_at_first", _place())
+        if found is not None:  # before, every piece is a segment of its own
+            different = different.groupBy(*key).agg(
+                F.first("_text").alias("_text"), F.sum("_n").alias("_n"), F.min("_at_first").alias("_at_first"), F.max("_high").alias("_high"), F.max("_low").alias("_low")
+            )
+            different = written(different, "different-pieces")
+        different = different.select(*key, "_text", "_n", "_at_first.*", (F.col("_high") > F.col("_low")).alias("_wide"))
+        sizes = different.groupBy("_group").agg(F.sum(F.length("_text")).alias("_bytes"), F.count(F.lit(1)).alias("_pieces"), F.bool_and("_wide").alias("_wide"))
+        more = written(sizes.filter((F.col("_bytes") > p.group_bytes) & (F.col("_pieces") > 1) & F.col("_wide")).select("_group"), "large-groups")
+        last = more.isEmpty()
+        ready = different.drop("_wide") if last else different.drop("_wide").join(more, "_group", "left_anti")
+        runs = written(decide(ready, p), "runs")
+        mine = current.select("_anchor", "_s1", "_s2", "_shift", *key, _place().alias("_own"))
+        first = different.select(*[F.col(c).alias(f"_of{c}") for c in key], _place().alias("_at_first"))
+        same = [F.col(c) == F.col(f"_of{c}") for c in key]
+        at = mine.join(runs, key).join(first, same) if found is not None else mine.join(runs, key).withColumn("_at_first", F.col("_own"))
+        # Where the piece's first place is another segment's, all its recurring windows are later copies.
+        is_first = F.col("_own").eqNullSafe(F.col("_at_first"))
+        flags = F.when(F.col("_earlier"), F.when(is_first, F.array(F.lit(True)))).otherwise(
+            F.when(is_first, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+        )
+        part = at.select(
+            "_anchor", "_s1", "_s2", (F.col("_from") + F.col("_shift")).alias("_from"), (F.col("_to") + F.col("_shift")).alias("_to"), F.explode(flags).alias("_earlier")
+        )
+        found = part if found is None else found.unionByName(part)
+        if last:
+            return found
+        current = current.join(more, "_group", "left_semi").mapInArrow(partial(_split, p=p), split)
 
-def _apart(different: DataFrame, p: Passage) -> DataFrame:
-    """Runs of windows that occur more than once, for anchors with any number of segments.
 
-    No task holds an anchor: blocks of windows whose core was counted once end first, then
-    the windows of the others are counted by a digest of 128 bits, as segments are.
-    """
-    texts = written(different, "hot-segments")
-    blocks = written(texts.mapInArrow(partial(_blocks, p=p), "_anchor bigint, _seg binary, _n bigint, _block int, _core bigint"), "hot-blocks")
-    core = ["_anchor", "_block", "_core"]
-    again = written(blocks.groupBy(*core).agg(F.sum("_n").alias("_n")).filter("_n > 1").select(*core), "hot-blocks-again")
-    hits = blocks.join(again, core, "left_semi").groupBy("_anchor", "_seg").agg(F.collect_set("_block").alias("_blocks"))
-    wanted = texts.join(hits, ["_anchor", "_seg"]).select("_anchor", "_seg", "_text", "_n", "_blocks")
-    windows = written(wanted.mapInArrow(partial(_windows, p=p), "_anchor bigint, _seg binary, _n bigint, _at bigint, _window binary"), "hot-windows")
-    key = ["_anchor", "_window"]
-    again = written(windows.groupBy(*key).agg(F.sum("_n").alias("_n")).filter("_n > 1").select(*key), "hot-windows-again")
-    at = windows.join(again, key, "left_semi").groupBy("_anchor", "_seg").agg(F.array_sort(F.collect_set("_at")).alias("_at"))
-    edge = lambda step: F.filter("_at", lambda x, i: F.coalesce(F.get("_at", i + step) != x + step, F.lit(True)))
-    runs = at.select("_anchor", "_seg", F.explode(F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"))).alias("_run"))
-    return runs.select("_anchor", "_seg", F.col("_run.first").alias("_from"), F.col("_run.last").alias("_to"))
-
-
-def recurring_spans(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: str, text_col: str) -> DataFrame:
+def recurring_spans(docs: DataFrame, p: Passage, decide: Decide, *, id_col: str, text_col: str, keep_first: bool = False) -> DataFrame:
     """``_span_id``, ``_span_th`` and ``_spans``: per document the runs (first, last window)
-    of windows that occur more than once, in any order, in unit numbers from 0."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).cast("binary").alias("_text"))
+    of windows that occur more than once, in any order, in unit numbers from 0.
+
+    With ``keep_first`` only windows with an earlier occurrence, in documents by id (null
+    first), then by hash of the text, and by place in a document.
+    """
+    id_, text = named(id_col), named(text_col)
+    rows = docs.select(id_.alias("_id"), F.xxhash64(text).alias("_th"), text.cast("binary").alias("_text"))
     kind = dict(rows.dtypes)["_id"]
-    marks = written(rows.mapInArrow(partial(_anchors, p=p), f"_id {kind}, _th bigint, _number int, _anchor bigint, _times bigint"), "anchors")
+    segment = "_anchor bigint, _first bigint, _windows bigint, _times bigint, _s1 bigint, _s2 bigint"
+    marks = written(rows.mapInArrow(partial(_marked, p=p), f"_id {kind}, _th bigint, {segment}"), "segments")
+    differ = (F.min("_s1") != F.max("_s1")) | (F.min("_s2") != F.max("_s2"))
+    anchors = marks.groupBy("_anchor").agg(F.sum("_times").alias("_n"), differ.alias("_differ"))
     # Written, as adaptive execution splits a hot key only where both sides come from a shuffle.
-    again = written(marks.groupBy("_anchor").agg(F.sum("_times").alias("_n")).filter("_n > 1").select("_anchor"), "anchors-again")
-    hits = marks.join(again, "_anchor", "left_semi").groupBy("_id", "_th").agg(F.collect_set("_number").alias("_numbers"))
-    hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), "_numbers")
-    wanted = rows.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th")))
-    cut = wanted.select("_id", "_th", "_text", "_numbers").mapInArrow(
-        partial(_cut_segments, p=p), f"_id {kind}, _th bigint, _anchor bigint, _first bigint, _times bigint, _text binary"
-    )
-    found = written(cut.withColumn("_seg", F.unhex(F.md5("_text"))), "segments")
-    weight = found.select("_anchor", "_seg", F.length("_text").alias("_size")).distinct().groupBy("_anchor").agg(F.sum("_size").alias("_size"))
-    hot = written(weight.filter(F.col("_size") > p.hot_bytes).select("_anchor"), "hot-anchors")
-    any_hot = not hot.isEmpty()
-
-    def different(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("_anchor", "_seg").agg(F.first("_text").alias("_text"), F.sum("_times").alias("_n"))
-
-    cold = found.join(hot, "_anchor", "left_anti") if any_hot else found
-    dealt = different(cold).repartition("_anchor").sortWithinPartitions("_anchor", "_seg")
-    runs = dealt.select("_anchor", "_seg", "_text", "_n").mapInArrow(
-        partial(_confirmed, confirm=confirm, shard_bytes=p.shard_bytes), "_anchor bigint, _seg binary, _from bigint, _to bigint"
-    )
-    if any_hot:
-        runs = runs.unionByName(_apart(different(found.join(hot, "_anchor", "left_semi")), p))
-    runs = written(runs, "confirmed")
-    spans = found.drop("_text").join(runs, ["_anchor", "_seg"])
+    anchors = written(anchors.filter("_n > 1").select("_anchor", "_differ"), "anchors")
+    hits = written(marks.join(anchors, "_anchor"), "hits")
+
+    # Of equal segments one is cut out, for all of them; of different ones all are.
+    seg = ["_anchor", "_s1", "_s2"]
+    equal = hits.filter(~F.col("_differ")).groupBy(*seg, "_windows").agg(F.min(_place()).alias("_at_first"), F.sum("_times").alias("_times"))
+    cut = ["_id", "_th", "_anchor", "_first", "_windows", "_times", "_s1", "_s2"]
+    asked = hits.filter("_differ").select(*cut).unionByName(equal.select("_at_first.*", "_anchor", "_windows", "_times", "_s1", "_s2").select(*cut))
+    part = F.struct(*cut[2:])
+    wanted = asked.groupBy(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th")).agg(F.collect_set(part).alias("_parts"))
+    texts = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th"))).select("_id", "_th", "_text", "_parts")
+    texts = texts.mapInArrow(partial(_cut_segments, p=p), f"_id {kind}, _th bigint, _part {dict(texts.dtypes)['_parts'][6:-1]}, _text binary")
+    found = written(texts.select("_id", "_th", "_part.*", "_text"), "segment-texts")
+    pieces = found.groupBy(*seg).agg(F.first("_text").alias("_text"), F.sum("_times").alias("_n"), F.min(_place()).alias("_at_first"))
+    runs = written(_decided(pieces.select(*seg, "_text", "_n", "_at_first.*"), p, decide), "segment-runs")
+
+    at = hits.drop("_differ").join(runs, seg)
     # A segment that follows itself recurs as a whole, so its windows are 0 to _to.
-    last = F.col("_first") + F.col("_to") + (F.col("_times") - 1) * (F.col("_to") + 1)
-    span = F.struct((F.col("_first") + F.col("_from")).alias("first"), last.alias("last"))
-    return spans.groupBy(F.col("_id").alias("_span_id"), F.col("_th").alias("_span_th")).agg(F.collect_set(span).alias("_spans"))
+    repeats = (F.col("_times") - 1) * (F.col("_to") + 1)
+    if keep_first:
+        places = found.groupBy(*seg).agg(F.min(_place()).alias("_at_first"))
+        at = at.join(places, seg).filter(F.col("_earlier") == _place().eqNullSafe(F.col("_at_first")))
+        whole = (F.col("_first") + F.col("_windows") * F.col("_times") - 1).alias("last")
+        again = hits.filter("_times > 1").select("_id", "_th", F.struct((F.col("_first") + F.col("_windows")).alias("first"), whole).alias("_span"))
+        repeats = F.lit(0)
+    else:
+        at = at.filter(~F.col("_earlier"))
+    last = F.col("_first") + F.col("_to") + repeats
+    spans = at.select("_id", "_th", F.struct((F.col("_first") + F.col("_from")).alias("first"), last.alias("last")).alias("_span"))
+    spans = spans.unionByName(again) if keep_first else spans
+    return spans.groupBy(F.col("_id").alias("_span_id"), F.col("_th").alias("_span_th")).agg(F.collect_set("_span").alias("_spans"))
 
 
 def _removed(p: Passage, n: int, spans: list[dict]) -> np.ndarray:
@@ -430,22 +472,22 @@ def _without(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.Recor
         )
 
 
-def without_recurring(docs: DataFrame, p: Passage, confirm: Confirm, *, id_col: str, text_col: str) -> DataFrame:
+def without_recurring(docs: DataFrame, p: Passage, decide: Decide, *, id_col: str, text_col: str, keep_first: bool = False) -> DataFrame:
     """``docs`` with recurring windows cut from the text (binary, as bytes may break a
     character) and the counts ``n_units``, ``n_removed``, ``n_spans``.
 
     A null text stays null and counts no units.  Repeated rows are documents of their own,
-    so what they hold recurs.  Input columns named like a count are replaced.
+    so what they hold recurs; with ``keep_first`` rows that agree in id and text are one
+    document and keep what it keeps.  Input columns named like a count are replaced.
     """
-    spans = recurring_spans(docs, p, confirm, id_col=id_col, text_col=text_col)
+    spans = recurring_spans(docs, p, decide, id_col=id_col, text_col=text_col, keep_first=keep_first)
     counts = ["n_units", "n_removed", "n_spans"]
-    others = [c for c in docs.columns if c not in [text_col, *counts]]
-    rows = docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.struct(*others).alias("_doc"), F.col(text_col).cast("binary").alias("_text")
-    )
+    rest = others(docs, text_col, *counts)
+    text = named(text_col)
+    rows = docs.select(named(id_col).alias("_id"), F.xxhash64(text).alias("_th"), packed(rest), text.cast("binary").alias("_text"))
     same = F.col("_id").eqNullSafe(F.col("_span_id")) & (F.col("_th") == F.col("_span_th"))
     joined = rows.join(spans, same, "left").select("_doc", "_text", "_spans")
     out = joined.mapInArrow(
         partial(_without, p=p), f"_doc {dict(joined.dtypes)['_doc']}, _text binary, n_units bigint, n_removed bigint, n_spans bigint"
     )
-    return out.select("_doc.*", F.col("_text").alias(text_col), *counts)
+    return out.select(*unpacked(rest), F.col("_text").alias(text_col), *counts)

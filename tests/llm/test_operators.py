@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallybrook.llm import chat, components, crf, decontamination, lines, mixing, passages, personal, phrases, quality, simhash, suffixes
+from tallybrook.llm import chat, components, crf, decontamination, lines, mixing, passages, personal, quality, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, epoch string, _id string, kept string"
 WORDS = "the of and tion er in re an on st nd le la der und ein ich que el".split()
@@ -170,108 +170,6 @@ def test_decontamination(spark, odd, none):
     assert decontamination.scan(odd, bench.limit(0)).agg({"n_hit": "max"}).first()[0] == 0
 
 
-@pytest.mark.parametrize("shard", [2_000_000, 700])
-def test_phrases_and_suffixes(spark, odd, none, shard):
-    texts = [r[1] for r in ODD]
-    as_words = [(t or "").encode().split() for t in texts]
-    got = sorted((r.n_units, r.n_removed, r.text) for r in phrases.remove_repeats(odd, shard_bytes=shard).collect() if r.text is not None)
-    want = sorted((len(w), sum(g), b" ".join(x for x, gone in zip(w, g) if not gone)) for t, w, g in zip(texts, as_words, recurring(as_words, 35)) if t is not None)
-    assert [(n, m, b" ".join(bytes(t).split())) for n, m, t in got] == want
-    as_bytes = [(t or "").encode() for t in texts]
-    got = sorted((r.n_units, r.n_removed, bytes(r.text or b"")) for r in suffixes.remove_repeats(odd, length=120, gram=30, shard_bytes=shard).collect())
-    gone = recurring([list(b) for b in as_bytes], 120)
-    assert got == sorted((len(b), sum(g), bytes(x for x, y in zip(b, g) if not y)) for b, g in zip(as_bytes, gone))
-    assert phrases.remove_repeats(none).count() == suffixes.remove_repeats(none).count() == 0
-
-
-def bounded(confirm, most):
-    """``confirm`` that refuses an anchor with more bytes of different segments than ``most``."""
-
-    def checked(texts, anchors, counts, **options):
-        held = collections.Counter()
-        for text, anchor in zip(texts, anchors.tolist()):
-            held[anchor] += len(text)
-        assert max(held.values()) <= most
-        return confirm(texts, anchors, counts, **options)
-
-    return checked
-
-
-def test_phrases_of_a_common_sentence(spark, monkeypatch):
-    """A sentence shorter than a window among other words in each document: no task holds it all."""
-    sentence = prose("footer", 30).split()
-    texts = [prose(i, 60).split() + sentence + prose(1000 + i % 110, 60).split() for i in range(120)]
-    monkeypatch.setattr(phrases, "confirm", bounded(phrases.confirm, 4000))
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_removed, bytes(r.text).split()) for r in phrases.remove_repeats(docs, shard_bytes=32_000).collect()}
-    for i, gone in enumerate(recurring([[w.encode() for w in t] for t in texts], 35)):
-        assert got[i] == (sum(gone), [w.encode() for w, x in zip(texts[i], gone) if not x])
-
-
-def test_suffixes_of_a_common_footer(spark, monkeypatch):
-    footer = prose("footer", 60)[:110]
-    texts = [(prose(i, 60) + footer + prose(1000 + i % 110, 60)).encode() for i in range(120)]
-    monkeypatch.setattr(suffixes, "confirm", bounded(suffixes.confirm, 4000))
-    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: bytes(r.text) for r in suffixes.remove_repeats(docs, length=120, gram=30, shard_bytes=32_000).collect()}
-    for i, gone in enumerate(recurring([list(t) for t in texts], 120)):
-        assert got[i] == bytes(x for x, y in zip(texts[i], gone) if not y)
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([b"a", b"b", b"aaaaaaaaaa", b"abcabcabcabcabc", b"ababababab"]), max_size=12), st.booleans())
-def test_runs_are_equal_segments(parts, words):
-    p = passages.Passage(9, 3, words=words)
-    text = b"".join(parts)
-    values, units = p.units(b" ".join(text[i : i + 1] for i in range(len(text))) if words else text)
-    unfolded = []
-    for anchor, first, last, times in zip(*passages.runs(values, units, p)):
-        w = last - first + 1
-        assert len({p.cut(units, first + k * w, last + k * w + p.length) for k in range(times)}) == 1
-        unfolded += [(anchor, first + k * w, last + k * w) for k in range(times)]
-    assert unfolded == list(zip(*passages.segments(values, p)))
-
-
-def test_short_periods_are_cut_once(monkeypatch):
-    import pyarrow as pa
-
-    p = passages.Passage(400, 64, words=False)
-    texts = [b"=" * 200_000, prose(1, 3000).encode()]
-    numbers = [list(range(len(passages.runs(*p.units(t), p)[0]))) for t in texts]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts), pa.array(numbers)], names=["_id", "_th", "_text", "_numbers"])
-    monkeypatch.setattr(passages, "CUT_BYTES", 10_000)
-    cut = list(passages._cut_segments(iter([batch]), p))
-    assert all(b.nbytes < 20_000 for b in cut)
-    assert sum(b.nbytes for b in cut) < 10 * len(texts[1])
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=60), min_size=1, max_size=6), st.integers(4, 12))
-def test_confirm_equals_brute_force(texts, length):
-    data = [t.encode() for t in texts]
-    p = passages.Passage(length, 3, words=False)
-    rows = collections.Counter()
-    for t in data:
-        for anchor, first, last in zip(*passages.segments(p.units(t)[0], p)):
-            rows[int(anchor), t[first : last + length]] += 1
-    ordered = sorted(rows)
-    anchors, counts = np.array([a for a, _ in ordered], np.int64), np.array([rows[r] for r in ordered])
-    seen = collections.Counter(t[i : i + length] for t in data for i in range(len(t) - length + 1))
-    want = {w for w, n in seen.items() if n > 1}
-    if ordered:
-        found = set()
-        for k, first, last in zip(*suffixes.confirm([s for _, s in ordered], anchors, counts, length)):
-            found |= {ordered[k][1][i : i + length] for i in range(first, last + 1)}
-        assert found == want
-
-
-def test_longest_previous_factor():
-    data = np.frombuffer(b"abcabcabdabc", np.uint8)
-    order, shared = suffixes.suffix_order(data, np.arange(10), 3)
-    previous, following = suffixes.longest_previous(order, shared, len(data))
-    assert np.flatnonzero(previous == 3).tolist() == [3, 4, 5, 9] and np.flatnonzero(following == 3).tolist() == [0, 1, 2, 3]
-
-
 def test_personal_data(spark, odd, none):
     base = "mail a.b@c.de or x@y, ip 1.2.3.4 and 300.1.1.1, card 4111 1111 1111 1111, not 4111111111111112, call +49 (30) 1234567."
     assert [base[a:b] for _, a, b in personal.base_spans(base)] == ["a.b@c.de", "1.2.3.4", "4111 1111 1111 1111", "+49 (30) 1234567"]
