@@ -3,8 +3,10 @@
 Exact matchers give the base spans; they are the seeds.  Words around seeds are lexical
 patterns, and everything with the rough shape of an identifier is an instance of the
 patterns around it.  Spark scores the graph of patterns and instances in rounds: a pattern
-is as good as the instances it meets, an instance as its patterns make it likely.
-Patterns with a high score and many different seeds then add unseen identifiers.
+is as good as the instances it meets, an instance as its best pattern makes it likely, and
+scores pass on in parts from round to round.  Forms that fail an identifier's check speak
+against the words around them; forms that are merely unseen do so a little, and less the
+likelier they get.  Instances with a high score then add unseen identifiers.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.carry import named
 from tallybrook.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+ROUNDS = 4
 MIN_SEEDS = 5  # different seeds a pattern must have met
-MIN_SCORE = 0.9  # of patterns that discover
+MIN_SCORE = 0.9  # of patterns and instances that discover
+UNSEEN = 0.3  # how much an unseen form speaks against a pattern, beside one that fails its check
 
 # The forms of base identifiers.  E-mails are found from their sign on, so
 # that a long word is read once; numbers start where a run of digits starts.
@@ -42,9 +46,9 @@ _EDGES = ".,;:!?#*$%&|<>\"'()[]{}="
 _CONTEXT = 96  # characters looked at for the words on a side
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
-_FOUND = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
+_FOUND = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("seed", pa.bool_()), ("failed", pa.bool_()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 _SPAN_SQL = "array<struct<kind: int, start: int, stop: int>>"
-_FOUND_SQL = "array<struct<kind: int, start: int, stop: int, seed: boolean, instance: string, patterns: array<string>>>"
+_FOUND_SQL = "array<struct<kind: int, start: int, stop: int, seed: boolean, failed: boolean, instance: string, patterns: array<string>>>"
 
 
 def _digits(text: str) -> list[int]:
@@ -86,6 +90,16 @@ def _patterns(text: str, start: int, stop: int) -> list[str]:
     return out + ([f"_ {after[0]}"] if after and after[0] else [])
 
 
+def _failed(kind: int, form: str) -> bool:
+    """Whether a rough form of a kind is none by that kind's own check."""
+    if kind == 1:
+        return any(int(part) > 255 for part in re.split(r"[.:-]", form))
+    digits = _digits(form)
+    if kind == 2:
+        return not 13 <= len(digits) <= 19 or not _luhn(digits)
+    return kind == 3 and not 9 <= len(digits) <= 15
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and possible identifiers with their patterns; what overlaps another is left."""
     taken = sorted((a, b) for _, a, b in base)
@@ -100,8 +114,12 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         found += [(kind, a, b, False) for a, b in new]
         taken = sorted(taken + new)
     return [
-        {"kind": k, "start": a, "stop": b, "seed": s, "instance": text[a:b].lower(), "patterns": _patterns(text, a, b)} for k, a, b, s in found
-    ]
+        {
+            "kind": k, "start": a, "stop": b, "seed": s, "failed": not s and _failed(k, text[a:b]),
+            "instance": text[a:b].lower(), "patterns": _patterns(text, a, b),
+        }
+        for k, a, b, s in found
+    ]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,24 +135,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns and instances from (kind, pattern, instance, seed) edges.
+    """Scores of patterns and instances from (kind, pattern, instance, seed, failed) edges.
 
-    A pattern's score is the share of seeds and of instances accepted so far among the
-    different instances it meets, with one rejected instance added: numbers that have an
-    identifier's shape but fail its check speak against the words around them.  An
-    instance is accepted once a pattern with enough seeds and a high score meets it; its
-    score is its best pattern's.
+    With P seeds, N forms that failed their check and unseen forms of likelihood l, each
+    different instance once, a pattern's score is (P + U) / (P + U + N + UNSEEN * sum(1 - l)
+    + 1), where U is the sum of l and at most P: unseen forms never outvote the seeds.  An
+    unseen instance is as likely as its best pattern with enough seeds, at first not at all;
+    one that failed its check stays at 0.
     """
-    edges = written(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    instances = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("likely"))
+    edges = written(edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.max("failed").alias("failed")), "pii-edges")
+    start = F.when(F.max("seed"), 1.0).otherwise(0.0)
+    instances = edges.groupBy("kind", "instance").agg(start.alias("likely"))
+    unseen = ~F.col("seed") & ~F.col("failed")
+    part = lambda c: F.coalesce(F.sum(F.when(unseen, c)), F.lit(0.0))
     for _ in range(rounds):
-        met = edges.join(instances, ["kind", "instance"])
-        accepted = F.when(F.col("likely") >= MIN_SCORE, 1.0).otherwise(0.0)
-        patterns = met.groupBy("kind", "pattern").agg(
-            (F.sum(accepted) / (F.count("*") + 1)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds")
+        sums = edges.join(instances, ["kind", "instance"]).groupBy("kind", "pattern").agg(
+            F.count_if("seed").alias("seeds"), F.count_if("failed").alias("against"), part(F.col("likely")).alias("for"), part(1 - F.col("likely")).alias("doubt")
+        )
+        good = F.col("seeds") + F.least(F.col("for"), F.col("seeds").cast("double"))
+        patterns = sums.filter(F.col("seeds") >= MIN_SEEDS).select(
+            "kind", "pattern", (good / (good + F.col("against") + UNSEEN * F.col("doubt") + 1)).alias("score"), "seeds"
         )
-        patterns = written(patterns.filter(F.col("seeds") >= MIN_SEEDS), "pii-patterns")
-        best = F.when(F.max("seed"), 1.0).otherwise(F.coalesce(F.max("score"), F.lit(0.0)))
+        patterns = written(patterns, "pii-patterns")
+        best = F.when(F.max("seed"), 1.0).when(F.max("failed"), 0.0).otherwise(F.coalesce(F.max("score"), F.lit(0.0)))
         instances = written(
             edges.join(patterns, ["kind", "pattern"], "left").groupBy("kind", "instance").agg(best.alias("likely")), "pii-instances"
         )
@@ -147,16 +170,16 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     A null text is empty.  Spans have kind (index in KINDS), start and stop in code points.
     Rows with equal id and text get equal spans; a null id is an id of its own.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    rows = docs.select(named(id_col).alias("_id"), F.xxhash64(named(text_col)).alias("_th"), named(text_col).alias("_text"))
     kind = dict(rows.dtypes)["_id"]
     scanned = written(rows.mapInArrow(_scan, f"_id {kind}, _th bigint, base {_SPAN_SQL}, found {_FOUND_SQL}"), "pii-scan")
     seen = scanned.select("_id", "_th", F.explode("found").alias("f")).select("_id", "_th", "f.*")
-    edges = seen.select("kind", F.explode("patterns").alias("pattern"), "instance", "seed")
+    edges = seen.select("kind", F.explode("patterns").alias("pattern"), "instance", "seed", "failed")
     patterns, instances = score(edges)
     sure = patterns.filter(F.col("score") >= MIN_SCORE).select("kind", "pattern")
     likely = instances.filter(F.col("likely") >= MIN_SCORE).select("kind", "instance")
     new = (
-        seen.filter("not seed")
+        seen.filter("not seed and not failed")
         .select("_id", "_th", "kind", "start", "stop", "instance", F.explode("patterns").alias("pattern"))
         .join(sure, ["kind", "pattern"], "left_semi")
         .join(likely, ["kind", "instance"], "left_semi")
