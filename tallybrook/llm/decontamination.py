@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.carry import named, packed, unpacked
 from tallybrook.llm.store import written
 from tallybrook.llm.words import lower_ascii
 
@@ -167,12 +168,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     ``remove="documents"`` drops documents of which a twentieth or more of the words are
     hit; ``remove="spans"`` keeps every document and removes the hit words of all of them.
     """
-    report = scan(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    rows = docs.select(packed(docs.columns), named(id_col).alias("_id"), named(text_col).alias("_text"))
+    report = scan(rows, benchmark, id_col="_id", text_col="_text", **options)
     wanted = contaminated() if remove == "documents" else F.col("n_hit") > 0
-    hit = written(report.filter(wanted).select(F.col(id_col).alias("_id"), F.col("_text_hash").alias("_th"), "spans"), "decontamination-hits")
-    hit = hit.withColumnRenamed("spans", "_spans")
-    same = docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text_col]) == hit["_th"])
+    hit = report.filter(wanted).select(F.col("_id").alias("_hit_id"), F.col("_text_hash").alias("_hit_th"), F.col("spans").alias("_spans"))
+    hit = written(hit, "decontamination-hits")
+    same = F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.xxhash64("_text") == F.col("_hit_th"))
+    columns = dict(zip(docs.columns, unpacked(docs.columns)))
     if remove == "documents":
-        return docs.join(hit, same, "left_anti")
-    cut = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("_spans")))
-    return docs.join(hit, same, "left").withColumn(text_col, cut).select(*docs.columns)
+        return rows.join(hit, same, "left_anti").select(*columns.values())
+    cut = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(_without(F.col("_text"), F.col("_spans")))
+    columns[text_col] = cut.alias(text_col)
+    return rows.join(hit, same, "left").select(*columns.values())

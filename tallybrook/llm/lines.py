@@ -4,10 +4,9 @@ A polynomial hash rolls over the hashes of three neighbouring lines; where it hi
 residue, a chunk ends.  A boundary depends on these three lines only, so text inserted
 before a passage does not move the boundaries inside it.  A hit counts only if two lines
 that hold words stand between it and the hit before, and a shorter tail joins the chunk
-before it, so every chunk of a text with two such lines can be compared (``whole``; without
-it every hit is a boundary, as in the SQL of the registered query).  Chunks with two or more lines
-that hold words are counted over all documents by hash, candidates are compared byte by
-byte, and all but the first (by document id, then text hash, then place) are removed.
+before it, so every chunk of a text with two such lines can be compared.  Chunks with two or
+more lines that hold words are counted over all documents by hash, candidates are compared
+byte by byte, and all but the first (by document id, then text hash, then place) are removed.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.carry import named, others, packed, unpacked
 from tallybrook.llm.store import written
 from tallybrook.llm.words import let
 
@@ -24,7 +24,7 @@ ADDED = ("n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks")
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
-def chunks(text: Column, whole: bool = True) -> Column:
+def chunks(text: Column) -> Column:
     """The chunks of a text: first and last line from 1, text, lines with words.
 
     One expression with every step computed once per text, also where the optimiser
@@ -59,13 +59,13 @@ def chunks(text: Column, whole: bool = True) -> Column:
         return F.transform(stops, chunk)
 
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return let(lines, lambda x: let(F.transform(x, value), lambda v: let(ends(v), lambda e: let(long_enough(x, e), lambda k: cut(x, k)) if whole else cut(x, e))))
+    return let(lines, lambda x: let(F.transform(x, value), lambda v: let(ends(v), lambda e: let(long_enough(x, e), lambda k: cut(x, k)))))
 
 
-def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, whole: bool = True) -> DataFrame:
+def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Per document with chunks to remove: ``_id``, ``_th`` and their places ``_gone``."""
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
-    keyed = keyed.withColumn("_chunks", chunks(F.col("_text"), whole))
+    keyed = docs.select(named(id_col).alias("_id"), F.xxhash64(named(text_col)).alias("_th"), named(text_col).alias("_text"))
+    keyed = keyed.withColumn("_chunks", chunks(F.col("_text")))
     slim = written(
         keyed.select("_id", "_th", F.posexplode_outer("_chunks").alias("_k", "_c"))
         .filter("_c.filled > 1")
@@ -98,25 +98,26 @@ def repeated_chunks(docs: DataFrame, *, id_col: str, text_col: str, whole: bool
     return removed.groupBy("_id", "_th").agg(F.collect_set("_k").alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks cut from the text, and counts of what was cut.
 
     Added columns: ``n_lines``, ``n_chunks``, ``n_removed_lines``, ``n_removed_chunks``.
     Every row stays, with an empty text if all its lines were copies; a null text stays
-    null; input columns named like an added one are replaced.  Rows with equal id and text are one document and are treated alike; a null id
-    sorts before others.
+    null; input columns named like an added one are replaced.  Rows with equal id and text
+    are one document and are treated alike; a null id sorts before others.
     """
-    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col, whole=whole)
+    gone = repeated_chunks(docs, id_col=id_col, text_col=text_col)
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_th").alias("_gone_th"), "_gone")
-    keyed = docs.withColumn("_th", F.xxhash64(text_col))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_gone_id"]) & (keyed["_th"] == gone["_gone_th"]), "left")
-    cut = joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_chunks", chunks(F.col(text_col), whole))
+    rest = others(docs, text_col, *ADDED)
+    keyed = docs.select(packed(rest), named(id_col).alias("_id"), F.xxhash64(named(text_col)).alias("_th"), named(text_col).alias("_text"))
+    joined = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left")
+    cut = joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_chunks", chunks(F.col("_text")))
     n_lines = F.element_at("_chunks", -1)["last"]
     kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
     length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
     return cut.select(
-        *[c for c in docs.columns if c not in ADDED and c != text_col],
-        F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).otherwise(F.col(text_col)).alias(text_col),
+        *unpacked(rest),
+        F.when(F.size("_gone") > 0, F.array_join(F.transform(kept, lambda c: c["text"]), "\n")).otherwise(F.col("_text")).alias(text_col),
         n_lines.cast("long").alias("n_lines"),
         F.size("_chunks").cast("long").alias("n_chunks"),
         (n_lines - length(kept)).cast("long").alias("n_removed_lines"),

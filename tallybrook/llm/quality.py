@@ -14,6 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybrook.llm.carry import named, others, packed, unpacked
 from tallybrook.llm.store import written
 from tallybrook.llm.words import let, words
 
@@ -21,6 +22,7 @@ SYMBOLS = r"[#*$%&|<>]+"  # fixed value
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
 WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = (*BASE, "upper_chars", "punctuation", "distinct_words")
 
 
 def _repeat_words(w: Column) -> Column:
@@ -174,10 +176,14 @@ def assess(docs: DataFrame, *, text_col: str = "text", keep_text: bool = True, t
     before the counts are written.
     """
     rule = rules()
-    counted = measures(docs, text_col).withColumn("base_failed", base_failed())
+    rest = others(docs, text_col, *MEASURED, "base_failed", "p_good", "kept")
+    rows = docs.select(packed(rest), named(text_col).alias("_text"))
+    counted = measures(rows, "_text").withColumn("base_failed", base_failed())
     voted = counted.withColumns({f"vote_{k}": c for k, c in rule.items()})
-    voted = written(voted if keep_text else voted.drop(text_col), "quality-votes")
+    voted = written(voted if keep_text else voted.drop("_text"), "quality-votes")
     names = [f"vote_{k}" for k in rule]
     model = fit(voted.filter(~F.col("base_failed")), names)
     judged = voted.withColumn("p_good", model.posterior(F.col))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)).drop(*names)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    text = [F.col("_text").alias(text_col)] if keep_text else []
+    return judged.select(*unpacked(rest), *text, *MEASURED, "base_failed", "p_good", "kept")

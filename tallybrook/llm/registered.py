@@ -167,7 +167,7 @@ FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 
 def lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs, whole=False).select(  # the boundaries of LINES_SQL
+    return lines.dedup_lines(docs).select(
         "doc_id", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
@@ -180,9 +180,13 @@ WITH l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(
     b AS (SELECT *, i = n OR (v + 31 * coalesce(lag(v, 1) OVER o, 0) + 961 * coalesce(lag(v, 2) OVER o, 0)) % 1000003 % 4 = 0 AS is_end
         FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
     c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b),
-    chunk AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk_text,
+    hit AS (SELECT doc_id, k, count(*) FILTER (regexp_matches(line, '[^ 	-
+]')) >= 2 AS filled FROM c GROUP BY doc_id, k),
+    piece AS (SELECT doc_id, k, coalesce(sum((filled AND k <> last_filled)::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p
+        FROM (SELECT *, max(k) FILTER (filled) OVER (PARTITION BY doc_id) AS last_filled FROM hit)),
+    chunk AS (SELECT doc_id, p AS k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk_text,
         count(*) FILTER (regexp_matches(line, '[^ 	-
-]')) >= 2 AS many FROM c GROUP BY doc_id, k),
+]')) >= 2 AS many FROM c JOIN piece USING (doc_id, k) GROUP BY doc_id, p),
     seen AS (SELECT *, many AND row_number() OVER (PARTITION BY chunk_text ORDER BY doc_id, k) > 1 AS gone FROM chunk)
 SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines,
     count(*) FILTER (gone) AS n_removed_chunks, sha256(coalesce(string_agg(chunk_text, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256

@@ -181,6 +181,56 @@ def test_personal_data(spark, odd, none):
     assert personal.find(odd).count() == len(ODD) and personal.find(none).count() == 0
 
 
+# The forms of base identifiers, as the contract spells them.
+BASE_FORMS = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B9", "@", ".", "-", "%", "c.de", "1.2.3.4", "256", "0", "4111 1111 1111 1111", "5500-0000-0000-0004", " ", "+", "+49 30 ", "12345", "(0)", "é", "\n", "300.1.1.1"]), max_size=14))
+def test_base_spans_equal_the_plain_forms(parts):
+    text = "".join(parts)
+    want = [(k, m.start(), m.end()) for k, (form, valid) in enumerate(BASE_FORMS) for m in re.finditer(form, text) if valid(m[0])]
+    assert personal.base_spans(text) == want
+
+
+def discovered(spark, rows):
+    found = personal.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    return {r._id: [rows[r._id][s.start : s.stop] for s in r.spans if s not in r.base] for r in found}
+
+
+def test_unseen_forms_do_not_speak_for_themselves(spark):
+    """A context with a fifth or a third of unseen forms finds them, one with few seeds does not."""
+    for seeds, unseen, expected in ((80, 20, True), (66, 33, True), (10, 100, False), (4, 1, False)):
+        rows = [f"please write to user{i}@host{i}.org today" for i in range(seeds)]
+        rows += [f"please write to hidden{i}(at)host{i}.org today" for i in range(unseen)]
+        found = discovered(spark, rows)
+        assert [bool(found[i]) for i in range(seeds, seeds + unseen)] == [expected] * unseen
+        assert not any(found[i] for i in range(seeds))
+
+
+def test_forms_that_fail_speak_against_their_context(spark):
+    valid = [f"4{i:014d}" for i in range(300)]
+    valid = [v + str(next(d for d in range(10) if luhn(v + str(d)))) for v in valid]
+    fails = [v[:-1] + str((int(v[-1]) + 1) % 10) for v in valid]
+    address = lambda i: f"10.0.{i % 250}.{i // 250 + 1}"
+    rows = [f"card number {v} expires" for v in valid[:60]] + [f"part number {v} shipped" for v in [*valid[60:70], *fails[:200]]]
+    rows += [f"host at {address(i)} is up" for i in range(40)] + ["host at 10-0-0-77 is up", "host at 10.0.0.999 is up"]
+    found = discovered(spark, rows)
+    by_text = {rows[i]: v for i, v in found.items()}
+    assert by_text["host at 10-0-0-77 is up"] == ["10-0-0-77"] and by_text["host at 10.0.0.999 is up"] == []
+    assert not any(found[i] for i in range(60, 270))
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), "en" if i % 3 else "de", "a" if i < 400 else "b") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
