@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.llm.passages import _mix, _power
+from tallybrook.llm.carry import named, others, packed, unpacked
+from tallybrook.llm.passages import _BASE, _mix, _power
 from tallybrook.llm.store import written
 
 TRAIN_DOCS = 4000  # labelled documents that the model is fitted to, at most
+TRAIN_LINES = 2000  # of a document that the model is fitted to, at most
 STEPS = 250
-PIECE_BYTES = 1 << 21  # of texts measured at a time, unless one text is longer
+PIECE_BYTES = 1 << 21  # of texts measured at a time; a longer one is measured in parts
+PART_LINES = 1 << 16  # lines of a long text whose odds are taken at a time
 PREDICTED_FROM = 0.7
 
 _CLASSES = {
@@ -40,48 +43,109 @@ _TEXT = (np.arange(256) & 0xC0) != 0x80  # first bytes of code points
 MEASURES = 15
 
 
-def line_measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Measures of every line of every text, lines per text, and length of each line.
+# What is counted of a line, byte by byte.
+COUNTED = ("chars", "n_words", "upper", "digit", "symbol", "mark", "bar", "end", "shout", "same", "bare", "length")
 
-    A text has one line more than line feeds, so an empty one has one empty line.
+
+def _line_counts(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, heads: np.ndarray, before: np.uint64 | None) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
+    """The counts of every line from ``starts`` to ``stops``, a hash of each not mixed yet, and
+    the hash of the last word.
+
+    A word is compared with the one before it, ``before`` for the first of all, but not where
+    a text begins (``heads``).
     """
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    stops = np.flatnonzero(data == 10)
-    starts = np.append(0, stops[:-1] + 1)
-    text_stops = np.cumsum([len(t) + 1 for t in texts])
-    lines_upto = np.searchsorted(stops, text_stops)
-    per_text = np.diff(np.append(0, lines_upto))
 
     def total(flags: np.ndarray, first=starts, last=stops) -> np.ndarray:
         sums = np.append(0, np.cumsum(flags, dtype=np.int64))
         return sums[last] - sums[first]
 
     gap = _GAP[data]
-    word_first = np.flatnonzero(~gap & np.append(True, gap[:-1]))
-    word_stop = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
+    word_first = np.flatnonzero(~gap & np.append(True, gap[:-1])) if len(data) else np.zeros(0, np.int64)
+    word_stop = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1 if len(data) else np.zeros(0, np.int64)
     power, inverse = _power(len(data) + 1)
     sums = np.append(np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * power[: len(data)]))
     word = _mix((sums[word_stop] - sums[word_first]) * inverse[word_first])
-    line = _mix((sums[stops] - sums[starts]) * inverse[starts])
+    line = (sums[stops] - sums[starts]) * inverse[starts]
     words_upto = np.searchsorted(word_first, np.stack([starts, stops]))
-    n_words = words_upto[1] - words_upto[0]
-    same = np.append(False, word[1:] == word[:-1])
+    same = np.append(False, word[1:] == word[:-1])[: len(word)]
+    if before is not None and len(word):
+        same[0] = word[0] == before
+    first_words = np.searchsorted(word_first, heads)
+    same[first_words[first_words < len(word)]] = False
     bare = total(~_MASKS["symbol"][data] & ~_MASKS["mark"][data] & ~gap, word_first, word_stop) == 0
     word_total = lambda flags: total(flags, words_upto[0], words_upto[1])
-    chars = total(_TEXT[data] & ~gap)
-    text_of = np.repeat(np.arange(len(texts)), per_text)
-    # A line that the text had before: same text and hash, and not the first of them.
+    counts = [
+        total(_TEXT[data] & ~gap), words_upto[1] - words_upto[0], *[total(_MASKS[k][data]) for k in COUNTED[2:9]],
+        word_total(same), word_total(bare), stops - starts,
+    ]
+    return np.stack(counts, axis=1), line, word[-1] if len(word) else before
+
+
+def _as_measures(counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """MEASURES numbers per line from its counts and whether its text had the line before."""
+    of = dict(zip(COUNTED, counts.T.astype(np.float64)))
+    many_chars, many_words = np.maximum(of["chars"], 1), np.maximum(of["n_words"], 1)
+    share = {k: of[k] / many_chars for k in ("upper", "digit", "symbol", "mark", "bar", "shout")}
+    columns = [
+        np.log1p(of["chars"]), np.log1p(of["n_words"]), of["chars"] / many_words, share["upper"], share["digit"], share["symbol"], share["mark"],
+        share["bar"], of["end"] / many_words, share["shout"], of["same"] / many_words,
+        of["bare"] / many_words, seen & (of["n_words"] > 0), of["n_words"] == 0, np.minimum(share["symbol"] * 5, 1),
+    ]
+    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1)
+
+
+def _repeated(line: np.ndarray, text_of: np.ndarray) -> np.ndarray:
+    """Lines that their text had before: same text and hash, and not the first of them."""
     order = np.lexsort((np.arange(len(line)), line, text_of))
     seen = np.zeros(len(line), bool)
     seen[order[1:]] = (line[order[1:]] == line[order[:-1]]) & (text_of[order[1:]] == text_of[order[:-1]])
-    many_chars, many_words = np.maximum(chars, 1), np.maximum(n_words, 1)
-    share = {k: total(m[data]) / many_chars for k, m in _MASKS.items()}
-    columns = [
-        np.log1p(chars), np.log1p(n_words), chars / many_words, share["upper"], share["digit"], share["symbol"], share["mark"],
-        share["bar"], total(_MASKS["end"][data]) / many_words, share["shout"], word_total(same) / many_words,
-        word_total(bare) / many_words, seen & (n_words > 0), n_words == 0, np.minimum(share["symbol"] * 5, 1),
-    ]
-    return np.stack([np.asarray(c, np.float64) for c in columns], axis=1), per_text, stops - starts
+    return seen
+
+
+def line_measures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Measures of every line of every text, lines per text, and length of each line.
+
+    A text has one line more than line feeds, so an empty one has one empty line.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    stops = np.flatnonzero(data == 10)
+    starts = np.append(0, stops[:-1] + 1)
+    text_stops = np.cumsum([len(t) + 1 for t in texts])
+    per_text = np.diff(np.append(0, np.searchsorted(stops, text_stops)))
+    counts, line, _ = _line_counts(data, starts, stops, np.append(0, text_stops[:-1]), None)
+    seen = _repeated(_mix(line), np.repeat(np.arange(len(texts)), per_text))
+    return _as_measures(counts, seen), per_text, stops - starts
+
+
+def long_counts(text: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of every line of one text and which lines it had before, from parts of about
+    ``size`` bytes.  A word without an end in half a part counts as several."""
+    held, hashes, word, start, open_line = [], [], None, 0, False
+    while start < len(text) or not held:
+        stop = min(start + size, len(text))
+        if stop < len(text):
+            ends = np.flatnonzero(_GAP[np.frombuffer(text, np.uint8, stop - start, start)])
+            stop = start + int(ends[-1]) + 1 if len(ends) and ends[-1] >= size // 2 else stop
+        data = np.frombuffer(text, np.uint8, stop - start, start)
+        stops = np.flatnonzero(data == 10)
+        starts = np.append(0, stops + 1)
+        stops = np.append(stops, len(data))
+        if stop < len(text) and data[-1] == 10:  # the line after it begins in the next part
+            starts, stops = starts[:-1], stops[:-1]
+        heads = np.zeros(0, np.int64) if held else np.zeros(1, np.int64)
+        counts, line, word = _line_counts(data, starts, stops, heads, word)
+        if open_line:
+            upto = int(held[-1][-1, COUNTED.index("length")])
+            hashes[-1][-1:] += line[:1] * np.uint64(pow(_BASE, upto, 1 << 64))
+            held[-1][-1] += counts[0].astype(np.int32)
+            counts, line = counts[1:], line[1:]
+        if len(counts):
+            held.append(counts.astype(np.int32))
+            hashes.append(line.copy())
+        open_line = stop < len(text) and data[-1] != 10
+        start = stop
+    line = _mix(np.concatenate(hashes))
+    return np.concatenate(held), _repeated(line, np.zeros(len(line), np.int64))
 
 
 def with_neighbours(x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
@@ -133,14 +197,30 @@ class Field:
     weights: np.ndarray
     pull: np.ndarray
 
+    def odds(self, x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+        return with_neighbours((x - self.mean) / self.scale, per_text) @ self.weights
+
     def scores(self, texts: list[bytes]) -> np.ndarray:
         x, per_text, lengths = line_measures(texts)
-        odds = with_neighbours((x - self.mean) / self.scale, per_text) @ self.weights
-        good, _ = marginals(odds, per_text, self.pull)
+        good, _ = marginals(self.odds(x, per_text), per_text, self.pull)
         weight = np.maximum(lengths, 1)
         begin = np.cumsum(per_text) - per_text
         return np.add.reduceat(good * weight, begin) / np.add.reduceat(weight, begin)
 
+    def long_score(self, text: bytes, size: int) -> float:
+        """The score of one text of any length, measured in parts of about ``size`` bytes."""
+        counts, seen = long_counts(text, size)
+        n, odds = len(counts), []
+        for low in range(0, n, PART_LINES):
+            high = min(low + PART_LINES, n)
+            first, stop = max(0, low - 1), min(n, high + 1)  # with both neighbours
+            x = _as_measures(counts[first:stop], seen[first:stop])
+            full = with_neighbours((x - self.mean) / self.scale, np.array([stop - first]))[low - first : high - first]
+            odds.append(full @ self.weights)
+        good, _ = marginals(np.concatenate(odds), np.array([n]), self.pull)
+        weight = np.maximum(counts[:, COUNTED.index("length")], 1)
+        return float((good @ weight) / weight.sum())
+
 
 def fit(texts: list[tuple[np.ndarray, int]], steps: int = STEPS) -> Field:
     """The field that makes the labels likeliest, from (line measures, label) of documents.
@@ -194,10 +274,12 @@ def train(labelled: DataFrame, *, text_col: str = "text", label_col: str = "labe
 
 
 def sample(labels: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", size: int = TRAIN_DOCS) -> DataFrame:
-    """``size`` labelled documents at most, chosen by a hash of the id."""
+    """``size`` labelled documents at most, chosen by a hash of the id; of these, the ones with
+    no more than TRAIN_LINES lines."""
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).alias("label"))
     chosen = written(chosen.orderBy(F.xxhash64(id_col), id_col, "label").limit(size), "crf-sample")
-    return docs.select(id_col, text_col).join(chosen, id_col).select(text_col, "label")
+    short = F.size(F.split(F.coalesce(named(text_col).cast("string"), F.lit("")), "\n")) <= TRAIN_LINES
+    return docs.select(id_col, text_col).join(chosen, id_col).filter(short).select(text_col, "label")
 
 
 def _scored(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
@@ -205,8 +287,12 @@ def _scored(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
         texts, scores = _raw(batch.column(1)), []
         start = 0
         while start < len(texts):
+            if len(texts[start]) >= PIECE_BYTES:
+                scores.append([field.long_score(texts[start], PIECE_BYTES)])
+                start += 1
+                continue
             stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) < PIECE_BYTES):
+            while stop < len(texts) and len(texts[stop]) < PIECE_BYTES and (stop == start or size + len(texts[stop]) < PIECE_BYTES):
                 size += len(texts[stop])
                 stop += 1
             scores.append(field.scores(texts[start:stop]))
@@ -217,10 +303,11 @@ def _scored(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Reco
 def classify(docs: DataFrame, field: Field, *, text_col: str = "text") -> DataFrame:
     """``docs`` without the text, with ``score`` (0 to 1) and ``predicted`` (0 or 1).
 
-    A null text is an empty one, which is scored as one empty line.  Every row is scored
+    A null text is an empty one, which is scored as one empty line; a long text is measured in
+    parts, with the same result (but for words of megabytes).  Every row is scored
     on its own; input columns named like an added one are replaced.
     """
-    others = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
-    rows = docs.select(F.struct(*others).alias("_doc"), F.col(text_col))
+    rest = others(docs, text_col, "score", "predicted")
+    rows = docs.select(packed(rest), named(text_col))
     out = rows.mapInArrow(partial(_scored, field=field), f"_doc {dict(rows.dtypes)['_doc']}, score double")
-    return out.select("_doc.*", "score", (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted"))
+    return out.select(*unpacked(rest), "score", (F.col("score") >= PREDICTED_FROM).cast("int").alias("predicted"))

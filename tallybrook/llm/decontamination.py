@@ -178,5 +178,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     if remove == "documents":
         return rows.join(hit, same, "left_anti").select(*columns.values())
     cut = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(_without(F.col("_text"), F.col("_spans")))
-    columns[text_col] = cut.alias(text_col)
-    return rows.join(hit, same, "left").select(*columns.values())
+    columns[text_col] = F.col("_cut").alias(text_col)
+    return rows.join(hit, same, "left").withColumn("_cut", cut).select(*columns.values())

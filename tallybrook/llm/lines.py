@@ -113,7 +113,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     joined = keyed.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_th") == F.col("_gone_th")), "left")
     cut = joined.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))).withColumn("_chunks", chunks(F.col("_text")))
     n_lines = F.element_at("_chunks", -1)["last"]
-    kept = F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k))
+    # Before the caller's columns are unpacked, whose names a lambda's body would find first.
+    cut = cut.withColumn("_kept", F.filter("_chunks", lambda c, k: ~F.array_contains("_gone", k)))
+    kept = F.col("_kept")
     length = lambda cs: F.aggregate(cs, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
     return cut.select(
         *unpacked(rest),

@@ -39,7 +39,10 @@ def _letters(texts: list[bytes], known: dict[bytes, str]) -> list[str]:
 
 
 def passages_of(texts: list[bytes], counts: list[int], length: int) -> list[bytes]:
-    """The stretches of windows that occur more than once in these texts with their counts."""
+    """The stretches of windows that occur more than once in these texts with their counts;
+    the texts differ, and a text by itself has the windows it was counted with."""
+    if len(texts) == 1:
+        return texts if counts[0] > 1 else []
     coded = _letters(texts, {})
     seen: Counter[str] = Counter()
     for text, count in zip(coded, counts):

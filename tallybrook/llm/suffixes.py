@@ -14,6 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallybrook.llm.passages import RUN, Passage, in_shards, run_batch, without_recurring
@@ -135,15 +136,28 @@ def confirm(texts: list[bytes], counts: np.ndarray, docs: np.ndarray, firsts: np
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], p: Passage) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by group, document, hash and place become their runs."""
+    """Pieces sorted by group, document, hash and place become their runs.
+
+    A piece that is alone in its group shares no window; it recurs as often as it was counted.
+    """
     for table in in_shards(batches, p.shard_bytes):
-        ids, hashes = table.column("_id").to_pylist(), table.column("_th").to_numpy()
-        other = [a != b for a, b in zip(ids[1:], ids[:-1])]
+        groups, counts = table.column("_group").to_numpy(), table.column("_n").to_numpy()
+        other = np.append(True, groups[1:] != groups[:-1])
+        alone = other & np.append(other[1:], True)
+        copies = np.flatnonzero(alone & (counts > 1))
+        sizes = pc.binary_length(table.column("_text")).to_numpy()
+        yield run_batch(table, copies, np.zeros(len(copies), np.int64), sizes[copies] - p.length, np.zeros(len(copies), bool))
+        rows = np.flatnonzero(~alone)
+        if not len(rows):
+            continue
+        several = table.take(pa.array(rows)).combine_chunks()
+        ids, hashes = several.column("_id").to_pylist(), several.column("_th").to_numpy()
+        changed = [a != b for a, b in zip(ids[1:], ids[:-1])]
         # In the order of a group; what numbers other groups have does not matter.
-        docs = np.append(0, np.cumsum((hashes[1:] != hashes[:-1]) | np.array(other, bool))) if len(ids) > 1 else np.zeros(len(ids), np.int64)
-        found = confirm(table.column("_text").to_pylist(), table.column("_n").to_numpy(), docs, table.column("_first").to_numpy(), p.length)
+        docs = np.append(0, np.cumsum((hashes[1:] != hashes[:-1]) | np.array(changed, bool)))
+        found = confirm(several.column("_text").to_pylist(), counts[rows], docs, several.column("_first").to_numpy(), p.length)
         for flag, (numbers, first, last) in zip((False, True), found):
-            yield run_batch(table, numbers, first, last, np.full(len(numbers), flag))
+            yield run_batch(several, numbers, first, last, np.full(len(numbers), flag))
 
 
 def decide(pieces: DataFrame, p: Passage) -> DataFrame:

@@ -76,6 +76,30 @@ def test_line_dedup_odd_cases(odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+INNER = """_th _text _id _doc _chunks _gone _gone_id _gone_th _hit_id _hit_th _spans _words _w _lines vote_length p_ _part _parts
+    _anchor _group c0 row doc _first _hash _k _n runs_ Text_ _label""".split()
+
+
+def test_user_columns_of_any_name_pass_through(spark):
+    """Every operator that hands rows on keeps columns named like its own inner ones."""
+    from tallybrook.llm import periodic, phrases, suffixes, toxicity
+
+    rows = [(1, PASSAGE + "\nlast line here"), (2, PASSAGE + "\nother line there"), (3, prose(31, 90)), (4, None)]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in INNER]) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in INNER))
+    bench = spark.createDataFrame([(1, " ".join(prose(31, 90).split()[:40]))], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    even = crf.train(spark.createDataFrame([], "text string, label int"))
+    for made in (
+        lines.dedup_lines(docs), quality.assess(docs), decontamination.decontaminate(docs, bench), decontamination.decontaminate(docs, bench, remove="spans"),
+        phrases.remove_repeats(docs), suffixes.remove_repeats(docs), periodic.collapse_runs(docs), crf.classify(docs, even), toxicity.classify(docs, labels),
+        simhash.keep_one(docs),
+    ):
+        found = made.collect()
+        assert found and len({c.lower() for c in made.columns}) == len(made.columns)
+        for r in found:
+            assert [r[n] for n in INNER] == [f"{n}{r.doc_id}" for n in INNER]
+
+
 def test_line_dedup_is_shift_resistant(spark):
     a, b = prose(1, 900), prose(2, 37) + "\n" + prose(1, 900)
     rows = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()}

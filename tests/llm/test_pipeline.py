@@ -16,7 +16,7 @@ def _views(folder):
     return con
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_decontamination", "op7_mixing", "op8_chat"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op4_decontamination", "op7_mixing", "op8_chat", "op11_merkle"])
 def test_query_equals_sql(spark, name):
     from tallybrook.llm import registered
 
@@ -27,11 +27,11 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.select(*names).collect()) == sorted(cursor.fetchall())
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     import __spark_entry__ as entry
 
     names = [n.split("_")[0] for n in entry.queries()]
-    assert [sum(n == f"op{k}" for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n == f"op{k}" for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in entry.queries()
 
 
