@@ -36,6 +36,29 @@ def lines(product: bool = False, store: bool = False, guests: bool = False, retu
     return Source(cte, "store_id," if store else "")
 
 
+def edges(with_product: bool = False, with_order: bool = False) -> Source:
+    """Lines of which some stores are odd; only those with a product or an order if asked."""
+    base = lines(store=True)
+    wanted = [c for c, yes in (("sku IS NOT NULL", with_product), ("order_id IS NOT NULL", with_order)) if yes]
+    cte = f"""whole AS ({base.cte.removeprefix('o AS (')},
+    odd AS (SELECT store_id, CASE WHEN store_id = 'FRANCE' AND order_id % 3 = 0 THEN NULL ELSE order_id END AS order_id,
+        CASE WHEN store_id = 'EGYPT' THEN TIMESTAMP '1997-05-05' ELSE order_date END AS order_date,
+        CASE WHEN store_id = 'EGYPT' THEN DATE '1997-05-05' ELSE day END AS day,
+        CASE WHEN store_id = 'GERMANY' THEN 7 ELSE customer_id END AS customer_id,
+        CASE WHEN store_id = 'ALGERIA' THEN '1' WHEN store_id = 'ARGENTINA' THEN CAST(CAST(sku AS BIGINT) % 2 AS VARCHAR)
+            WHEN store_id = 'BRAZIL' THEN CAST(CAST(sku AS BIGINT) % 3 AS VARCHAR)
+            WHEN store_id = 'ETHIOPIA' AND CAST(sku AS BIGINT) % 2 = 0 THEN NULL ELSE sku END AS sku,
+        CASE WHEN store_id = 'CANADA' THEN 0 ELSE amount END AS amount, CASE WHEN store_id = 'CANADA' THEN 0 ELSE discount END AS discount FROM whole),
+    o AS (SELECT * FROM odd WHERE {' AND '.join(wanted) or 'true'})"""
+    return Source(cte, base.key)
+
+
+def named() -> Source:
+    """Lines whose products go by name."""
+    base = lines(product=True)
+    return Source(f"whole AS ({base.cte.removeprefix('o AS (')}, o AS (SELECT * REPLACE (product_name AS sku) FROM whole)", "")
+
+
 def purchases() -> Source:
     return Source(
         """o AS (SELECT 'all' AS store_id, event_id AS order_id, ts AS order_date, CAST(ts AS DATE) AS day, user_id AS customer_id,

@@ -11,7 +11,9 @@ from workload.oracle_base import (
     MONTHS,
     SUMMARY_COLUMNS,
     Source,
+    edges,
     lines,
+    named,
     purchases,
     query,
     r,
@@ -211,6 +213,55 @@ def _one(src: Source, parts: list[str], select: str) -> str:
     return query(src, parts, f"SELECT {src.key} {select}")
 
 
+def _edges() -> dict[str, str]:
+    k = oracle_checks
+    odd, sold, placed = edges(), edges(with_product=True), edges(with_order=True)
+    # Fewer than four products ask for fewer bins.
+    tiers = """prices AS (SELECT store_id, sku, round(CAST(sum(amount) AS DOUBLE) / count(amount), 9) AS p FROM o GROUP BY 1, 2),
+        tiers AS (SELECT store_id, count(*) AS products, CASE WHEN count(*) = 1 THEN 1 ELSE CAST(len(list_distinct(list_transform(
+            CASE count(*) WHEN 2 THEN quantile_cont(p, [0.0, 0.5, 1.0]) WHEN 3 THEN quantile_cont(p, [0.0, 1.0 / 3, 2.0 / 3, 1.0])
+            ELSE quantile_cont(p, [0.0, 0.25, 0.5, 0.75, 1.0]) END, lambda x: round(x, 9)))) - 1 AS BIGINT) END AS price_tiers FROM prices GROUP BY 1)"""
+    top = f"products, top_products, {r('top_revenue')} AS top_revenue, {r('top_share')} AS top_share FROM topp WHERE total > 0"
+    products = k.TOP_PRODUCTS.replace("/ CAST(sum(v) AS DOUBLE) AS top_share", "/ nullif(CAST(sum(v) AS DOUBLE), 0) AS top_share")
+    multi = f"orders, multi_item_orders, {r('multi_item_rate')} AS multi_item_rate FROM multi"
+    large = """large AS (SELECT store_id, CAST(max(v) FILTER (order_id IS NOT NULL) AS DOUBLE) AS largest_order,
+            CAST(max(v) FILTER (order_id IS NOT NULL) AS DOUBLE) / CAST(sum(v) AS DOUBLE) AS largest_order_share
+        FROM (SELECT store_id, order_id, sum(amount) AS v FROM o GROUP BY 1, 2) GROUP BY 1 HAVING sum(v) > 0)"""
+    rfm = f"""customer_id, recency_days, frequency, {r('monetary')} AS monetary, r_score, f_score, m_score, r_score + f_score + m_score AS rfm_sum, segment FROM rfm"""
+    customers = k.TOP_CUSTOMERS.replace("{fraction}", "0.1").replace("/ CAST(max(rev) AS DOUBLE) AS top_share", "/ nullif(CAST(max(rev) AS DOUBLE), 0) AS top_share")
+    gaps = f"count(*) AS customers, {r('avg(gap)')} AS avg_days, {r('quantile_cont(gap, 0.5)')} AS median_days FROM gaps GROUP BY store_id"
+    meta = f"""strftime(min(day), '%Y-%m-%d') AS data_start, strftime(max(day), '%Y-%m-%d') AS data_end,
+        count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS total_customers,
+        {r('sum(amount)')} AS total_revenue, 'USD' AS currency,
+        'Net sales after discounts, before tax and shipping' AS revenue_definition FROM o GROUP BY store_id"""
+    return {
+        "edges_price_tiers": _one(sold, [tiers], "products, price_tiers FROM tiers"),
+        "edges_top20_share": _one(sold, [products], top),
+        "edges_converting_rate": _one(sold, [k.CONVERTING], f"products, converting, {r('converting_rate')} AS converting_rate FROM conv"),
+        "edges_multi_item_rate": _one(placed, [k.MULTI], multi),
+        "edges_large_order_share": _one(odd, [large], f"{r('largest_order')} AS largest_order, {r('largest_order_share')} AS largest_order_share FROM large"),
+        "edges_rfm_scores": _one(odd, [k.RFM_BASE, k.RFM], rfm),
+        "edges_repeat_purchase_rate": _one(odd, [k.RATES], f"customers, repeat_customers, {r('repeat_purchase_rate')} AS repeat_purchase_rate FROM rates"),
+        "edges_repeat_revenue_share": _one(
+            odd, [CUSTOMER_FIRST, k.REPEATS],
+            f"{r('total_revenue')} AS total_revenue, {r('repeat_revenue')} AS repeat_revenue, {r('repeat_revenue_share')} AS repeat_revenue_share FROM repeats",
+        ),
+        "edges_top_decile_share": _one(
+            odd, [customers], f"customers, top_customers, {r('top_revenue')} AS top_revenue, {r('coalesce(top_share, 0)')} AS top_share FROM topc"
+        ),
+        "edges_days_to_second_order": _one(odd, [SECOND], gaps),
+        "edges_latest_months": _one(
+            odd, [MONTHS, LATEST],
+            f"""months, last_month, last_month_days, partial_last_month, {r('mom_growth_latest')} AS mom_growth_latest,
+            {r('aov_change')} AS aov_change, {r('order_count_change')} AS order_count_change FROM latest""",
+        ),
+        "edges_metadata": _one(odd, [], meta),
+        "named_price_tiers": _one(named(), [k.TIERS], "products, price_tiers FROM tiers"),
+        "named_top20_share": _one(named(), [k.TOP_PRODUCTS], top),
+        "named_multi_item_rate": _one(named(), [k.MULTI], multi),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     by = lines(store=True)
     guests, returns = lines(guests=True), lines(returns=True)
@@ -682,4 +733,5 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT '{name}' AS source_col, {canonical} AS canonical, CAST({tier} AS INT) AS tier, CAST({score} AS DOUBLE) AS score, count(*) AS rows, count({value}) AS filled, '{kind}' AS inferred_type FROM orders"
         for name, canonical, tier, score, value, kind in fits
     )
+    out |= _edges()
     return out

@@ -198,6 +198,27 @@ def _loaded_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return present(gather([stock.inventory_kpis(found.rows), rejected], []))
 
 
+EDGE_OPERATORS = {
+    "price_tiers": products.price_tiers,
+    "top20_share": products.top_product_share,
+    "converting_rate": products.converting_rate,
+    "multi_item_rate": products.multi_item_rate,
+    "large_order_share": pricing.large_order_share,
+    "rfm_scores": customers.rfm_segments,
+    "repeat_purchase_rate": customers.repeat_purchase_rate,
+    "repeat_revenue_share": revenue.repeat_revenue_share,
+    "top_decile_share": revenue.top_customer_share,
+    "days_to_second_order": customers.days_to_second_order,
+    "latest_months": revenue.latest_months,
+    "metadata": periods.metadata,
+}
+NAMED_OPERATORS = {
+    "price_tiers": products.price_tiers,
+    "top20_share": products.top_product_share,
+    "multi_item_rate": products.multi_item_rate,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     pairs = {"min_support": SUPPORT}
     return {
@@ -341,6 +362,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "review_document_by_store": lambda spark, folder: _document(spark, folder, STORE),
         "review_document_90d": lambda spark, folder: _document(spark, folder, period="90d"),
         "review_document_short": lambda spark, folder: _document(spark, folder, days=60),
+        # Stores with hardly any products, customers, days or revenue, and products by name
+        **{
+            f"edges_{name}": lambda spark, folder, operator=operator: present(operator(Ledger(tables.edge_lines(spark, folder), STORE)))
+            for name, operator in EDGE_OPERATORS.items()
+        },
+        **{
+            f"named_{name}": lambda spark, folder, operator=operator: present(operator(Ledger(tables.named_lines(spark, folder))))
+            for name, operator in NAMED_OPERATORS.items()
+        },
         # Sources
         "retail_normalise": _retail,
         "shop_normalise": _shop,

@@ -62,6 +62,40 @@ def order_lines(
     return df.select(*columns)
 
 
+# Stores of the edge lines and what is odd about them.
+EDGES = {
+    "ALGERIA": "one product", "ARGENTINA": "two products", "BRAZIL": "three products", "CANADA": "no revenue",
+    "EGYPT": "one day", "ETHIOPIA": "lines without product", "FRANCE": "lines without order", "GERMANY": "one customer",
+}
+
+
+def edge_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines by store, where some stores are odd."""
+    lines = order_lines(spark, folder, store=True)
+    at = lambda what: F.col("store_id") == next(s for s, w in EDGES.items() if w == what)
+    number = F.col("sku").cast("bigint")
+    sku = (
+        F.when(at("one product"), "1").when(at("two products"), (number % 2).cast("string")).when(at("three products"), (number % 3).cast("string"))
+        .when(at("lines without product") & (number % 2 == 0), None).otherwise(F.col("sku"))
+    )
+    zero = F.lit(0).cast(MONEY)
+    return lines.withColumns(
+        {
+            "sku": sku,
+            "amount": F.when(at("no revenue"), zero).otherwise(F.col("amount")),
+            "discount": F.when(at("no revenue"), zero).otherwise(F.col("discount")),
+            "order_date": F.when(at("one day"), F.lit("1997-05-05").cast("timestamp_ntz")).otherwise(F.col("order_date")),
+            "order_id": F.when(at("lines without order") & (F.col("order_id") % 3 == 0), None).otherwise(F.col("order_id")),
+            "customer_id": F.when(at("one customer"), 7).otherwise(F.col("customer_id")),
+        }
+    )
+
+
+def named_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines without a SKU, whose products go by name."""
+    return order_lines(spark, folder, product=True).drop("sku")
+
+
 def purchases(spark: SparkSession, folder: str) -> DataFrame:
     """A month of purchase events as orders with a time of day."""
     events = table(spark, folder, "events").filter(F.col("event_type") == "purchase")
