@@ -61,7 +61,7 @@ class Passage:
     length: int
     gram: int
     words: bool  # units are words, else bytes
-    shard_bytes: int = 2_000_000  # of different pieces decided at a time
+    shard_bytes: int = 500_000  # of different pieces decided at a time
     group_bytes: int = 250_000  # of different pieces of one group; they are split beyond
 
     def units(self, text: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
