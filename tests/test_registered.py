@@ -10,6 +10,8 @@ NAMES = [
     "period_block", "period_summary_guests", "monthly_trend_by_store", "top_decile_share_guests_by_store",
     "purchase_interval_short", "rfm_scores", "abc_revenue", "product_lifecycle_returns", "price_tiers_by_store",
     "cross_sell_pairs", "discount_dependency", "free_shipping_threshold", "retail_normalise", "fuzzy_normalise",
+    "drivers_mix_guests_by_store", "days_to_second_order_short", "review_document_short", "load_orders_rejected",
+    "column_profile_at_limits", "edges_price_tiers", "edges_rfm_scores", "named_top20_share",
 ]
 
 
