@@ -406,7 +406,8 @@ def recurring_spans(docs: DataFrame, p: Passage, decide: Decide, *, id_col: str,
     wanted = asked.groupBy(F.col("_id").alias("_hit_id"), F.col("_th").alias("_hit_th")).agg(F.collect_set(part).alias("_parts"))
     texts = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_th") == F.col("_hit_th"))).select("_id", "_th", "_text", "_parts")
     texts = texts.mapInArrow(partial(_cut_segments, p=p), f"_id {kind}, _th bigint, _part {dict(texts.dtypes)['_parts'][6:-1]}, _text binary")
-    found = written(texts.select("_id", "_th", "_part.*", "_text"), "segment-texts")
+    found = texts.select("_id", "_th", "_part.*", "_text")
+    found = written(found, "segment-texts") if keep_first else found  # read twice then
     pieces = found.groupBy(*seg).agg(F.first("_text").alias("_text"), F.sum("_times").alias("_n"), F.min(_place()).alias("_at_first"))
     runs = written(_decided(pieces.select(*seg, "_text", "_n", "_at_first.*"), p, decide), "segment-runs")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallybrook.llm import passages, phrases, suffixes
 from tests.llm.test_operators import ODD, SCHEMA, prose, recurring
 
-SIZES = [{}, {"shard_bytes": 700}, {"shard_bytes": 700, "group_bytes": 1}, {"group_bytes": 900}]
+SIZES = [{}, {"shard_bytes": 700, "group_bytes": 1}, {"group_bytes": 900}]
 
 
 def made(spark, rows):
@@ -72,7 +72,7 @@ def test_rows_follow_the_edits(spark, monkeypatch):
     sizes = collections.defaultdict(int)
     monkeypatch.setattr(passages, "written", lambda df, label: sizes.__setitem__(label, sizes[label] + df.cache().count()) or df)
     grown = {}
-    for n in (100, 200, 400):
+    for n in (100, 400):
         sizes.clear()
         docs = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string")
         suffixes.remove_repeats(docs, group_bytes=20_000).count()
@@ -85,21 +85,19 @@ def test_rows_follow_the_edits(spark, monkeypatch):
         assert grown[400][label] < 1.5 * grown[100][label] + 1
 
 
-def test_a_common_sentence(spark, monkeypatch):
+def test_a_common_sentence(spark):
     """A sentence shorter than a window among other words in each document: no task holds it all."""
     sentence = prose("footer", 30).split()
     texts = [" ".join(prose(i, 60).split() + sentence + prose(1000 + i % 110, 60).split()) for i in range(120)]
-    shards = passages.in_shards
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert words_left(phrases.remove_repeats(docs, group_bytes=4000)) == by_words(texts)
     footer = prose("footer", 60)[:110]
     texts = [prose(i, 60) + footer + prose(1000 + i % 110, 60) for i in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert bytes_left(suffixes.remove_repeats(docs, length=120, gram=30, group_bytes=4000)) == by_bytes(texts, 120)
-    assert shards is passages.in_shards
 
 
-def test_groups_stay_below_their_bound(spark, monkeypatch):
+def test_groups_stay_below_their_bound(spark):
     """What reaches the deciding tasks is split until a group is small or all its pieces are equal."""
     seen = []
     decide = suffixes.decide
