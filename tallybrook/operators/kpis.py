@@ -10,6 +10,7 @@ from tallybrook.functions.scalars import cents, change, month_label, month_lengt
 from tallybrook.ledger import Ledger
 from tallybrook.operators.periods import period_windows, window_rules
 
+# Names of the summary's fields.
 SUMMARY = (
     "revenue",
     "orders",

@@ -85,6 +85,7 @@ def _entries(led: Ledger) -> dict[str, _Entry]:
     no_threshold = F.coalesce((c("suggested_threshold") == 0) | (c("current_aov") == 0), F.lit(True))
     known = c("customers") > 0
 
+    # Labels and messages of the checks.
     out = {
         "monthly_revenue_trend": _Entry(
             c("mom_growth_latest"),
@@ -158,6 +159,7 @@ def _product_entries() -> dict[str, _Entry]:
     c = F.col
     none_sold = F.coalesce(c("products") == 0, F.lit(True))
     top, (low, high) = c("top_product_share"), rules.TOP20_PASS_BAND
+    # Labels and messages of the checks.
     return {
         "top20_revenue_concentration": _Entry(
             top,

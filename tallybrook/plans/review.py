@@ -37,6 +37,7 @@ def data_quality(orders, by=()) -> DataFrame:
             message.alias("message"),
         )
 
+    # Types and texts of the warnings.
     partial = warning(
         "partial_period",
         F.format_string(
