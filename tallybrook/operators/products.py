@@ -83,13 +83,17 @@ def converting_rate(orders, by=()) -> DataFrame:
 
 
 def multi_item_rate(orders, by=()) -> DataFrame:
-    """Share of orders with more than one distinct product; item-less orders count as zero."""
+    """Share of orders with more than one distinct product; item-less orders count as zero.
+
+    An order has several if its least and greatest differ, so no set of products is kept.
+    """
     led = Ledger.of(orders, by)
-    sizes = led.baskets.distinct().groupBy(*led.by, "order_id").agg(F.count("product").alias("products"))
-    return sizes.groupBy(*led.by).agg(
+    several = F.coalesce(F.min("product") < F.max("product"), F.lit(False))
+    each = led.baskets.groupBy(*led.by, "order_id").agg(several.alias("several"))
+    return each.groupBy(*led.by).agg(
         F.count(F.lit(1)).alias("orders"),
-        F.count_if(F.col("products") > 1).alias("multi_item_orders"),
-        F.avg((F.col("products") > 1).cast("double")).alias("multi_item_rate"),
+        F.count_if("several").alias("multi_item_orders"),
+        F.avg(F.col("several").cast("double")).alias("multi_item_rate"),
     )
 
 

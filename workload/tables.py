@@ -28,6 +28,9 @@ def order_lines(
     priority 5-LOW, ``returns`` negates amounts of returned lines.
     """
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    if store:  # found for each order, so that the lines are joined once
+        orders = orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        orders = orders.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     price, rate = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(3,2)")
     amount = (price * (1 - rate)).cast(MONEY)
@@ -56,8 +59,6 @@ def order_lines(
             (cost * F.lit("2.1").cast("decimal(2,1)")).cast(MONEY).alias("cost"),
         ]
     if store:
-        df = df.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        df = df.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         columns.append(F.col("n_name").alias("store_id"))
     return df.select(*columns)
 
