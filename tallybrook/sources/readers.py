@@ -153,7 +153,7 @@ class Loaded(NamedTuple):
     rejected: DataFrame
 
 
-LINE, WIDTH = "_line", "_other_width"
+LINE, WIDTH, WHEN = "_line", "_other_width", "_when"
 
 
 def parse_lines(lines: DataFrame, header: str, text_col: str = "value") -> DataFrame:
@@ -167,14 +167,16 @@ def parse_lines(lines: DataFrame, header: str, text_col: str = "value") -> DataF
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": WIDTH, "escape": '"'}
     line = F.col(f"`{text_col}`")
     row = F.from_csv(line, schema, options)
-    return lines.filter(line != header).select(line.alias(LINE), row.alias("_row")).select(LINE, "_row.*")
+    # Unfolded from a list of one: a filter on the columns does not parse the line once more.
+    return lines.filter(line != header).select(line.alias(LINE), F.inline(F.array(row)))
 
 
 def load_lines(lines: DataFrame, header: str, kind: str = "orders", fmt: str = "auto", text_col: str = "value") -> Loaded:
     """``orders``, ``products`` or ``inventory`` from CSV lines, rejecting bad ones one by one.
 
     Reasons are ``width`` (more or fewer fields than the header) and, for orders,
-    ``order_date`` (a date that no pattern fits).  Both outputs are views of the same lines.
+    ``order_date`` (a date that no pattern fits).  Both outputs are views of the same lines,
+    each read once; a line and its date are parsed once in either.
     """
     parsed = parse_lines(lines, header, text_col)
     good = parsed.filter(F.col(WIDTH).isNull()).drop(WIDTH)
@@ -182,9 +184,15 @@ def load_lines(lines: DataFrame, header: str, kind: str = "orders", fmt: str = "
     if kind == "orders":
         shop = _is_shop(good.columns, fmt)
         named = rename(good, SHOPIFY_ORDERS) if shop else map_columns(good)
-        rows = _typed_orders(named, shop, "quarantine")
-        late = named.filter(F.col("order_date").isNotNull() & parse_timestamp(F.col("order_date")).isNull())
-        rejected = rejected.unionByName(late.select(F.col(LINE).alias("line"), F.lit("order_date").alias("reason")))
+        if "order_date" not in named.columns:
+            return Loaded(_typed_orders(named, shop, "quarantine").drop(LINE), rejected)
+        named = rename(parsed, dict(zip(good.columns, named.columns)))
+        named = named.select("*", F.explode(F.array(parse_timestamp(F.col("order_date")))).alias(WHEN))
+        late = F.col("order_date").isNotNull() & F.col(WHEN).isNull()
+        reason = F.when(F.col(WIDTH).isNotNull(), "width").when(late, "order_date")
+        rejected = named.select(F.col(LINE).alias("line"), reason.alias("reason")).filter(F.col("reason").isNotNull())
+        kept = named.filter(F.col(WIDTH).isNull() & ~late).withColumn("order_date", F.col(WHEN)).drop(WIDTH, WHEN)
+        rows = _typed_orders(kept, shop, "quarantine")
     elif kind == "products":
         rows = normalise_products(good)
     elif kind == "inventory":

@@ -209,7 +209,8 @@ def as_lines(export: DataFrame, cut: str, spoilt: dict[str, str] | None = None)
     columns = [F.col(f"`{c}`") for c in export.columns]
     options = {"escape": '"'}
     line = F.when(F.expr(cut), F.to_csv(F.struct(*columns[:-1]), options)).otherwise(F.to_csv(F.struct(*columns), options))
-    return export.select(line.alias("value")), ",".join(export.columns)
+    # Unfolded from a list of one: a filter on the line does not build it once more.
+    return export.select(F.explode(F.array(line)).alias("value")), ",".join(export.columns)
 
 
 def retail_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
