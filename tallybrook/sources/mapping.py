@@ -121,8 +121,10 @@ def column_profile(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(df.columns):
         c = F.col(f"`{name}`")
-        text = F.regexp_replace(c.cast("string"), r"[$,\s]", "")
-        number = text.rlike(r"^(?!.*\..*\.)(?!.*-.*-)(?=.*\d)[\d.\-]+$")
+        # A number: digits, with one point and one minus at most, beside $, commas and blanks.
+        text = F.translate(c.cast("string"), "$, \t\n\x0b\f\r", "")
+        rest = F.translate(text, digits, "")
+        number = rest.isin("", ".", "-", ".-", "-.") & (F.length(text) > F.length(rest))
         aggs += [
             F.count(c).alias(f"filled_{i}"),
             F.count_if(number).alias(f"number_{i}"),
