@@ -7,11 +7,10 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach
+from tallybrook.functions.frames import attach, stored
 from tallybrook.functions.scalars import MONEY
 
 
@@ -29,7 +28,8 @@ class Ledger:
         self.lines = lines
         self.by = list(by)
         self.ref_date = ref_date
-        self._kept: list[DataFrame] = []
+        self.kept = False  # whether the views are shared rollups by now
+        self._stored: DataFrame | None = None
 
     @staticmethod
     def of(orders: Ledger | DataFrame, by: Sequence[str] = (), ref_date: date | None = None) -> Ledger:
@@ -43,11 +43,6 @@ class Ledger:
     def has(self, column: str) -> bool:
         return column in self.lines.columns
 
-    @property
-    def kept(self) -> bool:
-        """Whether the views are shared rollups by now."""
-        return bool(self._kept)
-
     @property
     def product_key(self) -> str | None:
         return next((c for c in ("sku", "product_name") if self.has(c)), None)
@@ -57,7 +52,7 @@ class Ledger:
         """by, order_id, customer_id, day, first_ts, last_ts, amount, discount, gross, lines, discounted_lines."""
         amount = F.col("amount").cast(MONEY)
         discount = F.col("discount").cast(MONEY) if self.has("discount") else F.lit(None).cast(MONEY)
-        return self.lines.select(
+        return self.lines_with("order_id", "customer_id", "order_date", "amount").select(
             *self.by,
             "order_id",
             "customer_id",
@@ -75,7 +70,7 @@ class Ledger:
     def items(self) -> DataFrame:
         """by, product, month, amount, priced_lines, lines for lines with a product key."""
         key = self.need_key()
-        return self.lines.filter(F.col(key).isNotNull()).select(
+        return self.lines_with(key, "order_date", "amount").filter(F.col(key).isNotNull()).select(
             *self.by,
             F.col(key).cast("string").alias("product"),
             F.trunc(F.to_date("order_date"), "month").alias("month"),
@@ -88,41 +83,61 @@ class Ledger:
     def baskets(self) -> DataFrame:
         """by, order_id, product (null kept so that item-less orders still count)."""
         key = self.need_key()
-        return self.lines.filter(F.col("order_id").isNotNull()).select(
+        return self.lines_with(key, "order_id").filter(F.col("order_id").isNotNull()).select(
             *self.by, "order_id", F.col(key).cast("string").alias("product")
         )
 
+    @cached_property
+    def daily(self) -> DataFrame:
+        """``sales`` for sums over days or stores: after ``keep()`` one row per store and day."""
+        return self.sales
+
+    def lines_with(self, *columns: str) -> DataFrame:
+        """The lines, from the written copy of ``keep()`` if that has all ``columns``."""
+        if self._stored is not None and set(columns) <= set(self._stored.columns):
+            return self._stored
+        return self.lines
+
     def need_key(self) -> str:
         if self.product_key is None:
             raise ValueError("product operators need a 'sku' or 'product_name' column")
         return self.product_key
 
     def keep(self) -> Ledger:
-        """Roll the views up once and persist them for operators that follow."""
+        """Write the lines once and roll the views up from that copy for operators that follow.
+
+        Lines often come from joins, so their source is read a single time.
+        """
         if self.kept:
             return self
-        rollup = self.order_days(self.sales)
-        self.sales = self._persist(rollup)
+        used = ["order_id", "order_date", "customer_id", "amount", "discount", self.product_key, "category", "cost"]
+        self._stored = stored(self.lines.select(*self.by, *[c for c in used if c and c not in self.by and self.has(c)]))
+        views = ["sales", "items", "baskets"] if self.product_key else ["sales"]
+        for view in views:
+            self.__dict__.pop(view, None)  # may have been built on the source
+        rollups = [self.order_days(self.sales)]
         if self.product_key:
-            self.items = self._persist(
-                self.items.groupBy(*self.by, "product", "month").agg(
-                    *[F.sum(c).alias(c) for c in ("amount", "priced_lines", "lines")]
-                )
-            )
-            self.baskets = self._persist(self.baskets.distinct())
+            sums = [F.sum(c).alias(c) for c in ("amount", "priced_lines", "lines")]
+            rollups += [self.items.groupBy(*self.by, "product", "month").agg(*sums), self.baskets.distinct()]
         with ThreadPoolExecutor(max_workers=3) as pool:
-            list(pool.map(DataFrame.count, self._kept))
+            written = list(pool.map(stored, rollups))
+        for view, rollup in zip(views, written):
+            setattr(self, view, rollup)
+        self.daily = stored(self._days(self.sales))
+        self.kept = True
         return self
 
-    def _persist(self, df: DataFrame) -> DataFrame:
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._kept.append(kept)
-        return kept
-
     def release(self) -> None:
-        for df in self._kept:
-            df.unpersist()
-        self._kept.clear()
+        """Go back to the lines themselves."""
+        self._stored, self.kept = None, False
+        for view in ("sales", "items", "baskets", "daily"):
+            self.__dict__.pop(view, None)
+
+    def _days(self, sales: DataFrame) -> DataFrame:
+        sums = ["amount", "discount", "gross", "lines", "discounted_lines"]
+        return sales.groupBy(*self.by, "day").agg(
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), *[F.sum(c).alias(c) for c in sums]
+        )
 
     def order_days(self, sales: DataFrame) -> DataFrame:
         """``sales`` with one row per order, customer and day, unless they are already rolled up.
@@ -148,17 +163,17 @@ class Ledger:
         """
         if self.ref_date or self.by:
             return self.ref_date
-        return self.sales.agg(F.max("day").alias("ref")).first()["ref"]
+        return self.daily.agg(F.max("day").alias("ref")).first()["ref"]
 
     @cached_property
     def reference(self) -> DataFrame:
         """One row per store with its reference date ``ref``."""
         if self.by and not self.ref_date:
-            return self.sales.groupBy(*self.by).agg(F.max("day").alias("ref"))
+            return self.daily.groupBy(*self.by).agg(F.max("day").alias("ref"))
         day = F.lit(self.newest_day).cast("date").alias("ref")
         if not self.by:
             return self.lines.sparkSession.range(1).select(day)
-        return self.sales.select(*self.by).distinct().select(*self.by, day)
+        return self.daily.select(*self.by).distinct().select(*self.by, day)
 
     def with_reference(self, df: DataFrame) -> DataFrame:
         if self.by and not self.ref_date:

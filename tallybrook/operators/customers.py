@@ -108,7 +108,7 @@ def days_to_second_order(orders, by=()) -> DataFrame:
 def rfm_base(orders, by=()) -> DataFrame:
     """Recency in whole days before the newest order, distinct orders, revenue per customer."""
     led = Ledger.of(orders, by)
-    newest = led.sales.groupBy(*led.by).agg(F.max("last_ts").alias("_now"))
+    newest = led.daily.groupBy(*led.by).agg(F.max("last_ts").alias("_now"))
     known = led.sales.filter(F.col("customer_id").isNotNull())
     per_order = known.groupBy(*led.by, "customer_id", "order_id").agg(
         F.max("last_ts").alias("last_ts"), F.sum("amount").alias("amount")

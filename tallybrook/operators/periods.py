@@ -88,7 +88,7 @@ def metadata(orders, by=()) -> DataFrame:
 def data_span(orders, by=()) -> DataFrame:
     """Whole days between the first and the last order timestamp."""
     led = Ledger.of(orders, by)
-    ends = led.sales.groupBy(*led.by).agg(F.min("first_ts").alias("a"), F.max("last_ts").alias("b"))
+    ends = led.daily.groupBy(*led.by).agg(F.min("first_ts").alias("a"), F.max("last_ts").alias("b"))
     return ends.select(*led.by, F.col("a").alias("first_ts"), F.col("b").alias("last_ts"), whole_days("a", "b").alias("span_days"))
 
 
@@ -107,7 +107,7 @@ def annual_revenue(orders, by=()) -> DataFrame:
     The whole total is kept for longer histories; see ``trailing_year_revenue``.
     """
     led = Ledger.of(orders, by)
-    ends = led.sales.groupBy(*led.by).agg(
+    ends = led.daily.groupBy(*led.by).agg(
         whole_days(F.min("first_ts"), F.max("last_ts")).alias("span_days"),
         num(total("amount")).alias("total_revenue"),
     )

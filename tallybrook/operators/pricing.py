@@ -20,7 +20,7 @@ NEAR_FACTOR = 0.8
 def monthly_discount_rate(orders, by=()) -> DataFrame:
     led = Ledger.of(orders, by)
     months = (
-        led.sales.filter(F.col("day").isNotNull())
+        led.daily.filter(F.col("day").isNotNull())
         .groupBy(*led.by, F.trunc("day", "month").alias("month_start"))
         .agg(total("discount").alias("_d"), total("gross").alias("_g"))
     )
@@ -33,7 +33,7 @@ def discount_dependency(orders, by=()) -> DataFrame:
     Without a discount column: zeros and "stable".
     """
     led = Ledger.of(orders, by)
-    whole = led.sales.groupBy(*led.by).agg(
+    whole = led.daily.groupBy(*led.by).agg(
         total("discount").alias("_d"),
         total("gross").alias("_g"),
         F.sum("discounted_lines").alias("_dl"),
@@ -67,14 +67,18 @@ def discounted_orders(orders, by=()) -> DataFrame:
     return sums.withColumn("discounted_order_ratio", ratio("discounted_orders", "orders"))
 
 
+def _category_sums(led: Ledger, cost_col: str) -> DataFrame:
+    """Revenue and cost per category, null included."""
+    lines = led.lines_with("category", "amount", cost_col)
+    return lines.groupBy(*led.by, F.col("category").cast("string").alias("category")).agg(
+        total(F.col("amount").cast(MONEY)).alias("_r"), total(F.col(cost_col).cast(MONEY)).alias("_c")
+    )
+
+
 def category_margins(orders, by=(), cost_col: str = "cost") -> DataFrame:
     """(revenue − cost) ÷ revenue per category; 0 without revenue."""
     led = Ledger.of(orders, by)
-    sums = (
-        led.lines.filter(F.col("category").isNotNull())
-        .groupBy(*led.by, F.col("category").cast("string").alias("category"))
-        .agg(total(F.col("amount").cast(MONEY)).alias("_r"), total(F.col(cost_col).cast(MONEY)).alias("_c"))
-    )
+    sums = _category_sums(led, cost_col).filter(F.col("category").isNotNull())
     return sums.select(
         *led.by,
         "category",
@@ -91,27 +95,25 @@ def margin_summary(orders, by=(), cost_col: str = "cost") -> DataFrame:
     """
     led = Ledger.of(orders, by)
     if not led.has(cost_col):
-        stores = led.sales.groupBy(*led.by).agg(F.count(F.lit(1)).alias("_n"))
+        stores = led.daily.groupBy(*led.by).agg(F.count(F.lit(1)).alias("_n"))
         return stores.select(
             *led.by,
             F.lit(None).cast("double").alias("overall_margin"),
             F.lit(0).cast("long").alias("categories"),
             F.lit(0).cast("long").alias("negative_categories"),
         )
-    whole = led.lines.groupBy(*led.by).agg(
-        total(F.col("amount").cast(MONEY)).alias("_r"), total(F.col(cost_col).cast(MONEY)).alias("_c")
-    )
-    out = whole.select(*led.by, ratio(F.col("_r") - F.col("_c"), "_r").alias("overall_margin"))
     if not led.has("category"):
+        whole = led.lines_with("amount", cost_col).groupBy(*led.by).agg(
+            total(F.col("amount").cast(MONEY)).alias("_r"), total(F.col(cost_col).cast(MONEY)).alias("_c")
+        )
+        out = whole.select(*led.by, ratio(F.col("_r") - F.col("_c"), "_r").alias("overall_margin"))
         return out.withColumn("categories", F.lit(0).cast("long")).withColumn("negative_categories", F.lit(0).cast("long"))
-    cats = category_margins(led, cost_col=cost_col).groupBy(*led.by).agg(
-        F.count(F.lit(1)).alias("categories"), F.count_if(F.col("margin") < 0).alias("negative_categories")
-    )
-    return attach(out, cats, led.by).select(
-        *led.by,
-        "overall_margin",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("categories", "negative_categories")],
+    # Categories add up to the whole, so the lines are read once.
+    named, loss = F.col("category").isNotNull(), ratio(F.col("_r") - F.col("_c"), "_r") < 0
+    sums = _category_sums(led, cost_col).groupBy(*led.by).agg(
+        total("_r").alias("_r"), total("_c").alias("_c"), F.count_if(named).alias("categories"), F.count_if(named & loss).alias("negative_categories")
     )
+    return sums.select(*led.by, ratio(F.col("_r") - F.col("_c"), "_r").alias("overall_margin"), "categories", "negative_categories")
 
 
 def order_totals(orders, by=()) -> DataFrame:
@@ -158,7 +160,7 @@ def large_order_share(orders, by=()) -> DataFrame:
     """Largest order total ÷ all revenue; no row without positive revenue."""
     led = Ledger.of(orders, by)
     biggest = order_totals(led).groupBy(*led.by).agg(F.max("order_total").alias("_max"))
-    whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
+    whole = led.daily.groupBy(*led.by).agg(total("amount").alias("_all"))
     joined = attach(whole, biggest, led.by).filter(F.col("_all") > 0)
     return joined.select(
         *led.by, num("_max").alias("largest_order"), F.try_divide(num("_max"), num("_all")).alias("largest_order_share")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, match
+from tallybrook.functions.frames import attach, group_window, match
 from tallybrook.functions.ordering import ordered_prefix, quantiles, top_n_sum, top_share_sum
 from tallybrook.functions.scalars import MONEY, num, ratio, total
 from tallybrook.ledger import Ledger
@@ -86,9 +86,10 @@ def multi_item_rate(orders, by=()) -> DataFrame:
     """Share of orders with more than one distinct product; item-less orders count as zero.
 
     An order has several if its least and greatest differ, so no set of products is kept.
+    Rollups hold each product of an order once, and a count will do.
     """
     led = Ledger.of(orders, by)
-    several = F.coalesce(F.min("product") < F.max("product"), F.lit(False))
+    several = F.count("product") > 1 if led.kept else F.coalesce(F.min("product") < F.max("product"), F.lit(False))
     each = led.baskets.groupBy(*led.by, "order_id").agg(several.alias("several"))
     return each.groupBy(*led.by).agg(
         F.count(F.lit(1)).alias("orders"),
@@ -140,20 +141,20 @@ def lifecycle(orders, by=()) -> DataFrame:
     """Launch / Growth / Mature / Decline from the slope over the last three active months.
 
     The slope of two or three equally spaced points is (last − first) ÷ (points − 1),
-    so a product needs only its newest three months: an array no longer than the
-    calendar, not a window over its lines.
+    so a product needs only its newest three months: a window no longer than the
+    calendar, over its months, not its lines.
     """
     led = Ledger.of(orders, by)
-    pair = F.struct("month", "amount")
-    each = product_months(led).groupBy(*led.by, "product").agg(
+    newest = Window.partitionBy(*led.by, "product").orderBy(F.desc("month"))
+    months = product_months(led).withColumn("_back", F.row_number().over(newest))
+    each = months.groupBy(*led.by, "product").agg(
         total("amount").alias("total_revenue"),
         F.count(F.lit(1)).alias("months_active"),
-        F.slice(F.sort_array(F.collect_list(pair), asc=False), 1, 3).alias("_last"),
+        *[F.max(F.when(F.col("_back") == i, num("amount"))).alias(f"_v{i}") for i in (1, 2, 3)],
     )
-    n = F.size("_last")
-    values = F.transform("_last", lambda x: x["amount"].cast("double"))
-    slope = (F.get(values, F.lit(0)) - F.get(values, n - 1)) / (n - 1)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
+    n = F.least(F.col("months_active"), F.lit(3))
+    slope = (F.col("_v1") - F.coalesce("_v3", "_v2", "_v1")) / (n - 1)
+    mean = (F.lit(0.0) + F.col("_v1") + F.coalesce("_v2", F.lit(0.0)) + F.coalesce("_v3", F.lit(0.0))) / n
     # The mean's sign stays: a negative recent mean turns the relative slope around.
     relative = F.round(F.when(mean != 0, slope / mean).otherwise(F.lit(0.0)), 12)
     stage = (
@@ -212,7 +213,7 @@ def category_performance(orders, by=()) -> DataFrame:
         raise ValueError("category_performance needs a 'category' column")
     amount = F.col("amount").cast(MONEY)
     cats = (
-        led.lines.filter(F.col("category").isNotNull())
+        led.lines_with("category", "amount", "order_id").filter(F.col("category").isNotNull())
         .groupBy(*led.by, "category")
         .agg(
             total(amount).alias("_rev"),
@@ -220,8 +221,8 @@ def category_performance(orders, by=()) -> DataFrame:
             F.count(amount).alias("_n"),
         )
     )
-    whole = cats.groupBy(*led.by).agg(F.sum("_rev").alias("_all"))
-    return attach(cats, whole, led.by).select(
+    # One row per category by now; a join would read the lines again.
+    return cats.withColumn("_all", F.sum("_rev").over(group_window(led.by))).select(
         *led.by,
         "category",
         num("_rev").alias("revenue"),

@@ -101,7 +101,7 @@ def repeat_revenue_share(orders, by=()) -> DataFrame:
     )
     first = days.groupBy(*led.by, "customer_id").agg(F.min_by("amount", "day").alias("amount"))
     fresh = first.groupBy(*led.by).agg(total("amount").alias("_first"))
-    whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
+    whole = led.daily.groupBy(*led.by).agg(total("amount").alias("_all"))
     joined = attach(whole, fresh, led.by)
     repeat = F.col("_all") - F.coalesce(F.col("_first"), F.lit(0))
     return joined.select(
@@ -115,7 +115,7 @@ def repeat_revenue_share(orders, by=()) -> DataFrame:
 def avg_discount_rate(orders, by=()) -> DataFrame:
     """Discount ÷ (amount + discount); 0 without discounts."""
     led = Ledger.of(orders, by)
-    sums = led.sales.groupBy(*led.by).agg(total("discount").alias("_d"), total("gross").alias("_g"))
+    sums = led.daily.groupBy(*led.by).agg(total("discount").alias("_d"), total("gross").alias("_g"))
     return sums.select(*led.by, num("_d").alias("discount"), ratio("_d", "_g").alias("avg_discount_rate"))
 
 
@@ -129,7 +129,7 @@ def top_customer_share(orders, by=(), fraction: float = 0.1) -> DataFrame:
     """Share of all revenue (guests included) from the top ``fraction`` of customers."""
     led = Ledger.of(orders, by)
     top = top_share_sum(customer_revenue(led), led.by, "revenue", fraction)
-    whole = led.sales.groupBy(*led.by).agg(total("amount").alias("_all"))
+    whole = led.daily.groupBy(*led.by).agg(total("amount").alias("_all"))
     return attach(whole, top, led.by).select(
         *led.by,
         F.coalesce("group_rows", F.lit(0)).alias("customers"),
@@ -143,7 +143,7 @@ def daily_revenue_cv(orders, by=()) -> DataFrame:
     """Sample standard deviation ÷ mean of revenue over days with data; null below two days."""
     led = Ledger.of(orders, by)
     days = (
-        led.sales.filter(F.col("day").isNotNull())
+        led.daily.filter(F.col("day").isNotNull())
         .groupBy(*led.by, "day")
         .agg(num(total("amount")).alias("revenue"))
     )

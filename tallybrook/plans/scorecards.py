@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import gather
+from tallybrook.functions.frames import durable, gather
 from tallybrook.functions.impact import constant_volume_recovery, discount_recovery, repeat_rate_uplift, repeat_share_shift
 from tallybrook.functions.scalars import num
 from tallybrook.ledger import Ledger
@@ -40,8 +40,14 @@ def _bands(value: Column, high: Column, medium: Column) -> Column:
 
 
 def risk_rubric(orders, by=(), ref_date=None, period: str = "365d") -> DataFrame:
-    """Six risk factors with their value and severity."""
+    """Six risk factors with their value and severity.
+
+    Rollups that were not kept before are shared by all factors and released afterwards.
+    """
     led = Ledger.of(orders, by, ref_date)
+    own = not led.kept
+    if own:
+        led.keep()
     parts = [
         kpis.period_blocks(led)
         .filter(F.col("period") == period)
@@ -84,7 +90,12 @@ def risk_rubric(orders, by=(), ref_date=None, period: str = "365d") -> DataFrame
             for name, (v, hi, mid) in factors.items()
         ]
     )
-    return wide.select(*led.by, F.inline(rows)).filter(F.col("severity").isNotNull())
+    found = wide.select(*led.by, F.inline(rows)).filter(F.col("severity").isNotNull())
+    if not own:
+        return found
+    found = durable(found)
+    led.release()
+    return found
 
 
 def benchmark_grades(orders, by=()) -> DataFrame:

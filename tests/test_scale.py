@@ -33,3 +33,54 @@ def test_lines_are_joined_once_for_their_store(spark):
 
     joins = nodes(tables.order_lines(spark, FOLDER, store=True), "Join")
     assert len(joins) == 3 and "l_orderkey" in joins[0]
+
+
+def test_kept_lines_are_read_once(spark, make_orders):
+    rows = [("a", "2024-01-01", "x", 1.0, "p"), ("b", "2024-02-01", "x", 4.0, "p"), ("c", "2024-02-03", None, 5.0, "q")]
+    seen = spark.sparkContext.accumulator(0)
+    source = make_orders(rows, ", sku string")
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    from tallybrook.plans import checks, scorecards
+
+    lines = spark.createDataFrame(source.rdd.map(counted), source.schema)
+    assert checks.health_checks(lines).count() > 0
+    assert seen.value == len(rows)
+    assert scorecards.risk_rubric(lines).count() > 0
+    assert seen.value == 2 * len(rows)
+
+
+def test_margins_and_categories_need_one_scan(spark, make_orders):
+    from tallybrook.operators import pricing
+
+    rows = [("a", "2024-01-01", "x", 10.0, "p", "k", 4.0), ("b", "2024-01-01", "x", 5.0, "q", None, 1.0), ("c", "2024-01-01", "x", 2.0, "r", "m", 3.0)]
+    lines = make_orders(rows, ", sku string, category string, cost double")
+    margin = pricing.margin_summary(lines)
+    assert margin.collect()[0].asDict() == {"overall_margin": 9 / 17, "categories": 2, "negative_categories": 1}
+    assert len(nodes(margin, "LogicalRDD") or nodes(margin, "LocalRelation")) <= 1 and "scalar-subquery" not in plan(margin)
+    shares = products.category_performance(lines)
+    assert {r["category"]: r["revenue_share"] for r in shares.collect()} == {"k": 10 / 12, "m": 2 / 12}
+    assert "scalar-subquery" not in plan(shares)
+
+
+def test_rejected_lines_are_parsed_once(spark):
+    from tallybrook.sources import readers
+
+    header = "Invoice,InvoiceDate,Customer ID,Price,Quantity"
+    text = [header, "1,1/2/2024 8:00,c,2.5,2", "2,soon,c,1,1", "3,1/2/2024", "4,,c,1,1"]
+    found = readers.load_lines(spark.createDataFrame([(t,) for t in text], "value string"), header)
+    assert sorted((r["line"], r["reason"]) for r in found.rejected.collect()) == [("2,soon,c,1,1", "order_date"), ("3,1/2/2024", "width")]
+    assert sorted((r["order_id"], r["order_date"] is None) for r in found.rows.collect()) == [("1", False), ("4", True)]
+    assert plan(found.rejected).count("from_csv") == 1 and plan(found.rows).count("from_csv") == 1
+
+
+def test_numbers_are_told_without_expressions(spark):
+    from tallybrook.sources import mapping
+
+    texts = ["1", "-1.5", "1.5-", "$1,000", " 7\t", "--1", "1.2.3", "", "-", ".", "1a", None]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    row = mapping.column_profile(df).collect()[0]
+    assert (row["filled"], round(row["numeric_rate"] * row["filled"])) == (11, 5)
