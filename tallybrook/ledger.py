@@ -7,11 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, stored
-from tallybrook.functions.scalars import MONEY
+from tallybrook.functions.frames import attach, numbered, stored
+from tallybrook.functions.scalars import MONEY, total, whole_days
+
+ROLLUPS = ("goods", "placed", "clients")  # what ``keep()`` can write beside lines, sales and daily sums
 
 
 class Ledger:
@@ -19,9 +21,9 @@ class Ledger:
 
     ``lines`` holds ``order_id, order_date, customer_id, amount`` and optionally
     ``sku, product_name, category, discount, cost, ...``.  Operators read the three
-    narrow views ``sales``, ``items`` and ``baskets``; their measures are additive,
-    so the same operator runs on raw lines or, after ``keep()``, on rollups that
-    many operators share.
+    narrow views ``sales``, ``items`` and ``baskets``, or the rollups ``goods``, ``placed`` and
+    ``clients`` with a row per product, order and customer.  After ``keep()`` lines, sales (as
+    order days) and rollups are written, and many operators share them.
     """
 
     def __init__(self, lines: DataFrame, by: Sequence[str] = (), ref_date: date | None = None):
@@ -50,9 +52,13 @@ class Ledger:
     @cached_property
     def sales(self) -> DataFrame:
         """by, order_id, customer_id, day, first_ts, last_ts, amount, discount, gross, lines, discounted_lines."""
+        return self._sales()
+
+    def _sales(self, *more: Column) -> DataFrame:
         amount = F.col("amount").cast(MONEY)
         discount = F.col("discount").cast(MONEY) if self.has("discount") else F.lit(None).cast(MONEY)
-        return self.lines_with("order_id", "customer_id", "order_date", "amount").select(
+        used = ["order_id", "customer_id", "order_date", "amount", *([self.product_key] if more else [])]
+        return self.lines_with(*used).select(
             *self.by,
             "order_id",
             "customer_id",
@@ -64,6 +70,7 @@ class Ledger:
             (amount + discount).alias("gross"),
             F.lit(1).cast("long").alias("lines"),
             F.coalesce((discount > 0).cast("long"), F.lit(0)).alias("discounted_lines"),
+            *more,
         )
 
     @cached_property
@@ -87,6 +94,76 @@ class Ledger:
             *self.by, "order_id", F.col(key).cast("string").alias("product")
         )
 
+    @cached_property
+    def goods(self) -> DataFrame:
+        """by, product, amount, lines, priced_lines; of lines with a date: dated_amount, months and
+        the amounts ``newest``, ``second`` and ``third`` of the last three months that have any.
+
+        The window holds the months of a product, not its lines.
+        """
+        months = self.items.groupBy(*self.by, "product", "month").agg(
+            total("amount").alias("amount"), F.sum("lines").alias("lines"), F.sum("priced_lines").alias("priced_lines")
+        )
+        months, keys = numbered(months, [*self.by, "product"])
+        back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("month")))
+        dated = F.col("month").isNotNull()
+        each = months.withColumn("_back", back).groupBy(*keys).agg(
+            F.sum("amount").alias("amount"),
+            F.sum("lines").alias("lines"),
+            F.sum("priced_lines").alias("priced_lines"),
+            total(F.when(dated, F.col("amount"))).alias("dated_amount"),
+            F.count("month").alias("months"),
+            *[F.max(F.when(dated & (F.col("_back") == i), F.col("amount"))).alias(n) for i, n in enumerate(("newest", "second", "third"), 1)],
+        )
+        return each.drop("_number")
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """by, order_id, order_total and of its products: item_lines and the least and greatest hash."""
+        return self._placed(self.order_days(self._sales(*self._hashes()), hashes=True))
+
+    def _hashes(self) -> list[Column]:
+        """Hash of a line's product, null without one: numbers are compared and kept cheaply."""
+        key = F.col(self.product_key).cast("string") if self.product_key else F.lit(None).cast("string")
+        hashed = F.when(key.isNotNull(), F.xxhash64(key))
+        return [hashed.alias("low"), hashed.alias("high"), key.isNotNull().cast("long").alias("item_lines")]
+
+    def _placed(self, days: DataFrame) -> DataFrame:
+        return days.filter(F.col("order_id").isNotNull()).groupBy(*self.by, "order_id").agg(
+            total("amount").alias("order_total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("item_lines").alias("item_lines")
+        )
+
+    @cached_property
+    def clients(self) -> DataFrame:
+        """``client_days`` and each customer's distinct ``orders``."""
+        keys = [*self.by, "customer_id"]
+        pairs = self.sales.filter(F.col("customer_id").isNotNull()).select(*keys, "order_id").distinct()
+        both = self.client_days.unionByName(pairs.groupBy(*keys).agg(F.count("order_id").alias("orders")), allowMissingColumns=True)
+        return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])
+
+    @property
+    def client_days(self) -> DataFrame:
+        """by, customer_id, revenue, last_ts, first_day, first_revenue, gap, dated_lines.
+
+        ``gap`` is the sum of whole days between a customer's lines.  Lines of one day are less
+        than a day apart and add nothing, so the window holds a customer's days, not the lines.
+        """
+        keys = [*self.by, "customer_id"]
+        days = self.sales.filter(F.col("customer_id").isNotNull()).groupBy(*keys, "day").agg(
+            F.min("first_ts").alias("a"), F.max("last_ts").alias("b"), F.sum("lines").alias("lines"), total("amount").alias("amount")
+        )
+        days, grouped = numbered(days, keys)
+        gap = whole_days(F.lag("b").over(Window.partitionBy(*grouped).orderBy("day")), F.col("a"))
+        each = days.withColumn("gap", gap).groupBy(*grouped).agg(
+            F.sum("amount").alias("revenue"),
+            F.max("b").alias("last_ts"),
+            F.min("day").alias("first_day"),
+            F.min_by("amount", "day").alias("first_revenue"),
+            F.coalesce(F.sum("gap"), F.lit(0)).alias("gap"),
+            F.sum(F.when(F.col("day").isNotNull(), F.col("lines"))).alias("dated_lines"),
+        )
+        return each.drop("_number")
+
     @cached_property
     def daily(self) -> DataFrame:
         """``sales`` for sums over days or stores: after ``keep()`` one row per store and day."""
@@ -103,34 +180,48 @@ class Ledger:
             raise ValueError("product operators need a 'sku' or 'product_name' column")
         return self.product_key
 
-    def keep(self) -> Ledger:
-        """Write the lines once and roll the views up from that copy for operators that follow.
+    def keep(self, *rollups: str) -> Ledger:
+        """Write the lines once, and from that copy order days, daily sums and ``rollups``, all by default.
 
         Lines often come from joins, so their source is read a single time.
         """
         if self.kept:
             return self
+        wanted = [r for r in rollups or ROLLUPS if r != "goods" or self.product_key]
         used = ["order_id", "order_date", "customer_id", "amount", "discount", self.product_key, "category", "cost"]
         self._stored = stored(self.lines.select(*self.by, *[c for c in used if c and c not in self.by and self.has(c)]))
-        views = ["sales", "items", "baskets"] if self.product_key else ["sales"]
-        for view in views:
-            self.__dict__.pop(view, None)  # may have been built on the source
-        rollups = [self.order_days(self.sales)]
-        if self.product_key:
-            sums = [F.sum(c).alias(c) for c in ("amount", "priced_lines", "lines")]
-            rollups += [self.items.groupBy(*self.by, "product", "month").agg(*sums), self.baskets.distinct()]
-        with ThreadPoolExecutor(max_workers=3) as pool:
-            written = list(pool.map(stored, rollups))
-        for view, rollup in zip(views, written):
-            setattr(self, view, rollup)
-        self.daily = stored(self._days(self.sales))
+        self._forget()  # views may have been built on the source
+
+        def goods() -> None:
+            self.goods = stored(self.goods)
+
+        def days() -> None:
+            hashed = "placed" in wanted
+            self.sales = stored(self.order_days(self._sales(*self._hashes()) if hashed else self._sales(), hashed))
+            later = {"daily": self._days(self.sales)}
+            later |= {"placed": self._placed(self.sales)} if hashed else {}
+            later |= {"clients": self.clients} if "clients" in wanted else {}
+            with ThreadPoolExecutor(max_workers=3) as pool:
+                for view, written in zip(later, pool.map(stored, later.values())):
+                    setattr(self, view, written)
+
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            for done in [pool.submit(step) for step in ([days, goods] if "goods" in wanted else [days])]:
+                done.result()
         self.kept = True
         return self
 
+    def kept_rollup(self, name: str) -> DataFrame | None:
+        """The written rollup of that name, if there is one."""
+        return self.__dict__.get(name) if self.kept else None
+
     def release(self) -> None:
         """Go back to the lines themselves."""
         self._stored, self.kept = None, False
-        for view in ("sales", "items", "baskets", "daily"):
+        self._forget()
+
+    def _forget(self) -> None:
+        for view in ("sales", "items", "baskets", "daily", "first_days", "reference", *ROLLUPS):
             self.__dict__.pop(view, None)
 
     def _days(self, sales: DataFrame) -> DataFrame:
@@ -139,7 +230,7 @@ class Ledger:
             F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), *[F.sum(c).alias(c) for c in sums]
         )
 
-    def order_days(self, sales: DataFrame) -> DataFrame:
+    def order_days(self, sales: DataFrame, hashes: bool = False) -> DataFrame:
         """``sales`` with one row per order, customer and day, unless they are already rolled up.
 
         Lines of an order usually lie together, so most of them collapse before the
@@ -147,11 +238,12 @@ class Ledger:
         """
         if self.kept:
             return sales
-        measures = ["amount", "discount", "gross", "lines", "discounted_lines"]
+        measures = ["amount", "discount", "gross", "lines", "discounted_lines", *(["item_lines"] if hashes else [])]
         return sales.groupBy(*self.by, "order_id", "customer_id", "day").agg(
             F.min("first_ts").alias("first_ts"),
             F.max("last_ts").alias("last_ts"),
             *[F.sum(c).alias(c) for c in measures],
+            *([F.min("low").alias("low"), F.max("high").alias("high")] if hashes else []),
         )
 
     @cached_property
@@ -183,6 +275,8 @@ class Ledger:
     @cached_property
     def first_days(self) -> DataFrame:
         """First order day of each known customer over the full history."""
+        if self.kept_rollup("clients") is not None:
+            return self.clients.select(*self.by, "customer_id", "first_day")
         return (
             self.sales.filter(F.col("customer_id").isNotNull())
             .groupBy(*self.by, "customer_id")

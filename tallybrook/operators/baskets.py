@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, durable, match
+from tallybrook.functions.frames import attach, durable, match, stored
 from tallybrook.functions.scalars import num
 from tallybrook.ledger import Ledger
 
@@ -22,11 +22,17 @@ def cross_sell_pairs(orders, by=(), min_support: float = 0.01, large_basket: int
     """
     led = Ledger.of(orders, by)
     by = led.by
-    # Read three times below: written once instead of scanning the lines again.
-    lines = led.baskets if led.kept else durable(led.baskets.distinct())
-    limits = lines.groupBy(*by).agg(F.countDistinct("order_id").alias("n_orders"))
-    needed = F.greatest(F.lit(2), F.floor(num("n_orders") * F.lit(min_support)))
-    limits = limits.select(*by, "n_orders", needed.cast("long").alias("needed"))
+    needed = F.greatest(F.lit(2), F.floor(num("n_orders") * F.lit(min_support))).cast("long").alias("needed")
+    if led.kept_rollup("placed") is not None and led.kept_rollup("goods") is not None:
+        limits = led.placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_orders")).select(*by, "n_orders", needed)
+        # A product has at most as many orders as lines, so baskets of the others need not be looked at.
+        # These are written, so that the planner sees how few they are.
+        enough = attach(led.goods.select(*by, "product", "lines"), limits, by).filter(F.col("lines") >= F.col("needed"))
+        lines = stored(match(led.baskets, stored(enough.select(*by, "product")), [*by, "product"], "left_semi").distinct())
+    else:
+        # Read three times below: written once instead of scanning the lines again.
+        lines = durable(led.baskets.distinct())
+        limits = lines.groupBy(*by).agg(F.countDistinct("order_id").alias("n_orders")).select(*by, "n_orders", needed)
     items = lines.filter(F.col("product").isNotNull())
 
     counted = items.groupBy(*by, "product").agg(F.count(F.lit(1)).alias("product_orders"))

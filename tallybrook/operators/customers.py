@@ -34,6 +34,8 @@ def with_cohort_month(orders, by=()) -> DataFrame:
 def orders_per_customer(orders, by=()) -> DataFrame:
     """Distinct orders of each known customer: two additive steps, no distinct set per customer."""
     led = Ledger.of(orders, by)
+    if led.kept_rollup("clients") is not None:
+        return led.clients.select(*led.by, "customer_id", "orders")
     known = led.sales.filter(F.col("customer_id").isNotNull())
     pairs = known.select(*led.by, "customer_id", "order_id").distinct()
     return pairs.groupBy(*led.by, "customer_id").agg(F.count("order_id").alias("orders"))
@@ -52,21 +54,11 @@ def repeat_purchase_rate(orders, by=()) -> DataFrame:
 def purchase_interval(orders, by=()) -> DataFrame:
     """Mean over customers of the mean whole-day gap between consecutive order lines.
 
-    Lines of one day are less than a day apart and add zero gaps, so each customer
-    reduces to one row per day (first and last time, line count).  The window then
-    holds at most as many rows as there are days, whoever the customer is.
+    The gaps are summed by customer in ``Ledger.client_days``, over days instead of lines.
     """
     led = Ledger.of(orders, by)
-    days = (
-        led.sales.filter(F.col("customer_id").isNotNull() & F.col("day").isNotNull())
-        .groupBy(*led.by, "customer_id", "day")
-        .agg(F.min("first_ts").alias("a"), F.max("last_ts").alias("b"), F.sum("lines").alias("lines"))
-    )
-    track = Window.partitionBy(*led.by, "customer_id").orderBy("day")
-    gaps = days.withColumn("gap", whole_days(F.lag("b").over(track), F.col("a")))
-    each = gaps.groupBy(*led.by, "customer_id").agg(
-        F.coalesce(F.sum("gap"), F.lit(0)).alias("gap"), F.sum("lines").alias("lines")
-    )
+    each = led.client_days if led.kept_rollup("clients") is None else led.clients
+    each = each.filter(F.col("dated_lines").isNotNull()).withColumnRenamed("dated_lines", "lines")
     mean_gap = F.when(F.col("lines") >= 2, F.col("gap") / (F.col("lines") - 1))
     return each.groupBy(*led.by).agg(
         F.count(mean_gap).alias("customers_with_gaps"), F.avg(mean_gap).alias("avg_purchase_interval_days")
@@ -109,13 +101,18 @@ def rfm_base(orders, by=()) -> DataFrame:
     """Recency in whole days before the newest order, distinct orders, revenue per customer."""
     led = Ledger.of(orders, by)
     newest = led.daily.groupBy(*led.by).agg(F.max("last_ts").alias("_now"))
-    known = led.sales.filter(F.col("customer_id").isNotNull())
-    per_order = known.groupBy(*led.by, "customer_id", "order_id").agg(
-        F.max("last_ts").alias("last_ts"), F.sum("amount").alias("amount")
-    )
-    base = per_order.groupBy(*led.by, "customer_id").agg(
-        F.max("last_ts").alias("_last"), F.count("order_id").alias("frequency"), total("amount").alias("monetary")
-    )
+    if led.kept_rollup("clients") is not None:
+        base = led.clients.select(
+            *led.by, "customer_id", F.col("last_ts").alias("_last"), F.col("orders").alias("frequency"), F.col("revenue").alias("monetary")
+        )
+    else:
+        known = led.sales.filter(F.col("customer_id").isNotNull())
+        per_order = known.groupBy(*led.by, "customer_id", "order_id").agg(
+            F.max("last_ts").alias("last_ts"), F.sum("amount").alias("amount")
+        )
+        base = per_order.groupBy(*led.by, "customer_id").agg(
+            F.max("last_ts").alias("_last"), F.count("order_id").alias("frequency"), total("amount").alias("monetary")
+        )
     return attach(base, newest, led.by).select(
         *led.by, "customer_id", whole_days("_last", "_now").alias("recency_days"), "frequency", "monetary"
     )

@@ -118,6 +118,8 @@ def margin_summary(orders, by=(), cost_col: str = "cost") -> DataFrame:
 
 def order_totals(orders, by=()) -> DataFrame:
     led = Ledger.of(orders, by)
+    if led.kept_rollup("placed") is not None:
+        return led.placed.select(*led.by, "order_id", "order_total")
     keyed = led.sales.filter(F.col("order_id").isNotNull())
     return keyed.groupBy(*led.by, "order_id").agg(total("amount").alias("order_total"))
 

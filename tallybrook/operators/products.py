@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, group_window, match
+from tallybrook.functions.frames import attach, group_window, match, stored
 from tallybrook.functions.ordering import ordered_prefix, quantiles, top_n_sum, top_share_sum
 from tallybrook.functions.scalars import MONEY, num, ratio, total
 from tallybrook.ledger import Ledger
@@ -19,6 +19,8 @@ STAGE_SLOPE = 0.10
 def product_totals(orders, by=()) -> DataFrame:
     """by, product, amount, lines, priced_lines: one row per product key."""
     led = Ledger.of(orders, by)
+    if led.kept_rollup("goods") is not None:
+        return led.goods.select(*led.by, "product", "amount", "lines", "priced_lines")
     return led.items.groupBy(*led.by, "product").agg(
         total("amount").alias("amount"), F.sum("lines").alias("lines"), F.sum("priced_lines").alias("priced_lines")
     )
@@ -86,11 +88,21 @@ def multi_item_rate(orders, by=()) -> DataFrame:
     """Share of orders with more than one distinct product; item-less orders count as zero.
 
     An order has several if its least and greatest differ, so no set of products is kept.
-    Rollups hold each product of an order once, and a count will do.
+    Kept orders tell it by hashes; those whose lines share one hash are looked up.
     """
     led = Ledger.of(orders, by)
-    several = F.count("product") > 1 if led.kept else F.coalesce(F.min("product") < F.max("product"), F.lit(False))
-    each = led.baskets.groupBy(*led.by, "order_id").agg(several.alias("several"))
+    several = F.coalesce(F.min("product") < F.max("product"), F.lit(False)).alias("several")
+    keys = [*led.by, "order_id"]
+    if led.kept_rollup("placed") is None or not led.product_key:
+        each = led.baskets.groupBy(*keys).agg(several)
+    else:
+        differ = F.coalesce(F.col("low") < F.col("high"), F.lit(False))
+        alike = ~differ & (F.col("item_lines") > 1)
+        each = led.placed.select(*keys, differ.alias("several"), alike.alias("_alike"))
+        doubtful = stored(each.filter("_alike").select(*keys))  # so that the planner sees how few they are
+        if not doubtful.isEmpty():
+            looked_up = match(led.baskets, doubtful, keys, "left_semi").groupBy(*keys).agg(several)
+            each = each.filter(~F.col("_alike")).drop("_alike").unionByName(looked_up)
     return each.groupBy(*led.by).agg(
         F.count(F.lit(1)).alias("orders"),
         F.count_if("several").alias("multi_item_orders"),
@@ -145,13 +157,10 @@ def lifecycle(orders, by=()) -> DataFrame:
     calendar, over its months, not its lines.
     """
     led = Ledger.of(orders, by)
-    newest = Window.partitionBy(*led.by, "product").orderBy(F.desc("month"))
-    months = product_months(led).withColumn("_back", F.row_number().over(newest))
-    each = months.groupBy(*led.by, "product").agg(
-        total("amount").alias("total_revenue"),
-        F.count(F.lit(1)).alias("months_active"),
-        *[F.max(F.when(F.col("_back") == i, num("amount"))).alias(f"_v{i}") for i in (1, 2, 3)],
-    )
+    each = led.goods.filter(F.col("months") > 0).select(
+        *led.by, "product", F.col("dated_amount").alias("total_revenue"), F.col("months").alias("months_active"),
+        num("newest").alias("_v1"), num("second").alias("_v2"), num("third").alias("_v3"),
+    )
     n = F.least(F.col("months_active"), F.lit(3))
     slope = (F.col("_v1") - F.coalesce("_v3", "_v2", "_v1")) / (n - 1)
     mean = (F.lit(0.0) + F.col("_v1") + F.coalesce("_v2", F.lit(0.0)) + F.coalesce("_v3", F.lit(0.0))) / n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, group_window
+from tallybrook.functions.frames import attach, group_window, match
 from tallybrook.functions.ordering import top_share_sum
 from tallybrook.functions.scalars import change, month_label, month_length, num, ratio, total
 from tallybrook.ledger import Ledger
@@ -14,17 +14,24 @@ from tallybrook.ledger import Ledger
 def monthly_revenue(orders, by=()) -> DataFrame:
     """by, month, revenue, orders, aov, days_with_data, days_in_month."""
     led = Ledger.of(orders, by)
-    months = (
-        led.order_days(led.sales)
-        .withColumn("month_start", F.trunc("day", "month"))
-        .groupBy(*led.by, "month_start")
-        .agg(
-            total("amount").alias("_rev"),
-            F.countDistinct("order_id").alias("orders"),
-            F.countDistinct("day").alias("days_with_data"),
+    month, keys = F.trunc("day", "month").alias("month_start"), [*led.by, "month_start"]
+    if led.kept:  # an order of a month and a day are single rows, so nothing is expanded to count them
+        placed = led.sales.filter(F.col("day").isNotNull()).groupBy(*led.by, month, "order_id").agg(F.sum("amount").alias("amount"))
+        sums = placed.groupBy(*keys).agg(total("amount").alias("_rev"), F.count("order_id").alias("orders"))
+        dates = led.daily.filter(F.col("day").isNotNull()).groupBy(*led.by, month).agg(F.count(F.lit(1)).alias("days_with_data"))
+        months = match(sums, dates, keys)
+    else:
+        months = (
+            led.order_days(led.sales)
+            .withColumn("month_start", F.trunc("day", "month"))
+            .groupBy(*keys)
+            .agg(
+                total("amount").alias("_rev"),
+                F.countDistinct("order_id").alias("orders"),
+                F.countDistinct("day").alias("days_with_data"),
+            )
+            .filter(F.col("month_start").isNotNull())
         )
-        .filter(F.col("month_start").isNotNull())
-    )
     return months.select(
         *led.by,
         month_label("month_start").alias("month"),
@@ -94,12 +101,15 @@ def repeat_revenue_share(orders, by=()) -> DataFrame:
     aggregations: (customer, day), then customer.  No join back to the lines.
     """
     led = Ledger.of(orders, by)
-    days = (
-        led.sales.filter(F.col("customer_id").isNotNull() & F.col("day").isNotNull())
-        .groupBy(*led.by, "customer_id", "day")
-        .agg(total("amount").alias("amount"))
-    )
-    first = days.groupBy(*led.by, "customer_id").agg(F.min_by("amount", "day").alias("amount"))
+    if led.kept_rollup("clients") is not None:
+        first = led.clients.filter(F.col("first_day").isNotNull()).select(*led.by, F.col("first_revenue").alias("amount"))
+    else:
+        days = (
+            led.sales.filter(F.col("customer_id").isNotNull() & F.col("day").isNotNull())
+            .groupBy(*led.by, "customer_id", "day")
+            .agg(total("amount").alias("amount"))
+        )
+        first = days.groupBy(*led.by, "customer_id").agg(F.min_by("amount", "day").alias("amount"))
     fresh = first.groupBy(*led.by).agg(total("amount").alias("_first"))
     whole = led.daily.groupBy(*led.by).agg(total("amount").alias("_all"))
     joined = attach(whole, fresh, led.by)
@@ -121,6 +131,8 @@ def avg_discount_rate(orders, by=()) -> DataFrame:
 
 def customer_revenue(orders, by=()) -> DataFrame:
     led = Ledger.of(orders, by)
+    if led.kept_rollup("clients") is not None:
+        return led.clients.select(*led.by, "customer_id", "revenue")
     known = led.sales.filter(F.col("customer_id").isNotNull())
     return known.groupBy(*led.by, "customer_id").agg(total("amount").alias("revenue"))
 

@@ -53,6 +53,46 @@ def test_kept_lines_are_read_once(spark, make_orders):
     assert seen.value == 2 * len(rows)
 
 
+ODD = [
+    ("a", "2024-01-01", "x", 10.0, "p"), ("a", "2024-01-01", "x", 5.0, "p"), ("b", "2024-01-09", "x", 7.0, "q"), ("b", "2024-01-09", "x", 1.0, None),
+    ("c", "2024-02-03", "y", 2.0, "p"), ("c", "2024-02-04", "y", 4.0, "q"), ("d", "2024-03-01", None, 9.0, "p"), ("e", None, "y", 3.0, "r"),
+    (None, "2024-03-05", "x", 6.0, "q"), ("f", "2024-04-02", "z", 8.0, None), ("f", "2024-05-02", "w", -8.0, "p"), ("g", None, "v", 1.5, None),
+    ("h", "2024-06-01", "x", 2.5, "q"), ("h", "2024-06-01", "x", 2.5, "p"), ("i", "2024-06-02", "y", None, "s"),
+]
+
+
+def test_kept_rollups_change_no_result(spark, make_orders):
+    """Lines without order, customer, product or date, and an order of one product in two lines."""
+    from tallybrook.operators import baskets, customers, pricing, revenue
+
+    rows = [(*r, s) for s in ("m", "n") for r in (ODD if s == "m" else ODD[3:9])]
+    dated = [r for r in rows if r[1]]
+    lines = make_orders(dated, ", sku string, store_id string").unionByName(
+        spark.createDataFrame([r for r in rows if not r[1]], "order_id string, order_date timestamp, customer_id string, amount double, sku string, store_id string")
+    )
+    operators = [
+        products.product_totals, products.lifecycle, products.stage_shares, products.price_tiers, products.top_product_share, products.converting_rate,
+        products.multi_item_rate, baskets.cross_sell_pairs, pricing.order_totals, pricing.large_order_share, pricing.free_shipping_threshold,
+        customers.orders_per_customer, customers.repeat_purchase_rate, customers.purchase_interval, customers.rfm_segments, customers.cohort_month,
+        revenue.customer_revenue, revenue.top_customer_share, revenue.repeat_revenue_share, revenue.monthly_revenue, revenue.latest_months,
+    ]
+    for by in ([], ["store_id"]):
+        plain, kept = Ledger(lines, by), Ledger(lines, by).keep()
+        for operator in operators:
+            found = [sorted(map(repr, operator(led).collect())) for led in (plain, kept)]
+            assert found[0] == found[1] != [], operator.__name__
+
+
+def test_kept_products_orders_and_customers_are_grouped_once(spark, make_orders):
+    from tallybrook.operators import customers, pricing, revenue
+
+    kept = Ledger(make_orders([r for r in ODD if r[1] and r[0] != "a"], ", sku string")).keep()
+    for operator in (products.converting_rate, products.stage_shares, products.multi_item_rate, customers.repeat_purchase_rate, customers.purchase_interval):
+        assert len(nodes(operator(kept), "Aggregate")) == 1 and not nodes(operator(kept), "Window"), operator.__name__
+    for operator in (products.product_totals, pricing.order_totals, customers.orders_per_customer, revenue.customer_revenue):
+        assert not nodes(operator(kept), "Aggregate"), operator.__name__
+
+
 def test_margins_and_categories_need_one_scan(spark, make_orders):
     from tallybrook.operators import pricing
 
