@@ -47,7 +47,7 @@ def risk_rubric(orders, by=(), ref_date=None, period: str = "365d") -> DataFrame
     led = Ledger.of(orders, by, ref_date)
     own = not led.kept
     if own:
-        led.keep()
+        led.keep("goods")
     parts = [
         kpis.period_blocks(led)
         .filter(F.col("period") == period)

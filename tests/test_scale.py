@@ -134,3 +134,13 @@ def test_issues_and_annual_revenue_share_the_lines(spark, monkeypatch):
     monkeypatch.setattr(tables, "order_lines", lambda *a, **k: calls.append(k) or real(*a, **k))
     assert queries.queries()["top_issues"](spark, FOLDER).count() > 0
     assert len(calls) == 1
+
+
+def test_risks_write_no_rollup_that_they_do_not_read(make_orders, monkeypatch):
+    from tallybrook import ledger
+    from tallybrook.plans import scorecards
+
+    written, real = [], ledger.stored
+    monkeypatch.setattr(ledger, "stored", lambda df: written.append(df.columns) or real(df))
+    assert scorecards.risk_rubric(make_orders([r for r in ODD if r[1]], ", sku string")).count() > 0
+    assert len(written) == 4  # lines, order days, daily sums, products
