@@ -144,3 +144,31 @@ def test_risks_write_no_rollup_that_they_do_not_read(make_orders, monkeypatch):
     monkeypatch.setattr(ledger, "stored", lambda df: written.append(df.columns) or real(df))
     assert scorecards.risk_rubric(make_orders([r for r in ODD if r[1]], ", sku string")).count() > 0
     assert len(written) == 4  # lines, order days, daily sums, products
+
+
+def test_likely_partners_lose_no_match(spark):
+    from tallybrook.functions.frames import likely
+
+    others = spark.createDataFrame([(k,) for k in (None, -5, 0, 7, 7, 2**62, *range(1000, 1100))], "o long")
+    rows = spark.createDataFrame([(k,) for k in (None, -5, 0, 7, 2**62, *range(1000, 9000), 1050)], "k long")
+    wanted = sorted(r["k"] for r in rows.join(others.distinct(), rows["k"] == others["o"]).collect())
+    for blocks in (1, 4, 1 << 19):  # many keys on one bit, and hardly any
+        left = likely(rows, "k", others, "o", blocks)
+        assert sorted(r["k"] for r in left.join(others.distinct(), left["k"] == others["o"]).collect()) == wanted
+    assert left.count() < 200
+    assert likely(rows.selectExpr("try_cast(k AS int) AS k"), "k", others, "o").filter("k = 1050").count() == 2
+    assert likely(rows, "k", others.limit(0), "o").count() == 0
+
+
+@tables_present
+def test_lines_of_a_few_days_are_cut_before_their_join(spark):
+    from pyspark.sql import functions as F
+
+    from workload import queries, tables
+
+    low, high = queries._early(90)
+    lines = tables.order_lines(spark, FOLDER, between=(low, high))
+    joins = nodes(lines, "Join")
+    assert len(joins) == 2 and "Inner" in joins[0] and "LeftSemi" in joins[1] and "broadcast" in joins[1]
+    plain = tables.order_lines(spark, FOLDER).filter((F.col("order_date") >= low) & (F.col("order_date") < high))
+    assert sorted(map(repr, lines.collect())) == sorted(map(repr, plain.collect())) != []

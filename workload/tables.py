@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybrook.functions.frames import likely
 from tallybrook.functions.scalars import MONEY
 
 
@@ -20,14 +21,20 @@ def order_lines(
     guests: bool = False,
     returns: bool = False,
     discount: bool = True,
+    between: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Order lines in canonical form.
 
     ``product`` adds name, category and cost from the part table, ``store`` the
     customer's nation as ``store_id``.  ``guests`` drops the customer of orders with
-    priority 5-LOW, ``returns`` negates amounts of returned lines.
+    priority 5-LOW, ``returns`` negates amounts of returned lines.  ``between`` keeps the
+    lines of orders placed on the first date or later, and before the second.
     """
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    if between:
+        low, high = between
+        orders = orders.filter((F.col("o_orderdate") >= low) & (F.col("o_orderdate") < high))
+        lines = likely(lines, "l_orderkey", orders, "o_orderkey")
     if store:  # found for each order, so that the lines are joined once
         orders = orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         orders = orders.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
