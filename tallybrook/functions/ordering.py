@@ -103,7 +103,12 @@ def quantiles_of_counts(counts: DataFrame, by: By, value: str, probs: Mapping[st
 
 
 def _selected(
-    df: DataFrame, by: By, value: str, places: Mapping[str, tuple[float, float]], ranks: Callable[[str], tuple[Column, Column]]
+    df: DataFrame,
+    by: By,
+    value: str,
+    places: Mapping[str, tuple[float, float]],
+    ranks: Callable[[str], tuple[Column, Column]],
+    few: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Per group ``group_rows``, ``total`` and for each place a struct of the values at two ranks.
 
@@ -114,7 +119,8 @@ def _selected(
 
     Values between the two of a place stay apart with their copies, all others are counted and
     summed by the gap they lie in.  Small groups stay apart as a whole.  The sketch's error is
-    bounded; a rank that it misses all the same raises.
+    bounded; a rank that it misses all the same raises.  ``few`` may write the sketches, one row per
+    group, where reading ``df`` twice costs less than a shuffle by group (``Ledger.few``).
     """
     df = df.filter(F.col(value).isNotNull()).select(*by, value)
     v = F.col(value)
@@ -125,7 +131,7 @@ def _selected(
     part = F.when(F.col("_small"), 1)
     for i in range(len(near)):
         part = part.when(v < F.col("_at")[2 * i], 2 * i).when(v <= F.col("_at")[2 * i + 1], 2 * i + 1)
-    parted = attach(df, sketch, by).select(*by, v, part.otherwise(2 * len(near)).alias("_part"))
+    parted = attach(df, few(sketch), by).select(*by, v, part.otherwise(2 * len(near)).alias("_part"))
     apart = F.when(F.col("_part") % 2 == 1, v).alias("_v")
     counts = parted.groupBy(*by, "_part", apart).agg(F.count(F.lit(1)).alias("_copies"), F.sum(v).alias("_mass"))
 
@@ -162,7 +168,13 @@ def _selected(
     )
 
 
-def quantiles(df: DataFrame, by: By, value: str, probs: Mapping[str, float], bounded: bool = False) -> DataFrame:
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def quantiles(
+    df: DataFrame, by: By, value: str, probs: Mapping[str, float], bounded: bool = False, few: Callable[[DataFrame], DataFrame] = _as_is
+) -> DataFrame:
     """Exact linearly interpolated quantiles of a column: by, ``n``, a double per entry of ``probs``.
 
     ``bounded`` says that the column has few different values (days, counts).
@@ -170,7 +182,7 @@ def quantiles(df: DataFrame, by: By, value: str, probs: Mapping[str, float], bou
     if bounded:
         return quantiles_of_counts(value_counts(df, by, value), by, value, probs)
     place = lambda name: F.lit(float(probs[name])) * (F.col("group_rows") - 1)
-    found = _selected(df, by, value, {name: (p, p) for name, p in probs.items()}, lambda name: (F.floor(place(name)), F.ceil(place(name))))
+    found = _selected(df, by, value, {name: (p, p) for name, p in probs.items()}, lambda name: (F.floor(place(name)), F.ceil(place(name))), few)
 
     def between(name: str) -> Column:
         low, high = F.col(f"{name}.first").cast("double"), F.col(f"{name}.last").cast("double")
@@ -179,7 +191,9 @@ def quantiles(df: DataFrame, by: By, value: str, probs: Mapping[str, float], bou
     return found.select(*by, F.col("group_rows").alias("n"), *[between(name) for name in probs])
 
 
-def top_sum(df: DataFrame, by: By, value: str, k: Column, shares: tuple[float, float]) -> DataFrame:
+def top_sum(
+    df: DataFrame, by: By, value: str, k: Column, shares: tuple[float, float], few: Callable[[DataFrame], DataFrame] = _as_is
+) -> DataFrame:
     """Sum of the ``k`` largest values per group; ``k`` may use ``group_rows``.
 
     ``shares`` are the least and greatest share of its rows that ``k`` can be in a group of
@@ -190,7 +204,7 @@ def top_sum(df: DataFrame, by: By, value: str, k: Column, shares: tuple[float, f
     taken = F.least(k.cast("long"), size)
     lowest = size - F.greatest(taken, F.lit(1))
     place = (1.0 - shares[1], 1.0 - shares[0])
-    found = _selected(df, by, value, {"cut": place}, lambda _: (lowest, lowest))
+    found = _selected(df, by, value, {"cut": place}, lambda _: (lowest, lowest), few)
     # Of values equal to the lowest one taken, some may be among the others.
     others = F.col("cut.below") + (size - taken - F.col("cut.below_n")) * F.col("cut.first")
     return found.select(*by, "group_rows", F.col("total").alias("group_total"), taken.alias("top_k"), (F.col("total") - others).alias("top_total"))
@@ -201,7 +215,9 @@ def top_n_sum(df: DataFrame, by: By, value: str, n: int) -> DataFrame:
     return top_sum(df, by, value, F.least(F.lit(n), F.col("group_rows")), (0.0, min(1.0, n / SMALL)))
 
 
-def top_share_sum(df: DataFrame, by: By, value: str, fraction: float) -> DataFrame:
+def top_share_sum(
+    df: DataFrame, by: By, value: str, fraction: float, few: Callable[[DataFrame], DataFrame] = _as_is
+) -> DataFrame:
     """``top_sum`` of a fraction of the values, at least one."""
     k = F.greatest(F.lit(1), F.floor(F.col("group_rows").cast("double") * F.lit(fraction)))
-    return top_sum(df, by, value, k, (fraction, fraction))
+    return top_sum(df, by, value, k, (fraction, fraction), few)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from functools import cached_property
@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, numbered, stored
+from tallybrook.functions.frames import attach, by_key, numbered, stored
 from tallybrook.functions.scalars import MONEY, total, whole_days
 
 ROLLUPS = ("goods", "placed", "clients")  # what ``keep()`` can write beside lines, sales and daily sums
@@ -76,16 +76,20 @@ class Ledger:
     @cached_property
     def items(self) -> DataFrame:
         """by, product, month, amount, priced_lines, lines for lines with a product key."""
+        return self._items(self._amounts())
+
+    def _amounts(self) -> DataFrame:
         key = self.need_key()
         return self.lines_with(key, "order_date", "amount").filter(F.col(key).isNotNull()).select(
             *self.by,
             F.col(key).cast("string").alias("product"),
             F.trunc(F.to_date("order_date"), "month").alias("month"),
             F.col("amount").cast(MONEY).alias("amount"),
-            F.col("amount").isNotNull().cast("long").alias("priced_lines"),
-            F.lit(1).cast("long").alias("lines"),
         )
 
+    def _items(self, amounts: DataFrame) -> DataFrame:
+        return amounts.select("*", F.col("amount").isNotNull().cast("long").alias("priced_lines"), F.lit(1).cast("long").alias("lines"))
+
     @cached_property
     def baskets(self) -> DataFrame:
         """by, order_id, product (null kept so that item-less orders still count)."""
@@ -101,7 +105,10 @@ class Ledger:
 
         The window holds the months of a product, not its lines.
         """
-        months = self.items.groupBy(*self.by, "product", "month").agg(
+        return self._by_key(self._amounts(), "product", self._goods)
+
+    def _goods(self, amounts: DataFrame) -> DataFrame:
+        months = self._items(amounts).groupBy(*self.by, "product", "month").agg(
             total("amount").alias("amount"), F.sum("lines").alias("lines"), F.sum("priced_lines").alias("priced_lines")
         )
         months, keys = numbered(months, [*self.by, "product"])
@@ -123,9 +130,12 @@ class Ledger:
         return self._placed(self.order_days(self._sales(*self._hashes()), hashes=True))
 
     def _hashes(self) -> list[Column]:
-        """Hash of a line's product, null without one: numbers are compared and kept cheaply."""
+        """Hash of a line's product, null without one: numbers are compared and kept cheaply.
+
+        Four bytes do: orders whose lines share one hash are looked up anyway.
+        """
         key = F.col(self.product_key).cast("string") if self.product_key else F.lit(None).cast("string")
-        hashed = F.when(key.isNotNull(), F.xxhash64(key))
+        hashed = F.when(key.isNotNull(), F.hash(key))
         return [hashed.alias("low"), hashed.alias("high"), key.isNotNull().cast("long").alias("item_lines")]
 
     def _placed(self, days: DataFrame) -> DataFrame:
@@ -136,9 +146,12 @@ class Ledger:
     @cached_property
     def clients(self) -> DataFrame:
         """``client_days`` and each customer's distinct ``orders``."""
+        return self._by_key(self.sales.filter(F.col("customer_id").isNotNull()), "customer_id", self._clients)
+
+    def _clients(self, known: DataFrame) -> DataFrame:
         keys = [*self.by, "customer_id"]
-        pairs = self.sales.filter(F.col("customer_id").isNotNull()).select(*keys, "order_id").distinct()
-        both = self.client_days.unionByName(pairs.groupBy(*keys).agg(F.count("order_id").alias("orders")), allowMissingColumns=True)
+        pairs = known.select(*keys, "order_id").distinct()
+        both = self._client_days(known).unionByName(pairs.groupBy(*keys).agg(F.count("order_id").alias("orders")), allowMissingColumns=True)
         return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])
 
     @property
@@ -148,8 +161,11 @@ class Ledger:
         ``gap`` is the sum of whole days between a customer's lines.  Lines of one day are less
         than a day apart and add nothing, so the window holds a customer's days, not the lines.
         """
+        return self._client_days(self.sales.filter(F.col("customer_id").isNotNull()))
+
+    def _client_days(self, known: DataFrame) -> DataFrame:
         keys = [*self.by, "customer_id"]
-        days = self.sales.filter(F.col("customer_id").isNotNull()).groupBy(*keys, "day").agg(
+        days = known.groupBy(*keys, "day").agg(
             F.min("first_ts").alias("a"), F.max("last_ts").alias("b"), F.sum("lines").alias("lines"), total("amount").alias("amount")
         )
         days, grouped = numbered(days, keys)
@@ -175,6 +191,18 @@ class Ledger:
             return self._stored
         return self.lines
 
+    def _by_key(self, rows: DataFrame, key: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``step`` on rows that meet by ``key`` first, if they come from the written copy of ``keep()``."""
+        return step(rows) if self._stored is None else by_key(rows, [*self.by, key], step)
+
+    def few(self, stores: DataFrame) -> DataFrame:
+        """A row per store, to be attached to a written rollup.
+
+        They are written too: the planner then sees how few they are, and does not shuffle the
+        rollup by store.
+        """
+        return stored(stores) if self.kept and self.by else stores
+
     def need_key(self) -> str:
         if self.product_key is None:
             raise ValueError("product operators need a 'sku' or 'product_name' column")

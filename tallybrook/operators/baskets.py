@@ -25,6 +25,7 @@ def cross_sell_pairs(orders, by=(), min_support: float = 0.01, large_basket: int
     needed = F.greatest(F.lit(2), F.floor(num("n_orders") * F.lit(min_support))).cast("long").alias("needed")
     if led.kept_rollup("placed") is not None and led.kept_rollup("goods") is not None:
         limits = led.placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_orders")).select(*by, "n_orders", needed)
+        limits = led.few(limits)
         # A product has at most as many orders as lines, so baskets of the others need not be looked at.
         # These are written, so that the planner sees how few they are.
         enough = attach(led.goods.select(*by, "product", "lines"), limits, by).filter(F.col("lines") >= F.col("needed"))

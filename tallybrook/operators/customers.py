@@ -100,7 +100,7 @@ def days_to_second_order(orders, by=()) -> DataFrame:
 def rfm_base(orders, by=()) -> DataFrame:
     """Recency in whole days before the newest order, distinct orders, revenue per customer."""
     led = Ledger.of(orders, by)
-    newest = led.daily.groupBy(*led.by).agg(F.max("last_ts").alias("_now"))
+    newest = led.few(led.daily.groupBy(*led.by).agg(F.max("last_ts").alias("_now")))
     if led.kept_rollup("clients") is not None:
         base = led.clients.select(
             *led.by, "customer_id", F.col("last_ts").alias("_last"), F.col("orders").alias("frequency"), F.col("revenue").alias("monetary")
@@ -150,7 +150,7 @@ def rfm_segments(orders, by=(), n_segments: int = 5) -> DataFrame:
     both = ranked(first, by, ["monetary", "customer_id"]).withColumnRenamed("rank", "_m_rank")
     edges = quantiles(base, by, "recency_days", steps, bounded=True)
     edges = edges.select(*by, F.array_distinct(F.array(*[F.round(c, 9) for c in steps])).alias("_edges"))
-    joined = attach(both, edges, by)
+    joined = attach(both, led.few(edges), by)
 
     below = F.size(F.filter("_edges", lambda e: e < F.col("recency_days")))
     r = F.when(F.size("_edges") >= 2, F.lit(n_segments) - F.greatest(below - 1, F.lit(0))).cast("long")

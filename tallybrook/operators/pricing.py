@@ -131,9 +131,9 @@ def free_shipping_threshold(orders, by=()) -> DataFrame:
     """
     led = Ledger.of(orders, by)
     totals = order_totals(led)
-    middle = quantiles(totals, led.by, "order_total", {"median_order": 0.5})
+    middle = quantiles(totals, led.by, "order_total", {"median_order": 0.5}, few=led.few)
     suggested = F.bround(F.col("median_order") * THRESHOLD_FACTOR, -2)
-    limits = middle.select(*led.by, "median_order", suggested.alias("t"))
+    limits = led.few(middle.select(*led.by, "median_order", suggested.alias("t")))
     value, money = num("order_total"), F.col("order_total")
     near = (value >= F.col("t") * NEAR_FACTOR) & (value < F.col("t"))
     sums = attach(totals, limits, led.by).groupBy(*led.by, "median_order", "t").agg(

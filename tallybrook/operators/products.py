@@ -52,7 +52,7 @@ def top_product_share(orders, by=(), fraction: float = 0.2) -> DataFrame:
     No row for stores without products or without positive product revenue.
     """
     led = Ledger.of(orders, by)
-    top = top_share_sum(product_totals(led), led.by, "amount", fraction)
+    top = top_share_sum(product_totals(led), led.by, "amount", fraction, led.few)
     return top.filter(F.col("group_total") > 0).select(
         *led.by,
         F.col("group_rows").alias("products"),
@@ -201,7 +201,7 @@ def price_tiers(orders, by=()) -> DataFrame:
     )
     thirds = {"t1": 1 / 3, "t2": 2 / 3}
     probs = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "q4": 1.0, **thirds}
-    edges = quantiles(means, led.by, "price", probs)
+    edges = quantiles(means, led.by, "price", probs, few=led.few)
 
     def bins(*names: str) -> Column:
         return F.size(F.array_distinct(F.array(*[F.round(c, 9) for c in names]))) - 1

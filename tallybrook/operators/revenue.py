@@ -140,7 +140,7 @@ def customer_revenue(orders, by=()) -> DataFrame:
 def top_customer_share(orders, by=(), fraction: float = 0.1) -> DataFrame:
     """Share of all revenue (guests included) from the top ``fraction`` of customers."""
     led = Ledger.of(orders, by)
-    top = top_share_sum(customer_revenue(led), led.by, "revenue", fraction)
+    top = top_share_sum(customer_revenue(led), led.by, "revenue", fraction, led.few)
     whole = led.daily.groupBy(*led.by).agg(total("amount").alias("_all"))
     return attach(whole, top, led.by).select(
         *led.by,

@@ -172,3 +172,95 @@ def test_lines_of_a_few_days_are_cut_before_their_join(spark):
     assert len(joins) == 2 and "Inner" in joins[0] and "LeftSemi" in joins[1] and "broadcast" in joins[1]
     plain = tables.order_lines(spark, FOLDER).filter((F.col("order_date") >= low) & (F.col("order_date") < high))
     assert sorted(map(repr, lines.collect())) == sorted(map(repr, plain.collect())) != []
+
+
+@tables_present
+def test_lines_meet_their_orders_last(spark):
+    """Lines that leave the join lie together by order; the part is found while they are narrow."""
+    from workload import tables
+
+    joins = nodes(tables.order_lines(spark, FOLDER, store=True, product=True), "Join")
+    assert len(joins) == 4 and "l_orderkey" in joins[0] and "l_partkey" in joins[1]
+
+
+def test_kept_rollups_are_shuffled_once(spark, make_orders, monkeypatch):
+    """Months of a product, and days and orders of a customer, meet by one shuffle of the written rows."""
+    from tallybrook import ledger
+    from tallybrook.functions import frames
+
+    shuffles, real = {}, ledger.stored
+
+    def seen(df):
+        shuffles[df.columns[1]] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return real(df)
+
+    monkeypatch.setattr(ledger, "stored", seen)
+    monkeypatch.setattr(ledger, "by_key", lambda *a: frames.by_key(*a, busy=1), raising=False)  # none of so few rows is busy
+    rows = [(*r, s) for s in ("m", "n") for r in ODD if r[1]]
+    Ledger(make_orders(rows, ", sku string, store_id string"), ["store_id"]).keep()
+    assert shuffles["product"] == 1
+    assert shuffles["customer_id"] == 2  # days, and pairs of customer and order
+
+
+def test_busy_keys_change_no_result(spark, make_orders, monkeypatch):
+    """One customer and one product with most lines, or every one of them busy, or none."""
+    from tallybrook import ledger
+    from tallybrook.functions import frames
+
+    rows = [(*r, s) for s in ("m", None) for r in ODD if r[1]] + [(f"o{i % 7}", f"2024-0{1 + i % 9}-11", "x", float(i), "p", "m") for i in range(60)]
+    lines = make_orders(rows, ", sku string, store_id string")
+    plain = Ledger(lines, ["store_id"])
+    wanted = {n: sorted(map(repr, getattr(plain, n).collect())) for n in ("goods", "clients")}
+    branches = []
+    for busy in (1, 3, 1000):
+
+        def told(rows, keys, step):
+            return frames.by_key(rows, keys, lambda part: branches.append((busy, keys[-1])) or step(part), busy)
+
+        monkeypatch.setattr(ledger, "by_key", told)
+        kept = Ledger(lines, ["store_id"]).keep()
+        assert {n: sorted(map(repr, getattr(kept, n).collect())) for n in wanted} == wanted
+    assert branches.count((3, "product")) == branches.count((3, "customer_id")) == 2
+    assert branches.count((1, "product")) == 1
+
+
+@tables_present
+def test_rollups_are_not_shuffled_by_store(spark):
+    """What is known of each store is so little that it goes to the rollup, not the rollup to it."""
+    from tallybrook.operators import baskets, pricing
+    from workload import tables
+
+    kept = Ledger(tables.order_lines(spark, FOLDER, store=True), ["store_id"]).keep()
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "6000")  # less than a rollup's file
+    try:
+        for operator in (pricing.free_shipping_threshold, products.top_product_share, products.price_tiers):
+            shown = operator(kept)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown, operator.__name__
+        assert baskets.cross_sell_pairs(kept).count() >= 0
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    import time
+
+    from tallybrook.functions import frames
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.splitlines() if "shuffle_" in f}
+
+    before, former = files(), spark.conf.get(frames.FREED, "false")
+    written = frames.stored(spark.range(1000).repartition(4, "id").groupBy("id").count())
+    left = files() - before
+    for _ in range(50):
+        if not left:
+            break
+        time.sleep(0.1)
+        left = files() - before
+    assert not left and written.count() == 1000
+    with frames.shuffles_freed(spark), frames.shuffles_freed(spark):
+        assert spark.conf.get(frames.FREED) == "true"
+    assert spark.conf.get(frames.FREED, "false") == former

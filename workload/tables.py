@@ -29,17 +29,27 @@ def order_lines(
     customer's nation as ``store_id``.  ``guests`` drops the customer of orders with
     priority 5-LOW, ``returns`` negates amounts of returned lines.  ``between`` keeps the
     lines of orders placed on the first date or later, and before the second.
+
+    The orders are joined last: the lines then lie together by order, as rollups by order want
+    them, and are shuffled for their part while they are still narrow.
     """
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     if between:
         low, high = between
         orders = orders.filter((F.col("o_orderdate") >= low) & (F.col("o_orderdate") < high))
         lines = likely(lines, "l_orderkey", orders, "o_orderkey")
+    lines = lines.select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_returnflag",
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), F.col("l_discount").cast("decimal(3,2)").alias("rate"),
+    )
+    if product:
+        part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice", F.col("p_retailprice").cast("decimal(12,2)").alias("retail"))
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     if store:  # found for each order, so that the lines are joined once
         orders = orders.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         orders = orders.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    price, rate = F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(3,2)")
+    price, rate = F.col("price"), F.col("rate")
     amount = (price * (1 - rate)).cast(MONEY)
     if returns:
         amount = F.when(F.col("l_returnflag") == "R", -amount).otherwise(amount)
@@ -57,8 +67,7 @@ def order_lines(
     if discount:
         columns.append((price * rate).cast(MONEY).alias("discount"))
     if product:
-        df = df.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        cost = F.col("l_quantity").cast("decimal(9,0)") * F.col("p_retailprice").cast("decimal(12,2)")
+        cost = F.col("l_quantity").cast("decimal(9,0)") * F.col("retail")
         columns += [
             F.col("p_name").alias("product_name"),
             F.col("p_brand").alias("category"),
