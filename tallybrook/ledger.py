@@ -126,7 +126,8 @@ class Ledger:
 
     @cached_property
     def placed(self) -> DataFrame:
-        """by, order_id, order_total and of its products: item_lines and the least and greatest hash."""
+        """by, order_id, order_total, its first and last month, and of its products: item_lines and
+        the least and greatest hash."""
         return self._placed(self.order_days(self._sales(*self._hashes()), hashes=True))
 
     def _hashes(self) -> list[Column]:
@@ -139,8 +140,14 @@ class Ledger:
         return [hashed.alias("low"), hashed.alias("high"), key.isNotNull().cast("long").alias("item_lines")]
 
     def _placed(self, days: DataFrame) -> DataFrame:
+        month = F.trunc("day", "month")
         return days.filter(F.col("order_id").isNotNull()).groupBy(*self.by, "order_id").agg(
-            total("amount").alias("order_total"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("item_lines").alias("item_lines")
+            total("amount").alias("order_total"),
+            F.min(month).alias("first_month"),
+            F.max(month).alias("last_month"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+            F.sum("item_lines").alias("item_lines"),
         )
 
     @cached_property

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybrook.functions.frames import attach, group_window, match
+from tallybrook.functions.frames import attach, group_window, match, stored
 from tallybrook.functions.ordering import top_share_sum
 from tallybrook.functions.scalars import change, month_label, month_length, num, ratio, total
 from tallybrook.ledger import Ledger
@@ -14,12 +14,12 @@ from tallybrook.ledger import Ledger
 def monthly_revenue(orders, by=()) -> DataFrame:
     """by, month, revenue, orders, aov, days_with_data, days_in_month."""
     led = Ledger.of(orders, by)
-    month, keys = F.trunc("day", "month").alias("month_start"), [*led.by, "month_start"]
-    if led.kept:  # an order of a month and a day are single rows, so nothing is expanded to count them
-        placed = led.sales.filter(F.col("day").isNotNull()).groupBy(*led.by, month, "order_id").agg(F.sum("amount").alias("amount"))
-        sums = placed.groupBy(*keys).agg(total("amount").alias("_rev"), F.count("order_id").alias("orders"))
-        dates = led.daily.filter(F.col("day").isNotNull()).groupBy(*led.by, month).agg(F.count(F.lit(1)).alias("days_with_data"))
-        months = match(sums, dates, keys)
+    keys = [*led.by, "month_start"]
+    if led.kept:  # a day is a single row, and an order of a month too, so nothing is expanded to count them
+        dates = led.daily.filter(F.col("day").isNotNull()).groupBy(*led.by, F.trunc("day", "month").alias("month_start")).agg(
+            total("amount").alias("_rev"), F.count(F.lit(1)).alias("days_with_data")
+        )
+        months = match(dates, _orders_by_month(led), keys, "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
     else:
         months = (
             led.order_days(led.sales)
@@ -43,6 +43,29 @@ def monthly_revenue(orders, by=()) -> DataFrame:
     )
 
 
+def _orders_by_month(led: Ledger) -> DataFrame:
+    """Orders with a line in a month, from the written views.
+
+    Most orders have one month, which is in their rollup; those with more are looked up by day.
+    """
+    keys, order = [*led.by, "month_start"], [*led.by, "order_id"]
+
+    def looked_up(sales: DataFrame) -> DataFrame:
+        pairs = sales.filter(F.col("day").isNotNull() & F.col("order_id").isNotNull())
+        pairs = pairs.select(*order, F.trunc("day", "month").alias("month_start")).distinct()
+        return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("orders"))
+
+    if led.kept_rollup("placed") is None:
+        return looked_up(led.sales)
+    first, last = F.col("first_month"), F.col("last_month")
+    once = led.placed.filter(first == last).groupBy(*led.by, first.alias("month_start")).agg(F.count(F.lit(1)).alias("orders"))
+    several = stored(led.placed.filter(first < last).select(*order))  # so that the planner sees how few they are
+    if several.isEmpty():
+        return once
+    both = once.unionByName(looked_up(match(led.sales, several, order, "left_semi")))
+    return both.groupBy(*keys).agg(F.sum("orders").alias("orders"))
+
+
 def mom_growth(orders, by=()) -> DataFrame:
     """Revenue growth over the previous month with data; null from a zero month."""
     led = Ledger.of(orders, by)

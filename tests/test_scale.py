@@ -264,3 +264,17 @@ def test_shuffle_files_go_with_their_query(spark):
     with frames.shuffles_freed(spark), frames.shuffles_freed(spark):
         assert spark.conf.get(frames.FREED) == "true"
     assert spark.conf.get(frames.FREED, "false") == former
+
+
+def test_orders_of_a_month_are_counted_without_a_shuffle_by_order(make_orders):
+    """Only orders with lines in several months are looked up by day."""
+    from tallybrook.operators import revenue
+
+    rows = [r for r in ODD if r[1]]
+    each = {"one": [r for r in rows if r[0] != "f"], "some": [*rows, ("f", "2024-05-09", "x", 1.0, "p"), (None, "2023-05-09", "x", 1.0, "p")]}
+    for which, given in each.items():
+        plain, kept = (Ledger(make_orders(given, ", sku string")) for _ in range(2))
+        found, wanted = revenue.monthly_revenue(kept.keep()), revenue.monthly_revenue(plain)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, wanted.collect())) != []
+        assert any("order_id" in line for line in nodes(found, "Aggregate")) == (which == "some")
+        assert [r["orders"] for r in found.collect() if r["month"] == "2023-05"] == [0] * (which == "some")
